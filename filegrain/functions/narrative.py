@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .scoring import signals
-from .text import clip
+from .text import clip, fixed
 
 # fixed values: words shown in reports
 RATING_MARKS = {"low": "🟢", "moderate": "🟡", "high": "🟠", "critical": "🔴"}
@@ -21,9 +21,9 @@ OPENINGS = {
     "low": "%s's most recent %s filing (%s) shows a LOW risk profile, with no significant new concerns identified.",
 }
 RISK_CHANGES = {
-    "major": "The Risk Factors section underwent significant revisions, with %.0f%% of sentences affected compared to the prior filing (%s).",
-    "moderate": "There were moderate changes in the Risk Factors section, with %.0f%% of sentences updated from the prior filing (%s).",
-    None: "The Risk Factors section remained largely stable, with only %.0f%% of sentences changed from the prior filing (%s).",
+    "major": "The Risk Factors section underwent significant revisions, with %s%% of sentences affected compared to the prior filing (%s).",
+    "moderate": "There were moderate changes in the Risk Factors section, with %s%% of sentences updated from the prior filing (%s).",
+    None: "The Risk Factors section remained largely stable, with only %s%% of sentences changed from the prior filing (%s).",
 }
 MDA_TONES = {
     "critical": "It highlights critical financial stress signals.",
@@ -53,7 +53,7 @@ def verdict(ticker: Column, form: Column, rating: Column, risk: Column, mda: Col
     opening = choose(rating, OPENINGS, lambda t: F.format_string(t, ticker, period, newer))
     risk_change = F.when(
         risk["compared"],
-        choose(risk["magnitude"], RISK_CHANGES, lambda t: F.format_string(t, risk["pct_changed"] * 100, older)),
+        choose(risk["magnitude"], RISK_CHANGES, lambda t: F.format_string(t, fixed(risk["pct_changed"] * 100, 0), older)),
     ).otherwise(F.lit("Risk Factor comparison was not available (e.g., 10-Q incorporating 10-K by reference)."))
     moved = F.concat_ws(
         " ",
@@ -64,8 +64,8 @@ def verdict(ticker: Column, form: Column, rating: Column, risk: Column, mda: Col
             F.lit(" are no longer present."))),
     )
     mda_change = F.when(mda["compared"], F.format_string(
-        "The Management's Discussion and Analysis (MD&A) section saw %s changes, with %.0f%% of sentences affected. ",
-        choose(mda["magnitude"], MAGNITUDE_WORDS), mda["pct_changed"] * 100,
+        "The Management's Discussion and Analysis (MD&A) section saw %s changes, with %s%% of sentences affected. ",
+        choose(mda["magnitude"], MAGNITUDE_WORDS), fixed(mda["pct_changed"] * 100, 0),
     )).otherwise(F.lit("MD&A comparison was not available. "))
     return F.concat_ws(" ", opening, risk_change, moved, F.concat(mda_change, choose(mda["materiality"], MDA_TONES)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import around, let, strip
+from .text import around, fixed, let, strip
 
 
 @dataclass(frozen=True)
@@ -235,7 +235,7 @@ def analyst_note(section: Column, pct_changed: Column, magnitude: Column, has_te
         sentence("Removed vs prior filing: ", F.col("removed_hits")),
         F.when(
             magnitude.isNotNull(),
-            F.format_string("Section changed %.1f%% by sentence (magnitude: %s).", pct_changed * 100, magnitude),
+            F.format_string("Section changed %s%% by sentence (magnitude: %s).", fixed(pct_changed * 100, 1), magnitude),
         ),
     )
     return F.when(has_text, note).otherwise(

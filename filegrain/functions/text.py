@@ -236,9 +236,18 @@ def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
+def _formatted(value: Column, pattern: str) -> Column:
+    # decides halves on the exact binary value, as C and Python formatting do
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    return _formatted(value, "0." + "0" * digits if digits else "0")
+
+
 def whole(value: Column) -> Column:
-    return F.format_string("%,.0f", value.cast("double"))
+    return _formatted(value, "#,##0")
 
 
 def signed_whole(value: Column) -> Column:
-    return F.format_string("%+,.0f", value.cast("double"))
+    return _formatted(value, "+#,##0;-#,##0")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.text import fixed, whole
 
 Metrics = Sequence[tuple[str, Sequence[str]]]
 
@@ -58,9 +59,9 @@ def liquidity_note(ratio: Column) -> Column:
     return (
         F.when(ratio.isNull(), F.lit("Current ratio unavailable — liquidity risk cannot be quantitatively validated."))
         .when(ratio < fv.LOW_CURRENT_RATIO, F.format_string(
-            "Current ratio %.2f is below 1.0 — liabilities exceed liquid assets, elevating liquidity/going-concern risk.", ratio))
-        .when(ratio < fv.TIGHT_CURRENT_RATIO, F.format_string("Current ratio %.2f is tight — limited liquidity buffer.", ratio))
-        .otherwise(F.format_string("Current ratio %.2f indicates adequate short-term liquidity.", ratio))
+            "Current ratio %s is below 1.0 — liabilities exceed liquid assets, elevating liquidity/going-concern risk.", fixed(ratio, 2)))
+        .when(ratio < fv.TIGHT_CURRENT_RATIO, F.format_string("Current ratio %s is tight — limited liquidity buffer.", fixed(ratio, 2)))
+        .otherwise(F.format_string("Current ratio %s indicates adequate short-term liquidity.", fixed(ratio, 2)))
     )
 
 
@@ -69,20 +70,22 @@ def capex_note(capex: Column, revenue: Column) -> Column:
     return (
         F.when(percent.isNull(), F.lit("CapEx-to-revenue ratio unavailable."))
         .when(percent > fv.HEAVY_CAPEX_PERCENT, F.format_string(
-            "CapEx is %.1f%% of revenue — heavy infrastructure/strategic investment, "
-            "consistent with AI/capacity buildout risk language.", percent))
-        .otherwise(F.format_string("CapEx is %.1f%% of revenue — within typical range.", percent))
+            "CapEx is %s%% of revenue — heavy infrastructure/strategic investment, "
+            "consistent with AI/capacity buildout risk language.", fixed(percent, 1)))
+        .otherwise(F.format_string("CapEx is %s%% of revenue — within typical range.", fixed(percent, 1)))
     )
 
 
 def fact_highlights() -> Column:
     """Lines for the report, from the wide row; ratios keep two decimals."""
     shown = (
-        ("Revenue", "revenue", "%,.0f"), ("Net Income", "net_income", "%,.0f"),
-        ("Cash and Equivalents", "cash_and_equivalents", "%,.0f"), ("Total Debt", "total_debt", "%,.0f"),
-        ("Current Ratio", "current_ratio", "%.2f"), ("Capex", "capex", "%,.0f"),
+        ("Revenue", "revenue"), ("Net Income", "net_income"), ("Cash and Equivalents", "cash_and_equivalents"),
+        ("Total Debt", "total_debt"), ("Current Ratio", "current_ratio"), ("Capex", "capex"),
     )
     lines = F.array(*[
-        F.when(F.col(c).isNotNull(), F.format_string(f"{name}: {fmt}", F.col(c))) for name, c, fmt in shown
+        F.when(F.col(c).isNotNull(), F.concat(
+            F.lit(f"{name}: "), fixed(F.col(c), 2) if c == "current_ratio" else whole(F.col(c))
+        ))
+        for name, c in shown
     ])
     return F.filter(lines, lambda x: x.isNotNull())

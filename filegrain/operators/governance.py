@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import tier_names
-from ..functions.text import around, clip, let, squeeze
+from ..functions.text import around, clip, fixed, let, squeeze
 
 
 def governance_signals(text: Column, phrases: Sequence[tuple[str, int]] = fv.GOVERNANCE_PHRASES) -> Column:
@@ -46,7 +46,7 @@ def governance_summary(ticker: Column, filed: Column, found: Column, score: Colu
     tier1 = F.transform(F.filter(found, lambda s: s["tier"] == 1), lambda s: s["signal"])
     text = F.concat_ws(
         " ",
-        F.format_string("%s's proxy statement (%s) governance risk score: %.1f.", ticker, filed, score.cast("double")),
+        F.format_string("%s's proxy statement (%s) governance risk score: %s.", ticker, filed, fixed(score, 1)),
         F.when(F.size(tier1) > 0, F.concat(
             F.lit("Critical governance flags: "), F.array_join(tier1, ", "), F.lit("."),
         )),

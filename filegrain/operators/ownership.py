@@ -37,6 +37,10 @@ def ownership_columns(df: DataFrame, text: Column, phrases: Sequence[str] = fv.A
     )
 
 
+def form_order(form: Column, forms: Sequence[str] = fv.OWNERSHIP_FORMS) -> Column:
+    return F.array_position(F.array(*[F.lit(f) for f in forms]), form).cast("int")
+
+
 def ownership_summary(filings: DataFrame, forms: Sequence[str] = fv.OWNERSHIP_FORMS) -> DataFrame:
     """Totals and narrative per ticker, over the newest N filings of each form:
     what is collected per ticker is bounded by N times the number of forms."""

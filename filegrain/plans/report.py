@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import narrative as say
 from ..functions.scoring import RISK_LEXICON, Lexicon, materiality_rank, of_tier, top_signals, with_context
+from ..functions.text import fixed
 from ..operators.categories import highlight_sentences, quick_categories
 from ..operators.facts import fact_highlights, financial_context
 from ..operators.recency import SERIES
@@ -101,7 +102,7 @@ def _slim(hits: Column) -> Column:
 
 def _change_line(label: str, s: Column, missing: str) -> Column:
     return F.when(s["compared"], F.format_string(
-        label + "%s (%.0f%% of sentences affected)", say.choose(s["magnitude"], say.MAGNITUDE_WORDS), s["pct_changed"] * 100,
+        label + "%s (%s%% of sentences affected)", say.choose(s["magnitude"], say.MAGNITUDE_WORDS), fixed(s["pct_changed"] * 100, 0),
     )).otherwise(F.lit(label + missing))
 
 
@@ -141,7 +142,7 @@ def _report(report_date: Column, title: str) -> Column:
         say.lines(say.heading(title)), rows, F.array(F.lit(""))
     )).otherwise(none)
     score = lambda label, s: F.format_string(
-        label + "%s %s  (score %.1f)", marks(s["materiality"]), F.upper(s["materiality"]), s["raw_score"]
+        label + "%s %s  (score %s)", marks(s["materiality"]), F.upper(s["materiality"]), fixed(s["raw_score"], 1)
     )
     footer = say.lines(
         say.heading("SECTION SCORES"), score("  Risk Factors:  ", risk), score("  MD&A:          ", mda), F.lit(""),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import RISK_LEXICON, Lexicon, materiality_rank
+from ..functions.text import fixed
 from ..operators.recency import SERIES, clamp, newest, previous_row
 from ..operators.sections import extract
 from .score import filing_scores
@@ -103,8 +104,8 @@ def trend_summary(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
         F.format_string("Risk trend for %d %s filings (%s → %s).", F.col("n_points"), kind,
                         F.col("first_date").cast("string"), F.col("last_date").cast("string")),
         F.format_string("Trajectory: %s.", F.upper("trajectory")),
-        F.format_string("Risk score moved %.1f → %.1f (%s%.1f).", "first_score", "last_score",
-                        F.when(delta > 0, "↑").otherwise("↓"), F.abs("score_delta")),
+        F.format_string("Risk score moved %s → %s (%s%s).", fixed(F.col("first_score"), 1), fixed(F.col("last_score"), 1),
+                        F.when(delta > 0, "↑").otherwise("↓"), fixed(F.abs("score_delta"), 1)),
         F.when(F.size("_new") > 0, F.concat(F.lit("New signals over period: "), head("_new", 5), F.lit("."))),
         F.when(F.size("_gone") > 0, F.concat(F.lit("Removed signals: "), head("_gone", 3), F.lit("."))),
         F.when(F.col("_peak.m").isin("high", "critical"), F.format_string(
@@ -113,7 +114,7 @@ def trend_summary(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     return (
         out.withColumn("peak_risk_date", F.col("_peak.d")).withColumn("peak_risk_score", F.col("_peak.score"))
         .withColumn("overall_trend_note", F.format_string(
-            "Risk score %s from %.1f to %.1f.", "trajectory", "first_score", "last_score"))
+            "Risk score %s from %s to %s.", "trajectory", fixed(F.col("first_score"), 1), fixed(F.col("last_score"), 1)))
         .withColumn("analyst_summary", text)
         .drop("p", "_step", "_new", "_gone", "_peak")
     )

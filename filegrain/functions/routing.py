@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from .text import WS, contains_any, let, starts_with_any, strip, string_array
+from .text import WS, contains_any, positions, starts_with_any, strip, string_array
 
 
 def valid_ticker(ticker: Column) -> Column:
@@ -25,7 +25,7 @@ def message_ticker(text: Column, stop_words: Sequence[str] = fv.TICKER_STOP_WORD
     """The first word of 2–5 letters that is no stop word; empty when none."""
     words = F.split(F.upper(F.regexp_replace(text, r"[*\"'`#]", " ")), f"{WS}+")
     letters = F.transform(words, lambda w: F.regexp_replace(w, "[^A-Z]", ""))
-    usable = F.filter(letters, lambda w: F.length(w).between(2, 5) & ~w.isin(*stop_words))
+    usable = F.filter(letters, lambda w: F.length(w).between(2, 5) & ~F.array_contains(string_array(stop_words), w))
     return F.coalesce(F.get(usable, F.lit(0)), F.lit(""))
 
 
@@ -34,7 +34,7 @@ def router_ticker(text: Column, stop_words: Sequence[str] = fv.SHORT_STOP_WORDS)
     words = F.regexp_extract_all(
         F.upper(text), F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{1,5}(?![\p{L}\p{N}_])"), F.lit(0)
     )
-    return F.get(F.filter(words, lambda w: ~w.isin(*stop_words)), F.lit(0))
+    return F.get(F.filter(words, lambda w: ~F.array_contains(string_array(stop_words), w)), F.lit(0))
 
 
 def written_ticker(text: Column) -> Column:
@@ -46,11 +46,9 @@ def written_ticker(text: Column) -> Column:
 
 def intent(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str | None = None) -> Column:
     """The first rule with a word in the text."""
-    table = F.array(*[F.struct(F.lit(tool).alias("tool"), string_array(words).alias("words")) for tool, words in rules])
-    hit = let(
-        F.lower(text),
-        lambda t: F.get(F.filter(table, lambda r: F.exists(r["words"], lambda w: F.contains(t, w))), F.lit(0))["tool"],
-    )
+    # words in rule order: the least ordinal found belongs to the first rule
+    tools = string_array(tool for tool, words in rules for _ in words)
+    hit = F.get(tools, F.get(positions(text, [w for _, words in rules for w in words]), F.lit(0)))
     return F.coalesce(hit, F.lit(default)) if default else hit
 
 

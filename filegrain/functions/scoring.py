@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import around, fixed, let, strip
+from .text import around, fixed, int_array, let, positions, string_array, strip
+
+
+HITS = (
+    "array<struct<signal:string,needle:string,tier:int,weight:int,ord:int,base:int,bonus:int,fresh:int>>"
+)
 
 
 @dataclass(frozen=True)
@@ -48,20 +53,24 @@ class Lexicon:
             tiers.setdefault(row["tier"], []).append(row["signal"])
         return cls.of(tiers)
 
-    def literal(self) -> Column:
-        return F.array(*[
-            F.struct(
-                F.lit(phrase).alias("signal"),
-                F.lit(phrase.lower()).alias("needle"),
-                F.lit(tier).alias("tier"),
-                F.lit(fv.SIGNAL_WEIGHT.get(tier, 0)).alias("weight"),
-                F.lit(i).alias("ord"),
-                F.lit(self.base.get(tier, 0)).alias("base"),
-                F.lit(self.in_change.get(tier, 0)).alias("bonus"),
-                F.lit(self.fresh.get(tier, 0)).alias("fresh"),
-            )
-            for i, (phrase, tier) in enumerate(self.entries)
-        ])
+    def found_in(self, text: Column) -> Column:
+        """Entries contained in the text, in lexicon order, as hit structs."""
+        phrases = [p for p, _ in self.entries]
+        tiers = [t for _, t in self.entries]
+        shown, needles = string_array(phrases), string_array(p.lower() for p in phrases)
+        tier = int_array(tiers)
+        weight, base, bonus, fresh = (
+            int_array(table.get(t, 0) for t in tiers)
+            for table in (fv.SIGNAL_WEIGHT, self.base, self.in_change, self.fresh)
+        )
+        return F.transform(
+            positions(text, [p.lower() for p in phrases]),
+            lambda i: F.struct(
+                F.get(shown, i).alias("signal"), F.get(needles, i).alias("needle"), F.get(tier, i).alias("tier"),
+                F.get(weight, i).alias("weight"), i.alias("ord"), F.get(base, i).alias("base"),
+                F.get(bonus, i).alias("bonus"), F.get(fresh, i).alias("fresh"),
+            ),
+        )
 
     def rows(self) -> list[tuple[str, int, int, int]]:
         return [(p, t, fv.SIGNAL_WEIGHT.get(t, 0), i) for i, (p, t) in enumerate(self.entries)]
@@ -73,11 +82,7 @@ RISK_LEXICON = Lexicon.of({1: fv.TIER1_SIGNALS, 2: fv.TIER2_SIGNALS, 3: fv.TIER3
 def find_hits(text: Column, lexicon: Lexicon = RISK_LEXICON) -> Column:
     """Lexicon entries contained in the text (substring, case ignored), in
     lexicon order. Empty for NULL or empty text."""
-    found = let(
-        F.lower(text),
-        lambda t: F.filter(lexicon.literal(), lambda x: F.contains(t, x["needle"])),
-    )
-    return F.coalesce(found, F.filter(lexicon.literal(), lambda x: F.lit(False)))
+    return F.coalesce(lexicon.found_in(text), F.array().cast(HITS))
 
 
 def signals(hits: Column) -> Column:
@@ -178,7 +183,7 @@ def score_text(
     sentences, ``magnitude`` the change bucket (NULL when nothing was compared).
     Added: hits, new_hits, removed_hits, hundredths, raw_score, materiality.
     """
-    no_hits = F.filter(lexicon.literal(), lambda x: F.lit(False))
+    no_hits = F.array().cast(HITS)
     out = df.withColumn("_found", find_hits(F.col(text), lexicon))
     if changed:
         in_change = let(

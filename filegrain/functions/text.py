@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,8 +80,16 @@ def jaccard(a: Column, b: Column) -> Column:
     )
 
 
+_SEP = "\x1f"
+
+
 def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array from one literal: small to analyse, folded once."""
+    return F.split(F.lit(_SEP.join(values)), _SEP)
+
+
+def int_array(values: Iterable[int]) -> Column:
+    return string_array(str(v) for v in values).cast("array<int>")
 
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
@@ -95,14 +103,17 @@ def contains_any(text: Column, phrases: Iterable[str]) -> Column:
 
 def matched(text: Column, phrases: Iterable[str]) -> Column:
     """The phrases found in the text, in list order, compared without case."""
-    pairs = F.array(*[
-        F.struct(F.lit(p).alias("shown"), F.lit(p.lower()).alias("needle")) for p in phrases
-    ])
+    phrases = list(phrases)
+    shown = string_array(phrases)
+    return F.transform(positions(text, [p.lower() for p in phrases]), lambda i: F.get(shown, i))
+
+
+def positions(text: Column, needles: Sequence[str]) -> Column:
+    """Ordinals of the needles (lower case) that the text contains, ascending."""
+    constant = string_array(needles)
+    every = int_array(range(len(needles)))
     return let(
-        F.lower(text),
-        lambda t: F.transform(
-            F.filter(pairs, lambda p: F.contains(t, p["needle"])), lambda p: p["shown"]
-        ),
+        F.lower(text), lambda t: F.filter(every, lambda i: F.contains(t, F.get(constant, i)))
     )
 
 
@@ -174,15 +185,17 @@ def strip_markup(html: Column, separator: str = " ", drop: Iterable[str] = ("scr
 # --- match positions -----------------------------------------------------------
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str | Column) -> Column:
     """All matches as ``array<struct<first:int, past:int>>``, 0-based, ``past``
     exclusive. No built-in returns offsets, but the pieces between the matches
     and the matches themselves add up to them."""
 
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+
     def spans(t: Column) -> Column:
         lengths = F.zip_with(
-            F.split(t, pattern),
-            F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
+            F.split(t, regex),
+            F.regexp_extract_all(t, regex, F.lit(0)),
             lambda piece, hit: F.struct(
                 F.length(piece).alias("gap"), F.length(hit).alias("hit")
             ),

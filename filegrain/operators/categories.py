@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import signals
-from ..functions.text import clip, let, sentences, string_array
+from ..functions.text import clip, int_array, let, positions, sentences, string_array
 
 Taxonomy = Sequence[tuple[str, str, int, Sequence[str]]]
 
 
-def _keywords(taxonomy: Taxonomy) -> Column:
-    return F.array(*[
-        F.struct(F.lit(d).alias("domain"), F.lit(kw).alias("keyword"), F.lit(kw.lower()).alias("needle"))
-        for d, (_, _, _, kws) in enumerate(taxonomy) for kw in kws
-    ])
+def _present(text: Column, taxonomy: Taxonomy) -> Column:
+    """Keywords of the taxonomy that occur anywhere in the text."""
+    words = [(d, kw) for d, (_, _, _, kws) in enumerate(taxonomy) for kw in kws]
+    domain, shown = int_array(d for d, _ in words), string_array(kw for _, kw in words)
+    needles = [kw.lower() for _, kw in words]
+    needle = string_array(needles)
+    return F.transform(positions(text, needles), lambda i: F.struct(
+        F.get(domain, i).alias("domain"), F.get(shown, i).alias("keyword"), F.get(needle, i).alias("needle"),
+    ))
 
 
 def _evidence(text: Column, taxonomy: Taxonomy) -> Column:
@@ -38,8 +42,7 @@ def _evidence(text: Column, taxonomy: Taxonomy) -> Column:
             lambda e: F.size(e["kws"]) > 0,
         )
 
-    present = let(F.lower(text), lambda t: F.filter(_keywords(taxonomy), lambda k: F.contains(t, k["needle"])))
-    return let(F.struct(sentences(text).alias("sents"), present.alias("present")), per_sentence)
+    return let(F.struct(sentences(text).alias("sents"), _present(text, taxonomy).alias("present")), per_sentence)
 
 
 def _domain(evidence: Column, d: int, row: tuple, top: int, chars: int) -> Column:
@@ -137,15 +140,15 @@ def quick_categories(text: Column, taxonomy: Sequence[tuple[str, Sequence[str]]]
     """``array<struct<category,signals>>``, most signals first, taxonomy order
     on ties, empty domains left out. Keywords are compared as written with the
     lower-cased text, so upper-case ones never count."""
-    domains = F.array(*[
-        F.struct(F.lit(name).alias("category"), string_array(kws).alias("kws")) for name, kws in taxonomy
-    ])
+    words = [(d, kw) for d, (_, kws) in enumerate(taxonomy) for kw in kws]
+    domain, word = int_array(d for d, _ in words), string_array(kw for _, kw in words)
+    every, names = int_array(range(len(words))), string_array(name for name, _ in taxonomy)
 
     def count(t: Column) -> Column:
-        counted = F.transform(domains, lambda d, i: F.struct(
-            (-F.size(F.filter(d["kws"], lambda k: F.contains(t, k)))).alias("less"),
-            i.alias("i"), d["category"].alias("category"),
-        ))
+        found = F.transform(F.filter(every, lambda i: F.contains(t, F.get(word, i))), lambda i: F.get(domain, i))
+        counted = let(found, lambda ds: F.transform(names, lambda name, i: F.struct(
+            (-F.size(F.filter(ds, lambda x: x == i))).alias("less"), i.alias("i"), name.alias("category"),
+        )))
         return F.transform(
             F.array_sort(F.filter(counted, lambda x: x["less"] < 0)),
             lambda x: F.struct(x["category"].alias("category"), (-x["less"]).alias("signals")),

@@ -9,33 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import tier_names
-from ..functions.text import around, clip, fixed, let, squeeze
+from ..functions.text import around, clip, fixed, int_array, let, squeeze, string_array
 
 
 def governance_signals(text: Column, phrases: Sequence[tuple[str, int]] = fv.GOVERNANCE_PHRASES) -> Column:
     """Phrases found, in list order, with points and an excerpt:
     ``array<struct<signal,tier,materiality,points,excerpt>>``."""
     before, after, shown = fv.GOVERNANCE_EXCERPT
-    table = F.array(*[
-        F.struct(
-            F.lit(p).alias("signal"), F.lit(p.lower()).alias("needle"), F.lit(t).alias("tier"),
-            F.lit(fv.GOVERNANCE_POINTS.get(t, 0)).alias("points"),
-        )
-        for p, t in phrases
-    ])
-    return let(
-        F.struct(text.alias("raw"), F.lower(text).alias("low")),
-        lambda t: F.transform(
-            F.filter(table, lambda p: F.contains(t["low"], p["needle"])),
-            lambda p: F.struct(
-                p["signal"].alias("signal"), p["tier"].alias("tier"),
-                tier_names(p["tier"]).alias("materiality"), p["points"].alias("points"),
-                clip(squeeze(around(
-                    t["raw"], F.instr(t["low"], p["needle"]), F.length(p["needle"]), before, after
-                )), shown).alias("excerpt"),
-            ),
-        ),
-    )
+    signal, needle = string_array(p for p, _ in phrases), string_array(p.lower() for p, _ in phrases)
+    tier, points = int_array(t for _, t in phrases), int_array(fv.GOVERNANCE_POINTS.get(t, 0) for _, t in phrases)
+    every = int_array(range(len(phrases)))
+
+    def found(t: Column) -> Column:
+        def describe(i: Column) -> Column:
+            word = F.get(needle, i)
+            cut = around(t["raw"], F.instr(t["low"], word), F.length(word), before, after)
+            return F.struct(
+                F.get(signal, i).alias("signal"), F.get(tier, i).alias("tier"),
+                tier_names(F.get(tier, i)).alias("materiality"), F.get(points, i).alias("points"),
+                clip(squeeze(cut), shown).alias("excerpt"),
+            )
+
+        return F.transform(F.filter(every, lambda i: F.contains(t["low"], F.get(needle, i))), describe)
+
+    return let(F.struct(text.alias("raw"), F.lower(text).alias("low")), found)
 
 
 def governance_score(found: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import tier_names
-from ..functions.text import clip, let, pieces_between, squeeze
+from ..functions.text import clip, int_array, let, pieces_between, squeeze, string_array
 
 
 def event_items(text: Column, items: Sequence[tuple[str, str, int]] = fv.EVENT_ITEMS) -> Column:
@@ -19,22 +19,21 @@ def event_items(text: Column, items: Sequence[tuple[str, str, int]] = fv.EVENT_I
     An item's text runs to the next item of any number; the last item's is
     shown from its first 2000 characters.
     """
-    table = F.create_map(*[
-        c for number, label, tier in items
-        for c in (F.lit(number), F.struct(F.lit(label).alias("label"), F.lit(tier).alias("tier")))
-    ])
+    table = string_array(number for number, _, _ in items)
+    labels, tiers = string_array(label for _, label, _ in items), int_array(tier for _, _, tier in items)
 
     def known(parts: Column) -> Column:
         numbers = F.transform(parts, lambda p: p["key"])
         firsts = let(numbers, lambda ns: F.filter(
             parts,
-            lambda p, i: F.map_contains_key(table, p["key"]) & (F.array_position(ns, p["key"]) == i + 1),
+            lambda p, i: F.array_contains(table, p["key"]) & (F.array_position(ns, p["key"]) == i + 1),
         ))
+        at = lambda p: (F.array_position(table, p["key"]) - 1).cast("int")
         return F.transform(firsts, lambda p: F.struct(
             p["key"].alias("item_number"),
-            table[p["key"]]["label"].alias("label"),
-            table[p["key"]]["tier"].alias("tier"),
-            tier_names(table[p["key"]]["tier"]).alias("materiality"),
+            F.get(labels, at(p)).alias("label"),
+            F.get(tiers, at(p)).alias("tier"),
+            tier_names(F.get(tiers, at(p))).alias("materiality"),
             clip(squeeze(
                 F.when(p["last"], clip(p["body"], fv.EVENT_LAST_ITEM_CHARS)).otherwise(p["body"])
             ), fv.EVENT_EXCERPT_CHARS).alias("excerpt"),

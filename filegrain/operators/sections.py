@@ -8,7 +8,8 @@ before it gave nothing plausible.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +25,19 @@ def _spec(form: str, section: int) -> tuple:
     return fv.SECTION_SPECS[form][section]
 
 
-def _by_form(form: Column, value) -> Column:
-    """``value(form)`` chosen by the row's form; forms without a layout of
-    their own use the annual report's."""
+_LABEL, _DISPLAY, _STARTS, _ENDS, _NEXT, _KEYWORDS, _LEAST = range(1, 8)
+
+
+def _by_form(form: Column, section: int, field: int, make: Callable[[Any], Column] = F.lit) -> Column:
+    """A spec field as a column for the row's form. Forms without a layout of
+    their own use the annual report's; equal fields share one branch."""
+    usual = _spec("10-K", section)[field]
     out = None
     for name in fv.SECTION_SPECS:
-        if name != "10-K":
-            out = F.when(form == name, value(name)) if out is None else out.when(form == name, value(name))
-    return out.otherwise(value("10-K"))
+        own = _spec(name, section)[field]
+        if own != usual:
+            out = F.when(form == name, make(own)) if out is None else out.when(form == name, make(own))
+    return make(usual) if out is None else out.otherwise(make(usual))
 
 
 def _either(patterns: Sequence[str]) -> str:
@@ -86,15 +92,13 @@ def _annotate(marks: Column, form: Column, section: int) -> Column:
     def one(m: Column) -> Column:
         heading = F.coalesce(m["heading"], F.lit(""))
         compact_ids = F.regexp_replace(F.lower(F.coalesce(m["ids"], F.lit(""))), r"[\s\-_]", "")
-        next_items = lambda f: F.exists(
-            string_array(_spec(f, section)[5]), lambda p: F.startswith(heading, p)
-        )
+        next_items = lambda items: F.exists(string_array(items), lambda p: F.startswith(heading, p))
         return F.struct(
             m["tag"].alias("tag"), m["bold"].alias("bold"), m["ids"].alias("ids"), m["href"].alias("href"),
             m["at"].alias("at"), m["body_at"].alias("body_at"), toc_entry(m).alias("toc"),
-            _by_form(form, lambda f: heading.rlike(_either(_spec(f, section)[3]))).alias("starts"),
-            _by_form(form, lambda f: compact_ids.rlike(_anchor_pattern(_spec(f, section)[1]))).alias("anchors"),
-            (standalone_heading(m) & _by_form(form, next_items)).alias("ends"),
+            _by_form(form, section, _STARTS, lambda p: heading.rlike(_either(p))).alias("starts"),
+            _by_form(form, section, _LABEL, lambda label: compact_ids.rlike(_anchor_pattern(label))).alias("anchors"),
+            (standalone_heading(m) & _by_form(form, section, _NEXT, next_items)).alias("ends"),
         )
 
     return F.transform(marks, one)
@@ -153,10 +157,12 @@ def _toc_target(marks: Column) -> Column:
     )
 
 
-def pattern_section(text: Column, starts: str, ends: str, min_chars: int, open_end_chars: int | None = None) -> Column:
+def pattern_section(
+    text: Column, starts: str | Column, ends: str | Column, min_chars: int | Column, open_end_chars: int | None = None,
+) -> Column:
     """Plain-text strategy: the first start whose span to the next end match is
     long enough. Without an end match the span runs to the end of the text, or
-    ``open_end_chars`` characters."""
+    ``open_end_chars`` characters. Patterns may differ by row."""
 
     def find(v: Column) -> Column:
         def body(s: Column) -> Column:
@@ -179,7 +185,7 @@ def pattern_section(text: Column, starts: str, ends: str, min_chars: int, open_e
 
 def _section(section: int, form: Column, text: Column, marks: Column) -> Column:
     """The best body of one section with the method that found it."""
-    keywords = lambda body: _by_form(form, lambda f: plausible(body, _spec(f, section)[6]))
+    keywords = lambda body: _by_form(form, section, _KEYWORDS, lambda words: plausible(body, words))
 
     def located(m: Column) -> Column:
         bodies = {
@@ -190,9 +196,12 @@ def _section(section: int, form: Column, text: Column, marks: Column) -> Column:
                 lambda x: x["tag"].isin("div", "span", "p", "td") & x["bold"] & x["starts"] & ~x["toc"],
             ))),
             "toc_link": _first_long(_bodies(text, m, _toc_target(m))),
-            "pattern_match": _by_form(form, lambda f: pattern_section(
-                text, _either(_spec(f, section)[3]), _either(_spec(f, section)[4]), _spec(f, section)[7]
-            )),
+            "pattern_match": pattern_section(
+                text,
+                _by_form(form, section, _STARTS, lambda p: F.lit(_either(p))),
+                _by_form(form, section, _ENDS, lambda p: F.lit(_either(p))),
+                _by_form(form, section, _LEAST),
+            ),
         }
         return F.coalesce(
             *[_attempt(bodies[method], method, keywords) for method in _METHODS],
@@ -213,8 +222,8 @@ def _result(i: int, form: Column, url: Column | None) -> Column:
     """What is known about one section of a filing, as a struct."""
     name = _spec("10-K", i)[0]
     text, method = F.col(f"_s{i}.text"), F.col(f"_s{i}.method")
-    label = _by_form(form, lambda f: F.lit(_spec(f, i)[1]))
-    display = _by_form(form, lambda f: F.lit(_spec(f, i)[2]))
+    label = _by_form(form, i, _LABEL)
+    display = _by_form(form, i, _DISPLAY)
     found = method != "raw_fallback"
     points_away = F.lit(False)
     if name == "risk_factors":

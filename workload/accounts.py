@@ -43,11 +43,11 @@ def _sql_intent(rules):
     )
 
 
-TICKER_SQL = f"""coalesce(list_filter(list_transform(regexp_split_to_array(upper(regexp_replace(text, '[*"''`#]', ' ', 'g')), {WORDS}),
+TICKER_SQL = f"""coalesce(list_filter(list_transform(regexp_split_to_array(upper(regexp_replace(replace(text, 'ß', 'SS'), '[*"''`#]', ' ', 'g')), {WORDS}),
   lambda w: regexp_replace(w, '[^A-Z]', '', 'g')), lambda w: length(w) BETWEEN 2 AND 5 AND NOT list_contains({strings(fv.TICKER_STOP_WORDS)}, w))[1], '')"""
 ROUTED_SQL = f"""WITH {MSG_SQL},
 t AS (SELECT *, {TICKER_SQL} AS ticker, trim(lower(text), ' ' || chr(10) || chr(9)) AS low,
-  list_filter(regexp_split_to_array(upper(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{1,5}}') AND NOT list_contains({strings(fv.SHORT_STOP_WORDS)}, w))[1] AS router_ticker,
+  list_filter(regexp_split_to_array(upper(replace(text, 'ß', 'SS')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{1,5}}') AND NOT list_contains({strings(fv.SHORT_STOP_WORDS)}, w))[1] AS router_ticker,
   list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,5}}'))[1] AS written_ticker FROM m),
 g AS (SELECT *, ticker = '' AND ({' OR '.join(f"starts_with(low, {lit(x)})" for x in fv.GREETINGS)} OR
   (len(list_filter(regexp_split_to_array(low, {WORDS}), lambda w: w <> '')) <= 3 AND NOT ({' OR '.join(f"contains(low, {lit(x)})" for x in fv.DOMAIN_STEMS)}))) AS is_greeting FROM t)"""

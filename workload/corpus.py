@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrain.functions import fixed_values as fv
-from filegrain.functions.text import WS, WS_CHARS, sentences
+from filegrain.functions.text import WS, WS_CHARS, sentences, string_array
 
 from . import table
 
@@ -41,7 +41,7 @@ def letters(number: Column) -> Column:
 
 
 def _worded(s: Column, i: Column, shift: Column) -> Column:
-    pool = F.array(*[F.lit(p) for p in PHRASES])
+    pool = string_array(PHRASES)
     pick = ((F.length(s) * 31 + (i + shift) * 17) % len(PHRASES)) + 1
     return F.when(
         F.length(s) % 3 == 0,

@@ -8,7 +8,7 @@ from filegrain.functions import fixed_values as fv
 from filegrain.functions.scoring import (
     analyst_note, find_hits, lexicon_table, of_tier, score_text, signals, top_signals, with_context,
 )
-from filegrain.functions.text import jaccard, sentences, token_set
+from filegrain.functions.text import jaccard, let, sentences, token_set
 from filegrain.operators import alignment as al
 from filegrain.operators.categories import categorise, category_summary, highlight_sentences, quick_categories
 from filegrain.operators.governance import governance_score, governance_signals, governance_summary
@@ -193,7 +193,8 @@ def _pair_scores(spark, d):
     # the order-free delta is joined back to its pair: one row per pair and side
     counts = al.multiset_delta(pairs, ["doc_id"], "o", "n").select("doc_id", "magnitude", "pct_changed")
     changed = pairs.select(
-        "doc_id", "text", "older_text", F.array_join(F.filter("n", lambda x: ~F.array_contains("o", x)), " ").alias("changed")
+        "doc_id", "text", "older_text",
+        F.array_join(let(F.col("o"), lambda o: F.filter("n", lambda x: ~F.array_contains(o, x))), " ").alias("changed"),
     )
     return score_text(
         changed.join(counts, "doc_id", "left"), text="text", older="older_text", changed="changed", magnitude="magnitude"

@@ -167,9 +167,11 @@ def _decode_numeric(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
+    out = text
     for name, char in _NAMED:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(let(text, _decode_numeric), F.lit("&amp;"), F.lit("&"))
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    out = F.replace(let(out, _decode_numeric), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def strip_markup(html: Column, separator: str = " ", drop: Iterable[str] = ("script", "style", "noscript")) -> Column:
@@ -178,8 +180,8 @@ def strip_markup(html: Column, separator: str = " ", drop: Iterable[str] = ("scr
     for tag in drop:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}{WS}*>", _MARK)
     html = F.regexp_replace(html, r"(?s)<!--.*?-->|<[!?/]?[A-Za-z][^>]*>", _MARK)
-    joined = F.regexp_replace(unescape(html), f"{WS}*{_MARK}[{WS_CLASS}{_MARK}]*", _MARK)
-    return F.replace(F.btrim(joined, F.lit(WS_CHARS + _MARK)), F.lit(_MARK), F.lit(separator))
+    runs = F.transform(F.split(unescape(html), _MARK), strip)
+    return F.array_join(F.filter(runs, lambda r: F.length(r) > 0), separator)
 
 
 # --- match positions -----------------------------------------------------------

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.rows import struct_rows
 from ..functions.scoring import change_magnitude
 from ..functions.text import clip
 
@@ -106,7 +107,8 @@ def align(older: Column, newer: Column) -> Column:
             [_steps(a, b) for a, b in zip(old.to_pylist(), new.to_pylist())], type=pa.list_(_STEP)
         )
 
-    return steps(older, newer)
+    # never pushed or copied by the optimizer: each pair is aligned once
+    return steps.asNondeterministic()(older, newer)
 
 
 def change_rows(steps: Column, older: Column, newer: Column) -> Column:
@@ -176,9 +178,9 @@ def multiset_delta(pairs: DataFrame, keys: Sequence[str], older: str, newer: str
     sentence.
     """
     side = lambda c, s: F.transform(F.col(c), lambda x: F.struct(x.alias("sentence"), F.lit(s).alias("side")))
-    rows = pairs.select(*keys, F.explode(F.concat(side(older, 0), side(newer, 1))).alias("r"))
+    rows = struct_rows(pairs, keys, F.concat(side(older, 0), side(newer, 1)))
     per_sentence = (
-        rows.select(*keys, "r.sentence", "r.side")
+        rows
         .groupBy(*keys, "sentence")
         .agg(
             F.count_if(F.col("side") == 0).alias("n_old"),

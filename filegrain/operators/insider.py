@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.rows import struct_rows
 from ..functions.text import let, number, signed_whole, strip, strip_markup, unescape, whole
 
 TRANSACTIONS = "array<struct<code:string,shares:double,price:double,owned_after:double>>"
@@ -27,15 +28,24 @@ def _content(xml: Column, tag: str) -> Column:
     return F.when(xml.rlike(_element(tag)), _plain(F.regexp_extract(xml, _element(tag), 1)))
 
 
+def _inner(xml: Column, tag: str) -> Column:
+    """Markup inside the first such element; empty when there is none."""
+    return F.regexp_extract(xml, _element(tag), 1)
+
+
 def _amount(xml: Column, tag: str) -> Column:
     """Number in an element, from its ``value`` child when it has one."""
-    inner = F.when(xml.rlike(_element(tag)), F.regexp_extract(xml, _element(tag), 1))
-    return let(inner, lambda x: number(F.coalesce(_content(x, "value"), _plain(x))))
+    return let(
+        _inner(xml, tag),
+        lambda x: number(strip(F.when(F.contains(x, F.lit("<")), F.coalesce(
+            F.nullif(_inner(x, "value"), F.lit("")), F.regexp_replace(x, r"(?s)<[^>]*>", "")
+        )).otherwise(x))),
+    )
 
 
 def owner_title(xml: Column) -> Column:
     """Officer title, else the roles that are switched on, else ``Insider``."""
-    role = lambda tag, name: F.when(_content(xml, tag) == "1", F.lit(name))
+    role = lambda tag, name: F.when(strip(_inner(xml, tag)) == "1", F.lit(name))
     roles = F.concat_ws(
         ", ", role("isDirector", "Director"), role("isOfficer", "Officer"), role("isTenPercentOwner", "10% Owner"),
     )
@@ -50,7 +60,7 @@ def xml_transactions(xml: Column) -> Column:
     """Non-derivative transactions; those without a code are left out."""
     blocks = F.regexp_extract_all(xml, F.lit(_element("nonDerivativeTransaction")), F.lit(1))
     rows = F.transform(blocks, lambda b: F.struct(
-        F.coalesce(_content(b, "transactionCode"), F.lit("")).alias("code"),
+        _plain(_inner(b, "transactionCode")).alias("code"),
         _amount(b, "transactionShares").alias("shares"),
         _amount(b, "transactionPricePerShare").alias("price"),
         _amount(b, "sharesOwnedFollowingTransaction").alias("owned_after"),
@@ -117,7 +127,7 @@ def form4_transactions(filings: DataFrame) -> DataFrame:
 def transaction_rows(parsed: DataFrame) -> DataFrame:
     """One row per transaction, with the code's label."""
     keep = [c for c in parsed.columns if c != "transactions"]
-    return parsed.select(*keep, F.inline("transactions")).withColumn("transaction_type", code_label(F.col("code")))
+    return struct_rows(parsed, keep, F.col("transactions")).withColumn("transaction_type", code_label(F.col("code")))
 
 
 def net_activity(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -145,7 +145,7 @@ class _Outline(HTMLParser):
 
 
 def _outline_of(html: str | None) -> dict | None:
-    if html is None:
+    if not html:
         return None
     parser = _Outline()
     parser.feed(html)
@@ -160,4 +160,5 @@ def outline(html: Column) -> Column:
     def walk(bodies: pa.Array) -> pa.Array:
         return pa.array([_outline_of(b) for b in bodies.to_pylist()], type=_OUTLINE)
 
-    return walk(html)
+    # never pushed or copied by the optimizer: each body is read once
+    return walk.asNondeterministic()(html)

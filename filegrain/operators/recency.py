@@ -36,9 +36,15 @@ def newest(
 
 
 def with_bodies(ranked: DataFrame, bodies: DataFrame, key: str = "accession_number") -> DataFrame:
-    """Bring the bodies to the ranked keys. The planner picks the join: a small
-    ranked side is broadcast from its measured size, a large one is hashed."""
-    return ranked.join(bodies, key, "left")
+    """Bring the bodies to the ranked keys, keys without a body kept with NULLs.
+
+    An outer join could only ever broadcast the bodies. The inner join lets the
+    planner broadcast the narrow ranked side when its size allows, so bodies stay
+    where they are read; keys without a body are found from the key column alone.
+    """
+    found = bodies.join(ranked, key)
+    absent = ranked.join(bodies.select(key), key, "left_anti")
+    return found.unionByName(absent, allowMissingColumns=True)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

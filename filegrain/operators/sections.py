@@ -261,8 +261,9 @@ def _result(i: int, form: Column, url: Column | None) -> Column:
 
 def extract(filings: DataFrame) -> DataFrame:
     """``filings(accession_number, form_type, html, …)`` with structs
-    ``risk_factors`` and ``mda``, the document's size, the known gaps and the
-    success flags. Other columns pass through; ``html`` does not."""
+    ``risk_factors`` and ``mda``, the document's size, whether there was a body
+    to read, the known gaps and the success flags. Other columns pass through;
+    ``html`` does not."""
     keep = [c for c in filings.columns if c != "html"]
     form = F.col("form_type")
     url = F.col("document_url") if "document_url" in keep else None
@@ -271,11 +272,12 @@ def extract(filings: DataFrame) -> DataFrame:
         .withColumn("_text", F.coalesce(F.col("_outline.text"), F.lit("")))
         .select(
             *keep,
+            F.col("_outline").isNotNull().alias("readable"),
             F.length("_text").alias("full_doc_char_count"),
             *[_section(i, form, F.col("_text"), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
         )
         .select(
-            *keep, "full_doc_char_count",
+            *keep, "readable", "full_doc_char_count",
             _result(0, form, url).alias("risk_factors"), _result(1, form, url).alias("mda"),
         )
         .withColumn("known_gaps", known_gaps(F.col("risk_factors"), F.col("mda"), F.col("full_doc_char_count")))

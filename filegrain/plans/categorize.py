@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators.categories import Taxonomy, categorise, category_summary
-from ..operators.recency import newest
+from ..operators.recency import newest, with_bodies
 from ..operators.sections import extract
 
 
@@ -15,7 +15,7 @@ def categorize_risks(index: DataFrame, bodies: DataFrame, taxonomy: Taxonomy = f
     """One row per series: category array, totals and narrative, or the reason
     why its risk section could not be read."""
     ranked = newest(index.where(F.col("form_type").isin(*fv.CORE_FORMS)), 1)
-    rows = extract(ranked.join(bodies, "accession_number", "left"))
+    rows = extract(with_bodies(ranked, bodies))
     risk = F.col("risk_factors")
     readable = risk["extraction_success"] & (F.length(risk["text"]) > 0)
     rows = (

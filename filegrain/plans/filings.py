@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.rows import element_rows
 from ..functions.text import strip_markup
 from ..operators.governance import governance_score, governance_signals, governance_summary
 from ..operators.insider import activity_summary, form4_transactions, net_activity
 from ..operators.items import event_items, highest_event
 from ..operators.ownership import form_order, ownership_columns, ownership_summary
-from ..operators.recency import SERIES, clamp, newest
+from ..operators.recency import SERIES, clamp, newest, with_bodies
 
 EMPTY_ITEMS = "array<struct<item_number:string,label:string,tier:int,materiality:string,excerpt:string>>"
 
@@ -20,7 +21,7 @@ def eight_k_items(index: DataFrame, bodies: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` (1–10) newest event reports of each company with their items;
     unreadable ones stay, without items."""
     ranked = newest(index.where(F.col("form_type") == "8-K"), clamp(n, 1, 10))
-    rows = ranked.join(bodies, "accession_number", "left")
+    rows = with_bodies(ranked, bodies)
     return rows.withColumn("fetch_success", F.length("html") > 0).withColumn(
         "items", F.coalesce(event_items(strip_markup(F.col("html"), "\n")), F.array().cast(EMPTY_ITEMS))
     ).withColumn("fetch_success", F.coalesce("fetch_success", F.lit(False))).drop("html")
@@ -29,7 +30,7 @@ def eight_k_items(index: DataFrame, bodies: DataFrame, n: int = 5) -> DataFrame:
 def eight_k_events(filings: DataFrame) -> DataFrame:
     """One row per event, newest filing first by ``rn``, then ``item_pos``."""
     keep = [c for c in filings.columns if c != "items"]
-    return filings.select(*keep, F.posexplode("items").alias("item_pos", "item")).select(*keep, "item_pos", "item.*")
+    return element_rows(filings, keep, F.col("items"), pos="item_pos", item="item").select(*keep, "item_pos", "item.*")
 
 
 def eight_k_summary(filings: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def eight_k_summary(filings: DataFrame) -> DataFrame:
 def proxy_governance(index: DataFrame, bodies: DataFrame) -> DataFrame:
     """Governance signals, score and summary of each newest proxy statement."""
     ranked = newest(index.where(F.col("form_type") == "DEF 14A"), 1)
-    rows = ranked.join(bodies, "accession_number", "left")
+    rows = with_bodies(ranked, bodies)
     readable = F.coalesce(F.length("html") > 0, F.lit(False))
     rows = (
         rows.withColumn("pipeline_success", readable)
@@ -72,7 +73,7 @@ def insider_filings(index: DataFrame, documents: DataFrame, n: int = 10) -> Data
     """The ``n`` (1–25) newest Form 4 filings of each company, parsed.
     ``documents(accession_number, xml, rendered_html)``."""
     ranked = newest(index.where(F.col("form_type") == "4"), clamp(n, 1, 25))
-    return form4_transactions(ranked.join(documents, "accession_number", "left"))
+    return form4_transactions(with_bodies(ranked, documents))
 
 
 def insider_activity(index: DataFrame, documents: DataFrame, n: int = 10) -> DataFrame:
@@ -85,7 +86,7 @@ def ownership_filings(index: DataFrame, bodies: DataFrame, n: int = 6) -> DataFr
     """The ``n`` (1–15) newest filings of each ownership form with readable
     bodies. All forms come from one scan; ``form_order`` keeps their order."""
     ranked = newest(index.where(F.col("form_type").isin(*fv.OWNERSHIP_FORMS)), clamp(n, 1, 15))
-    rows = ranked.join(bodies, "accession_number", "left").where(F.length("html") > 0)
+    rows = bodies.join(ranked, "accession_number").where(F.length("html") > 0)
     rows = rows.withColumn("_text", strip_markup(F.col("html"), " ")).drop("html")
     return ownership_columns(rows, F.col("_text")).drop("_text").withColumn("form_order", form_order(F.col("form_type")))
 

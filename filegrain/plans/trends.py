@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import RISK_LEXICON, Lexicon, materiality_rank
+from ..functions.rows import struct_rows
 from ..functions.text import fixed
 from ..operators.recency import SERIES, clamp, newest, previous_row
 from ..operators.sections import extract
@@ -24,15 +25,16 @@ def trend_points(
     """One scored row per filing among the ``n`` (2–8) newest of each series
     with a readable body."""
     ranked = newest(index.where(F.col("form_type").isin(*fv.CORE_FORMS)), clamp(n, 2, 8))
-    filings = ranked.join(bodies, "accession_number", "left").where(F.length("html") > 0)
-    extracted = extract(filings)
+    # the join is inner as only readable bodies count; empty ones go after the
+    # reading, since a filter on ``html`` would be pushed below the join
+    extracted = extract(bodies.join(ranked, "accession_number")).where("readable")
     if require_success:
         extracted = extracted.where("both_succeeded")
     return (
         filing_scores(extracted, lexicon)
         .withColumn("extraction_success", F.col("both_succeeded"))
         .withColumn("failure_note", F.nullif(F.array_join("known_gaps", ", "), F.lit("")))
-        .drop("risk_factors", "mda", "known_gaps", "both_succeeded", "any_succeeded", "full_doc_char_count")
+        .drop("risk_factors", "mda", "known_gaps", "both_succeeded", "any_succeeded", "full_doc_char_count", "readable")
     )
 
 
@@ -42,7 +44,7 @@ def _moves(df: DataFrame, before: Column, keep: Sequence[str]) -> DataFrame:
     tagged = lambda kind, a, b: F.transform(
         F.array_sort(F.array_except(a, b)), lambda s: F.struct(F.lit(kind).alias("change"), s.alias("signal"))
     )
-    return df.select(*keep, F.inline(F.concat(tagged("appeared", now, before), tagged("removed", before, now))))
+    return struct_rows(df, keep, F.concat(tagged("appeared", now, before), tagged("removed", before, now)))
 
 
 def signal_transitions(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution decides joins from measured sizes: nothing here forces a
 # broadcast of data that grows. Arrow batches are bounded in bytes because one
@@ -23,6 +23,22 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+SMALL_INPUT_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small scan out over all cores.
+
+    A file of one row group is one task however many cores there are. Inputs
+    that fill the cores by their size are returned as they are: at scale this
+    adds no exchange.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_INPUT_BYTES_PER_CORE else df
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """The shared checkpoint folder: the cluster's own, else ``fallback``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

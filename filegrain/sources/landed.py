@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.rows import element_rows
+from ..operators.recency import with_bodies
 
 HOST = "https://www.sec.gov"  # fixed value: public archive host
 
@@ -22,7 +24,8 @@ def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def companies(texts: DataFrame) -> DataFrame:
     """``json`` objects keyed by ordinal to ``(ticker, cik)``, ids padded."""
-    return texts.select(F.explode(F.from_json("json", COMPANIES_JSON)).alias("ordinal", "c")).select(
+    entries = texts.select(F.explode_outer(F.from_json("json", COMPANIES_JSON)).alias("ordinal", "c"))
+    return entries.where(F.col("c").isNotNull()).select(
         F.upper("c.ticker").alias("ticker"), padded_cik(F.col("c.cik_str")).alias("cik"),
     )
 
@@ -47,7 +50,7 @@ def submission_rows(pages: DataFrame, json: str = "json") -> DataFrame:
     parsed = pages.select(*keep, a.alias("a"))
     filled = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
     return (
-        parsed.select(*keep, F.posexplode(F.arrays_zip(*[F.col(f"a.{c}") for c in SUBMISSION_ARRAYS])).alias("pos", "r"))
+        element_rows(parsed, keep, F.arrays_zip(*[F.col(f"a.{c}") for c in SUBMISSION_ARRAYS]), pos="pos", item="r")
         .where(F.col("r.form").isNotNull())
         .select(
             *keep, "pos",
@@ -73,8 +76,10 @@ def company_facts(texts: DataFrame, json: str = "json") -> DataFrame:
     keep = [c for c in texts.columns if c != json]
     parsed = texts.select(*keep, F.from_json(json, FACTS_JSON)["facts"]["us-gaap"].alias("f"))
     return (
-        parsed.select(*keep, F.explode("f").alias("tag", "t"))
-        .select(*keep, "tag", F.posexplode(F.col("t.units")["USD"]).alias("pos", "v"))
+        element_rows(
+            parsed.select(*keep, F.explode_outer("f").alias("tag", "t")),
+            [*keep, "tag"], F.col("t.units")["USD"], pos="pos", item="v",
+        )
         .select(*keep, "tag", "pos", F.col("v.end").alias("end"), F.col("v.val").alias("val"))
     )
 
@@ -161,7 +166,7 @@ def with_body_status(filings: DataFrame, bodies: DataFrame) -> DataFrame:
     """Filings with body size and success; a missing body is a failed row, not
     a failed job."""
     return (
-        filings.join(bodies, "accession_number", "left")
+        with_bodies(filings, bodies)
         .withColumn("html_byte_length", F.coalesce(F.octet_length("html"), F.lit(0)))
         .withColumn("fetch_success", F.col("html").isNotNull())
         .withColumn("failure_reason", F.when(~F.col("fetch_success"), F.lit("No document body available")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.rows import element_rows
 from ..functions.text import strip_markup
 from ..operators.items import event_items
 
@@ -16,10 +17,8 @@ from ..operators.items import event_items
 def classify_events(filings: DataFrame) -> DataFrame:
     """Event items as filings land; stateless, append."""
     items = event_items(strip_markup(F.col("html"), "\n"))
-    return (
-        filings.select("accession_number", "ticker", "filing_date", F.posexplode(items).alias("item_pos", "item"))
-        .select("accession_number", "ticker", "filing_date", "item_pos", "item.*")
-    )
+    keep = ["accession_number", "ticker", "filing_date"]
+    return element_rows(filings, keep, items, pos="item_pos", item="item").select(*keep, "item_pos", "item.*")
 
 
 def first_within_ttl(requests: DataFrame, ttl: str = "7 days") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filegrain.functions import fixed_values as fv
+from filegrain.functions.rows import element_rows, struct_rows
 from filegrain.functions.scoring import (
     analyst_note, find_hits, lexicon_table, of_tier, score_text, signals, top_signals, with_context,
 )
@@ -71,7 +72,7 @@ def q_jaccard(spark, d):
 @query("lexicon_rows", f"WITH {sql_lexicon()} SELECT signal, tier, weight, ord, (SELECT count(*) FROM documents WHERE contains(lower(text), lower(signal))) AS n_documents FROM lex")
 def q_lexicon(spark, d):
     # documents counted per phrase: hits are exploded, never text times lexicon
-    hits = table(spark, d, "documents").select(F.inline(find_hits(F.col("text"))))
+    hits = struct_rows(table(spark, d, "documents"), [], find_hits(F.col("text")))
     n = hits.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
     return lexicon_table(spark).join(n, "ord", "left").select(
         "signal", "tier", "weight", "ord", F.coalesce("n", F.lit(0)).alias("n_documents")
@@ -80,7 +81,7 @@ def q_lexicon(spark, d):
 
 @query("signal_hits", f"{WITH}, {HITS} SELECT doc_id, signal, tier, weight, ord FROM hits")
 def q_hits(spark, d):
-    return disclosures(spark, d).select("doc_id", F.inline(find_hits(F.col("text")))).select(
+    return struct_rows(disclosures(spark, d), ["doc_id"], find_hits(F.col("text"))).select(
         "doc_id", "signal", "tier", "weight", "ord"
     )
 
@@ -92,7 +93,7 @@ FROM spots WHERE p > 0
 """)
 def q_context(spark, d):
     df = disclosures(spark, d).withColumn("h", find_hits(F.col("text")))
-    return df.select("doc_id", F.inline(with_context(F.col("h"), F.col("text")))).select("doc_id", "signal", "tier", "context")
+    return struct_rows(df, ["doc_id"], with_context(F.col("h"), F.col("text"))).select("doc_id", "signal", "tier", "context")
 
 
 SCORE_SQL = f"""
@@ -337,7 +338,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, -sign
 SELECT doc_id, category, label, tier, CAST(signal_count AS INT) AS signal_count, array_to_string(matched, ',') AS matched_signals,
   CAST(place AS INT) AS place FROM placed""")
 def q_categories(spark, d):
-    c = disclosures(spark, d).select("doc_id", F.posexplode(categorise(F.col("text"))).alias("place", "c"))
+    c = element_rows(disclosures(spark, d), ["doc_id"], categorise(F.col("text")), pos="place", item="c")
     return c.select(
         "doc_id", "c.category", "c.label", "c.tier", "c.signal_count",
         F.array_join("c.matched_signals", ",").alias("matched_signals"), (F.col("place") + 1).alias("place"),
@@ -350,8 +351,9 @@ u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, d, s ORDER BY -score, le
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, d ORDER BY -score, length(s), pos) AS rank FROM u WHERE seen = 1)
 SELECT doc_id, category, CAST(rank AS INT) AS rank, substr(s, 1, 250) AS excerpt FROM r WHERE rank <= 5""")
 def q_excerpts(spark, d):
-    c = disclosures(spark, d).select("doc_id", F.inline(categorise(F.col("text"))))
-    return c.select("doc_id", "category", F.posexplode("excerpts").alias("rank", "excerpt")).withColumn("rank", F.col("rank") + 1)
+    c = struct_rows(disclosures(spark, d), ["doc_id"], categorise(F.col("text")))
+    e = element_rows(c, ["doc_id", "category"], F.col("excerpts"), pos="rank", item="excerpt")
+    return e.withColumn("rank", F.col("rank") + 1)
 
 
 @query("category_summary", f"""{CAT_SQL},
@@ -388,7 +390,7 @@ QUICK_ROWS = ", ".join(f"({i}, {lit(n)}, {strings(k)})" for i, (n, k) in enumera
 c AS (SELECT doc_id, i, category, CAST(len(list_filter(kws, lambda k: contains(lower(text), k))) AS INT) AS signals FROM disc, q)
 SELECT doc_id, category, signals, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY -signals, i) AS INT) AS place FROM c WHERE signals > 0""")
 def q_quick(spark, d):
-    c = disclosures(spark, d).select("doc_id", F.posexplode(quick_categories(F.col("text"))).alias("place", "c"))
+    c = element_rows(disclosures(spark, d), ["doc_id"], quick_categories(F.col("text")), pos="place", item="c")
     return c.select("doc_id", "c.category", "c.signals", (F.col("place") + 1).alias("place"))
 
 
@@ -408,7 +410,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -score, pos) AS
 SELECT doc_id, CAST(rank AS INT) AS rank, substr(s, 1, 200) AS highlight FROM r WHERE rank <= 5""")
 def q_highlights(spark, d):
     t = disclosures(spark, d).select("doc_id", "text", of_tier(find_hits(F.col("text")), 1, 2).alias("h"))
-    h = t.select("doc_id", F.posexplode(highlight_sentences(F.col("text"), F.col("h"))).alias("rank", "highlight"))
+    h = element_rows(t, ["doc_id"], highlight_sentences(F.col("text"), F.col("h")), pos="rank", item="highlight")
     return h.withColumn("rank", F.col("rank") + 1)
 
 
@@ -426,7 +428,7 @@ SELECT doc_id, signal, tier, materiality, points, substr({sql_trim(
     "regexp_replace(substr(text, greatest(1, p - 60), p + length(signal) + 80 - greatest(1, p - 60)), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')"
 )}, 1, 250) AS excerpt FROM found""")
 def q_governance(spark, d):
-    return disclosures(spark, d).select("doc_id", F.inline(governance_signals(F.col("text"))))
+    return struct_rows(disclosures(spark, d), ["doc_id"], governance_signals(F.col("text")))
 
 
 @query("governance_score", f"""{GOV_SQL},

@@ -46,11 +46,14 @@ def submission_rows(pages: DataFrame, json: str = "json") -> DataFrame:
     """Parallel arrays of a page to one row per filing. Short date arrays give
     empty strings; ``page`` and ``pos`` keep the listed order."""
     keep = [c for c in pages.columns if c != json]
+    # a field may be missing altogether: without it nothing could be zipped
     a = F.from_json(json, SUBMISSIONS_JSON)
-    parsed = pages.select(*keep, a.alias("a"))
+    parsed = pages.select(*keep, a.alias("a")).select(
+        *keep, *[F.coalesce(F.col(f"a.{c}"), F.array().cast("array<string>")).alias(c) for c in SUBMISSION_ARRAYS]
+    )
     filled = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
     return (
-        element_rows(parsed, keep, F.arrays_zip(*[F.col(f"a.{c}") for c in SUBMISSION_ARRAYS]), pos="pos", item="r")
+        element_rows(parsed, keep, F.arrays_zip(*SUBMISSION_ARRAYS), pos="pos", item="r")
         .where(F.col("r.form").isNotNull())
         .select(
             *keep, "pos",

@@ -26,7 +26,6 @@ from ..functions.text import clip
 KINDS = ("unchanged", "rewritten", "removed", "added")
 _STEP = pa.struct([("kind", pa.int8()), ("old", pa.int32()), ("new", pa.int32()), ("sim", pa.float64())])
 _WORD = re.compile(r"\b[a-z]{3,}\b")
-_ROWS = 256  # old sentences compared per matrix product
 
 
 def _words(sentence: str) -> frozenset[str]:
@@ -34,24 +33,21 @@ def _words(sentence: str) -> frozenset[str]:
 
 
 def _similarity_rows(old: list[frozenset[str]], new: list[frozenset[str]]):
-    """Jaccard rows, one per old sentence, from 0/1 matrix products."""
-    ids: dict[str, int] = {}
-    for words in new:
-        for w in words:
-            ids.setdefault(w, len(ids))
-    right = np.zeros((max(len(ids), 1), len(new)), dtype=np.float32)
+    """Jaccard rows, one per old sentence. Shared words are counted over lists
+    of the new sentences each word is in, so memory stays linear in the text."""
+    where: dict[str, list[int]] = {}
     for j, words in enumerate(new):
-        right[[ids[w] for w in words], j] = 1.0
-    new_sizes = np.array([len(w) for w in new], dtype=np.float64)
-    for lo in range(0, len(old), _ROWS):
-        part = old[lo:lo + _ROWS]
-        left = np.zeros((len(part), right.shape[0]), dtype=np.float32)
-        for i, words in enumerate(part):
-            left[i, [ids[w] for w in words if w in ids]] = 1.0
-        shared = (left @ right).astype(np.float64)
-        for i, words in enumerate(part):
-            union = len(words) + new_sizes - shared[i]
-            yield np.where(union > 0, shared[i] / np.maximum(union, 1.0), 1.0)
+        for w in words:
+            where.setdefault(w, []).append(j)
+    places = {w: np.array(js, dtype=np.int64) for w, js in where.items()}
+    sizes = np.array([len(w) for w in new], dtype=np.float64)
+    for words in old:
+        hits = [places[w] for w in words if w in places]
+        shared = (
+            np.bincount(np.concatenate(hits), minlength=len(new)).astype(np.float64) if hits else np.zeros(len(new))
+        )
+        union = len(words) + sizes - shared
+        yield np.where(union > 0, shared / np.maximum(union, 1.0), 1.0)
 
 
 def _rewrites(old: list[str], new: list[str]) -> dict[int, tuple[int, float]]:

@@ -35,14 +35,20 @@ def newest(
     return index.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def with_bodies(ranked: DataFrame, bodies: DataFrame, key: str = "accession_number") -> DataFrame:
-    """Bring the bodies to the ranked keys, keys without a body kept with NULLs.
+def with_bodies(
+    ranked: DataFrame, bodies: DataFrame, key: str = "accession_number", keep_absent: bool = True,
+) -> DataFrame:
+    """Bring the bodies to the ranked keys; keys without a body are kept with
+    NULLs unless ``keep_absent`` is off.
 
-    An outer join could only ever broadcast the bodies. The inner join lets the
-    planner broadcast the narrow ranked side when its size allows, so bodies stay
-    where they are read; keys without a body are found from the key column alone.
+    The wide side is always the streamed one: a semi join drops the bodies that
+    were not ranked, then their index columns are added. Either way only the
+    narrow ranked side can be broadcast, by its size; beyond that both joins
+    share one exchange of the bodies. Absent keys need the key column alone.
     """
-    found = bodies.join(ranked, key)
+    found = bodies.join(ranked.select(key), key, "left_semi").join(ranked, key, "left")
+    if not keep_absent:
+        return found
     absent = ranked.join(bodies.select(key), key, "left_anti")
     return found.unionByName(absent, allowMissingColumns=True)
 

@@ -86,7 +86,7 @@ def ownership_filings(index: DataFrame, bodies: DataFrame, n: int = 6) -> DataFr
     """The ``n`` (1–15) newest filings of each ownership form with readable
     bodies. All forms come from one scan; ``form_order`` keeps their order."""
     ranked = newest(index.where(F.col("form_type").isin(*fv.OWNERSHIP_FORMS)), clamp(n, 1, 15))
-    rows = bodies.join(ranked, "accession_number").where(F.length("html") > 0)
+    rows = with_bodies(ranked, bodies, keep_absent=False).where(F.length("html") > 0)
     rows = rows.withColumn("_text", strip_markup(F.col("html"), " ")).drop("html")
     return ownership_columns(rows, F.col("_text")).drop("_text").withColumn("form_order", form_order(F.col("form_type")))
 

@@ -11,7 +11,7 @@ from ..functions import fixed_values as fv
 from ..functions.scoring import RISK_LEXICON, Lexicon, materiality_rank
 from ..functions.rows import struct_rows
 from ..functions.text import fixed
-from ..operators.recency import SERIES, clamp, newest, previous_row
+from ..operators.recency import SERIES, clamp, newest, previous_row, with_bodies
 from ..operators.sections import extract
 from .score import filing_scores
 
@@ -25,9 +25,9 @@ def trend_points(
     """One scored row per filing among the ``n`` (2–8) newest of each series
     with a readable body."""
     ranked = newest(index.where(F.col("form_type").isin(*fv.CORE_FORMS)), clamp(n, 2, 8))
-    # the join is inner as only readable bodies count; empty ones go after the
-    # reading, since a filter on ``html`` would be pushed below the join
-    extracted = extract(bodies.join(ranked, "accession_number")).where("readable")
+    # empty bodies go after the reading: a filter on ``html`` would be pushed
+    # below the join
+    extracted = extract(with_bodies(ranked, bodies, keep_absent=False)).where("readable")
     if require_success:
         extracted = extracted.where("both_succeeded")
     return (

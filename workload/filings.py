@@ -154,6 +154,18 @@ def q_gaps(spark, d):
     )
 
 
+@query("standalone_headings", f"""{SERIES_SQL}
+SELECT accession_number, CAST(CASE layout WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 4 END AS INT) AS n_headings,
+  CAST(CASE layout WHEN 3 THEN 2 ELSE 0 END AS INT) AS n_toc_links, CAST(0 AS INT) AS n_toc_entries FROM sec""")
+def q_headings(spark, d):
+    o = series_bodies(spark, d).select("accession_number", outline(F.col("html")).alias("o"))
+    n = lambda test: F.size(F.filter("o.marks", test))
+    return o.select(
+        "accession_number", n(S.standalone_heading).alias("n_headings"), n(lambda m: m["href"].isNotNull()).alias("n_toc_links"),
+        n(lambda m: m["heading"].isNotNull() & S.toc_entry(m)).alias("n_toc_entries"),
+    )
+
+
 PAIR_LAYOUT = f"""WITH {SQL_DISCLOSURES},
 two AS (SELECT doc_id, 1 AS side, older_sents AS sx FROM disc UNION ALL SELECT doc_id, 2, sents FROM disc),
 {sql_sections('two', '(doc_id + side) % 5', 'sx', "lpad(CAST(doc_id * 10 + side AS VARCHAR), 18, '0')")}"""

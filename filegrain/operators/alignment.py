@@ -1,7 +1,7 @@
 """Sentence changes between two versions of a section.
 
-``multiset_delta`` counts changes relationally and is exact for order-free
-comparison. ``align`` keeps sentence order: longest common blocks, then best
+``multiset_delta`` counts changes with array expressions and is exact for
+order-free comparison. ``align`` keeps sentence order: longest common blocks, then best
 matches inside rewritten blocks. The order-bound part needs one pair's two
 sentence lists at a time and runs in Arrow batches; it returns positions only,
 texts are looked up again in the JVM.
@@ -11,15 +11,12 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.rows import struct_rows
 from ..functions.scoring import change_magnitude
 from ..functions.text import clip
 
@@ -165,29 +162,43 @@ def missing_side(older: Column, newer: Column) -> Column:
     )
 
 
-def multiset_delta(pairs: DataFrame, keys: Sequence[str], older: str, newer: str) -> DataFrame:
-    """Unchanged, removed and added sentences per pair, order ignored.
+def multiset_counts(older: Column, newer: Column) -> Column:
+    """Struct of unchanged, removed and added counts of two sentence arrays,
+    order ignored and repeats counted.
 
-    One pass over both sides: a sentence's occurrences are counted per side and
-    compared, so nothing is joined and equal sentences never multiply. The first
-    aggregation combines on the map side; the second sees one row per distinct
-    sentence.
+    Both sides are sorted together and read once: older copies of a sentence
+    come first and wait for newer ones. Nothing is exploded or exchanged.
     """
-    side = lambda c, s: F.transform(F.col(c), lambda x: F.struct(x.alias("sentence"), F.lit(s).alias("side")))
-    rows = struct_rows(pairs, keys, F.concat(side(older, 0), side(newer, 1)))
-    per_sentence = (
-        rows
-        .groupBy(*keys, "sentence")
-        .agg(
-            F.count_if(F.col("side") == 0).alias("n_old"),
-            F.count_if(F.col("side") == 1).alias("n_new"),
+    tagged = lambda c, side: F.transform(c, lambda x: F.struct(x.alias("s"), F.lit(side).alias("side")))
+    start = F.struct(
+        F.lit(None).cast("string").alias("s"), *[F.lit(0).alias(c) for c in ("waiting", "unchanged", "removed", "added")]
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["s"].eqNullSafe(x["s"])
+        waiting = F.when(same, acc["waiting"]).otherwise(0)
+        old, pairs_up = x["side"] == 0, waiting > 0
+        return F.struct(
+            x["s"].alias("s"),
+            (waiting + F.when(old, 1).when(pairs_up, -1).otherwise(0)).alias("waiting"),
+            (acc["unchanged"] + F.when(~old & pairs_up, 1).otherwise(0)).alias("unchanged"),
+            (acc["removed"] + F.when(same, 0).otherwise(acc["waiting"])).alias("removed"),
+            (acc["added"] + F.when(~old & ~pairs_up, 1).otherwise(0)).alias("added"),
         )
+
+    return F.aggregate(
+        F.array_sort(F.concat(tagged(older, 0), tagged(newer, 1))), start, step,
+        lambda acc: F.struct(acc["unchanged"], (acc["removed"] + acc["waiting"]).alias("removed"), acc["added"]),
+    )
+
+
+def multiset_delta(pairs: DataFrame, older: str, newer: str) -> DataFrame:
+    """Pairs with unchanged, removed and added counts, share and magnitude."""
+    out = (
+        pairs.withColumn("_m", multiset_counts(F.col(older), F.col(newer)))
+        .withColumn("unchanged_count", F.col("_m.unchanged")).withColumn("removed_count", F.col("_m.removed"))
+        .withColumn("added_count", F.col("_m.added")).withColumn("rewritten_count", F.lit(0))
+        .withColumn("older_sentences", F.size(older)).withColumn("newer_sentences", F.size(newer))
     )
-    per_pair = per_sentence.groupBy(*keys).agg(
-        F.sum(F.least("n_old", "n_new")).alias("unchanged_count"),
-        F.sum(F.greatest(F.col("n_old") - F.col("n_new"), F.lit(0))).alias("removed_count"),
-        F.sum(F.greatest(F.col("n_new") - F.col("n_old"), F.lit(0))).alias("added_count"),
-        F.sum("n_old").alias("older_sentences"),
-        F.sum("n_new").alias("newer_sentences"),
-    ).withColumn("rewritten_count", F.lit(0))
-    return with_change_summary(per_pair, F.col("older_sentences"), F.col("newer_sentences")).drop("rewritten_count")
+    out = with_change_summary(out, F.col("older_sentences"), F.col("newer_sentences"))
+    return out.drop("_m", "rewritten_count")

@@ -75,7 +75,21 @@ def test_a_large_rewritten_block_is_compared_whole(spark):
 
 
 def test_multiset_delta_counts_repeats(spark):
-    df = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "b", "c"]), (2, ["a"], ["a"])], "id int, o array<string>, n array<string>")
-    rows = {r["id"]: r for r in al.multiset_delta(df, ["id"], "o", "n").collect()}
+    df = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "b", "c"]), (2, ["a"], ["a"]), (3, [], [])], "id int, o array<string>, n array<string>")
+    rows = {r["id"]: r for r in al.multiset_delta(df, "o", "n").collect()}
     assert (rows[1]["unchanged_count"], rows[1]["removed_count"], rows[1]["added_count"]) == (2, 1, 2)
     assert (rows[2]["magnitude"], rows[2]["pct_changed"]) == ("none", 0.0)
+    assert rows[3]["magnitude"] == "none"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_multiset_delta_equals_counters(spark, seed):
+    from collections import Counter
+
+    rng = random.Random(seed)
+    pairs = [(i, rng.choices("abcdef", k=rng.randint(0, 12)), rng.choices("abcdef", k=rng.randint(0, 12))) for i in range(30)]
+    df = spark.createDataFrame(pairs, "id int, o array<string>, n array<string>")
+    for r in al.multiset_delta(df, "o", "n").collect():
+        o, n = Counter(r["o"]), Counter(r["n"])
+        assert (r["unchanged_count"], r["removed_count"], r["added_count"]) == (
+            sum((o & n).values()), sum((o - n).values()), sum((n - o).values()))

@@ -132,9 +132,9 @@ bag AS (
   ) GROUP BY doc_id, x
 ),
 delta AS (
-  SELECT doc_id, CAST(sum(least(o, n)) AS BIGINT) AS unchanged_count, CAST(sum(greatest(o - n, 0)) AS BIGINT) AS removed_count,
-    CAST(sum(greatest(n - o, 0)) AS BIGINT) AS added_count, CAST(sum(o) AS BIGINT) AS older_sentences, CAST(sum(n) AS BIGINT) AS newer_sentences
-  FROM bag GROUP BY doc_id
+  SELECT doc_id, CAST(coalesce(sum(least(b.o, b.n)), 0) AS INT) AS unchanged_count, CAST(coalesce(sum(greatest(b.o - b.n, 0)), 0) AS INT) AS removed_count,
+    CAST(coalesce(sum(greatest(b.n - b.o, 0)), 0) AS INT) AS added_count, CAST(coalesce(sum(b.o), 0) AS INT) AS older_sentences, CAST(coalesce(sum(b.n), 0) AS INT) AS newer_sentences
+  FROM (SELECT doc_id FROM disc) LEFT JOIN bag b USING (doc_id) GROUP BY doc_id
 ),
 delta2 AS (
   SELECT *, round(CAST(added_count + removed_count AS DOUBLE) / greatest(older_sentences, newer_sentences, 1), 4) AS pct_changed,
@@ -155,7 +155,7 @@ def _split_pairs(spark, d):
 
 @query("multiset_delta", f"WITH {SQL_DISCLOSURES}, {DELTA_SQL} SELECT * FROM delta2")
 def q_multiset(spark, d):
-    return al.multiset_delta(_split_pairs(spark, d), ["doc_id"], "o", "n")
+    return al.multiset_delta(_split_pairs(spark, d).select("doc_id", "o", "n"), "o", "n").drop("o", "n")
 
 
 CHANGED_SQL = """
@@ -190,15 +190,13 @@ scored AS (
 
 
 def _pair_scores(spark, d):
-    pairs = _split_pairs(spark, d)
-    # the order-free delta is joined back to its pair: one row per pair and side
-    counts = al.multiset_delta(pairs, ["doc_id"], "o", "n").select("doc_id", "magnitude", "pct_changed")
+    pairs = al.multiset_delta(_split_pairs(spark, d), "o", "n")
     changed = pairs.select(
-        "doc_id", "text", "older_text",
+        "doc_id", "text", "older_text", "magnitude", "pct_changed",
         F.array_join(let(F.col("o"), lambda o: F.filter("n", lambda x: ~F.array_contains(o, x))), " ").alias("changed"),
     )
     return score_text(
-        changed.join(counts, "doc_id", "left"), text="text", older="older_text", changed="changed", magnitude="magnitude"
+        changed, text="text", older="older_text", changed="changed", magnitude="magnitude"
     )
 
 

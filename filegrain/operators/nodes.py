@@ -49,6 +49,8 @@ class _Outline(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.runs: list[str] = []
         self.place = 0          # of the next text run in the joined text
+        self.total = 0           # characters seen so far
+        self.bodiless: list[dict] = []
         self.stack: list[dict] = []
         self.marks: list[dict] = []
         self.skipping = 0
@@ -65,7 +67,7 @@ class _Outline(HTMLParser):
             self._close(inner, within="table" if tag in ("tr", "td", "th") else "ul")
         a = dict(attrs)
         node = {
-            "tag": tag, "first": len(self.runs), "chars": 0, "at": self.place, "body_at": None,
+            "tag": tag, "first": len(self.runs), "before": self.total, "chars": 0, "at": self.place, "body_at": None,
             "parent": self.stack[-1] if self.stack else None, "past": None, "past_run": None,
         }
         bold = bool(_BOLD.search(a.get("style") or ""))
@@ -76,6 +78,7 @@ class _Outline(HTMLParser):
             self.marks.append(node)
         if tag not in _VOID:
             self.stack.append(node)
+            self.bodiless.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -102,6 +105,7 @@ class _Outline(HTMLParser):
 
     def _finish(self, node):
         node["past"], node["past_run"] = self.place, len(self.runs)
+        node["chars"] = self.total - node["before"]
 
     def handle_data(self, data):
         if self.skipping:
@@ -109,11 +113,14 @@ class _Outline(HTMLParser):
         run = data.strip()
         if not run:
             return
-        for depth, node in enumerate(self.stack):
-            node["chars"] += len(run)
-            # the body of an element starts at the first run it does not own
-            if node["body_at"] is None and depth < len(self.stack) - 1:
+        # the body of an element starts at the first run it does not own; each
+        # element is looked at once for this, however deep the nesting
+        owner = self.stack[-1] if self.stack else None
+        for node in self.bodiless:
+            if node is not owner and node["past"] is None:
                 node["body_at"] = self.place
+        self.bodiless = [owner] if owner and owner["body_at"] is None else []
+        self.total += len(run)
         self.runs.append(run)
         self.place += len(run) + 1
 

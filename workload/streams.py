@@ -26,9 +26,9 @@ def scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/filegrain-{name}-{uuid.uuid4().hex}"
 
 
-def _land(df, folder: str, parts: int = 4):
-    """Write a batch as files and read it as a stream."""
-    df.repartition(parts).write.parquet(f"{folder}/in")
+def _land(df, folder: str):
+    """Write a batch as files, one per task, and read it as a stream."""
+    df.write.parquet(f"{folder}/in")
     return df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/in")
 
 
@@ -112,7 +112,7 @@ def q_stream_billing(spark, d):
         .when(kind == "click", "subscription.disable").otherwise("other").alias("event"),
     )
     _land(e, folder)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
     sink = jobs.BillingSnapshot(f"{folder}/snapshots")
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -18,7 +18,7 @@ from filegrain.sources.landed import company_facts, with_body_status
 from . import query, table
 from .corpus import (
     FORMS, SQL_DISCLOSURES, WS, accession, disclosures, letters, lit, pair_bodies, pair_index, series_bodies, series_index,
-    sql_letters, sql_lexicon, sql_materiality, sql_sections, sql_trim, strings,
+    sql_letters, sql_lexicon, sql_materiality, sql_sections, sql_sentences, sql_trim, strings,
 )
 from .landed import facts_texts
 
@@ -434,6 +434,33 @@ def q_compare_gate(spark, d):
     )
 
 
+@query("compare_signals", f"""{GATE_SQL}, {sql_lexicon()},
+long AS (
+  SELECT doc_id, form_type, side, 'risk_factors' AS section_name, risk_text AS t FROM sec
+  UNION ALL SELECT doc_id, form_type, side, 'mda', mda_text FROM sec
+),
+good AS (SELECT l.*, {sql_sentences('t', normalise=True)} AS s FROM long l JOIN gate g USING (doc_id) WHERE issues IS NULL),
+h AS (SELECT doc_id, side, section_name, signal, tier, ord FROM good, lex WHERE contains(lower(t), lower(signal))),
+fresh AS (SELECT doc_id, section_name, list(signal ORDER BY ord)[1:15] AS l FROM h n WHERE side = 2 AND NOT EXISTS (
+  SELECT 1 FROM h o WHERE o.side = 1 AND o.doc_id = n.doc_id AND o.section_name = n.section_name AND o.ord = n.ord) GROUP BY ALL),
+gone AS (SELECT doc_id, section_name, list(signal ORDER BY ord)[1:15] AS l FROM h n WHERE side = 1 AND NOT EXISTS (
+  SELECT 1 FROM h o WHERE o.side = 2 AND o.doc_id = n.doc_id AND o.section_name = n.section_name AND o.ord = n.ord) GROUP BY ALL),
+t1 AS (SELECT doc_id, section_name, list(signal ORDER BY ord)[1:20] AS l FROM h WHERE side = 2 AND tier = 1 GROUP BY ALL)
+SELECT 'D' || {sql_letters('n.doc_id')} AS ticker, n.form_type, n.section_name, CAST(len(o.s) AS INT) AS total_older_sentences, CAST(len(n.s) AS INT) AS total_newer_sentences,
+  coalesce(array_to_string(fresh.l, ','), '') AS new_signals, coalesce(array_to_string(gone.l, ','), '') AS removed_signals, coalesce(array_to_string(t1.l, ','), '') AS tier1
+FROM good n JOIN good o ON o.doc_id = n.doc_id AND o.section_name = n.section_name AND n.side = 2 AND o.side = 1
+LEFT JOIN fresh ON fresh.doc_id = n.doc_id AND fresh.section_name = n.section_name
+LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.section_name = n.section_name
+LEFT JOIN t1 ON t1.doc_id = n.doc_id AND t1.section_name = n.section_name""")
+def q_compare_signals(spark, d):
+    c = compare.compare_filings(pair_index(spark, d), pair_bodies(spark, d)).where("pipeline_success")
+    names = lambda col: F.array_join(F.transform(col, lambda h: h["signal"]), ",")
+    return c.select(
+        "ticker", "form_type", "section_name", "total_older_sentences", "total_newer_sentences",
+        names("new_signals").alias("new_signals"), names("removed_signals").alias("removed_signals"), names("tier1_hits").alias("tier1"),
+    )
+
+
 @query("overall_materiality")
 def q_overall(spark, d):
     c = compare.compare_filings(pair_index(spark, d), pair_bodies(spark, d)).where("pipeline_success")
@@ -474,6 +501,18 @@ def q_report(spark, d):
     ).withColumn("top_signals", F.array_join("top_signals", "; "))
 
 
+@query("report_status", f"""{PAIR_LAYOUT}
+SELECT 'D' || {sql_letters('doc_id')} AS ticker, form_type, risk_ok OR mda_ok AS pipeline_success, CAST(DATE '2020-01-01' + CAST(doc_id % 300 + 730 AS INTEGER) AS DATE) AS filing_date,
+  CASE WHEN NOT (risk_ok OR mda_ok) THEN 'Could not extract Risk Factors or MD&A from D' || {sql_letters('doc_id')} || '''s ' || form_type || ' filing (filed ' ||
+    CAST(DATE '2020-01-01' + CAST(doc_id % 300 + 730 AS INTEGER) AS DATE) || '). The filing may use an unsupported format (image-based PDF, heavily customized XBRL, or exhibit-only filing).' END AS failure_reason,
+  CASE WHEN risk_ok OR mda_ok THEN '  Risk chars:      ' || format('{{:,}}', length(risk_text)) END AS risk_line
+FROM sec WHERE side = 2 AND form_type <> '20-F'""")
+def q_report_status(spark, d):
+    r = q_report(spark, d)
+    line = F.nullif(F.regexp_extract("report", r"(?m)^(  Risk chars: .*)$", 1), F.lit(""))
+    return r.select("ticker", "form_type", "pipeline_success", "filing_date", "failure_reason", line.alias("risk_line"))
+
+
 @query("proxy_governance", f"""WITH {SQL_DISCLOSURES},
 p AS (SELECT *, doc_id // 2 AS c FROM disc QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) = 1),
 t AS (SELECT c, doc_id, {sql_trim("replace(replace(text, '&', ' '), '<', ' ')")} AS t FROM p),

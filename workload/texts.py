@@ -13,14 +13,14 @@ from filegrain.functions.text import jaccard, let, sentences, token_set
 from filegrain.operators import alignment as al
 from filegrain.operators.categories import categorise, category_summary, highlight_sentences, quick_categories
 from filegrain.operators.governance import governance_score, governance_signals, governance_summary
-from filegrain.operators.ownership import ownership_columns, ownership_summary
-from filegrain.operators.recency import newest
+from filegrain.operators.ownership import ownership_columns
+from filegrain.plans import filings
 from filegrain.plans.compare import compare_texts
 from filegrain.plans.score import score_sections
 
 from . import query, table
 from .corpus import (
-    SQL_DISCLOSURES, disclosures, letters, lit, sql_letters, sql_lexicon, sql_materiality, sql_sentences, sql_trim,
+    SQL_DISCLOSURES, accession, disclosures, letters, lit, sql_letters, sql_lexicon, sql_materiality, sql_sentences, sql_trim,
     strings,
 )
 
@@ -467,14 +467,15 @@ def _owner_docs(spark, d):
         "doc_id", F.concat(F.lit("C"), letters(F.floor(doc / 40))).alias("ticker"),
         F.element_at(forms, (doc % 6 + 1).cast("int")).alias("form_type"),
         F.lit(None).cast("date").alias("filing_date"), (F.lit(0) - doc).alias("index_pos"),
-        F.concat(head, by, F.col("text")).alias("body"),
+        F.replace(F.replace(F.concat(head, by, F.col("text")), F.lit("&"), F.lit(" ")), F.lit("<"), F.lit(" ")).alias("body"),
+        accession(doc, 2).alias("accession_number"),
     )
 
 
 OWN_SQL = f"""WITH {SQL_DISCLOSURES},
 owned AS (
   SELECT doc_id, 'C' || {sql_letters('doc_id // 40')} AS ticker, ({strings(OWN_FORMS)})[doc_id % 6 + 1] AS form_type,
-    {OWN_TEXT.format(letters=sql_letters('(doc_id // 3)'))} AS body FROM disc
+    replace(replace({OWN_TEXT.format(letters=sql_letters('(doc_id // 3)'))}, '&', ' '), '<', ' ') AS body FROM disc
 ),
 flags AS (
   SELECT doc_id, ticker, form_type, starts_with(form_type, '13F-HR') AS is_portfolio_filing,
@@ -514,6 +515,6 @@ SELECT ticker, filing_count, activist_signal_count, type_summary, concat_ws(' ',
   'Institutional 13F-HR filers disclosing this position: ' || array_to_string(p[1:3], ', ') || '.') AS summary
 FROM g""")
 def q_ownership(spark, d):
-    docs = newest(_owner_docs(spark, d), 6)
-    out = ownership_summary(ownership_columns(docs, F.col("body")))
-    return out.select("ticker", "filing_count", "activist_signal_count", "type_summary", "summary")
+    docs = _owner_docs(spark, d)
+    bodies = docs.select("accession_number", F.concat(F.lit("<html><p>"), "body", F.lit("</p></html>")).alias("html"))
+    return filings.ownership(docs.drop("body", "doc_id"), bodies, 6).select("ticker", "filing_count", "activist_signal_count", "type_summary", "summary")

@@ -51,7 +51,11 @@ TRANSITION_SCHEMA = (
 class SignalTransitions(StatefulProcessor):
     """State per series: place and signal set of its newest filing. Rows come
     as (ticker, form_type, accession_number, seq, signals); a filing older than
-    the stored one is reported as late and does not touch the state."""
+    the stored one is reported as late and does not touch the state.
+
+    The rows a series brings in one trigger are put in order in memory, so feed
+    the stream with a trigger limit (``maxFilesPerTrigger``); whole histories are
+    the batch job's (``full_history_transitions``), which splits long series."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "seq bigint, signals string")

@@ -29,7 +29,7 @@ def scratch(spark, name: str) -> str:
 def _land(df, folder: str):
     """Write a batch as files, one per task, and read it as a stream."""
     df.write.parquet(f"{folder}/in")
-    return df.sparkSession.readStream.schema(df.schema).parquet(f"{folder}/in")
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
 
 
 def _ts(c="ts"):

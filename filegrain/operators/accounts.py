@@ -176,6 +176,19 @@ def owned_by(df: DataFrame, user: Column) -> DataFrame:
     return df.where(F.col("user_id") == user)
 
 
+def visible_rows(df: DataFrame, viewers: DataFrame) -> DataFrame:
+    """For every viewer the rows they own; ``viewers(user_id, …)``."""
+    return df.join(viewers, "user_id")
+
+
+def history_pages(analyses: DataFrame, columns: Sequence[str], *, limit: int = 20, offset: int = 0) -> DataFrame:
+    """The same page of every user's history at once, newest first by ``place``.
+    Users with very long histories are cut before the exchange."""
+    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id"))
+    ranked = analyses.select(*columns).withColumn("place", F.row_number().over(w))
+    return ranked.where((F.col("place") <= offset + limit) & (F.col("place") > offset))
+
+
 def history_page(
     analyses: DataFrame, columns: Sequence[str], *, limit: int = 20, offset: int = 0,
     ticker: str | None = None, tool: str | None = None,

@@ -180,3 +180,12 @@ def test_short_date_arrays_and_viewer_links(spark):
     assert [(r["accession_number"], r["filing_date"], r["primary_document"]) for r in rows] == [("01", D(2024, 1, 2), ""), ("02", None, "")]
     url = F.lit("https://www.sec.gov/ix?doc=/Archives/edgar%2Fa.htm")
     assert spark.range(1).select(landed.unwrapped_url(url)).first()[0] == "https://www.sec.gov/Archives/edgar/a.htm"
+
+
+def test_history_page_filters_and_pages(spark):
+    from filegrain.operators.accounts import history_page, owned_by
+
+    rows = [(i, "u1" if i % 2 else "u2", "AA" if i < 6 else "BB", "report", D(2024, 1, 1 + i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, user_id string, ticker string, tool_name string, created_at date")
+    page = history_page(owned_by(df, F.lit("u1")), ["id", "created_at"], limit=2, offset=1, ticker="aa")
+    assert [r["id"] for r in page.collect()] == [3, 1]

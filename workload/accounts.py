@@ -151,14 +151,17 @@ def q_analysis_context(spark, d):
     return chat.conversation_context(talks, _analyses(spark, d)).select("conversation_id", "context")
 
 
-@query("history_page", "SELECT event_id AS id, user_id, 'T' || user_id AS ticker, event_type FROM events WHERE 'T' || user_id = 'T7' ORDER BY ts DESC, event_id LIMIT 20 OFFSET 5")
+@query("history_page", """SELECT event_id AS id, user_id, 'T' || user_id AS ticker, event_type,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS INT) AS place FROM events QUALIFY place BETWEEN 6 AND 25""")
 def q_history(spark, d):
-    return acc.history_page(_analyses(spark, d), ["id", "user_id", "ticker", "event_type", "created_at"], limit=20, offset=5, ticker="t7").drop("created_at")
+    columns = ["id", "user_id", "ticker", "event_type", "created_at"]
+    return acc.history_pages(_analyses(spark, d), columns, limit=20, offset=5).drop("created_at")
 
 
-@query("owner_rows", "SELECT event_id AS id, 'T' || user_id AS ticker FROM events WHERE user_id = 11")
+@query("owner_rows", "SELECT event_id AS id, user_id, c_name AS viewer FROM events JOIN customer ON c_custkey = user_id")
 def q_owner(spark, d):
-    return acc.owned_by(_analyses(spark, d), F.lit(11)).select("id", "ticker")
+    viewers = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("viewer"))
+    return acc.visible_rows(_analyses(spark, d), viewers).select("id", "user_id", "viewer")
 
 
 # --- users and plans -------------------------------------------------------------------

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.scoring import change_magnitude
 from ..functions.text import clip
+from ..session import ship_package
 
 KINDS = ("unchanged", "rewritten", "removed", "added")
 _STEP = pa.struct([("kind", pa.int8()), ("old", pa.int32()), ("new", pa.int32()), ("sim", pa.float64())])
@@ -93,6 +94,7 @@ def _steps(old: list[str] | None, new: list[str] | None) -> list[dict] | None:
 def align(older: Column, newer: Column) -> Column:
     """Ordered steps ``array<struct<kind,old,new,sim>>`` turning the older
     sentence array into the newer one; positions are 0-based."""
+    ship_package()
 
     @F.arrow_udf("array<struct<kind:tinyint,old:int,new:int,sim:double>>")
     def steps(old: pa.Array, new: pa.Array) -> pa.Array:

@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..session import ship_package
 
 OUTLINE_TYPE = (
     "struct<text:string, marks:array<struct<tag:string, ids:string, href:string, bold:boolean, "
@@ -162,6 +163,7 @@ def _outline_of(html: str | None) -> dict | None:
 
 def outline(html: Column) -> Column:
     """Arrow batches in, one outline struct per document out."""
+    ship_package()
 
     @F.arrow_udf(OUTLINE_TYPE)
     def walk(bodies: pa.Array) -> pa.Array:

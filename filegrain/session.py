@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution decides joins from measured sizes: nothing here forces a
@@ -23,6 +27,21 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def ship_package() -> None:
+    """Give the executors this package, once per application: what runs in
+    Python workers is imported there by name."""
+    sc = SparkSession.active().sparkContext
+    if getattr(sc, "_filegrain_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="filegrain-"), "filegrain"), "zip",
+        root_dir=os.path.dirname(package), base_dir=os.path.basename(package),
+    )
+    sc.addPyFile(archive)
+    sc._filegrain_shipped = True
+
+
 SMALL_INPUT_BYTES_PER_CORE = 32 * 1024 * 1024
 
 

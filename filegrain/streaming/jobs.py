@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -86,6 +88,8 @@ class SignalTransitions(StatefulProcessor):
 
 def signal_transitions(points: DataFrame) -> DataFrame:
     """Needs the RocksDB state store provider (see ``use_rocksdb``)."""
+    # the stream's own Python runner starts before shipped files are in place
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return points.groupBy("ticker", "form_type").transformWithStateInPandas(
         SignalTransitions(), TRANSITION_SCHEMA, "append", "None"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import langid, toxicity, urls
+from filegrain.llm import html_text, langid, toxicity, urls
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -21,3 +21,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_url_filter", urls.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import html_text, langid, toxicity, urls
+from filegrain.llm import decontaminate, html_text, langid, toxicity, urls
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -26,3 +26,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_decontamination", decontaminate.SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

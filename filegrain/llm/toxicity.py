@@ -115,22 +115,32 @@ class FactorizationMachine:
         return cls(bias, linear, factors)
 
 
-def learn(labelled: DataFrame, key: str, text: str, label: str, per_label: int = 6000) -> FactorizationMachine | None:
-    """None where there are no labelled rows. Rows of one label weigh what they weigh in the whole table."""
-    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = 6000) -> FactorizationMachine | None:
+    """None where there are no labelled rows. Learns only from ids that are not held out.
+
+    The sample is drawn from the labels; at most about 2 * ``per_label`` ids meet the
+    documents, as a broadcast of that bound, so texts stay where they are. Rows of one
+    label weigh what they weigh in the whole table of labels.
+    """
+    marks = (
+        labels.select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("y"))
+        .where(F.col("y").isin(0, 1) & ~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
+    )
+    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    drawn_ids = F.broadcast(bounded_sample(marks, "y", "k", per_label))
+    drawn_rows = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).join(drawn_ids, "k").select("t", "y")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([terms(t).astype(np.int32).tobytes() for t in batch["t"].to_pylist()], pa.binary()), batch["y"]], ["x", "y"])
 
-    got = [(bytes(r.x), r.y) for r in map_arrow(bounded_sample(rows, "y", "k", per_label).select("t", "y"), features, "x binary, y int").collect()]
+    got = [(bytes(r.x), r.y) for r in map_arrow(drawn_rows, features, "x binary, y int").collect()]
     if not got:
         return None
     got.sort()  # the same model however the rows arrive
     y = np.array([r[1] for r in got], dtype=float)
     drawn = {v: max((y == v).sum(), 1) for v in (0, 1)}
     weight = np.array([counts[int(v)] / drawn[int(v)] for v in y])
-    return FactorizationMachine.fit([np.frombuffer(r[0], np.int32).astype(np.int64) for r in got], y, weight / weight.mean())
+    return FactorizationMachine.fit([np.frombuffer(r[0], np.int32) for r in got], y, weight / weight.mean())
 
 
 def _scores(model: FactorizationMachine | None, texts: list[str | None]) -> np.ndarray:
@@ -147,15 +157,9 @@ def score_texts(docs: DataFrame, model: FactorizationMachine | None, key: str =
     return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, score double")
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows that are not held out."""
-    marks = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def toxicity_table(docs: DataFrame, labels: DataFrame, per_label: int = 6000) -> DataFrame:
     """(doc_id, held_out, score, predicted): learned from labelled rows that are not held out, scored for all."""
-    model = learn(learnable(docs, labels), "doc_id", "text", "toxic", per_label)
+    model = learn(docs, labels, per_label)
     return score_texts(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
@@ -163,7 +167,7 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, per_label: int = 6000) ->
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose text scores below one half, judged where they stand; all columns stay as they are."""
-    model = learn(learnable(docs, labels), "doc_id", "text", "toxic")
+    model = learn(docs, labels)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(_scores(model, batch["text"].to_pylist()) < 0.5))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import decontaminate, html_text, langid, neardup, toxicity, urls
+from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, toxicity, urls
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -36,3 +36,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_duplicates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_source_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))

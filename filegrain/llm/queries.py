@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, toxicity, urls
+from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, quality, toxicity, urls
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -41,3 +41,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_source_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, quality, toxicity, urls
+from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, quality, quotes, toxicity, urls
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -46,3 +46,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_chat_threads", quotes.sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
+@query("chat_threads_quoted", quotes.sql(quotes.QUOTING_SQL))
+def chat_threads_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over messages that quote: the supplied ones hold no quotes."""
+    return quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations")))

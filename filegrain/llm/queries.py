@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, quality, quotes, toxicity, urls
+from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, quality, quotes, toxicity, urls, vectors
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -57,3 +57,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_threads_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over messages that quote: the supplied ones hold no quotes."""
     return quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations")))
+
+
+@query("op9_near_vectors")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("near_vectors_recall")
+def near_vectors_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.recall_audit(table(spark, sf_dir, "embeddings"))

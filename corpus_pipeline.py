@@ -1,20 +1,57 @@
-"""From raw documents to a mixed training corpus: stages that each call one operator."""
+"""From raw documents to a mixed training corpus: stages that each call one operator.
+
+Every stage gets the rows its predecessor kept and returns rows with the columns of
+``documents``; the last adds where each document stands in the mixture. What a stage
+returns is written as Parquet in the shared folder and read again, so a lost executor
+costs at most the stage at work.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from filegrain.llm.common import written
+from filegrain.llm.decontaminate import without_contaminated
 from filegrain.llm.langid import with_known_language
+from filegrain.llm.mixing import mixed
+from filegrain.llm.neardup import one_of_each
 from filegrain.llm.registry import table
+from filegrain.llm.toxicity import without_toxic
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language go."""
     return with_known_language(docs)
 
 
-STAGES = [("language", language)]
-#: Trained models and probable joins have no SQL; tests compare with brute force.
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that score as toxic go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its place in an order that follows the sources' target weights."""
+    return mixed(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+]
+#: Trained models and the schedule have no SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

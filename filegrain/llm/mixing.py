@@ -99,15 +99,15 @@ def mixed(docs: DataFrame, weights=square_root_weights, key: str = "doc_id", sou
     plan = phases({s: -(-n // rows_per_block) for s, n in counts.items()}, weights(counts) if callable(weights) else weights, period)
     slices = 1 << max(0, math.ceil(math.log2(max(1, math.isqrt(sum(counts.values()))))))
     named = docs.withColumns({
-        "_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")),
-        "_order": F.xxhash64(F.col(key).cast("string")),
-    }).withColumn("_slice", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(slices)).cast("int"))
-    sizes = named.groupBy("_source", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_source", "_slice", before.alias("_before"))
-    in_slice = Window.partitionBy("_source", "_slice").orderBy("_order", F.col(key))
-    ranked = named.join(starts, ["_source", "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(in_slice) - 1)
-    ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / rows_per_block))
+        "_mix_source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")),
+        "_mix_order": F.xxhash64(F.col(key).cast("string")),
+    }).withColumn("_mix_slice", F.pmod(F.shiftrightunsigned("_mix_order", 20), F.lit(slices)).cast("int"))
+    sizes = named.groupBy("_mix_source", "_mix_slice").agg(F.count(F.lit(1)).alias("_mix_n"))
+    before = F.coalesce(F.sum("_mix_n").over(Window.partitionBy("_mix_source").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_mix_source", "_mix_slice", before.alias("_mix_before"))
+    in_slice = Window.partitionBy("_mix_source", "_mix_slice").orderBy("_mix_order", F.col(key))
+    ranked = named.join(starts, ["_mix_source", "_mix_slice"]).withColumn("_mix_rank", F.col("_mix_before") + F.row_number().over(in_slice) - 1)
+    ranked = ranked.withColumn("_mix_block", F.floor(F.col("_mix_rank") / rows_per_block))
 
     label = lambda s: "null" if s is None else f"={s}"
     ranges = [
@@ -115,12 +115,12 @@ def mixed(docs: DataFrame, weights=square_root_weights, key: str = "doc_id", sou
         for number, phase in enumerate(plan) for s, slots in phase["slots"].items() if phase["to"][s] > phase["from"][s]
     ]
     places = [(label(s), number, k, at) for number, phase in enumerate(plan) for s, slots in phase["slots"].items() for k, at in enumerate(slots)]
-    ranges_df = spark.createDataFrame(ranges, "_source string, mix_phase int, _first long, _size long, _share long, _from long, _to long")
-    places_df = spark.createDataFrame(places, "_source string, mix_phase int, _k long, _at long")
-    done = ranked.drop("mix_phase", "mix_slot", "mix_position").join(F.broadcast(ranges_df), ["_source"]).where("_block >= _from and _block < _to")
-    done = done.withColumn("_k", (F.col("_block") - F.col("_from")) % F.col("_share"))
-    done = done.join(F.broadcast(places_df), ["_source", "mix_phase", "_k"])
-    slot = F.col("_first") + F.floor((F.col("_block") - F.col("_from")) / F.col("_share")) * F.col("_size") + F.col("_at")
-    return done.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * rows_per_block + F.col("_rank") % rows_per_block).select(
+    ranges_df = spark.createDataFrame(ranges, "_mix_source string, mix_phase int, _mix_first long, _mix_size long, _mix_share long, _mix_from long, _mix_to long")
+    places_df = spark.createDataFrame(places, "_mix_source string, mix_phase int, _mix_k long, _mix_at long")
+    done = ranked.drop("mix_phase", "mix_slot", "mix_position").join(F.broadcast(ranges_df), ["_mix_source"]).where("_mix_block >= _mix_from and _mix_block < _mix_to")
+    done = done.withColumn("_mix_k", (F.col("_mix_block") - F.col("_mix_from")) % F.col("_mix_share"))
+    done = done.join(F.broadcast(places_df), ["_mix_source", "mix_phase", "_mix_k"])
+    slot = F.col("_mix_first") + F.floor((F.col("_mix_block") - F.col("_mix_from")) / F.col("_mix_share")) * F.col("_mix_size") + F.col("_mix_at")
+    return done.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * rows_per_block + F.col("_mix_rank") % rows_per_block).select(
         *[c for c in docs.columns if c not in ("mix_phase", "mix_slot", "mix_position")], "mix_phase", "mix_slot", "mix_position"
     )

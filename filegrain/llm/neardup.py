@@ -214,5 +214,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose document has the smallest id of its component, once each; rows without an id stay. All columns stay as they are."""
     chosen = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_chosen")).where("_chosen is not null").distinct()
-    kept = docs.join(chosen, docs[key].cast("long") == F.col("_chosen"), "left_semi").dropDuplicates([key])
+    kept = docs.join(chosen, docs[key].cast("long") == chosen["_chosen"], "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(docs[key].isNull()))

@@ -38,7 +38,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-DIMENSIONS = 4096
+DIMENSIONS = 2048
 PIECE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -59,9 +59,9 @@ def letter_counts(text: str) -> np.ndarray:
         three = two[:-1] + c[2:] * np.uint64(0x165667B19E3779F9)
         for salt, group in ((1, one), (2, two), (3, three)):
             mixed = (group ^ (group >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * salt)
-            counts += np.bincount((mixed >> np.uint64(52)).astype(np.int64), minlength=DIMENSIONS)
+            counts += np.bincount((mixed >> np.uint64(53)).astype(np.int64), minlength=DIMENSIONS)
     counts = np.sqrt(counts)
-    return counts / max(np.linalg.norm(counts), 1e-12)
+    return (counts / max(np.linalg.norm(counts), 1e-12)).astype(np.float32)
 
 
 @dataclass
@@ -75,15 +75,15 @@ class Machine:
     @classmethod
     def fit(cls, x: np.ndarray, positive: np.ndarray, cost: float = 50.0, rounds: int = 120) -> Machine:
         """Squared hinge loss by accelerated gradient descent; the two sides weigh the same."""
-        y = np.where(positive, 1.0, -1.0)
-        share = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1))
-        w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+        y = np.where(positive, 1.0, -1.0).astype(np.float32)
+        share = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1)).astype(np.float32)
+        w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
         step = 1.0 / (1.0 + 4.0 * cost)
         for k in range(rounds):
             m = k / (k + 3.0)
-            lw, lb = w + m * vw, b + m * vb
-            slack = np.maximum(0.0, 1.0 - y * (x @ lw + lb)) * y * share
-            nw, nb = lw - step * (lw - 2 * cost * (slack @ x)), lb + step * 2 * cost * slack.sum()
+            lw, lb = w + np.float32(m) * vw, b + m * vb
+            slack = np.maximum(0.0, 1.0 - y * (x @ lw + np.float32(lb))) * y * share
+            nw, nb = lw - np.float32(step) * (lw - np.float32(2 * cost) * (slack @ x)), lb + step * 2 * cost * float(slack.sum())
             vw, vb, w, b = nw - w, nb - b, nw, nb
         margin = y * (x @ w + b)
         slope = 1.0
@@ -146,7 +146,7 @@ class Hierarchy:
         return list(names), score
 
 
-def learn(labelled: DataFrame, key: str, text: str, language: str, per_language: int = 1000) -> Hierarchy | None:
+def learn(labelled: DataFrame, key: str, text: str, language: str, per_language: int = 800) -> Hierarchy | None:
     """None where there is nothing to learn from."""
     rows = bounded_sample(
         labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).alias("l"))
@@ -155,14 +155,14 @@ def learn(labelled: DataFrame, key: str, text: str, language: str, per_language:
     ).select("t", "l")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = [letter_counts(t).astype(np.float32).tobytes() if LETTER.search(t) else None for t in batch["t"].to_pylist()]
+        vectors = [letter_counts(t).tobytes() if LETTER.search(t) else None for t in batch["t"].to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), batch["l"]], ["x", "l"])
 
     got = [(r.x, r.l) for r in map_arrow(rows, features, "x binary, l string").collect() if r.x is not None]
     if not got:
         return None
     got.sort(key=lambda r: (r[1], bytes(r[0])))  # the same model however the rows arrive
-    return Hierarchy.fit(np.array([np.frombuffer(r[0], np.float32) for r in got], dtype=np.float64), np.array([r[1] for r in got]))
+    return Hierarchy.fit(np.array([np.frombuffer(r[0], np.float32) for r in got]), np.array([r[1] for r in got]))
 
 
 def identify(docs: DataFrame, model: Hierarchy | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, key: str = "doc_id", text
     return map_arrow(docs.select(key, text), score, f"`{key}` {kind}, lang_pred string, score double")
 
 
-def language_table(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def language_table(docs: DataFrame, per_language: int = 800) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows that are not held out, predicted for all."""
     learnable = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
     model = learn(learnable, "doc_id", "text", "lang", per_language)

@@ -51,7 +51,7 @@ HIDDEN = re.compile(r"(?i)\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*
 
 def is_noise(name: str, attributes: str, in_article: bool) -> bool:
     if name in NOISE_TAGS:
-        return not (name == "header" and in_article)
+        return True
     if name in ("html", "body", "main") or not attributes.strip():
         return False
     for key, *values in NAMED.findall(attributes):
@@ -60,7 +60,7 @@ def is_noise(name: str, attributes: str, in_article: bool) -> bool:
             if words & NOISE_ROLES:
                 return True
         elif hit := words & NOISE_WORDS:
-            if not (in_article and hit <= {"header"}):
+            if not (in_article and hit == {"header"}):  # as in article-header: its title
                 return True
     return bool(HIDDEN.search(attributes))
 

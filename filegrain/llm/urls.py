@@ -98,12 +98,13 @@ def template_verdicts(shapes: DataFrame) -> DataFrame:
     placed = shapes.join(templates, ["host", "shape"]).withColumn(
         "skeleton", F.array_join(F.transform(F.split("template", "/"), lambda s: F.when((s == "") | s.startswith("<"), s).otherwise("<word>")), "/")
     )
-    sums = lambda *keys: placed.groupBy(*keys).agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    branches = sums("host", "skeleton", "template")
-    pooled = sums("host", "skeleton").withColumnsRenamed({"blocked": "all_blocked", "labelled": "all_labelled"})
+    branches = placed.groupBy("host", "skeleton", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+    pooled = branches.groupBy("host", "skeleton").agg(
+        F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"), F.count_if(F.col("labelled") > 0).alias("known")
+    )
     share = (F.col("all_blocked") + 1.0) / (F.col("all_labelled") + 2.0)
     distance = F.col("blocked") - F.col("labelled") * share
-    like = (F.col("labelled") >= LEAST_LABELLED) & (distance * distance <= LIKE_Z * LIKE_Z * F.col("labelled") * share * (1 - share))
+    like = (F.col("known") > 1) & (F.col("labelled") >= LEAST_LABELLED) & (distance * distance <= LIKE_Z * LIKE_Z * F.col("labelled") * share * (1 - share))
     judged = branches.join(pooled, ["host", "skeleton"]).withColumn("group", F.when(like, F.col("skeleton")).otherwise(F.col("template")))
     purity = (F.sum("blocked") + PRIOR_ROWS * PRIOR_SHARE) / (F.sum("labelled") + PRIOR_ROWS)
     groups = judged.groupBy("host", "skeleton", "group").agg((purity >= REJECT_SHARE).alias("rejected"))
@@ -177,10 +178,10 @@ placed AS (
   FROM shapes JOIN templates USING (host, shape)),
 branches AS (SELECT host, skeleton, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM placed GROUP BY ALL),
 pooled AS (
-  SELECT *, (sum(blocked) OVER w + 1.0) / (sum(labelled) OVER w + 2.0) AS share FROM branches
+  SELECT *, (sum(blocked) OVER w + 1.0) / (sum(labelled) OVER w + 2.0) AS share, count(*) FILTER (labelled > 0) OVER w AS known FROM branches
   WINDOW w AS (PARTITION BY host, skeleton)),
 judged AS (
-  SELECT *, CASE WHEN labelled >= {LEAST_LABELLED}
+  SELECT *, CASE WHEN known > 1 AND labelled >= {LEAST_LABELLED}
                   AND pow(blocked - labelled * share, 2) <= {LIKE_Z * LIKE_Z} * labelled * share * (1 - share)
              THEN skeleton ELSE template END AS merged FROM pooled),
 verdicts AS (

@@ -23,14 +23,59 @@ def classify_events(filings: DataFrame) -> DataFrame:
     return element_rows(filings, keep, items, pos="item_pos", item="item").select(*keep, "item_pos", "item.*")
 
 
-def first_within_ttl(requests: DataFrame, ttl: str = "7 days") -> DataFrame:
-    """Requests whose key has not been seen within the TTL; state is dropped as
-    the watermark passes."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["result_key"])
+TTL_SCHEMA = "result_key string, ts timestamp"
+
+
+class WithinTtl(StatefulProcessor):
+    """State per key: when the request last let through expires. A request goes
+    through when nothing holds its key at its own time; its TTL then holds the
+    key. State goes with an event-time timer, once the watermark is past the
+    expiry: nothing that could still be held back can come after that."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._held = handle.getValueState("held", "since bigint, expiry bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since, expiry = self._held.get() if self._held.exists() else (None, None)
+        before = expiry
+        arrived = [(at, ttl) for frame in rows for at, ttl in zip(frame["at"], frame["ttl"])]
+        passed = []
+        for at, ttl in sorted(arrived):
+            if expiry is None or at >= expiry:
+                since, expiry = int(at), int(at + ttl)
+                passed.append(since)
+        if passed:
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self._held.update((since, expiry))
+            self._handle.registerTimer(-(-expiry // 1000))
+        assert before is None or expiry >= before
+        yield pd.DataFrame({"result_key": pd.Series([key[0]] * len(passed), dtype="object"), "ts": pd.to_datetime(passed, unit="us")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._held.clear()
+        yield pd.DataFrame({"result_key": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
+def first_within_ttl(requests: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """``requests(result_key, ts, ttl_seconds)``: those whose key no earlier one
+    that went through still holds. Each brings its own TTL; ``lateness`` is how
+    far behind the newest a request may come and still be judged in order.
+    Needs the RocksDB state store provider (see ``use_rocksdb``)."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    timed = requests.withWatermark("ts", lateness).select(
+        "result_key", "ts", F.unix_micros("ts").alias("at"), (F.col("ttl_seconds") * 1_000_000).cast("long").alias("ttl")
+    )
+    return timed.groupBy("result_key").transformWithStateInPandas(WithinTtl(), TTL_SCHEMA, "append", "EventTime")
 
 
 def daily_counts(usage: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Runs per user and UTC day."""
+    """Runs per user and UTC day. In update mode open days come out too and are
+    replaced as they grow; read them back with ``newest_rows``."""
     return (
         usage.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day"), "user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -60,17 +105,18 @@ class SignalTransitions(StatefulProcessor):
     the batch job's (``full_history_transitions``), which splits long series."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "seq bigint, signals string")
+        self._last = handle.getValueState("last", "seq bigint, signals array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ticker, form = key
-        batch = pd.concat(list(rows)).sort_values(["seq", "accession_number"])
-        stored = self._last.get() if self._last.exists() else None
-        seq, known = (stored[0], set(filter(None, stored[1].split("\x1f")))) if stored else (None, None)
+        batch = sorted((int(p), a, tuple(s)) for f in rows for p, a, s in zip(f["seq"], f["accession_number"], f["signals"]))
+        seq, known = None, None
+        if self._last.exists():
+            seq, listed = self._last.get()
+            known = set(listed)
         out = []
-        for accession, place, listed in zip(batch["accession_number"], batch["seq"], batch["signals"]):
-            place = int(place)
-            now = set(listed)
+        for place, accession, signals in batch:
+            now = set(signals)
             if seq is not None and place < seq:
                 out.append((ticker, form, accession, place, "late", None))
                 continue
@@ -79,7 +125,7 @@ class SignalTransitions(StatefulProcessor):
                 out += [(ticker, form, accession, place, "removed", s) for s in sorted(known - now)]
             seq, known = place, now
         if seq is not None:
-            self._last.update((seq, "\x1f".join(sorted(known))))
+            self._last.update((seq, sorted(known)))
         yield pd.DataFrame(out, columns=["ticker", "form_type", "accession_number", "seq", "change", "signal"])
 
     def close(self) -> None:
@@ -113,7 +159,11 @@ BILLING_EFFECTS = {
 
 def billing_status(events: DataFrame) -> DataFrame:
     """Latest effect per user: status, plan of the subscription, usage plan. The
-    subscription keeps its plan when it lapses; the usage plan falls back."""
+    subscription keeps its plan when it lapses; the usage plan falls back.
+
+    The later event wins whatever the order of arrival, and each user's latest
+    events are all the state there is, so the same aggregation serves a batch and,
+    in update mode, a stream that writes only the users a trigger touched."""
     known = events.where(F.col("event").isin(*BILLING_EFFECTS))
     status = usage_plan = None
     for event, (s, p) in BILLING_EFFECTS.items():
@@ -127,44 +177,13 @@ def billing_status(events: DataFrame) -> DataFrame:
         F.max_by(status, order).alias("status"),
         F.max_by("plan", F.when(pays, order)).alias("plan"),
         F.max_by(usage_plan, order).alias("usage_plan"),
-        F.max(order).alias("_at"),
-        F.max(F.when(pays, order)).alias("_paid_at"),
-    )
-
-
-def merge_billing(snapshot: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Snapshot after a batch: per user the later event wins, whatever the
-    order of arrival, so replays change nothing."""
-    fresh = billing_status(batch)
-    both = fresh if snapshot is None else snapshot.unionByName(fresh)
-    return both.groupBy("user_id").agg(
-        F.max_by("status", "_at").alias("status"),
-        F.max_by("plan", "_paid_at").alias("plan"),
-        F.max_by("usage_plan", "_at").alias("usage_plan"),
-        F.max("_at").alias("_at"),
-        F.max("_paid_at").alias("_paid_at"),
     )
 
 
-class BillingSnapshot:
-    """``foreachBatch`` sink keeping numbered snapshots in a shared folder. A
-    retried batch rewrites its own snapshot from the one before it."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{self.path}/{batch_id - 1}") if batch_id > 0 else None
-        merge_billing(before, batch).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-
-    def latest(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{batch_id}").drop("_at", "_paid_at")
-
-
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: Sequence[str] = ()) -> None:
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run all available input to completion into parquet files. In update mode
-    only the newest row per key is meant to be read (``keys`` name it)."""
+    each trigger's rows carry its ``batch_id`` and a retried trigger replaces its
+    own; ``newest_rows`` reads what holds."""
     if mode == "append":
         query = (
             stream.writeStream.format("parquet").option("path", path)
@@ -172,10 +191,18 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", k
         )
     else:
         def save(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
         query = (
             stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .outputMode(mode).trigger(availableNow=True).start()
         )
     query.awaitTermination()
+
+
+def newest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of an update stream as they stand: each key's from its last batch."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
+    return last.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])

@@ -3,7 +3,7 @@
 Every document becomes the newer of two filings of one company. A third of its
 sentences take in a phrase of the lexicons (chosen from the sentence's length
 and place), the older filing drops every seventh sentence and words others
-differently. Bodies are laid out in five ways, so that each way of finding a
+differently. Some newer filings begin with a sentence that names every phrase of tier 2. Bodies are laid out in five ways, so that each way of finding a
 section occurs.
 """
 
@@ -24,6 +24,8 @@ PHRASES = [
 ]
 RISK_LINE = "We could face material risk."
 MDA_LINE = "Operating results and revenue increased compared with the prior year."
+#: More phrases of one tier than any list shows.
+LISTING = "We have seen " + ", ".join(fv.TIER2_SIGNALS) + "."
 FORMS = ("10-K", "10-Q", "20-F")
 # per form: risk id and heading, heading behind it, discussion id and heading, heading behind it
 HEADS = {
@@ -49,16 +51,17 @@ def _worded(s: Column, i: Column, shift: Column) -> Column:
     ).otherwise(s)
 
 
-def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, sents, older_sents, text, older_text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+def disclosures(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, source, sents, older_sents, text, older_text. ``docs``: other rows, as of a stream."""
+    docs = (table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "lang", "source", "text")
     split = docs.select("doc_id", "lang", "source", sentences(F.col("text")).alias("_s"))
     now = F.transform("_s", lambda s, i: _worded(s, i, F.lit(0)))
     then = F.filter(
         F.transform("_s", lambda s, i: F.when(i % 7 != 3, _worded(s, i, F.when(i % 5 == 1, 9).otherwise(0)))),
         lambda s: s.isNotNull(),
     )
-    return split.select("doc_id", "lang", "source", now.alias("sents"), then.alias("older_sents")).select(
+    listing = F.when(F.col("doc_id") % 25 == 7, F.array(F.lit(LISTING))).otherwise(F.array().cast("array<string>"))
+    return split.select("doc_id", "lang", "source", F.concat(listing, now).alias("sents"), then.alias("older_sents")).select(
         "*", F.array_join("sents", " ").alias("text"), F.array_join("older_sents", " ").alias("older_text")
     )
 
@@ -204,7 +207,7 @@ SQL_DISCLOSURES = f"""
 base AS (SELECT doc_id, lang, source, {sql_sentences('text')} AS s FROM documents),
 edited AS (
   SELECT doc_id, lang, source,
-    list_transform(s, lambda x, i: {_sql_worded('0')}) AS sents,
+    list_concat(CASE WHEN doc_id % 25 = 7 THEN [{lit(LISTING)}] ELSE [] END, list_transform(s, lambda x, i: {_sql_worded('0')})) AS sents,
     list_filter(list_transform(s, lambda x, i: CASE WHEN (i - 1) % 7 <> 3 THEN
       {_sql_worded('CASE WHEN (i - 1) % 5 = 1 THEN 9 ELSE 0 END')} END), lambda x: x IS NOT NULL) AS older_sents
   FROM base

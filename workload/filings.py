@@ -264,7 +264,7 @@ def q_by_pattern(spark, d):
 ITEM_POOL = [n for n, _, _ in fv.EVENT_ITEMS] + ["5.06", "9.99"]
 
 
-def _event_filings(spark, d):
+def _event_filings(spark, d, docs=None):
     """Every document as an event report: each third sentence opens an item."""
     doc = F.col("doc_id")
     pool = F.array(*[F.lit(n) for n in ITEM_POOL])
@@ -272,7 +272,7 @@ def _event_filings(spark, d):
         i % 3 == 1, F.concat(F.lit("<p>Item "), F.element_at(pool, ((F.length(s) + i) % len(ITEM_POOL) + 1)), F.lit(" "), s, F.lit("</p>"))
     ).otherwise(F.concat(F.lit("<p>"), s, F.lit("</p>"))))
     plain = F.transform("sents", lambda s: F.replace(F.replace(s, F.lit("&"), F.lit(" ")), F.lit("<"), F.lit(" ")))
-    docs = disclosures(spark, d).withColumn("sents", plain)
+    docs = disclosures(spark, d, docs).withColumn("sents", plain)
     return docs.select(
         F.concat(F.lit("E"), letters(F.floor(doc / 5))).alias("ticker"), F.lit("8-K").alias("form_type"),
         accession(doc, 2).alias("accession_number"), F.date_add(F.lit("2022-01-01").cast("date"), (doc % 5).cast("int")).alias("filing_date"),
@@ -327,7 +327,21 @@ worst AS (
 f AS (SELECT 'E' || {sql_letters('doc_id // 5')} AS ticker, count(*) AS filing_count, count(*) FILTER (doc_id % 11 <> 0 AND text <> '') AS parsed_count FROM disc GROUP BY 1)
 SELECT f.ticker, filing_count, parsed_count, CAST(coalesce(n, 0) AS BIGINT) AS event_count, w AS highest_risk_event FROM f LEFT JOIN worst USING (ticker)""")
 def q_highest(spark, d):
-    return plans.eight_k_summary(_events(spark, d))
+    return plans.eight_k_summary(_events(spark, d)).drop("pipeline_success", "failure_reason")
+
+
+def _requests(found, absent):
+    """Tickers with filings, and ones that have none."""
+    return found.select("ticker").unionByName(absent.select("ticker")).distinct()
+
+
+@query("event_failures", f"""WITH r AS (SELECT DISTINCT unnest(['E' || {sql_letters('doc_id // 5')}, 'NE' || {sql_letters('doc_id // 7')}]) AS ticker FROM documents)
+SELECT ticker, NOT starts_with(ticker, 'N') AS pipeline_success, CASE WHEN starts_with(ticker, 'N') THEN 'No 8-K filings found for ' || ticker || '.' END AS failure_reason FROM r""")
+def q_event_failures(spark, d):
+    f = _event_filings(spark, d)
+    absent = table(spark, d, "documents").select(F.concat(F.lit("NE"), letters(F.floor(F.col("doc_id") / 7))).alias("ticker"))
+    out = plans.eight_k_summary(_events(spark, d), _requests(f, absent))
+    return out.select("ticker", "pipeline_success", "failure_reason")
 
 
 # --- trends --------------------------------------------------------------------------------
@@ -619,6 +633,28 @@ FROM f JOIN g USING (ticker)""")
 def q_insider(spark, d):
     f = _form4(spark, d)
     docs = f.select("accession_number", "xml", "rendered_html")
-    return plans.insider_activity(f.drop("xml", "rendered_html"), docs, 25).drop("transaction_count")
+    return plans.insider_activity(f.drop("xml", "rendered_html"), docs, 25).where("pipeline_success").drop(
+        "transaction_count", "pipeline_success", "failure_reason")
+
+
+@query("insider_failures", f"""{FORM4_SQL},
+f AS (SELECT upper(code) AS code, event_id, rendered, ticker || '-' || event_type AS ticker FROM (SELECT tx.*, e.event_type FROM tx JOIN events e USING (event_id))),
+g AS (
+  SELECT ticker, count(*) AS n, count(*) FILTER (code <> '' AND NOT (rendered AND code = 'X')) AS parsed,
+    array_to_string(list(event_id || ': ' || CASE WHEN rendered THEN 'no XML found' ELSE 'XML fetched but 0 transactions parsed' END ORDER BY event_id)[1:5], ' | ') AS notes
+  FROM f GROUP BY 1),
+r AS (SELECT DISTINCT unnest([ticker, 'N' || ticker]) AS ticker FROM f)
+SELECT r.ticker, coalesce(parsed > 0, FALSE) AS pipeline_success,
+  CASE WHEN n IS NULL THEN 'No Form 4 filings found for ' || r.ticker || ' in the recent submissions window. This can happen for companies with very low insider trading activity recently.'
+    WHEN parsed = 0 THEN 'Found ' || n || ' Form 4 filing(s) for ' || r.ticker || ' but could not parse transaction data from any of them. Diagnostic: ' || notes END AS failure_reason
+FROM r LEFT JOIN g USING (ticker)""")
+def q_insider_failures(spark, d):
+    """A company for each kind of event, so that some have only filings without transactions."""
+    kinds = table(spark, d, "events").select(F.col("event_id").alias("accession_number"), "event_type")
+    f = _form4(spark, d).join(kinds, "accession_number").withColumn("ticker", F.concat_ws("-", "ticker", "event_type"))
+    index = f.drop("xml", "rendered_html", "event_type").withColumn("filing_date", F.lit(None).cast("date")).withColumn("index_pos", F.col("accession_number"))
+    absent = f.select(F.concat(F.lit("N"), "ticker").alias("ticker"))
+    out = plans.insider_activity(index, f.select("accession_number", "xml", "rendered_html"), 25, _requests(f, absent))
+    return out.select("ticker", "pipeline_success", "failure_reason")
 
 

@@ -1,6 +1,6 @@
-"""Streaming jobs run over the supplied tables to completion. Each query drains
-its stream into files in the session's checkpoint folder and reads them back;
-the SQL is the batch twin."""
+"""Streaming jobs run over the supplied tables to completion. Each query streams
+the table from where it lies, drains into files in the session's checkpoint
+folder and reads them back; the SQL is the batch twin over all rows."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from filegrain.functions.scoring import find_hits, of_tier, signals
 from filegrain.session import checkpoint_dir
 from filegrain.streaming import jobs
 
-from . import query, table
+from . import query
 from .corpus import SQL_DISCLOSURES, disclosures, sql_lexicon
 from .filings import EVENT_SQL, _event_filings
 
@@ -26,10 +26,11 @@ def scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/filegrain-{name}-{uuid.uuid4().hex}"
 
 
-def _land(df, folder: str):
-    """Write a batch as files, one per task, and read it as a stream."""
-    df.write.parquet(f"{folder}/in")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+def _stream(spark, d: str, name: str):
+    """A supplied table as a stream, a file at a time, without a copy. The path is
+    written as a pattern: a plain one has to be a folder, a table may be a file."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parque[t]")
 
 
 def _ts(c="ts"):
@@ -40,37 +41,46 @@ def _ts(c="ts"):
 SELECT accession_number, ticker, CAST(item_pos AS INT) AS item_pos, item_number, label, tier, materiality, excerpt FROM events""")
 def q_stream_items(spark, d):
     folder = scratch(spark, "items")
-    jobs.drain(jobs.classify_events(_land(_event_filings(spark, d), folder)), f"{folder}/out", f"{folder}/cp")
+    filings = _event_filings(spark, d, _stream(spark, d, "documents"))
+    jobs.drain(jobs.classify_events(filings), f"{folder}/out", f"{folder}/cp")
     return spark.read.parquet(f"{folder}/out").drop("filing_date")
 
 
-@query("stream_ttl_keys", "SELECT DISTINCT event_type || ':' || user_id AS result_key FROM events")
+@query("stream_ttl_keys", """WITH RECURSIVE e AS (
+  SELECT event_type || ':' || user_id AS result_key, ts, 3 + user_id % 5 AS days FROM events
+),
+passed AS (
+  SELECT result_key, min(ts) AS ts, min(days) AS days FROM e GROUP BY 1
+  UNION ALL
+  SELECT p.result_key, min(e.ts), min(e.days) FROM passed p JOIN e ON e.result_key = p.result_key AND e.ts >= p.ts + to_days(CAST(p.days AS INTEGER)) GROUP BY p.result_key, p.ts
+)
+SELECT result_key, CAST(epoch_us(ts) AS BIGINT) AS at FROM passed""")
 def q_stream_ttl(spark, d):
     folder = scratch(spark, "ttl")
-    e = table(spark, d, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("result_key"), _ts().alias("ts"))
-    # one watermark longer than the data's span: each key is let through once
-    jobs.drain(jobs.first_within_ttl(_land(e, folder), "40 days"), f"{folder}/out", f"{folder}/cp")
-    return spark.read.parquet(f"{folder}/out").select("result_key")
+    jobs.use_rocksdb(spark)
+    e = _stream(spark, d, "events").select(
+        F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("result_key"), _ts().alias("ts"),
+        ((3 + F.col("user_id") % 5) * 86_400).alias("ttl_seconds"),
+    )
+    jobs.drain(jobs.first_within_ttl(e), f"{folder}/out", f"{folder}/cp")
+    return spark.read.parquet(f"{folder}/out").select("result_key", F.unix_micros("ts").alias("at"))
 
 
-@query("stream_daily_counts", """SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+@query("stream_daily_counts", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_daily(spark, d):
     folder = scratch(spark, "daily")
-    e = table(spark, d, "events").select("user_id", _ts().alias("ts"))
-    jobs.drain(jobs.daily_counts(_land(e, folder)), f"{folder}/out", f"{folder}/cp")
-    return spark.read.parquet(f"{folder}/out").select("user_id", F.to_date("day").alias("day"), "n")
+    e = _stream(spark, d, "events").select("user_id", _ts().alias("ts"))
+    jobs.drain(jobs.daily_counts(e), f"{folder}/out", f"{folder}/cp", "update")
+    return jobs.newest_rows(spark, f"{folder}/out", ["user_id", "day"]).select("user_id", F.to_date("day").alias("day"), "n")
 
 
 @query("stream_conversation_counters", "SELECT conv_id AS conversation_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def q_stream_counters(spark, d):
     folder = scratch(spark, "counters")
-    m = table(spark, d, "conversations").select(
+    m = _stream(spark, d, "conversations").select(
         F.col("conv_id").alias("conversation_id"), F.timestamp_seconds(F.col("turn") * 60 + 1704067200).alias("created_at"))
-    jobs.drain(jobs.conversation_counters(_land(m, folder)), f"{folder}/out", f"{folder}/cp", "update")
-    rows = spark.read.parquet(f"{folder}/out")
-    last = rows.groupBy("conversation_id").agg(
-        F.max("message_count").alias("message_count"), F.max("last_message_at").alias("last_message_at"))
+    jobs.drain(jobs.conversation_counters(m), f"{folder}/out", f"{folder}/cp", "update")
+    last = jobs.newest_rows(spark, f"{folder}/out", ["conversation_id"])
     return last.select("conversation_id", "message_count", F.floor((F.unix_seconds("last_message_at") - 1704067200) / 60).alias("last_turn"))
 
 
@@ -85,11 +95,11 @@ def q_stream_transitions(spark, d):
     folder = scratch(spark, "transitions")
     jobs.use_rocksdb(spark)
     doc = F.col("doc_id")
-    points = disclosures(spark, d).select(
+    points = disclosures(spark, d, _stream(spark, d, "documents")).select(
         F.floor(doc / 6).cast("string").alias("ticker"), F.lit("10-K").alias("form_type"), doc.cast("string").alias("accession_number"),
         doc.alias("seq"), signals(of_tier(find_hits(F.col("text")), 1, 2)).alias("signals"),
     )
-    jobs.drain(jobs.signal_transitions(_land(points, folder)), f"{folder}/out", f"{folder}/cp")
+    jobs.drain(jobs.signal_transitions(points), f"{folder}/out", f"{folder}/cp")
     return spark.read.parquet(f"{folder}/out").select("seq", "change", "signal")
 
 
@@ -106,14 +116,10 @@ SELECT user_id, arg_max(status, ts) AS status, arg_max(plan, ts) FILTER (event I
 def q_stream_billing(spark, d):
     folder = scratch(spark, "billing")
     kind = F.col("event_type")
-    e = table(spark, d, "events").select(
+    e = _stream(spark, d, "events").select(
         "user_id", "event_id", "ts", F.when(F.col("event_id") % 2 == 0, "pro").otherwise("business").alias("plan"),
         F.when(kind == "purchase", "charge.success").when(kind == "signup", "subscription.create").when(kind == "error", "invoice.payment_failed")
         .when(kind == "click", "subscription.disable").otherwise("other").alias("event"),
     )
-    _land(e, folder)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
-    sink = jobs.BillingSnapshot(f"{folder}/snapshots")
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return sink.latest(spark, q.lastProgress["batchId"])
+    jobs.drain(jobs.billing_status(e), f"{folder}/out", f"{folder}/cp", "update")
+    return jobs.newest_rows(spark, f"{folder}/out", ["user_id"])

@@ -24,3 +24,10 @@ def struct_rows(df: DataFrame, keep: Sequence[str | Column], array: Column) -> D
     rows = element_rows(df, keep, array)
     kept = [c for c in rows.columns if c not in ("_pos", "_item")]
     return rows.select(*kept, "_item.*")
+
+
+def left_join_present(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join whose rows without a key stay out of the exchange: they match
+    nothing and would all meet in one task."""
+    joined = left.where(F.col(key).isNotNull()).join(right, key, "left").select(*left.columns, *[c for c in right.columns if c != key])
+    return joined.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)

@@ -41,18 +41,6 @@ class Lexicon:
                 seen.setdefault(phrase, tier)
         return cls(tuple(seen.items()), base, in_change, fresh)
 
-    @classmethod
-    def from_table(cls, table: DataFrame, max_rows: int = 5000) -> Lexicon:
-        """From rows ``(signal, tier, ord)``. A lexicon is a short list; a
-        longer table is refused rather than pulled to the driver."""
-        rows = table.select("signal", "tier", "ord").orderBy("ord").limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError(f"lexicon has more than {max_rows} rows")
-        tiers: dict[int, list[str]] = {}
-        for row in rows:
-            tiers.setdefault(row["tier"], []).append(row["signal"])
-        return cls.of(tiers)
-
     def found_in(self, text: Column) -> Column:
         """Entries contained in the text, in lexicon order, as hit structs."""
         phrases = [p for p, _ in self.entries]
@@ -103,19 +91,6 @@ def except_named(hits: Column, other: Column) -> Column:
     return let(other, lambda o: F.filter(hits, lambda h: ~F.array_contains(o, h["signal"])))
 
 
-def only_named(hits: Column, other: Column) -> Column:
-    return let(other, lambda o: F.filter(hits, lambda h: F.array_contains(o, h["signal"])))
-
-
-def context(text: Column, needle: Column, window: int = 120) -> Column:
-    """The first occurrence with half a window on both sides, on one line."""
-    half = window // 2
-    position = F.instr(F.lower(text), needle)
-    cut = around(text, position, F.length(needle), half, half)
-    shown = F.concat(F.lit("..."), strip(F.replace(cut, F.lit("\n"), F.lit(" "))), F.lit("..."))
-    return F.when(position > 0, shown).otherwise(F.lit(""))
-
-
 def with_context(hits: Column, text: Column, window: int = 120) -> Column:
     """Hits with their context, the text lowered once per row."""
     half = window // 2
@@ -289,3 +264,27 @@ def tier_names(tier: Column) -> Column:
         out = F.when(tier == t, name) if out is None else out.when(tier == t, name)
     return out
 
+
+GRAM = 4
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct runs of ``size`` characters."""
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size))))
+
+
+def lexicon_table_hits(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Hits of a lexicon of any size, held as rows ``(signal, tier, ord)``: one row per text and entry it contains.
+
+    An entry's first characters are its key; distinct character runs of the texts meet
+    the keys in an equi-join, and ``contains`` decides. Entries shorter than a run are
+    keyed by all they have; only the lengths that occur are taken from the texts.
+    """
+    entries = lexicon.where(F.length("signal") > 0).withColumn("_needle", F.lower("signal"))
+    entries = entries.withColumn("_gram", F.substring("_needle", 1, GRAM))
+    sizes = entries.select(F.length("_gram").alias("_size")).distinct()
+    low = texts.select(*keys, F.lower(text).alias("_low"))
+    runs = low.join(F.broadcast(sizes), F.length("_low") >= F.col("_size"))  # GRAM rows at most
+    met = runs.select(*keys, "_low", F.explode(_grams(F.col("_low"), F.col("_size"))).alias("_gram"))
+    return met.join(entries, "_gram").where(F.contains("_low", F.col("_needle"))).select(*keys, "signal", "tier", "ord")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.rows import left_join_present
 
 
 def with_subscription(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def local_date(ts: Column, zone: Column) -> Column:
 
 def daily_usage(usage: DataFrame, users: DataFrame, free_limit: int = fv.FREE_DAILY_LIMIT) -> DataFrame:
     """Runs per user and local day against the free limit. ``usage(user_id,
-    ts)`` is counted per UTC hour first, so only small rows meet the users."""
+    ts)`` is counted per quarter hour first, so only small rows meet the users."""
     # quarter hours: every zone in use is offset by a multiple of them
     slot = F.date_trunc("hour", "ts") + F.make_dt_interval(mins=(F.floor(F.minute("ts") / 15) * 15).cast("int"))
     slots = usage.groupBy("user_id", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
@@ -82,15 +83,17 @@ def daily_usage(usage: DataFrame, users: DataFrame, free_limit: int = fv.FREE_DA
 
 def plan_usage(charges: DataFrame, plans: DataFrame, now: Column) -> DataFrame:
     """Analyses used in each user's current period, limit, days left. A period
-    that ended before ``now`` starts again at ``now`` with nothing used."""
+    that ended before ``now`` starts again at ``now`` with nothing used. Charges
+    from before the earliest period are left unread."""
     current = (
         plans.withColumn("_ended", now > F.col("period_end"))
         .withColumn("period_start", F.when(F.col("_ended"), now).otherwise(F.col("period_start")))
         .withColumn("period_end", F.when(F.col("_ended"), period_end(F.col("plan"), now)).otherwise(F.col("period_end")))
     )
     inside = (F.col("ts") >= F.col("period_start")) & (F.col("ts") <= now)
+    earliest = current.agg(F.min("period_start")).scalar()
     used = (
-        charges.join(current.select("user_id", "period_start"), "user_id")
+        charges.where((F.col("ts") >= earliest) & (F.col("ts") <= now)).join(current.select("user_id", "period_start"), "user_id")
         .where(inside).groupBy("user_id").agg(F.count(F.lit(1)).alias("charged"))
     )
     limit = plan_limit(F.col("plan"))
@@ -150,12 +153,8 @@ def cascade(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 
 def set_null(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Children with keys of missing parents emptied."""
-    seen = parents.select(F.col(parent_key).alias("_parent")).distinct()
-    return (
-        children.join(seen, F.col(child_key) == F.col("_parent"), "left")
-        .withColumn(child_key, F.when(F.col("_parent").isNotNull(), F.col(child_key)))
-        .drop("_parent")
-    )
+    seen = parents.select(F.col(parent_key).alias(child_key), F.lit(True).alias("_seen")).distinct()
+    return left_join_present(children, seen, child_key).withColumn(child_key, F.when(F.col("_seen"), F.col(child_key))).drop("_seen")
 
 
 def domain_violations(
@@ -213,13 +212,17 @@ def conversation_counters(messages: DataFrame) -> DataFrame:
     )
 
 
-def context_messages(messages: DataFrame, n: int = fv.CONTEXT_MESSAGES, newest: bool = True) -> DataFrame:
+def context_messages(
+    messages: DataFrame, n: int = fv.CONTEXT_MESSAGES, newest: bool = True, roles: Sequence[str] | None = None,
+) -> DataFrame:
     """The last (or first) ``n`` messages of each conversation, oldest first by
-    ``position``."""
+    ``position``; of them those of the named roles."""
     order = [F.col("created_at").desc(), F.col("id").desc()] if newest else [F.col("created_at").asc(), F.col("id").asc()]
     ranked = messages.withColumn("_rn", F.row_number().over(Window.partitionBy("conversation_id").orderBy(*order)))
     kept = ranked.where(F.col("_rn") <= n)
     if newest:
         size = F.count(F.lit(1)).over(Window.partitionBy("conversation_id"))
-        return kept.withColumn("position", (size - F.col("_rn") + 1).cast("int")).drop("_rn")
-    return kept.withColumn("position", F.col("_rn")).drop("_rn")
+        kept = kept.withColumn("position", (size - F.col("_rn") + 1).cast("int"))
+    else:
+        kept = kept.withColumn("position", F.col("_rn"))
+    return (kept.where(F.col("role").isin(*roles)) if roles else kept).drop("_rn")

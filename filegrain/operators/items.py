@@ -40,16 +40,3 @@ def event_items(text: Column, items: Sequence[tuple[str, str, int]] = fv.EVENT_I
         ))
 
     return let(pieces_between(text, fv.EVENT_ITEM_PATTERN, 1), known)
-
-
-def highest_event(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The most severe event per key; the newest filing's first item on ties.
-    Rows need ``tier``, ``rn`` (1 = newest filing) and ``item_pos``."""
-    label = F.concat(
-        F.lit("Item "), "item_number", F.lit(" — "), "label",
-        F.lit(" ("), F.col("filing_date").cast("string"), F.lit(")"),
-    )
-    return events.groupBy(*keys).agg(
-        F.min_by(label, F.struct("tier", "rn", "item_pos")).alias("highest_risk_event"),
-        F.min("tier").alias("highest_tier"),
-    )

@@ -53,21 +53,6 @@ def with_bodies(
     return found.unionByName(absent, allowMissingColumns=True)
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One whole row per key, the greatest by ``order``. ``max_by`` combines
-    before the exchange, so hot keys shrink on the map side."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-
-
-def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One whole row per key, the least by ``order``."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-
-
 def filing_pairs(index: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Newer and older filing of each series; a lone filing keeps a gap note."""
     side = lambda rn, c: F.max(F.when(F.col("rn") == rn, F.col(c)))

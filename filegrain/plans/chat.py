@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import left_join_present
 from ..functions import fixed_values as fv
 from ..functions import routing as r
 from ..functions.text import clip
@@ -81,7 +82,7 @@ def conversation_context(conversations: DataFrame, analyses: DataFrame) -> DataF
         F.col("id").alias("analysis_id"),
         context_summary(F.col("tool_name"), F.col("tool_output"), F.col("ticker"), F.col("ai_interpretation")).alias("context"),
     )
-    return conversations.join(linked, "analysis_id", "left")
+    return left_join_present(conversations, linked, "analysis_id")
 
 
 def usage_report(usage: DataFrame, users: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def executive_reports(
         F.inline(F.array(texts("risk_factors"), texts("mda"))),
     )
     scored = compare_texts(rows, keys=list(SERIES), lexicon=lexicon)
-    t12 = F.concat(F.slice(of_tier(F.col("hits"), 1), 1, fv.HIT_CAPS[1]), F.slice(of_tier(F.col("hits"), 2), 1, fv.HIT_CAPS[2]))
+    t12 = F.concat(of_tier(F.col("hits"), 1), of_tier(F.col("hits"), 2))
     risk_row = F.col("section_name") == "risk_factors"
     section = F.struct(
         F.col("section_name"), F.col("delta_success").alias("compared"), F.col("pct_changed"), F.col("magnitude"),

@@ -19,8 +19,8 @@ def score_sections(sections: DataFrame, text: str = "text", lexicon: Lexicon = R
 
 
 def filing_scores(filings: DataFrame, lexicon: Lexicon = RISK_LEXICON) -> DataFrame:
-    """Filings with both sections' points and ratings and the set of tier 1–2
-    signals (display caps applied, as the trend compares the listed ones)."""
+    """Filings with both sections' points and ratings and the set of all tier 1–2
+    signals found. Only ``top_signals``, which is shown, is cut."""
     out = filings
     listed: list[Column] = []
     top: list[Column] = []
@@ -34,7 +34,7 @@ def filing_scores(filings: DataFrame, lexicon: Lexicon = RISK_LEXICON) -> DataFr
         )
         for tier in (1, 2):
             hits = of_tier(F.col(f"_{short}"), tier)
-            listed.append(signals(F.slice(hits, 1, fv.HIT_CAPS[tier])))
+            listed.append(signals(hits))
             if tier == 1:
                 top.append(signals(F.slice(hits, 1, 3)))
     return (

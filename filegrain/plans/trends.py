@@ -11,7 +11,7 @@ from ..functions import fixed_values as fv
 from ..functions.scoring import RISK_LEXICON, Lexicon, materiality_rank
 from ..functions.rows import struct_rows
 from ..functions.text import fixed
-from ..operators.recency import SERIES, clamp, newest, previous_row, with_bodies
+from ..operators.recency import SERIES, newest, previous_row, with_bodies
 from ..operators.sections import extract
 from .score import filing_scores
 
@@ -22,9 +22,9 @@ def trend_points(
     index: DataFrame, bodies: DataFrame, n: int = 4, *,
     lexicon: Lexicon = RISK_LEXICON, require_success: bool = False,
 ) -> DataFrame:
-    """One scored row per filing among the ``n`` (2–8) newest of each series
-    with a readable body."""
-    ranked = newest(index.where(F.col("form_type").isin(*fv.CORE_FORMS)), clamp(n, 2, 8))
+    """One scored row per filing among the ``n`` newest of each series with a
+    readable body. For whole histories see ``full_history_transitions``."""
+    ranked = newest(index.where(F.col("form_type").isin(*fv.CORE_FORMS)), n)
     # empty bodies go after the reading: a filter on ``html`` would be pushed
     # below the join
     extracted = extract(with_bodies(ranked, bodies, keep_absent=False)).where("readable")
@@ -49,7 +49,7 @@ def _moves(df: DataFrame, before: Column, keep: Sequence[str]) -> DataFrame:
 
 def signal_transitions(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Signals that appear or disappear from one filing to the next. ``points``
-    hold at most a few filings per series, so a window per series is bounded."""
+    hold the ``n`` newest filings of a series, so a window per series is bounded."""
     w = Window.partitionBy(*keys).orderBy(F.col("filing_date").asc(), F.col("rn").desc())
     keep = [*keys, "filing_date", "accession_number"]
     seen = points.withColumn("_before", F.lag("signal_set").over(w)).where(F.col("_before").isNotNull())
@@ -66,8 +66,8 @@ def full_history_transitions(
 
 
 def trend_summary(points: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Trajectory, peak and narrative per series; the points of a series (at
-    most eight) are gathered once and read in order."""
+    """Trajectory, peak and narrative per series; the points of a series (the
+    ``n`` newest) are gathered once and read in order."""
     gathered = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col("filing_date").alias("d"), (-F.col("rn")).alias("o"), F.col("accession_number").alias("a"),
         F.col("risk_raw_score").alias("score"), F.col("risk_materiality").alias("m"), F.col("signal_set").alias("set"),

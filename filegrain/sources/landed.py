@@ -44,7 +44,8 @@ def resolve_cik(requests: DataFrame, company_list: DataFrame) -> DataFrame:
 
 def submission_rows(pages: DataFrame, json: str = "json") -> DataFrame:
     """Parallel arrays of a page to one row per filing. Short date arrays give
-    empty strings; ``page`` and ``pos`` keep the listed order."""
+    empty strings; ``page`` and ``pos`` keep the listed order. A date that cannot
+    be read is NULL, and ``date_note`` says so: one bad row does not end a job."""
     keep = [c for c in pages.columns if c != json]
     # a field may be missing altogether: without it nothing could be zipped
     a = F.from_json(json, SUBMISSIONS_JSON)
@@ -52,6 +53,8 @@ def submission_rows(pages: DataFrame, json: str = "json") -> DataFrame:
         *keep, *[F.coalesce(F.col(f"a.{c}"), F.array().cast("array<string>")).alias(c) for c in SUBMISSION_ARRAYS]
     )
     filled = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
+    date = lambda c: F.nullif(filled(c), F.lit("")).try_cast("date")
+    unread = lambda c: F.when((filled(c) != "") & date(c).isNull(), F.concat(F.lit(f"{c} "), filled(c), F.lit(" is not a date")))
     return (
         element_rows(parsed, keep, F.arrays_zip(*SUBMISSION_ARRAYS), pos="pos", item="r")
         .where(F.col("r.form").isNotNull())
@@ -59,9 +62,10 @@ def submission_rows(pages: DataFrame, json: str = "json") -> DataFrame:
             *keep, "pos",
             F.col("r.form").alias("form_type"),
             F.replace(F.col("r.accessionNumber"), F.lit("-"), F.lit("")).alias("accession_number"),
-            F.to_date(F.nullif(filled("filingDate"), F.lit(""))).alias("filing_date"),
-            F.to_date(F.nullif(filled("reportDate"), F.lit(""))).alias("report_date"),
+            date("filingDate").alias("filing_date"),
+            date("reportDate").alias("report_date"),
             filled("primaryDocument").alias("primary_document"),
+            F.nullif(F.concat_ws("; ", *[unread(c) for c in ("filingDate", "reportDate")]), F.lit("")).alias("date_note"),
         )
     )
 
@@ -106,7 +110,7 @@ def dashed(accession: Column) -> Column:
 
 def absolute_url(href: Column, cik: Column, accession: Column, host: str = HOST) -> Column:
     folder = F.concat(
-        F.lit(f"{host}/Archives/edgar/data/"), cik.cast("long").cast("string"), F.lit("/"), accession, F.lit("/")
+        F.lit(f"{host}/Archives/edgar/data/"), F.coalesce(cik.try_cast("long").cast("string"), cik), F.lit("/"), accession, F.lit("/")
     )
     return (
         F.when(F.startswith(href, F.lit("http")), href)

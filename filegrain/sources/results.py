@@ -50,14 +50,3 @@ def as_json(df: DataFrame, columns: list[str], alias: str = "payload") -> DataFr
 def from_json(df: DataFrame, schema: str, column: str = "payload") -> DataFrame:
     keep = [c for c in df.columns if c != column]
     return df.select(*keep, F.from_json(column, schema).alias("_v")).select(*keep, "_v.*")
-
-
-def write_results(results: DataFrame, path: str) -> None:
-    """Append, partitioned by tool so that reads prune."""
-    results.write.mode("append").partitionBy("tool_name").parquet(path)
-
-
-def write_sections(sections: DataFrame, path: str) -> None:
-    """Sections once extracted are kept by form; comparisons then never read
-    ``html`` again."""
-    sections.write.mode("append").partitionBy("form_type").parquet(path)

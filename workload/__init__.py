@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.session import spread_small
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +21,5 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. The ones with long texts or many rows to parse are
-    dealt out over the cores when they are too small to fill them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if name in ("documents", "pages", "events") else df
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

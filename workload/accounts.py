@@ -102,6 +102,14 @@ def q_first(spark, d):
         "conversation_id", (F.col("id") % 1000).alias("turn"), "text", "position")
 
 
+@query("chat_context_messages", """SELECT conv_id AS conversation_id, turn, role, text, CAST(position AS INT) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations) WHERE position <= 12 AND role IN ('user', 'assistant')""")
+def q_chat_context(spark, d):
+    """What a chat is told of its past: the first twelve messages, without the system's."""
+    rows = acc.context_messages(_stored_messages(spark, d), newest=False, roles=("user", "assistant"), n=12)
+    return rows.select("conversation_id", (F.col("id") % 1000).alias("turn"), "role", "text", "position")
+
+
 @query("conversation_counters", "SELECT conv_id AS conversation_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def q_counters(spark, d):
     c = acc.conversation_counters(_stored_messages(spark, d))

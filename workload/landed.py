@@ -59,12 +59,15 @@ def q_ticker(spark, d):
 # --- submissions ----------------------------------------------------------------------
 
 
+NO_DATE = "2024-13-45"
+
+
 def _submission_pages(spark, d):
     """Pages of at most 2000 consecutive order keys per customer; every fourth
-    page lacks its report dates."""
+    page lacks its report dates, and some rows hold a date that is none."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
     acc = landed.dashed(F.lpad(F.col("o_orderkey").cast("string"), 18, "0"))
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    day = F.when(F.col("o_orderkey") % 97 == 5, F.lit(NO_DATE)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     row = F.struct(
         (F.lit(0) - F.col("o_orderkey")).alias("k"), _case("o_orderpriority", PRIORITY_FORM).alias("form"), acc.alias("acc"),
         day.alias("day"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("doc"),
@@ -85,7 +88,10 @@ def _submission_pages(spark, d):
 SUB_SQL = f"""sub AS (
   SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(1000000 - o_orderkey // 2000 AS BIGINT) AS page, o_orderkey,
     {_sql_case('o_orderpriority', PRIORITY_FORM)} AS form_type, lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS accession_number,
-    CAST(o_orderdate AS DATE) AS filing_date, CASE WHEN (1000000 - o_orderkey // 2000) % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS report_date,
+    CASE WHEN o_orderkey % 97 <> 5 THEN CAST(o_orderdate AS DATE) END AS filing_date,
+    CASE WHEN (1000000 - o_orderkey // 2000) % 4 <> 0 AND o_orderkey % 97 <> 5 THEN CAST(o_orderdate AS DATE) END AS report_date,
+    CASE WHEN o_orderkey % 97 = 5 THEN 'filingDate {NO_DATE} is not a date'
+      || CASE WHEN (1000000 - o_orderkey // 2000) % 4 <> 0 THEN '; reportDate {NO_DATE} is not a date' ELSE '' END END AS date_note,
     o_orderkey || '.htm' AS primary_document FROM orders
 )"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from filegrain.functions import fixed_values as fv
 from filegrain.functions.rows import element_rows, struct_rows
 from filegrain.functions.scoring import (
-    analyst_note, find_hits, lexicon_table, of_tier, score_text, signals, top_signals, with_context,
+    analyst_note, find_hits, lexicon_table, lexicon_table_hits, of_tier, score_text, signals, top_signals, with_context,
 )
 from filegrain.functions.text import jaccard, let, sentences, token_set
 from filegrain.operators import alignment as al
@@ -79,6 +79,17 @@ def q_lexicon(spark, d):
     )
 
 
+@query("lexicon_table_hits", """WITH lex AS (SELECT DISTINCT substr(text, 1 + item_id % 7, 3 + item_id % 9) AS signal, CAST(item_id % 3 + 1 AS INT) AS tier, item_id AS ord FROM benchmark
+  UNION ALL SELECT s, 1, -len(s) FROM (VALUES ('a'), ('the'), ('THE'), ('')) AS v(s))
+SELECT doc_id, signal, tier, ord FROM documents JOIN lex ON signal <> '' AND contains(lower(text), lower(signal))""")
+def q_lexicon_table(spark, d):
+    """A lexicon held as a table: pieces of the benchmark items, and some very short entries."""
+    cut = F.expr("substring(text, cast(1 + item_id % 7 as int), cast(3 + item_id % 9 as int))")
+    lexicon = table(spark, d, "benchmark").select(cut.alias("signal"), (F.col("item_id") % 3 + 1).cast("int").alias("tier"), F.col("item_id").alias("ord"))
+    short = spark.createDataFrame([(s, 1, -len(s)) for s in ("a", "the", "THE", "")], "signal string, tier int, ord long")
+    return lexicon_table_hits(table(spark, d, "documents"), lexicon.unionByName(short), ["doc_id"])
+
+
 @query("signal_hits", f"{WITH}, {HITS} SELECT doc_id, signal, tier, weight, ord FROM hits")
 def q_hits(spark, d):
     return struct_rows(disclosures(spark, d), ["doc_id"], find_hits(F.col("text"))).select(

@@ -268,23 +268,33 @@ def tier_names(tier: Column) -> Column:
 GRAM = 4
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct runs of ``size`` characters."""
-    last = F.length(text) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size))))
+def _gram(chars: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(chars, i + k) for k in range(size)])
+
+
+def _grams(chars: Column, size: Column) -> Column:
+    """Distinct hashes of the runs of ``size`` characters. Characters are cut out once: substring by place walks the text each time."""
+    runs = lambda n: F.array_distinct(F.transform(chars, lambda _, i: _gram(chars, i, n)))
+    out = F.lit(None).cast("array<bigint>")
+    for n in range(1, GRAM + 1):
+        out = F.when(size == n, runs(n)).otherwise(out)
+    return out
 
 
 def lexicon_table_hits(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Hits of a lexicon of any size, held as rows ``(signal, tier, ord)``: one row per text and entry it contains.
 
-    An entry's first characters are its key; distinct character runs of the texts meet
-    the keys in an equi-join, and ``contains`` decides. Entries shorter than a run are
-    keyed by all they have; only the lengths that occur are taken from the texts.
+    An entry's first characters are its key; distinct character runs of the texts, without
+    the texts, meet the keys in an equi-join; the texts come to what is left, and
+    ``contains`` decides. Entries shorter than a run are keyed by all they have; only the
+    lengths that occur are taken from the texts. ``keys`` name a row.
     """
     entries = lexicon.where(F.length("signal") > 0).withColumn("_needle", F.lower("signal"))
-    entries = entries.withColumn("_gram", F.substring("_needle", 1, GRAM))
-    sizes = entries.select(F.length("_gram").alias("_size")).distinct()
+    entries = entries.withColumn("_gram", _gram(F.split("_needle", ""), F.lit(0), GRAM))
+    entries = entries.withColumn("_size", F.least(F.length("_needle"), F.lit(GRAM)))
+    sizes = entries.select("_size").distinct()
     low = texts.select(*keys, F.lower(text).alias("_low"))
     runs = low.join(F.broadcast(sizes), F.length("_low") >= F.col("_size"))  # GRAM rows at most
-    met = runs.select(*keys, "_low", F.explode(_grams(F.col("_low"), F.col("_size"))).alias("_gram"))
-    return met.join(entries, "_gram").where(F.contains("_low", F.col("_needle"))).select(*keys, "signal", "tier", "ord")
+    cut = runs.select(*keys, "_size", F.split("_low", "").alias("_chars"))
+    met = cut.select(*keys, "_size", F.explode(_grams(F.col("_chars"), F.col("_size"))).alias("_gram")).join(entries, ["_gram", "_size"])
+    return met.join(low, list(keys)).where(F.contains("_low", F.col("_needle"))).select(*keys, "signal", "tier", "ord")

@@ -31,6 +31,7 @@ from filegrain.llm.common import written
 # A line's quote marks, what introduces a quote, and where a sentence ends.
 MARKS = r"^\s*(?:>\s?)+"
 INTRODUCTION = r"(?i)^\s*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió)\s*:\s*$"
+LINE_END = r"\r\n|\r|\n"
 SENTENCE_END = r"(?<=[.!?…])\s+"
 LINE, PASSAGE = "\ue000", "\ue001"  # between lines and passages while they are put together
 
@@ -40,8 +41,12 @@ def levels_of(lines: Column) -> Column:
 
 
 def _passages(read: DataFrame) -> DataFrame:
-    """Adds ``passages``: array of (level, text), neighbouring lines of one level joined."""
-    split = read.withColumn("_lines", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{LINE}{PASSAGE}]", " "), r"\r\n|\r|\n"))
+    """Adds ``passages``: array of (level, text), neighbouring lines of one level joined.
+
+    A message without a line that starts with a mark is one passage; only the others are taken apart.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), f"[{LINE}{PASSAGE}]", " ")
+    split = read.withColumn("_lines", F.when(F.col("text").rlike(r"(?m)^\s*>"), F.split(text, LINE_END)))
     split = split.withColumn("_levels", levels_of(F.col("_lines")))
     own = F.transform("_lines", lambda x, i: F.struct(x.alias("line"), F.get("_levels", i).alias("level"), F.get("_levels", i - 1).alias("before"), F.get("_levels", i + 1).alias("after")))
     own = F.filter(own, lambda s: ~((s["level"] == 0) & (F.coalesce(s["after"], F.lit(0)) > 0) & s["line"].rlike(INTRODUCTION)))
@@ -54,7 +59,8 @@ def _passages(read: DataFrame) -> DataFrame:
     )
     runs = F.filter(F.split(F.array_join(marked, ""), PASSAGE), lambda r: r != "")
     cut = F.transform(runs, lambda r: F.struct(F.substring_index(r, LINE, 1).cast("int").alias("level"), F.regexp_replace(r, f"^[0-9]+{LINE}", "").alias("text")))
-    return split.withColumn("passages", cut).drop("_lines", "_levels")
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace(text, LINE_END, LINE).alias("text")))
+    return split.withColumn("passages", F.when(F.col("_lines").isNull(), whole).otherwise(cut)).drop("_lines", "_levels")
 
 
 def normalised(text: Column) -> Column:

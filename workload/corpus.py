@@ -1,7 +1,7 @@
 """A disclosure corpus derived from ``documents``, in Spark and in SQL.
 
-Every document becomes the newer of two filings of one company. A third of its
-sentences take in a phrase of the lexicons (chosen from the sentence's length
+Every document becomes the newer of two filings of one company. Its sentences are
+numbered, so that none occurs twice in it. A third of them take in a phrase of the lexicons (chosen from the sentence's length
 and place), the older filing drops every seventh sentence and words others
 differently. Some newer filings begin with a sentence that names every phrase of tier 2. Bodies are laid out in five ways, so that each way of finding a
 section occurs.
@@ -26,6 +26,7 @@ RISK_LINE = "We could face material risk."
 MDA_LINE = "Operating results and revenue increased compared with the prior year."
 #: More phrases of one tier than any list shows.
 LISTING = "We have seen " + ", ".join(fv.TIER2_SIGNALS) + "."
+COPIES = 9
 FORMS = ("10-K", "10-Q", "20-F")
 # per form: risk id and heading, heading behind it, discussion id and heading, heading behind it
 HEADS = {
@@ -51,10 +52,15 @@ def _worded(s: Column, i: Column, shift: Column) -> Column:
     ).otherwise(s)
 
 
+def numbered(s: Column, i: Column) -> Column:
+    """A sentence that no other one of its document equals: its number before the last sign."""
+    return F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit(" ref"), letters(i), F.substring(s, F.length(s), F.lit(1)))
+
+
 def disclosures(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """doc_id, lang, source, sents, older_sents, text, older_text. ``docs``: other rows, as of a stream."""
     docs = (table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "lang", "source", "text")
-    split = docs.select("doc_id", "lang", "source", sentences(F.col("text")).alias("_s"))
+    split = docs.select("doc_id", "lang", "source", F.transform(sentences(F.col("text")), numbered).alias("_s"))
     now = F.transform("_s", lambda s, i: _worded(s, i, F.lit(0)))
     then = F.filter(
         F.transform("_s", lambda s, i: F.when(i % 7 != 3, _worded(s, i, F.when(i % 5 == 1, 9).otherwise(0)))),
@@ -138,6 +144,12 @@ def pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def longer(sents: Column) -> Column:
+    """The sentences COPIES times over, each time with another mark, so that the sections of a filing pass any minimum."""
+    marked = lambda c: F.transform(sents, lambda s: F.concat(F.substring(s, F.lit(1), F.length(s) - 1), F.lit(" copy"), letters(c), F.substring(s, F.length(s), F.lit(1))))
+    return F.flatten(F.array(*[marked(F.lit(c)) for c in range(COPIES)]))
+
+
 def pair_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of both filings of every document."""
     d = disclosures(spark, sf_dir)
@@ -145,7 +157,7 @@ def pair_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = F.array(
         F.struct(F.lit(1).alias("side"), F.col("older_sents").alias("s")), F.struct(F.lit(2).alias("side"), F.col("sents").alias("s")),
     )
-    rows = d.select("doc_id", F.inline(sides))
+    rows = d.select("doc_id", F.inline(sides)).withColumn("s", F.when(doc % 10 == 1, longer(F.col("s"))).otherwise(F.col("s")))
     return rows.select(
         F.lpad((doc * 10 + F.col("side")).cast("string"), 18, "0").alias("accession_number"),
         filing_html(doc, (doc + F.col("side")) % 5, F.col("s")).alias("html"),
@@ -204,7 +216,10 @@ def _sql_worded(shift: str) -> str:
 
 
 SQL_DISCLOSURES = f"""
-base AS (SELECT doc_id, lang, source, {sql_sentences('text')} AS s FROM documents),
+base AS (
+  SELECT doc_id, lang, source, list_transform({sql_sentences('text')}, lambda x, i:
+    substr(x, 1, length(x) - 1) || ' ref' || translate(CAST(i - 1 AS VARCHAR), '0123456789', 'ABCDEFGHIJ') || substr(x, length(x), 1)) AS s FROM documents
+),
 edited AS (
   SELECT doc_id, lang, source,
     list_concat(CASE WHEN doc_id % 25 = 7 THEN [{lit(LISTING)}] ELSE [] END, list_transform(s, lambda x, i: {_sql_worded('0')})) AS sents,
@@ -272,6 +287,13 @@ sec AS (
 )"""
 
 
+def sql_longer(sents: str) -> str:
+    copies = ", ".join(
+        f"list_transform({sents}, lambda x: substr(x, 1, length(x) - 1) || ' copy{'ABCDEFGHIJ'[c]}' || substr(x, length(x), 1))" for c in range(COPIES)
+    )
+    return f"CASE WHEN doc_id % 10 = 1 THEN flatten([{copies}]) ELSE {sents} END"
+
+
 def sql_lexicon() -> str:
     rows = []
     for tier, phrases in ((1, fv.TIER1_SIGNALS), (2, fv.TIER2_SIGNALS), (3, fv.TIER3_SIGNALS)):
@@ -288,3 +310,94 @@ def sql_materiality(x: str) -> str:
     return f"CASE {cases} ELSE 'low' END"
 
 
+def sql_alignment(source: str) -> str:
+    """CTEs ``osent`` … ``aligned``: how each pair of sentence lists (k, o, n) of ``source``
+    aligns, given that no list holds a sentence twice and common ones keep their order.
+
+    Common sentences are anchors; what lies between two anchors is a block, in which
+    old sentences choose among the new ones in order."""
+    same, near = fv.SAME_SIMILARITY, fv.REWRITE_SIMILARITY
+    return f"""
+osent AS (SELECT k, unnest(o) AS s, generate_subscripts(o, 1) AS i FROM {source}),
+nsent AS (SELECT k, unnest(n) AS s, generate_subscripts(n, 1) AS j FROM {source}),
+oblock AS (
+  SELECT o.k, o.i, o.s, a.j AS mate, count(a.j) OVER (PARTITION BY o.k ORDER BY o.i) AS block
+  FROM osent o LEFT JOIN nsent a ON a.k = o.k AND a.s = o.s),
+nblock AS (
+  SELECT n.k, n.j, n.s, a.i AS mate, count(a.i) OVER (PARTITION BY n.k ORDER BY n.j) AS block
+  FROM nsent n LEFT JOIN osent a ON a.k = n.k AND a.s = n.s),
+orest AS (
+  SELECT k, block, i, s, list_distinct(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) AS w, row_number() OVER (PARTITION BY k, block ORDER BY i) AS r
+  FROM oblock WHERE mate IS NULL),
+nrest AS (SELECT k, block, j, s, list_distinct(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) AS w FROM nblock WHERE mate IS NULL),
+alike AS (
+  SELECT o.k, o.block, o.r, o.i, n.j, len(list_intersect(o.w, n.w)) AS shared, len(o.w) AS ow, len(n.w) AS nw
+  FROM orest o JOIN nrest n ON n.k = o.k AND n.block = o.block),
+choices AS (
+  SELECT k, block, r, i, list({{'j': j, 'sim': CASE WHEN ow + nw - shared > 0 THEN CAST(shared AS DOUBLE) / (ow + nw - shared) ELSE 1.0 END}} ORDER BY j) AS c
+  FROM alike GROUP BY ALL),
+walk AS (
+  SELECT k, block, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS sim
+  FROM (SELECT DISTINCT k, block FROM choices)
+  UNION ALL
+  SELECT k, block, r, i, CASE WHEN pick.sim >= {near} THEN list_append(used, pick.j) ELSE used END,
+    CASE WHEN pick.sim >= {near} THEN pick.j END, CASE WHEN pick.sim >= {near} THEN pick.sim END
+  FROM (
+    SELECT *, coalesce(list_filter(free, lambda x: x.sim >= {same})[1], list_filter(free, lambda x: x.sim = most)[1]) AS pick
+    FROM (
+      SELECT *, list_max(list_transform(free, lambda x: x.sim)) AS most
+      FROM (
+        SELECT c.k, c.block, c.r, c.i, w.used, list_filter(c.c, lambda x: NOT list_contains(w.used, x.j)) AS free
+        FROM walk w JOIN choices c ON c.k = w.k AND c.block = w.block AND c.r = w.r + 1)))),
+aligned AS (
+  SELECT k, block - 1 AS block, 2 AS part, i AS place, 'unchanged' AS type, s AS older, s AS newer, 1.0 AS sim FROM oblock WHERE mate IS NOT NULL
+  UNION ALL
+  SELECT o.k, o.block, 0, o.i, CASE WHEN w.j IS NULL THEN 'removed' ELSE 'rewritten' END, o.s, n.s, coalesce(round_even(w.sim, 3), 0.0)
+  FROM orest o LEFT JOIN walk w ON w.k = o.k AND w.i = o.i LEFT JOIN nsent n ON n.k = w.k AND n.j = w.j
+  UNION ALL
+  SELECT k, block, 1, j, 'added', NULL, s, 0.0 FROM nrest WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.k = nrest.k AND w.j = nrest.j)),
+acounts AS (
+  SELECT s.k, CAST(count(*) FILTER (type = 'unchanged') AS INT) AS unchanged_count, CAST(count(*) FILTER (type = 'rewritten') AS INT) AS rewritten_count,
+    CAST(count(*) FILTER (type = 'removed') AS INT) AS removed_count, CAST(count(*) FILTER (type = 'added') AS INT) AS added_count,
+    greatest(coalesce(any_value(len(o)), 0), coalesce(any_value(len(n)), 0), 1) AS longest
+  FROM {source} s LEFT JOIN aligned a ON a.k = s.k GROUP BY s.k),
+achanged AS (
+  SELECT k, string_agg(newer, ' ') AS changed FROM aligned WHERE type IN ('rewritten', 'added') GROUP BY k),
+adelta AS (
+  SELECT *, round(CAST(rewritten_count + removed_count + added_count AS DOUBLE) / longest, 4) AS pct_changed,
+    CASE WHEN rewritten_count + removed_count + added_count = 0 THEN 'none'
+      {" ".join(f"WHEN CAST(rewritten_count + removed_count + added_count AS DOUBLE) / longest < {below} THEN '{name}'" for name, below in fv.CHANGE_BELOW)}
+      ELSE 'major' END AS magnitude
+  FROM acounts)"""
+
+
+def sql_compared(source: str, lexicon: str = "lex") -> str:
+    """CTEs ``ahits`` … ``ascored``: the scores of ``source`` (k, text, older_text, compared) by its alignment."""
+    bonus = " ".join(f"WHEN '{name}' THEN {points}" for name, points in fv.MAGNITUDE_HUNDREDTHS.items())
+    return f"""
+ahits AS (SELECT k, l.*, older_text FROM {source}, {lexicon} l WHERE contains(lower(text), lower(signal))),
+aolder AS (SELECT k, l.*, text FROM {source}, {lexicon} l WHERE contains(lower(older_text), lower(signal))),
+amarked AS (
+  SELECT h.*, contains(lower(coalesce(c.changed, '')), lower(h.signal)) AS in_change,
+    coalesce(older_text, '') <> '' AND NOT EXISTS (SELECT 1 FROM aolder o WHERE o.k = h.k AND o.ord = h.ord) AS is_new
+  FROM ahits h LEFT JOIN achanged c USING (k)),
+agone AS (
+  SELECT k, list(signal ORDER BY ord) AS gone_list FROM aolder o
+  WHERE coalesce(text, '') <> '' AND NOT EXISTS (SELECT 1 FROM ahits h WHERE h.k = o.k AND h.ord = o.ord) GROUP BY 1),
+asummed AS (
+  SELECT k, sum(base) + sum(CASE WHEN in_change THEN bonus ELSE 0 END) + sum(CASE WHEN is_new THEN fresh ELSE 0 END) AS pts,
+    list(signal ORDER BY ord) FILTER (is_new) AS new_list, list(signal ORDER BY ord) FILTER (tier = 1) AS t1
+  FROM amarked GROUP BY k),
+ascored AS (
+  SELECT s.*, d.* EXCLUDE (k), new_list, gone_list, t1,
+    coalesce(pts, 0) + CASE WHEN coalesce(s.text, '') = '' OR NOT compared THEN 0 ELSE CASE d.magnitude {bonus} ELSE 0 END END AS total
+  FROM {source} s LEFT JOIN asummed USING (k) LEFT JOIN adelta d USING (k) LEFT JOIN agone USING (k))"""
+
+
+def sql_note(section: str) -> str:
+    """The analyst's note on a row of ``ascored``; ``section``: its name in words."""
+    return f"""concat_ws(' ', {section} || ' materiality: ' || upper({sql_materiality('total')}) || '.',
+  'Critical signals present: ' || array_to_string(t1[1:5], ', ') || '.',
+  'NEW vs prior filing: ' || array_to_string(new_list[1:5], ', ') || '.',
+  'Removed vs prior filing: ' || array_to_string(gone_list[1:5], ', ') || '.',
+  CASE WHEN compared THEN 'Section changed ' || printf('%.1f', pct_changed * 100) || '% by sentence (magnitude: ' || magnitude || ').' END)"""

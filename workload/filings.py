@@ -18,7 +18,7 @@ from filegrain.sources.landed import company_facts, with_body_status
 from . import query, table
 from .corpus import (
     FORMS, SQL_DISCLOSURES, WS, accession, disclosures, letters, lit, pair_bodies, pair_index, series_bodies, series_index,
-    sql_letters, sql_lexicon, sql_materiality, sql_sections, sql_sentences, sql_trim, strings,
+    sql_alignment, sql_compared, sql_letters, sql_lexicon, sql_longer, sql_materiality, sql_note, sql_sections, sql_sentences, sql_trim, strings,
 )
 from .landed import facts_texts
 
@@ -167,7 +167,7 @@ def q_headings(spark, d):
 
 
 PAIR_LAYOUT = f"""WITH {SQL_DISCLOSURES},
-two AS (SELECT doc_id, 1 AS side, older_sents AS sx FROM disc UNION ALL SELECT doc_id, 2, sents FROM disc),
+two AS (SELECT doc_id, 1 AS side, {sql_longer('older_sents')} AS sx FROM disc UNION ALL SELECT doc_id, 2, {sql_longer('sents')} FROM disc),
 {sql_sections('two', '(doc_id + side) % 5', 'sx', "lpad(CAST(doc_id * 10 + side AS VARCHAR), 18, '0')")}"""
 
 
@@ -432,7 +432,26 @@ def q_full_history(spark, d):
 # --- whole analyses -----------------------------------------------------------------------------
 
 
-@query("compare_filings")
+COMPARE_SQL = f"""{GATE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {sql_lexicon()},
+long AS (
+  SELECT doc_id, form_type, side, 'risk_factors' AS section, risk_text AS t, rm AS method FROM sec
+  UNION ALL SELECT doc_id, form_type, side, 'mda', mda_text, dm FROM sec
+),
+source AS (
+  SELECT n.doc_id || ':' || n.section AS k, n.doc_id, n.form_type, n.section, n.method, issues, issues IS NULL AS compared,
+    CASE WHEN issues IS NULL THEN n.t END AS text, CASE WHEN issues IS NULL THEN o.t END AS older_text,
+    CASE WHEN issues IS NULL THEN {sql_sentences('o.t', normalise=True)} END AS o, CASE WHEN issues IS NULL THEN {sql_sentences('n.t', normalise=True)} END AS n
+  FROM long n JOIN long o ON o.doc_id = n.doc_id AND o.section = n.section AND n.side = 2 AND o.side = 1 JOIN gate g ON g.doc_id = n.doc_id
+),
+{sql_alignment('source')}, {sql_compared('source')}"""
+
+
+@query("compare_filings", f"""{COMPARE_SQL}
+SELECT 'D' || {sql_letters('doc_id')} AS ticker, form_type, section AS section_name, compared AS pipeline_success,
+  CASE WHEN NOT compared THEN 'Extraction quality below threshold — comparison unreliable. ' || issues END AS failure_reason, method,
+  magnitude, pct_changed, unchanged_count, rewritten_count, removed_count, added_count, total / 100.0::DOUBLE AS raw_score, {sql_materiality('total')} AS materiality,
+  CASE WHEN NOT compared THEN 'No text available for ' || section || ' — scoring skipped.' ELSE {sql_note("CASE section WHEN 'mda' THEN 'MD&A' ELSE 'Risk Factors' END")} END AS analyst_note
+FROM ascored""")
 def q_compare(spark, d):
     return compare.compare_filings(pair_index(spark, d), pair_bodies(spark, d)).select(
         "ticker", "form_type", "section_name", "pipeline_success", "failure_reason", "method", "magnitude", "pct_changed",
@@ -475,7 +494,22 @@ def q_compare_signals(spark, d):
     )
 
 
-@query("overall_materiality")
+@query("overall_materiality", f"""{COMPARE_SQL},
+rated AS (SELECT *, {sql_materiality('total')} AS m FROM ascored WHERE compared),
+best AS (SELECT doc_id, form_type, arg_max(m, CASE m {" ".join(f"WHEN '{n}' THEN {r}" for n, r in fv.MATERIALITY_RANK.items())} END) AS overall_materiality FROM rated GROUP BY 1, 2),
+named AS (
+  SELECT doc_id, section, unnest(new_list[1:5]) AS signal, generate_subscripts(new_list[1:5], 1) AS i, CASE section WHEN 'mda' THEN 1 ELSE 0 END AS g FROM rated
+  UNION ALL
+  SELECT doc_id, section, unnest(t1[1:3]), generate_subscripts(t1[1:3], 1), CASE section WHEN 'mda' THEN 3 ELSE 2 END FROM rated
+),
+seen AS (
+  SELECT n.doc_id, n.section, n.signal, tier, weight, i + g * 100 AS place, row_number() OVER (PARTITION BY doc_id, n.signal ORDER BY i + g * 100) AS mention
+  FROM named n JOIN lex l ON l.signal = n.signal
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -tier, -weight, place) AS r FROM seen WHERE mention = 1)
+SELECT 'D' || {sql_letters('b.doc_id')} AS ticker, form_type, overall_materiality,
+  coalesce(string_agg(signal || ' [' || section || ']', '; ' ORDER BY r) FILTER (r <= 10), '') AS top_signals
+FROM best b LEFT JOIN ranked r ON r.doc_id = b.doc_id GROUP BY b.doc_id, form_type, overall_materiality""")
 def q_overall(spark, d):
     c = compare.compare_filings(pair_index(spark, d), pair_bodies(spark, d)).where("pipeline_success")
     return compare.overall(c, ["ticker", "form_type"]).select(

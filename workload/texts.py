@@ -20,7 +20,8 @@ from filegrain.plans.score import score_sections
 
 from . import query, table
 from .corpus import (
-    SQL_DISCLOSURES, accession, disclosures, letters, lit, sql_letters, sql_lexicon, sql_materiality, sql_sentences, sql_trim,
+    SQL_DISCLOSURES, accession, disclosures, letters, lit, sql_alignment, sql_compared, sql_letters, sql_lexicon, sql_materiality, sql_note,
+    sql_sentences, sql_trim,
     strings,
 )
 
@@ -179,12 +180,12 @@ PAIR_SQL = f"""
 {WITH}, {DELTA_SQL}, {CHANGED_SQL}, {HITS}, {OLD_HITS},
 marked AS (
   SELECT h.*, contains(lower(coalesce(a.changed, '')), lower(h.signal)) AS in_change,
-    NOT EXISTS (SELECT 1 FROM old_hits o WHERE o.doc_id = h.doc_id AND o.ord = h.ord) AS is_new
-  FROM hits h LEFT JOIN added a USING (doc_id)
+    older_text <> '' AND NOT EXISTS (SELECT 1 FROM old_hits o WHERE o.doc_id = h.doc_id AND o.ord = h.ord) AS is_new
+  FROM hits h JOIN (SELECT doc_id, older_text FROM disc) USING (doc_id) LEFT JOIN added a USING (doc_id)
 ),
 gone AS (
   SELECT o.doc_id, count(*) AS n, list(signal ORDER BY ord) AS l FROM old_hits o
-  WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = o.doc_id AND h.ord = o.ord) GROUP BY 1
+  WHERE EXISTS (SELECT 1 FROM disc d WHERE d.doc_id = o.doc_id AND text <> '') AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = o.doc_id AND h.ord = o.ord) GROUP BY 1
 ),
 summed AS (
   SELECT doc_id, sum(base) + sum(CASE WHEN in_change THEN bonus ELSE 0 END) + sum(CASE WHEN is_new THEN fresh ELSE 0 END) AS pts,
@@ -214,9 +215,8 @@ def _pair_scores(spark, d):
 @query("pair_score", f"""{PAIR_SQL}
 SELECT doc_id, total / 100.0::DOUBLE AS raw_score, {sql_materiality('total')} AS materiality, magnitude,
   CAST(coalesce(n_hits, 0) AS INT) AS n_hits, CAST(coalesce(n_change, 0) AS INT) AS n_in_change,
-  CASE WHEN older_empty THEN '' ELSE coalesce(array_to_string(new_list, ','), '') END AS new_signals,
-  CASE WHEN older_empty THEN '' ELSE coalesce(array_to_string(gone_list, ','), '') END AS removed_signals
-FROM (SELECT s.*, FALSE AS older_empty FROM scored s)
+  coalesce(array_to_string(new_list, ','), '') AS new_signals, coalesce(array_to_string(gone_list, ','), '') AS removed_signals
+FROM scored
 """)
 def q_pair_score(spark, d):
     s = _pair_scores(spark, d)
@@ -264,7 +264,21 @@ def q_top(spark, d):
     return s.select("doc_id", F.array_join(top, "; ").alias("top_signals"))
 
 
-@query("aligned_changes")
+ALIGNED = f"""WITH RECURSIVE {SQL_DISCLOSURES},
+source AS (
+  SELECT doc_id AS k, text, older_text, text <> '' AND older_text <> '' AS compared,
+    CASE WHEN text <> '' AND older_text <> '' THEN {sql_sentences('older_text', normalise=True)} END AS o,
+    CASE WHEN text <> '' AND older_text <> '' THEN {sql_sentences('text', normalise=True)} END AS n FROM disc
+),
+whole AS (SELECT k, {sql_sentences('older_text', normalise=True)} AS o, {sql_sentences('text', normalise=True)} AS n FROM source)"""
+
+
+@query("aligned_changes", f"""{ALIGNED}, {sql_alignment('whole')},
+steps AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY block, part, place) AS step FROM aligned)
+SELECT w.k AS doc_id, unchanged_count, rewritten_count, removed_count, added_count, CAST(len(o) AS INT) AS older_sentences, CAST(len(n) AS INT) AS newer_sentences,
+  pct_changed, magnitude, coalesce((SELECT string_agg(type || '|' || coalesce(substr(older, 1, 300), '') || '|' || coalesce(substr(newer, 1, 300), '') || '|' || printf('%.3f', sim), chr(10) ORDER BY step)
+    FROM steps s WHERE s.k = w.k AND step <= 50 AND type <> 'unchanged'), '') AS first_changes
+FROM whole w JOIN adelta USING (k)""")
 def q_aligned(spark, d):
     p = _split_pairs(spark, d).select("doc_id", "o", "n").withColumn("steps", al.align(F.col("o"), F.col("n")))
     p = p.select(
@@ -272,7 +286,8 @@ def q_aligned(spark, d):
         al.top_changes(al.change_rows(F.col("steps"), F.col("o"), F.col("n"))).alias("c"),
     )
     p = al.with_change_summary(p, F.col("older_sentences"), F.col("newer_sentences"))
-    return p.withColumn("first_changes", F.to_json("c")).drop("c")
+    line = lambda c: F.concat_ws("|", c["type"], c["older"], c["newer"], F.format_string("%.3f", c["similarity"]))
+    return p.withColumn("first_changes", F.array_join(F.transform("c", line), "\n")).drop("c")
 
 
 ALIGN_INVARIANTS = f"""
@@ -309,7 +324,13 @@ def q_missing(spark, d):
     return t.select("doc_id", al.missing_side(older, newer).alias("delta_failure"))
 
 
-@query("compared_texts")
+@query("compared_texts", f"""{ALIGNED}, {sql_alignment('source')}, {sql_lexicon()}, {sql_compared('source')}
+SELECT k AS doc_id, compared AS delta_success,
+  CASE WHEN text = '' AND older_text = '' THEN 'Both older and newer text are missing' WHEN older_text = '' THEN 'Older filing text missing — cannot compare'
+    WHEN text = '' THEN 'Newer filing text missing — cannot compare' END AS delta_failure,
+  magnitude, pct_changed, unchanged_count, rewritten_count, removed_count, added_count, total / 100.0::DOUBLE AS raw_score, {sql_materiality('total')} AS materiality,
+  CASE WHEN text = '' THEN 'No text available for risk_factors — scoring skipped.' ELSE {sql_note("'Risk Factors'")} END AS analyst_note
+FROM ascored""")
 def q_compared(spark, d):
     t = disclosures(spark, d).select(
         "doc_id", F.lit("risk_factors").alias("section_name"), F.col("text").alias("newer_text"), "older_text",

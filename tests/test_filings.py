@@ -189,3 +189,33 @@ def test_history_page_filters_and_pages(spark):
     df = spark.createDataFrame(rows, "id int, user_id string, ticker string, tool_name string, created_at date")
     page = history_page(owned_by(df, F.lit("u1")), ["id", "created_at"], limit=2, offset=1, ticker="aa")
     assert [r["id"] for r in page.collect()] == [3, 1]
+
+
+def test_landed_bodies_stay_where_they_are(spark, tmp_path):
+    """With bodies bucketed by accession and nothing small enough to broadcast, only narrow rows are exchanged."""
+    rows = [(f"A{i}", f"<p>{'text ' * 50}{i}</p>") for i in range(400)]
+    bodies = landed.land_bodies(spark.createDataFrame(rows, "accession_number string, html string"), "landed_bodies", 4, f"{tmp_path}/bodies")
+    index = spark.createDataFrame(
+        [(f"T{i % 40}", "10-K", f"A{i}", i) for i in range(420)], "ticker string, form_type string, accession_number string, index_pos int"
+    ).withColumn("filing_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("index_pos") % 300))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = recency.with_bodies(recency.newest(index, 2), bodies)
+        got = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+        scans = [at for at, line in enumerate(plan) if "Scan parquet" in line and "html" in line]
+        assert scans
+        for at in scans:
+            level, above = depth(plan[at]), []
+            for up in reversed(plan[:at]):
+                if depth(up) < level:
+                    level = depth(up)
+                    above.append(up)
+            between = above[: ["Join" in u for u in above].index(True)]
+            assert not any("Exchange" in u or "Sort" in u for u in between), "\n".join(plan)
+        assert len(got) == 80 and sum(r["html"] is None for r in got) == sum(int(r["accession_number"][1:]) >= 400 for r in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE landed_bodies")

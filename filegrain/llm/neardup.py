@@ -216,3 +216,21 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     chosen = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_chosen")).where("_chosen is not null").distinct()
     kept = docs.join(chosen, docs[key].cast("long") == chosen["_chosen"], "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(docs[key].isNull()))
+
+
+SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SEPARATORS}'), lambda x: x <> '') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + {WORDS_PER_SHINGLE - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {WORDS_PER_SHINGLE - 1}) + 1)) AS s FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * shared.n >= {LINK_PERCENT} * (x.n + y.n - shared.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM component LEFT JOIN size USING (doc_id)
+"""

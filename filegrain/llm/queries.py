@@ -23,7 +23,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
-@query("op7_html_text")
+@query("op7_html_text", html_text.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -33,7 +33,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_near_duplicates")
+@query("op3_near_duplicates", neardup.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +59,7 @@ def chat_threads_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(quotes.quoting(table(spark, sf_dir, "conversations")))
 
 
-@query("op9_near_vectors")
+@query("op9_near_vectors", vectors.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 

@@ -270,3 +270,16 @@ def recall_audit(embeddings: DataFrame, least: float = LEAST_COSINE, every: int
     both = asked.select("id").distinct().join(true, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col(key), "left")
     sums = both.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("true_links"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))
     return sums.withColumn("recall", F.when(F.col("true_links") > 0, F.col("found") / F.col("true_links")).otherwise(F.lit(1.0)))
+
+
+#: By comparing all with all: for the small tables that the queries are checked on.
+SQL = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {LEAST_COSINE}),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM component LEFT JOIN degree USING (vec_id)
+"""

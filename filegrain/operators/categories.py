@@ -174,15 +174,15 @@ def highlight_sentences(text: Column, hits: Column, keywords: Sequence[str] = fv
             )),
             lambda x: x["less"] < 0,
         ))
-        heads = lambda r: F.transform(r, lambda y: clip(y["text"], fv.HIGHLIGHT_KEY_CHARS))
-        kept = let(
-            F.struct(ranked.alias("r")),
-            lambda w: let(heads(w["r"]), lambda h: F.filter(
-                w["r"],
-                lambda x, i: F.array_position(h, clip(x["text"], fv.HIGHLIGHT_KEY_CHARS)) == i + 1,
-            )),
+        opening = lambda t: clip(t, fv.HIGHLIGHT_KEY_CHARS)
+        # one pass that remembers what it keeps, ``top`` sentences at most
+        kept = F.aggregate(
+            ranked, F.array().cast("array<string>"),
+            lambda acc, x: F.when(
+                (F.size(acc) < top) & ~F.exists(acc, lambda t: opening(t) == opening(x["text"])), F.concat(acc, F.array(x["text"])),
+            ).otherwise(acc),
         )
-        return F.transform(F.slice(kept, 1, top), lambda x: clip(x["text"], fv.HIGHLIGHT_SHOWN_CHARS))
+        return F.transform(kept, lambda t: clip(t, fv.HIGHLIGHT_SHOWN_CHARS))
 
     return let(
         F.struct(

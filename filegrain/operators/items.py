@@ -23,11 +23,14 @@ def event_items(text: Column, items: Sequence[tuple[str, str, int]] = fv.EVENT_I
     labels, tiers = string_array(label for _, label, _ in items), int_array(tier for _, _, tier in items)
 
     def known(parts: Column) -> Column:
-        numbers = F.transform(parts, lambda p: p["key"])
-        firsts = let(numbers, lambda ns: F.filter(
-            parts,
-            lambda p, i: F.array_contains(table, p["key"]) & (F.array_position(ns, p["key"]) == i + 1),
-        ))
+        # one pass that remembers the places of what it keeps, one for each known item at most
+        places = F.aggregate(
+            F.transform(parts, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"))), F.array().cast("array<struct<key:string,i:int>>"),
+            lambda acc, p: F.when(
+                F.array_contains(table, p["key"]) & ~F.exists(acc, lambda k: k["key"] == p["key"]), F.concat(acc, F.array(p)),
+            ).otherwise(acc),
+        )
+        firsts = F.transform(places, lambda k: F.get(parts, k["i"]))
         at = lambda p: (F.array_position(table, p["key"]) - 1).cast("int")
         return F.transform(firsts, lambda p: F.struct(
             p["key"].alias("item_number"),

@@ -19,6 +19,12 @@ def _element(tag: str) -> str:
     return rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{tag}\s*>"
 
 
+def _readable(xml: Column) -> Column:
+    """Without comments, and with the text of CDATA parts in place of them."""
+    bare = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    return F.regexp_replace(bare, r"(?s)<!\[CDATA\[([^<]*)\]\]>", "$1")
+
+
 def _plain(xml: Column) -> Column:
     return strip(unescape(F.regexp_replace(xml, r"(?s)<[^>]*>", "")))
 
@@ -112,7 +118,7 @@ def form4_transactions(filings: DataFrame) -> DataFrame:
     """``filings(…, xml, rendered_html)`` to ``…, insider_name, insider_title,
     transactions``. The table is read only where the XML gave nothing."""
     from_xml = F.coalesce(xml_transactions(F.col("xml")), F.array().cast(TRANSACTIONS))
-    out = filings.withColumn("_xml_rows", from_xml)
+    out = filings.withColumn("xml", _readable(F.col("xml"))).withColumn("_xml_rows", from_xml)
     parsed = F.size("_xml_rows") > 0
     return (
         out.withColumn("insider_name", F.when(parsed, owner_name(F.col("xml"))).otherwise(table_owner(F.col("rendered_html"))))

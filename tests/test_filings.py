@@ -219,3 +219,15 @@ def test_landed_bodies_stay_where_they_are(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE landed_bodies")
+
+
+def test_form4_with_comments_and_cdata(spark):
+    from filegrain.operators.insider import form4_transactions
+
+    xml = (
+        "<ownershipDocument><!-- <nonDerivativeTransaction><transactionCode>S</transactionCode></nonDerivativeTransaction> -->"
+        "<rptOwnerName><![CDATA[Doe & Sons]]></rptOwnerName><nonDerivativeTransaction><transactionCode>P</transactionCode>"
+        "<transactionShares><!-- in units --><value>1,200</value></transactionShares></nonDerivativeTransaction></ownershipDocument>"
+    )
+    row = form4_transactions(spark.createDataFrame([(xml, None)], "xml string, rendered_html string")).first()
+    assert row["insider_name"] == "Doe & Sons" and [(t["code"], t["shares"]) for t in row["transactions"]] == [("P", 1200.0)]

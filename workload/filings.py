@@ -432,6 +432,28 @@ def q_full_history(spark, d):
 # --- whole analyses -----------------------------------------------------------------------------
 
 
+_SIDE_GAPS = """concat_ws('; ', CASE WHEN NOT {s}.risk_ok THEN 'Risk Factors could not be isolated (method: raw_fallback)' END,
+  CASE WHEN NOT {s}.mda_ok THEN 'MD&A could not be isolated (method: raw_fallback)' END,
+  CASE WHEN length({s}.full_text) < 5000 THEN 'Filing HTML is unusually short — may be a stub or redirect' END)"""
+
+
+@query("compare_extraction", f"""{PAIR_LAYOUT},
+long AS (
+  SELECT *, 'risk_factors' AS section, rm AS m, length(risk_text) AS chars FROM sec UNION ALL SELECT *, 'mda', dm, length(mda_text) FROM sec
+),
+sided AS (SELECT doc_id, form_type, side, section, m, chars, CAST({CONF} AS DOUBLE) AS confidence, {_SIDE_GAPS.format(s='long')} AS gaps FROM long)
+SELECT 'D' || {sql_letters('n.doc_id')} AS ticker, n.form_type, n.section AS section_name, n.m AS newer_method, o.m AS older_method,
+  n.confidence AS newer_confidence, o.confidence AS older_confidence, n.chars AS newer_chars, o.chars AS older_chars, n.gaps AS newer_gaps, o.gaps AS older_gaps
+FROM sided n JOIN sided o ON o.doc_id = n.doc_id AND o.section = n.section AND n.side = 2 AND o.side = 1""")
+def q_compare_extraction(spark, d):
+    c = compare.compare_filings(pair_index(spark, d), pair_bodies(spark, d))
+    both = lambda name, field, shown=lambda x: x: [shown(F.col(f"{s}_extraction.{field}")).alias(f"{s}_{name}") for s in ("newer", "older")]
+    return c.select(
+        "ticker", "form_type", "section_name", *both("method", "method"), *both("confidence", "confidence_score"), *both("chars", "char_count"),
+        *both("gaps", "known_gaps", lambda g: F.array_join(g, "; ")),
+    )
+
+
 COMPARE_SQL = f"""{GATE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {sql_lexicon()},
 long AS (
   SELECT doc_id, form_type, side, 'risk_factors' AS section, risk_text AS t, rm AS method FROM sec

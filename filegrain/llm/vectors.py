@@ -5,9 +5,14 @@ its ``PLACES`` nearest centres; shards over ``SHARD_ROWS`` are cut into blocks.
 block a graph is built: a member's candidates are its nearest members and some drawn
 ones, and robust pruning keeps those that no kept one is much closer to. A member's
 lists from its shards are united. Then every vector is searched in the shards of its
-``PROBES`` nearest centres: best first from the medoid, the pivots and its own node,
-then onward through all nodes within range, as long as that finds more. What is found
-counts only when its cosine in double precision reaches the threshold.
+nearest centres: best first from the medoid, the pivots and its own node, then onward
+through all nodes within range, as long as that finds more. What is found counts only
+when its cosine in double precision reaches the threshold.
+
+How many centres are searched is measured, as it grows with their number: partners at
+the threshold, in drawn directions, are planted beside rows that the centres were not
+fitted on, and as many are searched as let ``ENOUGH`` of these links meet in a shard,
+``LEAST_PROBES`` at least. With all centres searched every link meets.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths do not link. Equal vectors are one node with a
@@ -31,7 +36,8 @@ from filegrain.session import ship_package
 LEAST_COSINE = 0.9
 ROWS_PER_CENTRE, MOST_CENTRES, SAMPLED_PER_CENTRE = 1000, 16384, 16
 SHARD_ROWS, QUERY_ROWS = 4096, 4096
-PLACES, PROBES = 2, 3
+PLACES, LEAST_PROBES = 2, 3
+ENOUGH, PLANTED = 0.97, 4000
 NEAREST, DRAWN, NEAR_EDGES, FAR_EDGES, SLACK = 48, 24, 20, 8, 1.2
 PIVOTS, GREEDY_STEPS, RANGE_SLACK = 16, 24, 0.08
 SEED = 11
@@ -60,9 +66,26 @@ def fit_centres(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _places(centres: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+def probes_needed(centres: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
+    """For each row, how many nearest centres must be searched for its link with a planted partner to meet in a shard."""
+    rng = np.random.default_rng(SEED)
+    needed = []
+    for at in range(0, len(x), 256):
+        a = x[at : at + 256]
+        aside = rng.normal(size=a.shape)
+        aside -= np.einsum("rd,rd->r", aside, a)[:, None] * a
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+        b = least * a + np.sqrt(max(0.0, 1 - least * least)) * aside
+        near = [v.astype(np.float32) @ centres.T for v in (a, b)]
+        places = [np.argsort(-n, axis=1, kind="stable")[:, :PLACES] for n in near]
+        ranks = [(n[:, None, :] > np.take_along_axis(n, p, 1)[:, :, None]).sum(2).min(1) for n, p in zip(near, places[::-1])]
+        needed.append(np.minimum(*ranks) + 1)
+    return np.concatenate(needed)
+
+
+def _places(centres: np.ndarray, probes: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     x = unit_rows(batch["embedding"]).astype(np.float32)
-    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :PROBES]
+    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
     rank = np.tile(np.arange(order.shape[1]), len(x))
     take = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
     return pa.RecordBatch.from_arrays(
@@ -201,7 +224,13 @@ def links_of(nodes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     if not len(drawn):
         drawn = nodes.orderBy("id").limit(1).select("embedding").toArrow()
     centres = fit_centres(unit_rows(drawn["embedding"]), centres_wanted)
-    placed = written(map_arrow(nodes.select("id", "embedding"), partial(_places, centres), "shard int, id long, member boolean, embedding array<float>"), "vectors-places")
+    probes = LEAST_PROBES
+    if len(centres) > probes:
+        others = unit_hash(F.col("id"), SEED).between(share, share + PLANTED / count)
+        beside = nodes.where(others).orderBy("id").select("embedding").toArrow()
+        needed = probes_needed(centres, unit_rows((beside if len(beside) else drawn)["embedding"]), least)
+        probes = max(probes, int(np.quantile(needed, ENOUGH, method="higher")))
+    placed = written(map_arrow(nodes.select("id", "embedding"), partial(_places, centres, probes), "shard int, id long, member boolean, embedding array<float>"), "vectors-places")
     sizes = placed.groupBy("shard").agg(
         F.greatest(F.ceil(F.count_if("member") / SHARD_ROWS), F.lit(1)).cast("int").alias("blocks"),
         F.greatest(F.ceil(F.count(F.lit(1)) / QUERY_ROWS), F.lit(1)).cast("int").alias("sets"),

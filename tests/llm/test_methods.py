@@ -100,6 +100,25 @@ def test_vector_blocks(spark, monkeypatch):
     assert got.queries == 86 and got.true_links > 1000 and got.recall >= 0.95
 
 
+def test_links_planted_over_hundreds_of_centres(spark, monkeypatch):
+    """Links at the threshold between vectors without clusters, the worst case for shards."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors, "ROWS_PER_CENTRE", 20)
+    monkeypatch.setattr(vectors, "SAMPLED_PER_CENTRE", 4)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 64)))
+    aside = rng.normal(size=x.shape)
+    aside = unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    rows = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * aside]).astype(np.float32)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 64).cast(pa.list_(pa.float32()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": lists}))
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    assert sum(got.values()) >= 0.95 * len(rows)
+
+
 def test_recall_of_the_supplied_table(spark, sf_dir, queries):
     assert queries["near_vectors_recall"](spark, sf_dir).first().recall >= 0.9
 

@@ -1,5 +1,9 @@
 import datetime as dt
 
+import harness
+import pytest
+
+import __spark_entry__ as entry_point
 from filegrain.streaming import jobs
 
 
@@ -59,3 +63,11 @@ def test_open_days_come_out_and_grow(spark, tmp_path):
         jobs.drain(jobs.daily_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp", "update")
     got = {(r["day"].day, r["n"]) for r in jobs.newest_rows(spark, f"{tmp_path}/out", ["user_id", "day"]).collect()}
     assert got == {(1, 3), (2, 1)}
+
+
+@pytest.mark.parametrize("name", ["stream_daily_counts", "stream_ttl_keys", "stream_signal_transitions"])
+def test_tables_of_several_files_in_no_order(spark, con, sf_dir, tmp_path, name):
+    """As bench.py lands them: each file spans all days and all companies."""
+    for t in ("events", "documents"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(6).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert harness.compare(spark, con, lambda s, _: entry_point.queries()[name](s, str(tmp_path)), entry_point.oracle_sql()[name], sf_dir) is None

@@ -1,6 +1,7 @@
 """Streaming jobs run over the supplied tables to completion. Each query streams
-the table from where it lies, drains into files in the session's checkpoint
-folder and reads them back; the SQL is the batch twin over all rows."""
+the table from where it lies, or where the job depends on the order of arrival, from
+a copy landed in that order; drains into files in the session's checkpoint folder and
+reads them back; the SQL is the batch twin over all rows."""
 
 from __future__ import annotations
 
@@ -33,6 +34,25 @@ def _stream(spark, d: str, name: str):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parque[t]")
 
 
+def _stream_in_order(spark, d: str, name: str, order, folder: str):
+    """A supplied table as a stream, a file at a time, in ``order`` whatever its files
+    hold: landed once in as many ranges as it has files. The source reads files by
+    their times, so these are set; a file system that does not keep them is an error."""
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    rows.repartitionByRange(max(1, len(rows.inputFiles())), order).write.parquet(f"{folder}/in")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = lambda: sorted((s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda s: (int(s.getPath().getName().split("-")[1]), s.getPath().getName()))
+    first = 0
+    for n, part in enumerate(parts()):
+        first = first or part.getModificationTime()
+        fs.setTimes(part.getPath(), first + 1000 * n, -1)
+    times = [s.getModificationTime() for s in parts()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"{folder}: the file system does not keep the files' times")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
 def _ts(c="ts"):
     return F.to_timestamp(F.col(c).cast("string"))
 
@@ -58,7 +78,7 @@ SELECT result_key, CAST(epoch_us(ts) AS BIGINT) AS at FROM passed""")
 def q_stream_ttl(spark, d):
     folder = scratch(spark, "ttl")
     jobs.use_rocksdb(spark)
-    e = _stream(spark, d, "events").select(
+    e = _stream_in_order(spark, d, "events", _ts(), folder).select(
         F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("result_key"), _ts().alias("ts"),
         ((3 + F.col("user_id") % 5) * 86_400).alias("ttl_seconds"),
     )
@@ -69,7 +89,7 @@ def q_stream_ttl(spark, d):
 @query("stream_daily_counts", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_daily(spark, d):
     folder = scratch(spark, "daily")
-    e = _stream(spark, d, "events").select("user_id", _ts().alias("ts"))
+    e = _stream_in_order(spark, d, "events", _ts(), folder).select("user_id", _ts().alias("ts"))
     jobs.drain(jobs.daily_counts(e), f"{folder}/out", f"{folder}/cp", "update")
     return jobs.newest_rows(spark, f"{folder}/out", ["user_id", "day"]).select("user_id", F.to_date("day").alias("day"), "n")
 
@@ -95,7 +115,7 @@ def q_stream_transitions(spark, d):
     folder = scratch(spark, "transitions")
     jobs.use_rocksdb(spark)
     doc = F.col("doc_id")
-    points = disclosures(spark, d, _stream(spark, d, "documents")).select(
+    points = disclosures(spark, d, _stream_in_order(spark, d, "documents", doc, folder)).select(
         F.floor(doc / 6).cast("string").alias("ticker"), F.lit("10-K").alias("form_type"), doc.cast("string").alias("accession_number"),
         doc.alias("seq"), signals(of_tier(find_hits(F.col("text")), 1, 2)).alias("signals"),
     )

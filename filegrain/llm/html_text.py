@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one for each block-level element; lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts and reader comments are
-empty. Text lengths are summed over windows of ``WINDOW`` lines. Where the sums
+empty, unless the element holds all articles of the page or, without any, most of its text. Text lengths are summed over windows of ``WINDOW`` lines. Where the sums
 surge, a stretch of main text begins; where they dive to nothing, it ends; its lines
 are kept whole, short ones too. Where a page marks its article, lines outside it are
 empty and any text inside it is a surge; elsewhere text of links has no length and a
@@ -40,13 +40,17 @@ NOISE_WORDS = set(
     " adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe subscription signup login form search share"
     " sharing social breadcrumb breadcrumbs pagination pager related recommended popup modal overlay comment comments disqus replies respond".split()
 )
+#: Words that may stand beside a noise word in one class or id, as in site-header.
+BESIDE_WORDS = set("site page main top bottom left right primary secondary global box bar block list links area section container wrapper inner".split())
+#: Elements that never are the page's text, whatever they hold; others are kept where they hold it.
+NEVER_TEXT = NOISE_TAGS - {"form", "header", "dialog"}
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>"[^"<]*"|'[^'<]*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""")
-NAMED = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAMED = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[^a-z0-9]+")
-HIDDEN = re.compile(r"(?i)\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 
 
 def is_noise(name: str, attributes: str, in_article: bool) -> bool:
@@ -55,20 +59,53 @@ def is_noise(name: str, attributes: str, in_article: bool) -> bool:
     if name in ("html", "body", "main") or not attributes.strip():
         return False
     for key, *values in NAMED.findall(attributes):
-        words = set(WORDS.split("".join(values).lower()))
-        if key.lower() == "role":
-            if words & NOISE_ROLES:
+        key, value = key.lower(), "".join(values).lower()
+        if key == "role":
+            if set(WORDS.split(value)) & NOISE_ROLES:
                 return True
-        elif hit := words & NOISE_WORDS:
-            if not (in_article and hit == {"header"}):  # as in article-header: its title
-                return True
-    return bool(HIDDEN.search(attributes))
+        elif key in ("class", "id"):
+            for token in value.split():
+                words = set(WORDS.split(token)) - {""}
+                hit = words & NOISE_WORDS
+                if hit and words <= NOISE_WORDS | BESIDE_WORDS:
+                    if not (in_article and hit == {"header"}):  # as in article-header: its title
+                        return True
+        elif key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and HIDDEN_STYLE.search(value):
+            return True
+    return False
+
+
+def holding_text(page: str, tags: list[tuple[int, int, bool, str, str]]) -> set[int]:
+    """Starts of the elements that hold all articles of the page, or without any, most of its text."""
+    open_: dict[str, list[int]] = {}
+    ends, articles, mass, at = [len(tags)] * len(tags), [0], [0], 0
+    for n, (start, end, closing, name, attributes) in enumerate(tags):
+        mass.append(mass[-1] + len(page[at:start].strip()) * (at <= start))
+        articles.append(articles[-1] + (not closing and name in ("article", "main") and not is_noise(name, attributes, False)))
+        at = end
+        if not closing:
+            open_.setdefault(name, []).append(n)
+        elif open_.get(name):
+            ends[open_[name].pop()] = n
+    mass.append(mass[-1] + len(page[at:].strip()))
+    held = set()
+    for n, tag in enumerate(tags):
+        if tag[2] or tag[3] in NEVER_TEXT or tag[3] in VOID:
+            continue
+        end = ends[n]
+        if articles[-1]:
+            if end < len(tags) and articles[end] - articles[n] == articles[-1]:
+                held.add(tag[0])
+        elif 2 * (mass[end + 1] - mass[n + 1]) > mass[-1]:
+            held.add(tag[0])
+    return held
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """((text, length of text outside links, inside an article) of each line, whether there is an article)."""
     page = RAW.sub(" ", page)
     tags = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5]).lower(), m[3] or m[6] or "") for m in TAG.finditer(page)]
+    held = holding_text(page, tags)
     closings: dict[str, int] = {}
     for tag in tags:
         if tag[2]:
@@ -108,7 +145,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 lines.append(("", 0, article > 0))
             if skip is not None or closing:
                 continue
-        if not closing and name not in VOID and is_noise(name, attributes, article > 0):
+        if not closing and name not in VOID and start not in held and is_noise(name, attributes, article > 0):
             end_line()
             skip, depth = (name, closings.get(name, 0) > 0), 1
             continue

@@ -179,6 +179,19 @@ def test_planted_page_parts():
     assert html_text.main_text(plain).startswith("Title\n\nSome") and html_text.main_text(plain).endswith("End.")
 
 
+@pytest.mark.parametrize("attributes", [
+    "style='overflow:hidden'", "class=overflow-hidden", "aria-hidden=false", "class='has-sidebar'", "class='no-sidebar'", "class='content with-sidebar'", "class=sidebar",
+])
+def test_wrappers_of_the_text_are_kept(attributes):
+    text = "Some words that run on for a while, as text does, and then some more of them."
+    body = f"<div class=site-header><p>Site</p></div><p>{text}</p><p>{text}</p><div hidden><p>Secret</p></div><div style='color:red; visibility: hidden'>Too</div>"
+    for inner in (f"<article>{body}</article>", body):
+        page = f"<body><div {attributes}>{inner}</div><div class=sidebar><p>Aside</p></div></body>"
+        kept = html_text.main_text(page).split("\n\n")
+        assert kept.count(text) == 2 and not {"Secret", "Too", "Aside"} & set(kept)
+    assert html_text.main_text(f"<article {attributes.replace('class=sidebar', '')}><p>{text}</p></article>") == text
+
+
 def test_templates_with_labels(spark):
     """A blocked branch takes its own unlabelled pages with it and leaves the clean branch alone."""
     rules = (("a.com", "/ads/x", "block"), ("a.com", "/news/1", "allow"))

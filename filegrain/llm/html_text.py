@@ -2,11 +2,13 @@
 
 Markup is stripped into lines, one for each block-level element; lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts and reader comments are
-empty, unless the element holds all articles of the page or, without any, most of its text. Text lengths are summed over windows of ``WINDOW`` lines. Where the sums
-surge, a stretch of main text begins; where they dive to nothing, it ends; its lines
-are kept whole, short ones too. Where a page marks its article, lines outside it are
-empty and any text inside it is a surge; elsewhere text of links has no length and a
-surge needs ``SURGE`` characters, or what the page's best stretch has.
+empty, unless the element holds all articles of the page or, without any, most of its text. Lengths are summed over windows of ``WINDOW`` lines that bear text; text of links has
+no length, unless it is a heading. Where the sums surge, a stretch of main text begins;
+where they dive to nothing, it ends; its lines are kept whole, short and linked ones
+too. A surge needs ``SURGE`` characters, or what the page's best stretch has.
+
+A shortcut by tags remains: where a page marks its article, lines outside it are left
+out, and each line inside weighs ``SURGE`` more, so all of them are kept.
 
 A null or empty page has an empty text. Pages are judged one by one, whole, in one
 pass over their tags, so repeated rows give the same text.
@@ -30,6 +32,7 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SPACES = set("br td th wbr img input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = set(
@@ -112,7 +115,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             closings[tag[3]] = closings.get(tag[3], 0) + 1
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = article = links = at = 0
+    linked = article = links = headings = at = 0
     seen = False
     skip: tuple[str, bool] | None = None  # the element that hides what follows, whether it can end
     depth = 0
@@ -126,7 +129,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     for start, end, closing, name, attributes in tags:
         if skip is None and start > at:
             parts.append(page[at:start])
-            linked += (start - at) if links else 0
+            linked += (start - at) if links and not headings else 0
         at = end
         if closing:
             closings[name] -= 1
@@ -156,6 +159,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name == "article" or name == "main":
             article = max(0, article + (-1 if closing else 1))
             seen = seen or not closing
+        elif name in HEADINGS:
+            headings = 0 if closing else 1
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
     if skip is None:
@@ -168,18 +173,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, article = lines_of(page)
-    if article:
-        lines = [(text, len(text), True) if inside else ("", 0, False) for text, _, inside in lines]
-    lengths = [plain for _, plain, _ in lines]
+    lines = [(text, plain + (SURGE if inside else 0)) for text, plain, inside in lines if text and (inside or not article)]
+    lengths = [weight for _, weight in lines]
     sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths) + WINDOW - 1)]
     stretches, at = [], 0
     for full, run in groupby(sums, key=lambda s: s > 0):
         run = list(run)
-        if full:  # the window that ends a line later still holds it
-            stretches.append((max(run), at, min(at + len(run), len(lines))))
+        if full:  # the window that ends a line later still holds it; the last line with text of its own ends the stretch
+            end = min(at + len(run), len(lines))
+            while not lengths[end - 1]:
+                end -= 1
+            stretches.append((max(run), at, end))
         at += len(run)
-    surge = 1 if article else min(SURGE, max((s[0] for s in stretches), default=0))
-    kept = (text for peak, start, dive in stretches if peak >= surge for text, plain, _ in lines[start:dive] if text and (article or plain))
+    surge = min(SURGE, max((s[0] for s in stretches), default=0))
+    kept = (text for peak, start, dive in stretches if peak >= surge for text, _ in lines[start:dive])
     return "\n\n".join(kept)
 
 

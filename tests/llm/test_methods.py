@@ -192,6 +192,15 @@ def test_wrappers_of_the_text_are_kept(attributes):
     assert html_text.main_text(f"<article {attributes.replace('class=sidebar', '')}><p>{text}</p></article>") == text
 
 
+def test_short_and_linked_lines_belong_to_the_stretch_around_them():
+    text = "Some words that run on for a while, as text does, and then some more of them."
+    page = (
+        f"<body><div><a href=/>Home</a></div><div><h1><a href=/t>Title</a></h1></div><div><p>{text}</p></div><div><h2>Part</h2></div><div><p>Short.</p></div>"
+        f"<div><p><a href=/x>Linked</a></p></div><div><div><p>{text}</p></div></div><div><a href=/a>A</a></div><div><a href=/b>B</a></div></body>"
+    )
+    assert html_text.main_text(page).split("\n\n") == ["Title", text, "Part", "Short.", "Linked", text]
+
+
 def test_templates_with_labels(spark):
     """A blocked branch takes its own unlabelled pages with it and leaves the clean branch alone."""
     rules = (("a.com", "/ads/x", "block"), ("a.com", "/news/1", "allow"))

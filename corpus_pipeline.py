@@ -14,11 +14,15 @@ from filegrain.llm.common import written
 from filegrain.llm.decontaminate import without_contaminated
 from filegrain.llm.langid import with_known_language
 from filegrain.llm.mixing import mixed
-from filegrain.llm.neardup import one_of_each
+from filegrain.llm.neardup import LINK_PERCENT, one_of_each
 from filegrain.llm.registry import table
 from filegrain.llm.toxicity import without_toxic
 
 
+#: Similarity on shingles of five words. tests/llm/test_methods.py holds the stage to op3's threshold.
+NEAR_PERCENT = LINK_PERCENT
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language go."""
     return with_known_language(docs)
@@ -30,8 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return one_of_each(docs)
+    """One document of each group of near-duplicates stays; from ``NEAR_PERCENT`` on they are near."""
+    return one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

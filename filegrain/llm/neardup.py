@@ -1,6 +1,6 @@
 """Near-duplicates by min-max hashing.
 
-Each of ``PERMUTATIONS`` hash functions gives two signature values, the least and
+Each of a banding's hash functions gives two signature values, the least and
 the greatest hash of the document's shingles: two nearly independent estimates for
 one evaluation. Values are banded; documents that share a band are candidates.
 
@@ -14,11 +14,16 @@ Copies (equal sets) are one node from the start. A null or empty text has no shi
 and is linked with nothing; a text of fewer words than a shingle is one shingle. Rows
 that repeat an id are one document. Null ids are linked with nothing.
 
-Chance of missing a link at the threshold: (1 - 0.85^7)^36 < 1e-6.
+The threshold is a parameter, in percent; bands follow from it. Chance of missing a
+link at the threshold: under ``MISSED``, as (1 - 0.85^7)^36 and (1 - 0.8^6)^46 are.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,20 +35,48 @@ from filegrain.session import ship_package
 
 WORDS_PER_SHINGLE = 5
 LINK_PERCENT = 85
-ROWS_PER_BAND, BANDS = 7, 36
-PERMUTATIONS = ROWS_PER_BAND * BANDS // 2
+MISSED, MOST_VALUES = 1e-6, 300
 #: What a unit may weigh: shingles, and so many for each document.
 UNIT_WEIGHT, DOCUMENT_WEIGHT = 1 << 21, 500
-#: Far below the threshold (over six standard errors), so that no link is lost by it.
-LEAST_ESTIMATE = 0.68
+#: An estimate so far below the threshold (over five standard errors) loses no link.
+ESTIMATE_SLACK = 0.17
 CHUNK = 2048
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_draw = np.random.default_rng(20240229)
-_MULTIPLIERS = _draw.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = _draw.integers(0, 1 << 63, (WORDS_PER_SHINGLE + 1, WORDS_PER_SHINGLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_FACTORS = _draw.integers(0, 1 << 63, (BANDS, ROWS_PER_BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(rows a band, bands): the most rows that ``MOST_VALUES`` signature values allow at ``MISSED``."""
+    best = None
+    for rows in range(1, 21):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-min(percent / 100, 0.999) ** rows))
+        bands += rows * bands % 2
+        if best is None or rows * bands <= MOST_VALUES:
+            best = rows, bands
+    return best
+
+
+@dataclass(frozen=True)
+class Signature:
+    """What signatures for one threshold are made with."""
+
+    rows: int
+    bands: int
+    multipliers: np.ndarray
+    factors: np.ndarray
+
+    @classmethod
+    def of(cls, percent: int) -> Signature:
+        rows, bands = banding(percent)
+        draw = lambda shape: _draw.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        _draw = np.random.default_rng(20240229)
+        return cls(rows, bands, draw(rows * bands // 2), draw((bands, rows)))
+
+
+_PLACES = np.random.default_rng(20240301).integers(0, 1 << 63, (WORDS_PER_SHINGLE + 1, WORDS_PER_SHINGLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OF_LINK_PERCENT = Signature.of(LINK_PERCENT)
+PERMUTATIONS = len(_OF_LINK_PERCENT.multipliers)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,17 +96,17 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def min_max(shingles: np.ndarray) -> np.ndarray:
+def min_max(shingles: np.ndarray, multipliers: np.ndarray = _OF_LINK_PERCENT.multipliers) -> np.ndarray:
     """All minima, then all maxima."""
-    low, high = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(PERMUTATIONS, dtype=np.uint64)
+    low, high = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(len(multipliers), dtype=np.uint64)
     for at in range(0, len(shingles), CHUNK):
-        hashed = shingles[at : at + CHUNK, None] * _MULTIPLIERS
+        hashed = shingles[at : at + CHUNK, None] * multipliers
         np.minimum(low, hashed.min(0), out=low)
         np.maximum(high, hashed.max(0), out=high)
     return np.concatenate([low, high])
 
 
-def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _signatures(made: Signature, batch: pa.RecordBatch) -> pa.RecordBatch:
     lists = batch["words"]
     values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64) if len(lists.values) else np.zeros(0, np.uint64)
     bounds = lists.offsets.to_numpy()
@@ -84,10 +117,10 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not len(found):
             names.append(None), bands.append([]), bytes_.append(None)
             continue
-        signature = min_max(found)
+        signature = min_max(found, made.multipliers)
         again = mixed(found ^ np.uint64(0x9E3779B97F4A7C15))
         names.append(found.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(again).tobytes())
-        bands.append(mixed((mixed(signature.reshape(BANDS, ROWS_PER_BAND)) * _BAND_FACTORS).sum(1, dtype=np.uint64)).view(np.int64))
+        bands.append(mixed((mixed(signature.reshape(made.bands, made.rows)) * made.factors).sum(1, dtype=np.uint64)).view(np.int64))
         bytes_.append((mixed(signature) >> np.uint64(56)).astype(np.uint8).tobytes())
     return pa.RecordBatch.from_arrays(
         [batch["id"], pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
@@ -95,11 +128,11 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, percent: int = LINK_PERCENT) -> DataFrame:
     """(id, n_shingles, set_name, bands, signature) of each row. Words are split and hashed in the JVM."""
     words = non_empty(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS))
     hashed = docs.select(F.col(key).cast("long").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-    return map_arrow(hashed, _signatures, "id long, n_shingles long, set_name binary, bands array<bigint>, signature binary")
+    return map_arrow(hashed, partial(_signatures, Signature.of(percent)), "id long, n_shingles long, set_name binary, bands array<bigint>, signature binary")
 
 
 def _sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -110,11 +143,11 @@ def _sets_of(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _linked(shared: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
-    return 100 * shared >= LINK_PERCENT * (n + sizes - shared)
+def _linked(shared: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * shared >= percent * (n + sizes - shared)
 
 
-def cluster_links(ids: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+def cluster_links(ids: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, sides: np.ndarray, percent: int = LINK_PERCENT) -> list[tuple[int, int]]:
     """Links that join what no earlier link of these documents has joined. Documents of two sides
     are compared across them, those of one side (all sides equal) with one another."""
     sizes = np.array([len(s) for s in sets])
@@ -123,13 +156,13 @@ def cluster_links(ids: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, si
     links = []
     for i in range(len(ids)):
         rest = np.arange(i + 1, len(ids))
-        near = (of[rest] != of[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= LINK_PERCENT * np.maximum(sizes[rest], sizes[i]))
+        near = (of[rest] != of[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
         if not one_side:
             near &= sides[rest] != sides[i]
         rest = rest[near]
         if len(rest):
             alike = (marks[rest] == marks[i]).sum(1, dtype=np.int32)
-            rest = rest[alike >= LEAST_ESTIMATE * marks.shape[1]]
+            rest = rest[alike >= (percent / 100 - ESTIMATE_SLACK) * marks.shape[1]]
         if not len(rest):
             continue
         parts = [sets[j] for j in rest]
@@ -137,14 +170,14 @@ def cluster_links(ids: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, si
         at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
         shared = np.add.reduceat((sets[i][at] == every).astype(np.int64), starts)
-        for j in rest[_linked(shared, sizes[i], sizes[rest])]:
+        for j in rest[_linked(shared, sizes[i], sizes[rest], percent)]:
             if of[j] != of[i]:
                 links.append((int(ids[j]), int(ids[i])))
                 of[of == of[j]] = of[i]
     return links
 
 
-def _unit_links(unit: pa.Table) -> pa.Table:
+def _unit_links(percent: int, unit: pa.Table) -> pa.Table:
     clusters, ids, sides = (unit[c].to_numpy() for c in ("cluster", "id", "side"))
     order = np.lexsort((ids, clusters))
     texts, marks = unit["text"], unit["signature"]
@@ -152,7 +185,7 @@ def _unit_links(unit: pa.Table) -> pa.Table:
     for group in np.split(order, np.flatnonzero(np.diff(clusters[order])) + 1):
         sets = _sets_of([texts[int(i)].as_py() for i in group])
         table = np.frombuffer(b"".join(marks[int(i)].as_py() for i in group), dtype=np.uint8).reshape(len(group), -1)
-        links += cluster_links(ids[group], sets, table, sides[group])
+        links += cluster_links(ids[group], sets, table, sides[group], percent)
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
@@ -183,10 +216,10 @@ def units(clusters: DataFrame) -> DataFrame:
     return light.unionByName(heavy)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each document."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each document. Documents link from a similarity of ``percent`` on."""
     ship_package()
-    marked = written(signatures(docs, key, text), "neardup-signatures")
+    marked = written(signatures(docs, key, text, percent), "neardup-signatures")
     nodes = written(
         marked.where("n_shingles > 0 and id is not null").groupBy("set_name")
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
@@ -202,7 +235,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = units(clusters.select("cluster", "id", "weight"))
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     bodies = clusters.select("id", "signature").join(texts, "id").dropDuplicates(["id"])
-    links = placed.join(bodies, "id").groupBy("unit").applyInArrow(_unit_links, "a long, b long")
+    links = placed.join(bodies, "id").groupBy("unit").applyInArrow(lambda unit: _unit_links(percent, unit), "a long, b long")
     joined = connected(links, "neardup-links")
     named = nodes.select("set_name", "id").join(joined, "id", "left").select("set_name", F.coalesce("component", "id").alias("component"))
     return marked.join(named, "set_name", "left").select(
@@ -211,9 +244,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT) -> DataFrame:
     """The rows whose document has the smallest id of its component, once each; rows without an id stay. All columns stay as they are."""
-    chosen = near_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_chosen")).where("_chosen is not null").distinct()
+    chosen = near_duplicates(docs, key, text, percent).where("kept").select(F.col(key).alias("_chosen")).where("_chosen is not null").distinct()
     kept = docs.join(chosen, docs[key].cast("long") == chosen["_chosen"], "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(docs[key].isNull()))
 

@@ -61,6 +61,18 @@ def test_near_duplicates(spark, monkeypatch, weight):
     assert got == want and 20 < len({c for _, c in want.values()}) < 200
 
 
+def test_near_duplicates_from_080(spark):
+    """Pairs between 0.80 and 0.85, each with words of its own: one changed word of 55 takes 5 of 51 shingles."""
+    texts = {}
+    for n in range(20):
+        base = [f"w{n}x{k}" for k in range(55)]
+        texts |= {2 * n: " ".join(base), 2 * n + 1: " ".join([*base[:20], "changed", *base[21:]])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in neardup.one_of_each(docs, percent=80).collect()}
+    assert kept == {2 * n for n in range(20)} == {i for i, (_, c) in brute.near_duplicates(texts, 80).items() if i == c}
+    assert neardup.banding(85) == (7, 36) and neardup.banding(80) == (6, 46)
+
+
 def test_near_duplicates_of_the_supplied_table(spark, sf_dir, queries):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries["op3_near_duplicates"](spark, sf_dir).collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, quality, quotes, toxicity, urls, vectors
+from filegrain.llm import collocations, decontaminate, html_text, langid, mixing, neardup, quality, quotes, toxicity, urls, vectors
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -67,3 +67,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("near_vectors_recall")
 def near_vectors_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.recall_audit(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_collocations", collocations.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

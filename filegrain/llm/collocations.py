@@ -51,11 +51,11 @@ TOP = 2000
 INSIDE_PERCENT = 80
 SCALE = 2_000_000
 #: Leaves of a group; a word that occurs more often than a share of it is hot.
-BUDGET = 1 << 20
-HOT_SHARE = 8
+BUDGET = 1 << 21
+HOT_SHARE = 2
 MAP_BITS = 1 << 26
 #: Words sorted at a time, words counted and distinct ones held at a time, bytes of text split at a time.
-SORTED_WORDS = 1 << 19
+SORTED_WORDS = 1 << 21
 COUNTED_WORDS = 1 << 23
 HELD_WORDS = 1 << 18
 SPLIT_BYTES = 1 << 20
@@ -218,7 +218,27 @@ def group_of(columns: list[np.ndarray], marks: np.ndarray, hot: np.ndarray, grou
     return (prefix % np.uint64(groups)).astype(np.int64)
 
 
-SENT = "lang string, grp long, words array<string>, leaves binary"
+SENT = "lang string, grp long, n_words int, n_leaves int, word_bytes int, packed binary"
+
+
+def narrowest(n_words: int) -> np.dtype:
+    """What holds the numbers 0 to ``n_words``."""
+    return np.dtype("<u1" if n_words < 1 << 8 else "<u2" if n_words < 1 << 16 else "<u4")
+
+
+def packed(words: list[bytes], used: np.ndarray, columns: list[np.ndarray], totals: np.ndarray) -> tuple[int, int, int, bytes]:
+    """The words in use, in order, and the leaves by columns, compressed: equal beginnings lie side by side."""
+    text = b"\n".join(words[i] for i in used)
+    kind = narrowest(len(used))
+    body = b"".join([text, *(c.astype(kind).tobytes() for c in columns), totals.astype("<u4").tobytes()])
+    return len(used), len(totals), len(text), pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(n_words: int, n_leaves: int, word_bytes: int, body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    kind = narrowest(n_words)
+    body = pa.decompress(body, word_bytes + n_leaves * (DEPTH * kind.itemsize + 4), codec="zstd", asbytes=True)
+    columns = np.frombuffer(body, kind, DEPTH * n_leaves, word_bytes).reshape(DEPTH, n_leaves)
+    return body[:word_bytes].split(b"\n"), columns, np.frombuffer(body, "<u4", n_leaves, word_bytes + columns.nbytes)
 
 
 def _send(groups: int, frequent_map: bytes, hot_map: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +250,10 @@ def _send(groups: int, frequent_map: bytes, hot_map: bytes, batches: Iterator[pa
         marks = marks_of(lang, words)
         kept = in_map(frequent_bits, marks)
         kept[0] = False
-        new = np.where(kept, np.cumsum(kept), 0).astype(np.int32)
-        words = [BREAK, *(w for w, k in zip(words, kept) if k)]
-        marks = np.concatenate([marks[:1], marks[kept]])
+        order = np.array(sorted(np.flatnonzero(kept).tolist(), key=words.__getitem__), dtype=np.int64)
+        new = np.zeros(len(words), np.int32)
+        new[order] = np.arange(1, len(order) + 1)
+        words, marks = [BREAK, *(words[i] for i in order)], marks[np.concatenate([[0], order])]
         hot = in_map(hot_bits, marks)
         hot[0] = False
         columns, totals = summed(suffixes(new[ids]), None, len(words))
@@ -240,18 +261,24 @@ def _send(groups: int, frequent_map: bytes, hot_map: bytes, batches: Iterator[pa
         order = np.argsort(group, kind="stable")
         group, totals, columns = group[order], totals[order], [c[order] for c in columns]
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        names, leaves = [], []
+        rows = []
         for a, b in zip(starts, [*starts[1:], len(group)]):
-            part = np.concatenate([c[a:b] for c in columns])
-            used, local = np.unique(part, return_inverse=True)
-            local = local + (used[0] > 0)  # 0 stays the end, whether a suffix of the group ends early or not
-            used = used[used > 0]
-            names.append([words[i] for i in used])
-            leaves.append(local.astype("<u2" if len(used) < 1 << 16 else "<u4").tobytes() + totals[a:b].astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays(
-            [_strings([lang] * len(starts)), pa.array(group[starts], pa.int64()), pa.array(names, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(leaves, pa.binary())],
-            ["lang", "grp", "words", "leaves"],
-        )
+            part = [c[a:b] for c in columns]
+            if len(words) < 8 * (b - a):
+                seen = np.zeros(len(words), bool)
+                for c in part:
+                    seen[c] = True
+                seen[0] = False
+                used, local = np.flatnonzero(seen), np.cumsum(seen)
+                part = [np.where(c > 0, local[c], 0) for c in part]
+            else:
+                used = np.unique(np.concatenate(part))
+                used = used[used > 0]
+                part = [np.where(c > 0, np.searchsorted(used, c) + 1, 0) for c in part]
+            rows.append((int(group[a]), *packed(words, used, part, totals[a:b])))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([_strings([lang] * len(rows)), *columns], [c.split()[0] for c in SENT.split(", ")])
 
     def flushed(lang: bytes) -> pa.RecordBatch:
         words, ids = held[lang].read()
@@ -276,21 +303,15 @@ def _merge(hot_map: bytes, least: int, group: pa.Table) -> pa.Table:
     """(lang, phrase, size, n): the nodes of the group's subtree from two words on. A node with ``least``
     occurrences, or one whose leaves lie in other groups as well."""
     lang = group["lang"][0].as_py()
-    lists = group["words"].combine_chunks()
-    coded = lists.flatten().cast(pa.binary()).dictionary_encode()
-    words, codes = [b"", *coded.dictionary.to_pylist()], coded.indices.to_numpy() + 1
-    hot = in_map(np.frombuffer(hot_map, np.uint64), marks_of(lang.encode(), words))
+    numbers: defaultdict = defaultdict(count(1).__next__)
     parts: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 1)]
-    at = 0
-    for length, leaves in zip(lists.value_lengths().to_pylist(), group["leaves"]):
-        content = leaves.as_py()
-        kind = np.dtype("<u2" if length < 1 << 16 else "<u4")
-        n = len(content) // (DEPTH * kind.itemsize + 4)
-        names = np.concatenate([[0], codes[at : at + length]]).astype(np.int32)
-        local = names[np.frombuffer(content, kind, DEPTH * n)].reshape(DEPTH, n)
-        for part, column in zip(parts, [*local, np.frombuffer(content, "<u4", offset=DEPTH * kind.itemsize * n).astype(np.int64)]):
+    for n_words, n_leaves, word_bytes, body in zip(*(group[c].to_pylist() for c in ("n_words", "n_leaves", "word_bytes", "packed"))):
+        names, local, of_each = unpacked(n_words, n_leaves, word_bytes, body)
+        ids = np.concatenate([np.zeros(1, np.int32), np.fromiter(map(numbers.__getitem__, names), np.int32, len(names))])
+        for part, column in zip(parts, [*(ids[c] for c in local), of_each.astype(np.int64)]):
             part.append(column)
-        at += length
+    words = [b"", *numbers]
+    hot = in_map(np.frombuffer(hot_map, np.uint64), marks_of(lang.encode(), words))
     columns, totals = summed([np.concatenate(p) for p in parts[:DEPTH]], np.concatenate(parts[DEPTH]), len(words))
     phrases: list[bytes] = []
     sizes, counts = [], []

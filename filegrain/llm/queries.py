@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filegrain.llm import collocations, decontaminate, html_text, langid, mixing, neardup, quality, quotes, toxicity, urls, vectors
+from filegrain.llm import collocations, decontaminate, html_text, langid, mixing, neardup, quality, quotes, secrets, spelling, toxicity, urls, vectors
 from filegrain.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -72,3 +72,13 @@ def near_vectors_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_collocations", collocations.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_secrets")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))

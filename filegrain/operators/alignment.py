@@ -9,8 +9,9 @@ texts are looked up again in the JVM.
 
 from __future__ import annotations
 
-import difflib
 import re
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from ..functions import fixed_values as fv
 from ..functions.scoring import change_magnitude
 from ..functions.text import clip
 from ..session import ship_package
+from .blocks import common_blocks
 
 KINDS = ("unchanged", "rewritten", "removed", "added")
 _STEP = pa.struct([("kind", pa.int8()), ("old", pa.int32()), ("new", pa.int32()), ("sim", pa.float64())])
@@ -30,38 +32,54 @@ def _words(sentence: str) -> frozenset[str]:
     return frozenset(_WORD.findall(sentence.lower()))
 
 
-def _similarity_rows(old: list[frozenset[str]], new: list[frozenset[str]]):
-    """Jaccard rows, one per old sentence. Shared words are counted over lists
-    of the new sentences each word is in, so memory stays linear in the text."""
-    where: dict[str, list[int]] = {}
-    for j, words in enumerate(new):
-        for w in words:
-            where.setdefault(w, []).append(j)
-    places = {w: np.array(js, dtype=np.int64) for w, js in where.items()}
-    sizes = np.array([len(w) for w in new], dtype=np.float64)
-    for words in old:
-        hits = [places[w] for w in words if w in places]
-        shared = (
-            np.bincount(np.concatenate(hits), minlength=len(new)).astype(np.float64) if hits else np.zeros(len(new))
-        )
-        union = len(words) + sizes - shared
-        yield np.where(union > 0, shared / np.maximum(union, 1.0), 1.0)
+class _Free:
+    """New sentences by their sets of words: equal sets are compared once and leave in order."""
+
+    def __init__(self, sentences: list[str]):
+        self.places: dict[frozenset[str], list[int]] = {}
+        for j, s in enumerate(sentences):
+            self.places.setdefault(_words(s), []).append(j)
+        where: dict[str, list[int]] = {}
+        for k, words in enumerate(self.places):
+            for w in words:
+                where.setdefault(w, []).append(k)
+        self.where = {w: np.array(ks, dtype=np.int64) for w, ks in where.items()}
+        self.sizes = np.array([len(w) for w in self.places], dtype=np.float64)
+        self.queues = [iter(js[1:]) for js in self.places.values()]
+        self.next = np.array([js[0] for js in self.places.values()], dtype=np.float64)
+        self.left = len(sentences)
+
+    def similarities(self, words: frozenset[str]) -> np.ndarray:
+        """Jaccard with every set. Shared words are counted over lists of the sets each word is in, so memory stays linear."""
+        hits = [self.where[w] for w in words if w in self.where]
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.sizes)) if hits else np.zeros(len(self.sizes))
+        union = len(words) + self.sizes - shared
+        return np.where(union > 0, shared / np.maximum(union, 1.0), 1.0)
+
+    def take(self, row: np.ndarray) -> tuple[int, float] | None:
+        """The first nearly identical free sentence, else the first of the most similar ones."""
+        row = np.where(np.isinf(self.next), -1.0, row)
+        near = row >= fv.SAME_SIMILARITY
+        chosen = near if near.any() else row == row.max()
+        k = int(np.where(chosen, self.next, np.inf).argmin())
+        if row[k] < fv.REWRITE_SIMILARITY:
+            return None
+        j = int(self.next[k])
+        self.next[k] = next(self.queues[k], np.inf)
+        self.left -= 1
+        return j, round(float(row[k]), 3)
 
 
 def _rewrites(old: list[str], new: list[str]) -> dict[int, tuple[int, float]]:
-    """old position → (new position, similarity), greedily in old order: the
-    first nearly identical free sentence, else the most similar one."""
-    free = np.ones(len(new), dtype=bool)
+    """old position → (new position, similarity), greedily in old order."""
+    free = _Free(new)
+    rows = lru_cache(maxsize=256)(free.similarities)
     out: dict[int, tuple[int, float]] = {}
-    for i, row in enumerate(_similarity_rows([_words(s) for s in old], [_words(s) for s in new])):
-        if not free.any():
+    for i, sentence in enumerate(old):
+        if not free.left:
             break
-        row = np.where(free, row, -1.0)
-        near = np.flatnonzero(row >= fv.SAME_SIMILARITY)
-        j = int(near[0]) if near.size else int(row.argmax())
-        if row[j] >= fv.REWRITE_SIMILARITY:
-            free[j] = False
-            out[i] = (j, round(float(row[j]), 3))
+        if (taken := free.take(rows(_words(sentence)))) is not None:
+            out[i] = taken
     return out
 
 
@@ -73,12 +91,9 @@ def _steps(old: list[str] | None, new: list[str] | None) -> list[dict] | None:
     def add(kind, i, j, sim):
         out.append({"kind": kind, "old": i, "new": j, "sim": sim})
 
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if tag == "equal":
-            for k in range(i2 - i1):
-                add(0, i1 + k, j1 + k, 1.0)
-            continue
-        pairs = _rewrites(old[i1:i2], new[j1:j2]) if tag == "replace" else {}
+    i1 = j1 = 0
+    for i2, j2, size in [*common_blocks(old, new), (len(old), len(new), 0)]:
+        pairs = _rewrites(old[i1:i2], new[j1:j2]) if i1 < i2 and j1 < j2 else {}
         for i in range(i2 - i1):
             if i in pairs:
                 add(1, i1 + i, j1 + pairs[i][0], pairs[i][1])
@@ -88,6 +103,9 @@ def _steps(old: list[str] | None, new: list[str] | None) -> list[dict] | None:
         for j in range(j2 - j1):
             if j not in taken:
                 add(3, None, j1 + j, 0.0)
+        for k in range(size):
+            add(0, i2 + k, j2 + k, 1.0)
+        i1, j1 = i2 + size, j2 + size
     return out
 
 

@@ -1,12 +1,15 @@
 """Alignment by its rules, thresholds and counts."""
 
+import difflib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from filegrain.operators import alignment as al
+from filegrain.operators.blocks import common_blocks
 
 
 def similarity(a, b):
@@ -105,3 +108,48 @@ def test_multiset_delta_equals_counters(spark, seed):
         o, n = Counter(r["o"]), Counter(r["n"])
         assert (r["unchanged_count"], r["removed_count"], r["added_count"]) == (
             sum((o & n).values()), sum((o - n).values()), sum((n - o).values()))
+
+
+def joined(blocks):
+    out = []
+    for i, j, size in blocks:
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + size)
+        else:
+            out.append((i, j, size))
+    return out
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 5, 20, 100])
+def test_blocks_follow_the_rule_of_the_standard_library(kinds):
+    rng = random.Random(kinds)
+    for _ in range(300):
+        old = [rng.randrange(kinds) for _ in range(rng.randint(0, 40))]
+        new = [x for x in old if rng.random() < 0.8] if rng.random() < 0.4 else [rng.randrange(kinds) for _ in range(rng.randint(0, 40))]
+        want = [o for o in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes() if o[0] == "equal"]
+        assert joined(common_blocks(old, new)) == [(i1, j1, i2 - i1) for _, i1, i2, j1, _ in want]
+
+
+def test_twenty_thousand_repeated_sentences():
+    rng = random.Random(1)
+    lines = ["page intentionally left blank", "see note", "risk of loss in the market", "none", "not applicable to the company"]
+    cases = [
+        ([rng.choice(lines) for _ in range(20_000)], [rng.choice(lines) for _ in range(20_000)]),
+        ([f"item {i}" if i % 2 else "same words here" for i in range(20_000)], [f"item {i}" if i % 2 else "other words here" for i in range(20_000)]),
+        (["one sentence"] * 20_000, ["another sentence"] * 19_000),
+    ]
+    for old, new in cases:
+        start = time.perf_counter()
+        steps = al._steps(old, new)
+        assert time.perf_counter() - start < 20
+        assert [s["old"] for s in steps if s["old"] is not None] == list(range(20_000))
+        assert sorted(s["new"] for s in steps if s["new"] is not None) == list(range(len(new)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_sentences_keep_the_rules(spark, seed):
+    rng = random.Random(100 + seed)
+    kinds = sentences(rng, 6)
+    old, new = rng.choices(kinds, k=30), rng.choices([*kinds, *(k + " more" for k in kinds)], k=30)
+    df = spark.createDataFrame([(old, new)], "o array<string>, n array<string>").withColumn("s", al.align(F.col("o"), F.col("n")))
+    check(old, new, df.select(al.change_rows(F.col("s"), F.col("o"), F.col("n")).alias("c")).first()["c"])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution decides joins from measured sizes: nothing here forces a
 # broadcast of data that grows. Arrow batches are bounded in bytes because one
@@ -44,10 +45,20 @@ def ship_package() -> None:
     sc._filegrain_shipped = True
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder: the cluster's own, else ``fallback``."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or fallback
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, named in ``spark.checkpoint.dir``. A local one
+    is made only where the session names none and runs on one machine, as tests do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="filegrain-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage, outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

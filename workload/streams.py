@@ -5,13 +5,12 @@ reads them back; the SQL is the batch twin over all rows."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from filegrain.functions.scoring import find_hits, of_tier, signals
-from filegrain.session import checkpoint_dir
+from filegrain.session import shared_folder
 from filegrain.streaming import jobs
 
 from . import query
@@ -20,11 +19,8 @@ from .filings import EVENT_SQL, _event_filings
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder; a temporary one only
-    where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    checkpoint_dir(spark, base)
-    return f"{base.rstrip('/')}/filegrain-{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one."""
+    return f"{shared_folder(spark)}/filegrain-{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, d: str, name: str):

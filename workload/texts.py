@@ -12,6 +12,7 @@ from filegrain.functions.scoring import (
 from filegrain.functions.text import jaccard, let, sentences, token_set
 from filegrain.operators import alignment as al
 from filegrain.operators.categories import categorise, category_summary, highlight_sentences, quick_categories
+from filegrain.operators.matches import sentence_matches
 from filegrain.operators.governance import governance_score, governance_signals, governance_summary
 from filegrain.operators.ownership import ownership_columns
 from filegrain.plans import filings
@@ -290,6 +291,53 @@ def q_aligned(spark, d):
     return p.withColumn("first_changes", F.array_join(F.transform("c", line), "\n")).drop("c")
 
 
+_SQL_WORDS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{3,}'))))"
+
+
+def _sql_rounds(n: int) -> str:
+    """The rounds of mutual best choices, spelt out."""
+    ctes = []
+    for r in range(n):
+        rank = lambda side: f"row_number() OVER (PARTITION BY doc_id, {side} ORDER BY least(similarity, 0.95) DESC, old, new)"
+        ctes.append(f"""taken{r} AS MATERIALIZED (
+  SELECT *, least(old_n, new_n) AS taken FROM choice{r} QUALIFY {rank('old')} = 1 AND {rank('new')} = 1),
+choice{r + 1} AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT c.doc_id, c.old, c.new, c.similarity, c.old_n - coalesce(a.taken, 0) AS old_n, c.new_n - coalesce(b.taken, 0) AS new_n,
+      c.old_from + coalesce(a.taken, 0) AS old_from, c.new_from + coalesce(b.taken, 0) AS new_from
+    FROM choice{r} c LEFT JOIN taken{r} a USING (doc_id, old) LEFT JOIN taken{r} b ON b.doc_id = c.doc_id AND b.new = c.new
+    WHERE NOT EXISTS (SELECT 1 FROM taken{r} t WHERE t.doc_id = c.doc_id AND t.old = c.old AND t.new = c.new))
+  WHERE old_n > 0 AND new_n > 0)""")
+    return ",\n".join(ctes) + ",\nmatched AS (" + " UNION ALL ".join(f"SELECT * FROM taken{r}" for r in range(n)) + ")"
+
+
+MATCH_SQL = f"""
+WITH {SQL_DISCLOSURES}, sides AS (
+  SELECT doc_id, {sql_sentences('older_text', normalise=True)} AS o, {sql_sentences('text', normalise=True)} AS n FROM disc),
+older AS (SELECT doc_id, p - 1 AS place, {_SQL_WORDS} AS words FROM (SELECT doc_id, unnest(o) AS x, generate_subscripts(o, 1) AS p FROM sides)),
+newer AS (SELECT doc_id, p - 1 AS place, {_SQL_WORDS} AS words FROM (SELECT doc_id, unnest(n) AS x, generate_subscripts(n, 1) AS p FROM sides)),
+old_kind AS (SELECT doc_id, words, count(*) AS n, min(place) AS first FROM older GROUP BY ALL),
+new_kind AS (SELECT doc_id, words, count(*) AS n, min(place) AS first FROM newer GROUP BY ALL),
+compared AS (
+  SELECT doc_id, a.first AS old, b.first AS new, a.n AS old_n, b.n AS new_n, len(a.words) + len(b.words) AS total, len(list_intersect(a.words, b.words)) AS shared
+  FROM old_kind a JOIN new_kind b USING (doc_id)),
+choice0 AS MATERIALIZED (
+  SELECT doc_id, old, new, old_n, new_n, CASE WHEN total = 0 THEN 1.0 ELSE CAST(shared AS DOUBLE) / (total - shared) END AS similarity, 0 AS old_from, 0 AS new_from
+  FROM compared WHERE total = 0 OR CAST(shared AS DOUBLE) / (total - shared) >= 0.4),
+{_sql_rounds(10)},
+each AS (SELECT *, unnest(range(taken)) AS k FROM matched),
+old_row AS (SELECT doc_id, place, min(place) OVER (PARTITION BY doc_id, words) AS old, row_number() OVER (PARTITION BY doc_id, words ORDER BY place) - 1 AS k FROM older),
+new_row AS (SELECT doc_id, place, min(place) OVER (PARTITION BY doc_id, words) AS new, row_number() OVER (PARTITION BY doc_id, words ORDER BY place) - 1 AS k FROM newer)
+SELECT e.doc_id, CAST(o.place AS INT) AS older_place, CAST(n.place AS INT) AS newer_place, similarity
+FROM each e JOIN old_row o ON o.doc_id = e.doc_id AND o.old = e.old AND o.k = e.old_from + e.k JOIN new_row n ON n.doc_id = e.doc_id AND n.new = e.new AND n.k = e.new_from + e.k
+"""
+
+
+@query("sentence_matches", MATCH_SQL)
+def q_matches(spark, d):
+    return sentence_matches(_split_pairs(spark, d).select("doc_id", "o", "n"), ["doc_id"], "o", "n")
+
+
 ALIGN_INVARIANTS = f"""
 WITH {SQL_DISCLOSURES}, sides AS (
   SELECT doc_id, {sql_sentences('older_text', normalise=True)} AS o, {sql_sentences('text', normalise=True)} AS n FROM disc

@@ -187,6 +187,24 @@ def strip_markup(html: Column, separator: str = " ", drop: Iterable[str] = ("scr
 # --- match positions -----------------------------------------------------------
 
 
+_BLOCK = 64
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum up to each element. Sums of blocks first, then inside a block: nothing is appended to."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
+
+    def summed(v: Column) -> Column:
+        count = F.ceil(F.size(v) / _BLOCK).cast("int")
+        blocks = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda b: total(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+        before = let(blocks, lambda bs: F.transform(bs, lambda _, b: total(F.slice(bs, F.lit(1), b))))
+        return let(before, lambda bs: F.transform(v, lambda _, i: F.get(bs, (i / _BLOCK).cast("int")) + total(
+            F.slice(v, (i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1)
+        )))
+
+    return let(numbers, summed)
+
+
 def match_spans(text: Column, pattern: str | Column) -> Column:
     """All matches as ``array<struct<first:int, past:int>>``, 0-based, ``past``
     exclusive. No built-in returns offsets, but the pieces between the matches
@@ -195,29 +213,15 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def spans(t: Column) -> Column:
-        lengths = F.zip_with(
-            F.split(t, regex),
-            F.regexp_extract_all(t, regex, F.lit(0)),
-            lambda piece, hit: F.struct(
-                F.length(piece).alias("gap"), F.length(hit).alias("hit")
-            ),
+        hits = F.transform(F.regexp_extract_all(t, regex, F.lit(0)), F.length)
+        gaps = F.transform(F.split(t, regex), F.length)
+        return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), positions_of)
+
+    def positions_of(v: Column) -> Column:
+        sizes = F.zip_with(F.slice(v["gaps"], F.lit(1), F.size(v["hits"])), v["hits"], lambda gap, hit: gap + hit)
+        return F.zip_with(
+            running_sums(sizes), v["hits"], lambda past, hit: F.struct((past - hit).cast("int").alias("first"), past.cast("int").alias("past"))
         )
-        start = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<first:int,past:int>>").alias("out"),
-        )
-
-        def step(acc: Column, x: Column) -> Column:
-            first = acc["at"] + x["gap"]
-            past = first + F.coalesce(x["hit"], F.lit(0))
-            return F.struct(
-                past.alias("at"),
-                F.when(x["hit"].isNull(), acc["out"])
-                .otherwise(F.concat(acc["out"], F.array(F.struct(first.alias("first"), past.alias("past")))))
-                .alias("out"),
-            )
-
-        return F.aggregate(lengths, start, step, lambda acc: acc["out"])
 
     return let(text, spans)
 

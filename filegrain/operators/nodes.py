@@ -2,14 +2,18 @@
 
 Python is used for one thing only: walking malformed markup. It returns the
 visible text of each document and the few elements that can start or end a
-section, each with its place in that text. All decisions are Spark expressions
-over these columns (see ``sections``).
+section as intervals: where each begins and ends in that text, and in the same text
+in lower case, with compatibility characters resolved and white space collapsed. Nothing
+is copied per element, so what comes back is as long as the page, however deep its
+elements nest. Headings are cut from the text and judged by Spark expressions
+(see ``sections``).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,15 +24,14 @@ from ..functions import fixed_values as fv
 from ..session import ship_package
 
 OUTLINE_TYPE = (
-    "struct<text:string, marks:array<struct<tag:string, ids:string, href:string, bold:boolean, "
-    "heading:string, chars:int, parent:string, parent_chars:int, body_at:int, at:int>>>"
+    "struct<text:string, plain:string, marks:array<struct<tag:string, ids:string, href:string, bold:boolean, chars:int, "
+    "parent:string, parent_chars:int, body_at:int, at:int, plain_at:int, plain_past:int>>>"
 )
 _MARK = pa.struct([
-    ("tag", pa.string()), ("ids", pa.string()), ("href", pa.string()), ("bold", pa.bool_()),
-    ("heading", pa.string()), ("chars", pa.int32()), ("parent", pa.string()),
-    ("parent_chars", pa.int32()), ("body_at", pa.int32()), ("at", pa.int32()),
+    ("tag", pa.string()), ("ids", pa.string()), ("href", pa.string()), ("bold", pa.bool_()), ("chars", pa.int32()), ("parent", pa.string()),
+    ("parent_chars", pa.int32()), ("body_at", pa.int32()), ("at", pa.int32()), ("plain_at", pa.int32()), ("plain_past", pa.int32()),
 ])
-_OUTLINE = pa.struct([("text", pa.string()), ("marks", pa.list_(_MARK))])
+_OUTLINE = pa.struct([("text", pa.string()), ("plain", pa.string()), ("marks", pa.list_(_MARK))])
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset(("script", "style", "noscript", "ix:header", "ix:hidden"))
@@ -39,7 +42,6 @@ _BLOCKS = frozenset(
 )
 _SAME_CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOLD = re.compile(fv.BOLD_PATTERN, re.IGNORECASE)
-_SPACES = re.compile(r"\s+")
 
 
 class _Outline(HTMLParser):
@@ -49,10 +51,14 @@ class _Outline(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.runs: list[str] = []
+        self.plain: list[str] = []
         self.place = 0          # of the next text run in the joined text
+        self.plain_place = 0     # of the next one in the plain text, where the last one ended
+        self.plain_end = 0
         self.total = 0           # characters seen so far
         self.bodiless: list[dict] = []
         self.stack: list[dict] = []
+        self.open: Counter[str] = Counter()
         self.marks: list[dict] = []
         self.skipping = 0
 
@@ -68,8 +74,8 @@ class _Outline(HTMLParser):
             self._close(inner, within="table" if tag in ("tr", "td", "th") else "ul")
         a = dict(attrs)
         node = {
-            "tag": tag, "first": len(self.runs), "before": self.total, "chars": 0, "at": self.place, "body_at": None,
-            "parent": self.stack[-1] if self.stack else None, "past": None, "past_run": None,
+            "tag": tag, "before": self.total, "chars": 0, "at": self.place, "body_at": None, "past": None,
+            "parent": self.stack[-1] if self.stack else None, "plain_at": self.plain_place, "plain_past": self.plain_place,
         }
         bold = bool(_BOLD.search(a.get("style") or ""))
         ids = [i for i in (a.get("name"), a.get("id")) if i]
@@ -79,6 +85,7 @@ class _Outline(HTMLParser):
             self.marks.append(node)
         if tag not in _VOID:
             self.stack.append(node)
+            self.open[tag] += 1
             self.bodiless.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -93,10 +100,13 @@ class _Outline(HTMLParser):
             self._close(tag)
 
     def _close(self, tag, within=None):
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i]["tag"] == tag:
                 for node in self.stack[i:]:
                     self._finish(node)
+                    self.open[node["tag"]] -= 1
                 del self.stack[i:]
                 return
             if within and self.stack[i]["tag"] in (within, "ol"):
@@ -105,7 +115,7 @@ class _Outline(HTMLParser):
                 return
 
     def _finish(self, node):
-        node["past"], node["past_run"] = self.place, len(self.runs)
+        node["past"], node["plain_past"] = self.place, max(self.plain_end, node["plain_at"])
         node["chars"] = self.total - node["before"]
 
     def handle_data(self, data):
@@ -124,6 +134,11 @@ class _Outline(HTMLParser):
         self.total += len(run)
         self.runs.append(run)
         self.place += len(run) + 1
+        plain = " ".join(unicodedata.normalize("NFKD", run).lower().split())
+        if plain:
+            self.plain.append(plain)
+            self.plain_end = self.plain_place + len(plain)
+            self.plain_place = self.plain_end + 1
 
     def outline(self) -> dict:
         for node in self.stack:
@@ -133,23 +148,20 @@ class _Outline(HTMLParser):
             past = n["past"] if n["past"] is not None else n["at"]
             parent = n["parent"]
             wanted = n["tag"] in _HEADINGS or n["bold"] or n["href"].startswith("#")
-            own = "".join(self.runs[n["first"]:n["past_run"]]) if n["past_run"] is not None else ""
-            spaced = " ".join(self.runs[n["first"]:n["past_run"]]) if own else ""
             marks.append({
                 "tag": n["tag"],
                 "ids": "|".join(n["ids"]) or None,
                 "href": n["href"][1:] if n["tag"] == "a" and n["href"].startswith("#") else None,
                 "bold": n["bold"],
-                "heading": (
-                    _SPACES.sub(" ", unicodedata.normalize("NFKD", spaced).lower()).strip() if wanted else None
-                ),
                 "chars": n["chars"],
                 "parent": parent["tag"] if parent else None,
                 "parent_chars": parent["chars"] if parent else None,
                 "body_at": n["body_at"] if n["body_at"] is not None else past,
                 "at": n["at"],
+                "plain_at": n["plain_at"] if wanted else None,
+                "plain_past": n["plain_past"] if wanted else None,
             })
-        return {"text": "\n".join(self.runs), "marks": marks}
+        return {"text": "\n".join(self.runs), "plain": " ".join(self.plain), "marks": marks}
 
 
 def _outline_of(html: str | None) -> dict | None:
@@ -171,3 +183,9 @@ def outline(html: Column) -> Column:
 
     # never pushed or copied by the optimizer: each body is read once
     return walk.asNondeterministic()(html)
+
+
+def heading(plain: Column, mark: Column, chars: int | None = None) -> Column:
+    """A mark's words, or their first characters; NULL for a mark that cannot be a heading."""
+    size = mark["plain_past"] - mark["plain_at"]
+    return F.substring(plain, mark["plain_at"] + 1, size if chars is None else F.least(size, F.lit(chars)))

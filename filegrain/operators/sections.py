@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import let, match_spans, string_array, strip
-from .nodes import outline
+from .nodes import heading, outline
 
 _METHODS = ("anchor_href", "heading_tag", "ixbrl_div", "toc_link", "pattern_match")
 
@@ -53,9 +53,9 @@ def plausible(text: Column, keywords: Sequence[str]) -> Column:
     return (F.length(text) >= fv.PLAUSIBLE_CHARS) & (used >= fv.PLAUSIBLE_KEYWORDS)
 
 
-def toc_entry(mark: Column) -> Column:
+def toc_entry(plain: Column, mark: Column) -> Column:
     """A short line ending in a page number."""
-    return (mark["chars"] < 80) & F.coalesce(mark["heading"], F.lit("")).rlike(r"\d{1,3}\s*$")
+    return F.when(mark["chars"] < 80, F.coalesce(heading(plain, mark), F.lit("")).rlike(r"\d{1,3}\s*$")).otherwise(F.lit(False))
 
 
 def standalone_heading(mark: Column) -> Column:
@@ -86,22 +86,32 @@ def _anchor_pattern(item_label: str) -> str:
     return compact + "(?![a-z0-9])"
 
 
-def _annotate(marks: Column, form: Column, section: int) -> Column:
+def _holds(plain: Column, mark: Column, spans: Column, pattern: str) -> Column:
+    """Whether a mark's words hold a match. ``spans`` are the matches in the whole text: one inside is enough, none near is
+    too; only words that cut through one are searched by themselves, so nested marks are not read again and again."""
+    within = F.exists(spans, lambda s: (s["first"] >= mark["plain_at"]) & (s["past"] <= mark["plain_past"]))
+    cut = F.exists(spans, lambda s: (s["first"] < mark["plain_past"]) & (s["past"] > mark["plain_at"]))
+    return F.coalesce(F.when(within, F.lit(True)).when(cut, heading(plain, mark).rlike(pattern)), F.lit(False))
+
+
+def _annotate(plain: Column, marks: Column, form: Column, section: int) -> Column:
     """Marks with what they can be for this section: start, end, anchor."""
 
-    def one(m: Column) -> Column:
-        heading = F.coalesce(m["heading"], F.lit(""))
+    def one(m: Column, spans: Column) -> Column:
         compact_ids = F.regexp_replace(F.lower(F.coalesce(m["ids"], F.lit(""))), r"[\s\-_]", "")
-        next_items = lambda items: F.exists(string_array(items), lambda p: F.startswith(heading, p))
+        next_items = lambda items: let(
+            heading(plain, m, max(map(len, items))), lambda h: F.coalesce(F.exists(string_array(items), lambda p: F.startswith(h, p)), F.lit(False))
+        )
         return F.struct(
             m["tag"].alias("tag"), m["bold"].alias("bold"), m["ids"].alias("ids"), m["href"].alias("href"),
-            m["at"].alias("at"), m["body_at"].alias("body_at"), toc_entry(m).alias("toc"),
-            _by_form(form, section, _STARTS, lambda p: heading.rlike(_either(p))).alias("starts"),
+            m["at"].alias("at"), m["body_at"].alias("body_at"), toc_entry(plain, m).alias("toc"),
+            _by_form(form, section, _STARTS, lambda p: _holds(plain, m, spans, _either(p))).alias("starts"),
             _by_form(form, section, _LABEL, lambda label: compact_ids.rlike(_anchor_pattern(label))).alias("anchors"),
             (standalone_heading(m) & _by_form(form, section, _NEXT, next_items)).alias("ends"),
         )
 
-    return F.transform(marks, one)
+    starts = _by_form(form, section, _STARTS, lambda p: F.lit(_either(p)))
+    return let(match_spans(plain, starts), lambda spans: F.transform(marks, lambda m: one(m, spans)))
 
 
 def _bodies(text: Column, marks: Column, starts: Column) -> Column:
@@ -183,7 +193,7 @@ def pattern_section(
     )
 
 
-def _section(section: int, form: Column, text: Column, marks: Column) -> Column:
+def _section(section: int, form: Column, text: Column, plain: Column, marks: Column) -> Column:
     """The best body of one section with the method that found it."""
     keywords = lambda body: _by_form(form, section, _KEYWORDS, lambda words: plausible(body, words))
 
@@ -208,7 +218,7 @@ def _section(section: int, form: Column, text: Column, marks: Column) -> Column:
             F.struct(text.alias("text"), F.lit("raw_fallback").alias("method")),
         )
 
-    return let(_annotate(marks, form, section), located)
+    return let(_annotate(plain, marks, form, section), located)
 
 
 def _attempt(body: Column, method: str, keywords) -> Column:
@@ -274,7 +284,7 @@ def extract(filings: DataFrame) -> DataFrame:
             *keep,
             F.col("_outline").isNotNull().alias("readable"),
             F.length("_text").alias("full_doc_char_count"),
-            *[_section(i, form, F.col("_text"), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
+            *[_section(i, form, F.col("_text"), F.coalesce(F.col("_outline.plain"), F.lit("")), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
         )
         .select(
             *keep, "readable", "full_doc_char_count",

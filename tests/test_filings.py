@@ -1,13 +1,15 @@
 import datetime as dt
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from filegrain.functions.text import match_spans
 from filegrain.operators import recency
 from filegrain.operators import sections as S
 from filegrain.operators.insider import form4_transactions, transaction_rows
 from filegrain.operators.items import event_items
-from filegrain.operators.nodes import _outline_of
+from filegrain.operators.nodes import _outline_of, outline
 from filegrain.plans import compare, report, trends
 from filegrain.plans.score import score_sections
 from filegrain.sources import landed
@@ -47,16 +49,44 @@ def test_table_of_contents_entry_is_no_heading(spark):
     assert text.startswith("Our business") and "Properties" not in text
 
 
+def words(out, mark):
+    return out["plain"][mark["plain_at"]:mark["plain_past"]]
+
+
 def test_unclosed_tags_do_not_swallow_the_document():
     out = _outline_of("<p><b>Head<br><p>one<p>two<table><tr><td>x<td>y<tr><td>z</table><h2>End</h2>")
     assert out["text"] == "Head\none\ntwo\nx\ny\nz\nEnd"
     bold = next(m for m in out["marks"] if m["tag"] == "b")
-    assert bold["heading"] == "head" and bold["parent"] == "p" and bold["parent_chars"] == bold["chars"]
+    assert words(out, bold) == "head" and bold["parent"] == "p" and bold["parent_chars"] == bold["chars"]
 
 
 def test_compatibility_characters_in_headings():
-    mark = _outline_of("<h2>Item 1A. Risk Factors ﬁnal</h2>")["marks"][0]
-    assert mark["heading"] == "item 1a. risk factors final"
+    out = _outline_of("<h2>Item 1A. Risk Factors ﬁnal</h2>")
+    assert words(out, out["marks"][0]) == "item 1a. risk factors final"
+
+
+def test_outline_of_nested_marks_is_as_long_as_the_page():
+    for n in (200, 2000):
+        page = "<b>risk " * n + "end" + "</b>" * n + "<i></u>" * n
+        out = _outline_of(page)
+        assert len(out["text"]) + len(out["plain"]) < 3 * len(page) and len(out["marks"]) == n
+        assert words(out, out["marks"][n - 2]) == "risk risk end" and words(out, out["marks"][0]).count("risk") == n
+
+
+def test_words_of_runs_that_change_length():
+    out = _outline_of("<p>a\u00a8b</p><h3>\u00a8 \u2003 Ａ½ <b>ﬃ</b></h3><h4>\u0307</h4><h4> </h4>")
+    assert [words(out, m) for m in out["marks"]] == ["\u0308 a1\u20442 ffi", "ffi", "\u0307", ""]
+    assert out["plain"] == " ".join(unicodedata.normalize("NFKD", out["text"]).lower().split())
+
+
+def test_start_patterns_in_nested_and_cut_words(spark):
+    """A match that runs beyond a mark does not count for it; one inside does, however deep."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("<b>item <i>1a</i></b><b>risk</b><h2>x item 1a. risk factors</h2>",)], "html string").withColumn("o", outline(F.col("html")))
+    pattern = r"(?i)(?:item\s*1a\.?\s*risk)"
+    got = df.select(F.transform("o.marks", lambda m: S._holds(F.col("o.plain"), m, match_spans(F.col("o.plain"), pattern), pattern)).alias("x")).first()["x"]
+    assert got == [False, False, True]
 
 
 def test_quarterly_pointer_is_a_failure(spark):

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from filegrain.functions import fixed_values as fv
 from filegrain.functions.scoring import find_hits, of_tier, signals
-from filegrain.functions.text import strip_markup
+from filegrain.functions.text import strip, strip_markup
 from filegrain.operators import recency
 from filegrain.operators import sections as S
 from filegrain.operators.insider import form4_transactions, transaction_rows
-from filegrain.operators.nodes import outline
+from filegrain.operators.nodes import heading, outline
 from filegrain.plans import categorize, compare, report, trends
 from filegrain.plans import filings as plans
 from filegrain.sources.landed import company_facts, with_body_status
@@ -162,7 +162,39 @@ def q_headings(spark, d):
     n = lambda test: F.size(F.filter("o.marks", test))
     return o.select(
         "accession_number", n(S.standalone_heading).alias("n_headings"), n(lambda m: m["href"].isNotNull()).alias("n_toc_links"),
-        n(lambda m: m["heading"].isNotNull() & S.toc_entry(m)).alias("n_toc_entries"),
+        n(lambda m: m["plain_at"].isNotNull() & S.toc_entry(F.col("o.plain"), m)).alias("n_toc_entries"),
+    )
+
+
+# Headings in compatibility characters and what they stand for.
+WIDE_HEADINGS = (
+    ("Ｉtem １A. Risk Factors", "item 1a. risk factors"), ("Item 7. ﬁnancial ½ ²", "item 7. financial 1\u20442 2"),
+    ("Item 1A.\u2003Risk\u00a0 Factors", "item 1a. risk factors"), ("ITEM Ⅷ ①", "item viii 1"),
+)
+_HEADING = "(" + strings(h for h, _ in WIDE_HEADINGS) + ")[doc_id % 4 + 1]"
+
+
+@query("contents_entries", f"""WITH {SQL_DISCLOSURES},
+line AS (
+  SELECT doc_id, i, {sql_trim("translate(substr(s, 1, 20 + 30 * (i % 3)), '<>&', '   ')")} || CASE WHEN i % 2 = 1 THEN ' ' || (doc_id % 300 + i) ELSE '' END AS l
+  FROM (SELECT doc_id, unnest(sents[1:6]) AS s, generate_subscripts(sents[1:6], 1) AS i FROM disc)),
+counted AS (SELECT doc_id, count(*) FILTER (length(l) < 80 AND regexp_matches(l, '[0-9]{{1,3}}\\s*$')) AS n FROM line GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_toc_entries, ({strings(w for _, w in WIDE_HEADINGS)})[doc_id % 4 + 1] AS heading, TRUE AS standalone
+FROM disc LEFT JOIN counted USING (doc_id)""")
+def q_contents(spark, d):
+    """Bodies that begin with a table of contents, its lines bold and numbered every other time, and a heading in wide characters."""
+    doc = F.col("doc_id")
+    line = lambda s, i: F.concat(
+        F.lit("<b>"), strip(F.translate(F.substring(s, F.lit(1), 20 + 30 * ((i + 1) % 3)), "<>&", "   ")),
+        F.when(i % 2 == 0, F.concat(F.lit(" "), (doc % 300 + i + 1).cast("string"))).otherwise(""), F.lit("</b><br>"),
+    )
+    title = F.element_at(F.array(*[F.lit(h) for h, _ in WIDE_HEADINGS]), (doc % 4 + 1).cast("int"))
+    html = F.concat(F.array_join(F.transform(F.slice("sents", 1, 6), line), ""), F.lit("<h2>"), title, F.lit("</h2><p>"), F.lit("text</p>"))
+    o = disclosures(spark, d).select("doc_id", outline(html).alias("o"))
+    last = F.element_at(F.filter("o.marks", lambda m: m["tag"] == "h2"), 1)
+    return o.select(
+        "doc_id", F.size(F.filter("o.marks", lambda m: (m["tag"] == "b") & S.toc_entry(F.col("o.plain"), m))).alias("n_toc_entries"),
+        heading(F.col("o.plain"), last).alias("heading"), S.standalone_heading(last).alias("standalone"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -23,56 +24,124 @@ def classify_events(filings: DataFrame) -> DataFrame:
     return element_rows(filings, keep, items, pos="item_pos", item="item").select(*keep, "item_pos", "item.*")
 
 
-TTL_SCHEMA = "result_key string, ts timestamp"
+TTL_SCHEMA = "result_key string, ts timestamp, late boolean"
 
 
 class WithinTtl(StatefulProcessor):
-    """State per key: when the request last let through expires. A request goes
-    through when nothing holds its key at its own time; its TTL then holds the
-    key. State goes with an event-time timer, once the watermark is past the
-    expiry: nothing that could still be held back can come after that."""
+    """Judges each key's requests in the order of their times, in whatever order they arrive.
+
+    A request waits in the key's state until the watermark is past its time: then none that
+    precedes it can come any more, and an event-time timer, one for each key, judges all that
+    are due. A request goes through when nothing holds its key at its own time; its TTL then
+    holds the key. A request that comes behind the watermark is put out as late. What held a
+    key goes when the watermark is past the expiry."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getValueState("held", "since bigint, expiry bigint")
+        self._held = handle.getValueState("held", "expiry bigint")
+        self._waiting = handle.getListState("waiting", "at bigint, ttl bigint")
+        self._timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, at: int | None) -> None:
+        """One timer for the key: at this microsecond the watermark is past it."""
+        known = self._timer.get()[0] if self._timer.exists() else None
+        wanted = None if at is None else at // 1000 + 1
+        if known == wanted:
+            return
+        if known is not None:
+            self._handle.deleteTimer(known)
+        if wanted is None:
+            self._timer.clear()
+        else:
+            self._handle.registerTimer(wanted)
+            self._timer.update((wanted,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since, expiry = self._held.get() if self._held.exists() else (None, None)
-        before = expiry
-        arrived = [(at, ttl) for frame in rows for at, ttl in zip(frame["at"], frame["ttl"])]
-        passed = []
-        for at, ttl in sorted(arrived):
-            if expiry is None or at >= expiry:
-                since, expiry = int(at), int(at + ttl)
-                passed.append(since)
-        if passed:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self._held.update((since, expiry))
-            self._handle.registerTimer(-(-expiry // 1000))
-        assert before is None or expiry >= before
-        yield pd.DataFrame({"result_key": pd.Series([key[0]] * len(passed), dtype="object"), "ts": pd.to_datetime(passed, unit="us")})
+        past = timerValues.getCurrentWatermarkInMs() * 1000
+        arrived = [(int(at), int(ttl)) for frame in rows for at, ttl in zip(frame["at"], frame["ttl"])]
+        kept = [x for x in arrived if x[0] >= past]
+        if kept:
+            self._waiting.appendList(kept)
+            first = min(kept)[0]
+            if not self._timer.exists() or first // 1000 + 1 < self._timer.get()[0]:
+                self._wake(first)
+        yield _judged(key, [], [at for at, _ in arrived if at < past])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._held.clear()
-        yield pd.DataFrame({"result_key": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[ns]")})
+        past = timerValues.getCurrentWatermarkInMs() * 1000
+        self._timer.clear()
+        waiting = sorted(self._waiting.get()) if self._waiting.exists() else []
+        expiry = self._held.get()[0] if self._held.exists() else None
+        passed = []
+        for at, ttl in (x for x in waiting if x[0] < past):
+            if expiry is None or at >= expiry:
+                expiry = at + ttl
+                passed.append(at)
+        left = [x for x in waiting if x[0] >= past]
+        if left:
+            self._waiting.put(left)
+        else:
+            self._waiting.clear()
+        if expiry is not None and expiry >= past:
+            self._held.update((expiry,))
+        else:
+            expiry = None
+            self._held.clear()
+        self._wake(left[0][0] if left else expiry)
+        yield _judged(key, passed, [])
 
     def close(self) -> None:
         pass
 
 
-def first_within_ttl(requests: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """``requests(result_key, ts, ttl_seconds)``: those whose key no earlier one
-    that went through still holds. Each brings its own TTL; ``lateness`` is how
-    far behind the newest a request may come and still be judged in order.
-    Needs the RocksDB state store provider (see ``use_rocksdb``)."""
+def _judged(key, passed: list[int], late: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({
+        "result_key": pd.Series([key[0]] * (len(passed) + len(late)), dtype="object"),
+        "ts": pd.to_datetime(passed + late, unit="us"), "late": pd.Series([False] * len(passed) + [True] * len(late), dtype="bool"),
+    })
+
+
+BEATS = "result_key string, ts timestamp, ttl_seconds bigint, beat boolean"
+
+
+def first_within_ttl(requests: DataFrame, lateness: str = "1 day", beats: DataFrame | None = None) -> DataFrame:
+    """``requests(result_key, ts, ttl_seconds)`` → (result_key, ts, late): those whose key no earlier one
+    that went through still holds, and those that came too late to be judged.
+
+    Each request brings its own TTL. ``lateness`` is how far behind the newest one may come; as long
+    is a request held back. ``beats`` (BEATS, a stream) carries times without requests: where no more
+    requests come, a beat moves the watermark on. Needs the RocksDB state store provider
+    (see ``use_rocksdb``)."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    timed = requests.withWatermark("ts", lateness).select(
-        "result_key", "ts", F.unix_micros("ts").alias("at"), (F.col("ttl_seconds") * 1_000_000).cast("long").alias("ttl")
+    rows = requests.select("result_key", "ts", F.col("ttl_seconds").cast("bigint").alias("ttl_seconds"), F.lit(False).alias("beat"))
+    if beats is not None:
+        rows = rows.unionByName(beats)
+    # the filter names the event time, or it would be moved below the watermark, which would not see the beats;
+    # the event time itself is left behind, or late rows would be dropped before they are told
+    timed = rows.withWatermark("ts", lateness).where(~(F.col("beat") & F.col("ts").isNotNull())).select(
+        "result_key", F.unix_micros("ts").alias("at"), (F.col("ttl_seconds") * 1_000_000).cast("long").alias("ttl")
     )
     return timed.groupBy("result_key").transformWithStateInPandas(WithinTtl(), TTL_SCHEMA, "append", "EventTime")
 
 
+def count_parts(usage: DataFrame) -> DataFrame:
+    """Runs per user and UTC day in some rows. Parts are summed when they are read (``summed_parts``), so rows may come in any
+    order, however late, and a stream keeps no state for them."""
+    return usage.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def drain_parts(stream: DataFrame, part, path: str, checkpoint: str) -> None:
+    """``part`` of each trigger's rows, in a folder of the trigger's own that a retry replaces."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def summed_parts(spark: SparkSession, path: str, keys: Sequence[str], value: str = "n") -> DataFrame:
+    return spark.read.parquet(path).groupBy(*keys).agg(F.sum(value).alias(value))
+
+
 def daily_counts(usage: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Runs per user and UTC day. In update mode open days come out too and are
     replaced as they grow; read them back with ``newest_rows``."""
@@ -91,49 +160,64 @@ def conversation_counters(messages: DataFrame) -> DataFrame:
 
 
 TRANSITION_SCHEMA = (
-    "ticker string, form_type string, accession_number string, seq bigint, change string, signal string"
+    "ticker string, form_type string, accession_number string, seq bigint, change string, signal string, sign int"
 )
 
 
 class SignalTransitions(StatefulProcessor):
-    """State per series: place and signal set of its newest filing. Rows come
-    as (ticker, form_type, accession_number, seq, signals); a filing older than
-    the stored one is reported as late and does not touch the state.
+    """State per series: the signals of its filings by their place. Rows come as
+    (ticker, form_type, accession_number, seq, signals), in any order.
 
-    The rows a series brings in one trigger are put in order in memory, so feed
-    the stream with a trigger limit (``maxFilesPerTrigger``); whole histories are
-    the batch job's (``full_history_transitions``), which splits long series."""
+    A filing is compared with the one before it. One that comes in between two others takes
+    back (sign -1) what the second differed in from the first, and puts out (sign 1) what each
+    now differs in from its neighbour. A filing that comes again replaces itself. Only
+    neighbours' signals are read from the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "seq bigint, signals array<string>")
+        self._filings = handle.getMapState("filings", "seq bigint, accession_number string", "signals array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ticker, form = key
         batch = sorted((int(p), a, tuple(s)) for f in rows for p, a, s in zip(f["seq"], f["accession_number"], f["signals"]))
-        seq, known = None, None
-        if self._last.exists():
-            seq, listed = self._last.get()
-            known = set(listed)
+        places = sorted((int(p), a) for p, a in self._filings.keys())
         out = []
-        for place, accession, signals in batch:
-            now = set(signals)
-            if seq is not None and place < seq:
-                out.append((ticker, form, accession, place, "late", None))
-                continue
-            if known is not None:
-                out += [(ticker, form, accession, place, "appeared", s) for s in sorted(now - known)]
-                out += [(ticker, form, accession, place, "removed", s) for s in sorted(known - now)]
-            seq, known = place, now
-        if seq is not None:
-            self._last.update((seq, sorted(known)))
-        yield pd.DataFrame(out, columns=["ticker", "form_type", "accession_number", "seq", "change", "signal"])
+
+        def signals(at: int) -> set[str]:
+            return set(self._filings.getValue(places[at])[0])
+
+        def differ(at: int, sign: int) -> None:
+            """What the filing at this place differs in from the one before it."""
+            if 0 < at < len(places):
+                (seq, accession), now, before = places[at], signals(at), signals(at - 1)
+                out.extend((ticker, form, accession, seq, "appeared", s, sign) for s in sorted(now - before))
+                out.extend((ticker, form, accession, seq, "removed", s, sign) for s in sorted(before - now))
+
+        for seq, accession, found in batch:
+            place = (seq, accession)
+            at = bisect_left(places, place)
+            again = at < len(places) and places[at] == place
+            differ(at, -1)
+            if again:
+                differ(at + 1, -1)
+            else:
+                places.insert(at, place)
+            self._filings.updateValue(place, (list(found),))
+            differ(at, 1)
+            differ(at + 1, 1)
+        yield pd.DataFrame(out, columns=["ticker", "form_type", "accession_number", "seq", "change", "signal", "sign"])
 
     def close(self) -> None:
         pass
 
 
+def standing(changes: DataFrame) -> DataFrame:
+    """Changes that have not been taken back."""
+    columns = [c for c in changes.columns if c != "sign"]
+    return changes.groupBy(*columns).agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
+
+
 def signal_transitions(points: DataFrame) -> DataFrame:
-    """Needs the RocksDB state store provider (see ``use_rocksdb``)."""
+    """Rows with a sign; ``standing`` reads what holds. Needs the RocksDB state store provider (see ``use_rocksdb``)."""
     # the stream's own Python runner starts before shipped files are in place
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return points.groupBy("ticker", "form_type").transformWithStateInPandas(

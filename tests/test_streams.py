@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import harness
 import pytest
@@ -7,18 +8,37 @@ import __spark_entry__ as entry_point
 from filegrain.streaming import jobs
 
 
-def test_late_filing_is_reported_and_not_merged(spark, tmp_path):
+SERIES = "ticker string, form_type string, accession_number string, seq bigint, signals array<string>"
+
+
+def transitions(spark, folder, triggers):
     jobs.use_rocksdb(spark)
-    schema = "ticker string, form_type string, accession_number string, seq bigint, signals array<string>"
-    land = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda: jobs.drain(
-        jobs.signal_transitions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/cp")
-    land([("A", "10-K", "a1", 1, ["x"]), ("A", "10-K", "a3", 3, ["x", "y"])])
-    run()
-    land([("A", "10-K", "a2", 2, ["z"]), ("A", "10-K", "a4", 4, ["y"])])
-    run()
-    got = {(r["seq"], r["change"], r["signal"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {(3, "appeared", "y"), (2, "late", None), (4, "removed", "x")}
+    for rows in triggers:
+        spark.createDataFrame(rows, SERIES).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        jobs.drain(jobs.signal_transitions(spark.readStream.schema(SERIES).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/cp")
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_late_filing_takes_back_what_it_changes(spark, tmp_path):
+    out = transitions(spark, tmp_path, (
+        [("A", "10-K", "a1", 1, ["x"]), ("A", "10-K", "a3", 3, ["x", "y"])], [("A", "10-K", "a2", 2, ["z"]), ("A", "10-K", "a4", 4, ["y"])],
+    ))
+    got = {(r["seq"], r["change"], r["signal"]) for r in jobs.standing(out).collect()}
+    assert got == {(2, "appeared", "z"), (2, "removed", "x"), (3, "appeared", "x"), (3, "appeared", "y"), (3, "removed", "z"), (4, "removed", "x")}
+    assert [(r["seq"], r["signal"]) for r in out.where("sign < 0").collect()] == [(3, "y")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_order_of_filings_gives_the_same_series(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(t, "10-K", f"{t}{i}", i // 2, rng.sample("uvwxyz", rng.randint(0, 4))) for t in "AB" for i in range(12)]
+    want = set()
+    for (t, _, _, _, before), (u, _, a, seq, now) in zip(rows, rows[1:]):
+        if t == u:
+            want |= {(a, seq, "appeared", s) for s in set(now) - set(before)} | {(a, seq, "removed", s) for s in set(before) - set(now)}
+    shuffled = rng.sample(rows, len(rows)) + rng.sample(rows, 3)  # some come twice
+    out = transitions(spark, tmp_path, [shuffled[i : i + 9] for i in range(0, len(shuffled), 9)])
+    assert {(r["accession_number"], r["seq"], r["change"], r["signal"]) for r in jobs.standing(out).collect()} == want
 
 
 def test_billing_is_order_free(spark, tmp_path):
@@ -35,11 +55,36 @@ def test_billing_is_order_free(spark, tmp_path):
         assert got == {"u": ("cancelled", "business", "free_trial"), "v": ("active", "pro", "pro")}
 
 
-def test_ttl_over_several_triggers(spark, tmp_path):
-    """A key is held for its own TTL from the request that went through, not longer; late rows within the lateness are judged."""
+REQUESTS = "result_key string, ts timestamp, ttl_seconds long"
+
+
+def judged(spark, folder, triggers, lateness):
+    """What came out by the end, with a beat after the last trigger."""
     jobs.use_rocksdb(spark)
+    beat = (None, dt.datetime(2100, 1, 1), None, True)
+    for n, rows in enumerate([*triggers, []]):
+        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        spark.createDataFrame([beat] if n == len(triggers) else [], jobs.BEATS).coalesce(1).write.mode("append").parquet(f"{folder}/beats")
+        stream = spark.readStream.schema(REQUESTS).parquet(f"{folder}/in")
+        beats = spark.readStream.schema(jobs.BEATS).parquet(f"{folder}/beats")
+        jobs.drain(jobs.first_within_ttl(stream, lateness, beats), f"{folder}/out", f"{folder}/cp")
+    rows = [(r["result_key"], r["ts"], r["late"]) for r in spark.read.parquet(f"{folder}/out").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def in_order(requests):
+    held, out = {}, set()
+    for key, at, ttl in sorted(requests, key=lambda r: (r[1], r[2])):
+        if key not in held or at >= held[key]:
+            held[key] = at + dt.timedelta(seconds=ttl)
+            out.add((key, at, False))
+    return out
+
+
+def test_ttl_over_several_triggers(spark, tmp_path):
+    """A key is held for its own TTL from the request that went through, not longer; late rows within the lateness are judged in order."""
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
-    schema = "result_key string, ts timestamp, ttl_seconds long"
     week, three = 7 * 86_400, 3 * 86_400
     triggers = (
         [("k", day(1), week), ("k", day(2), week), ("m", day(1, 5), three)],
@@ -47,12 +92,33 @@ def test_ttl_over_several_triggers(spark, tmp_path):
         [("k", day(11), week), ("n", day(11), three)],
         [("n", day(10, 12), three), ("n", day(14), three), ("k", day(18), week)],
     )
-    for rows in triggers:
+    got = judged(spark, tmp_path, triggers, "2 days")
+    assert got == in_order([r for t in triggers for r in t])
+    assert got == {(k, t, False) for k, t in (("k", day(1)), ("k", day(11)), ("k", day(18)), ("m", day(1, 5)), ("m", day(4, 6)), ("n", day(10, 12)), ("n", day(14)))}
+
+
+def test_requests_behind_the_watermark_are_told(spark, tmp_path):
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    triggers = ([("k", day(10), 60), ("m", day(20), 60)], [("k", day(5), 60), ("k", day(19, 12), 60)], [("new", day(3), 60)])
+    got = judged(spark, tmp_path, triggers, "1 day")
+    assert got == {("k", day(10), False), ("m", day(20), False), ("k", day(19, 12), False), ("k", day(5), True), ("new", day(3), True)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_requests_in_any_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    requests = [(rng.choice("abc"), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(20 * 86_400)), rng.choice((3_600, 86_400, 4 * 86_400))) for _ in range(120)]
+    assert judged(spark, tmp_path, [requests[i::4] for i in range(4)], "30 days") == in_order(requests)
+
+
+def test_parts_are_summed_in_any_order(spark, tmp_path):
+    schema = "user_id string, ts timestamp"
+    for hours in ((30, 1), (2,), (900,), (3,)):
+        rows = [("u", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for h in hours]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        jobs.drain(jobs.first_within_ttl(stream, "2 days"), f"{tmp_path}/out", f"{tmp_path}/cp")
-    got = {(r["result_key"], r["ts"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {("k", day(1)), ("k", day(11)), ("k", day(18)), ("m", day(1, 5)), ("m", day(4, 6)), ("n", day(11)), ("n", day(14))}
+        jobs.drain_parts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), jobs.count_parts, f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {(r["day"].date().isoformat(), r["n"]) for r in jobs.summed_parts(spark, f"{tmp_path}/out", ["user_id", "day"]).collect()}
+    assert got == {("2024-01-01", 3), ("2024-01-02", 1), ("2024-02-07", 1)}
 
 
 def test_open_days_come_out_and_grow(spark, tmp_path):

@@ -1,10 +1,10 @@
-"""Streaming jobs run over the supplied tables to completion. Each query streams
-the table from where it lies, or where the job depends on the order of arrival, from
-a copy landed in that order; drains into files in the session's checkpoint folder and
-reads them back; the SQL is the batch twin over all rows."""
+"""Streaming jobs run over the supplied tables to completion, from where they lie, whatever
+the order of their files. Each drains into files in the session's checkpoint folder and reads
+them back; the SQL is the batch twin over all rows."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,30 +23,11 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/filegrain-{name}-{uuid.uuid4().hex}"
 
 
-def _stream(spark, d: str, name: str):
-    """A supplied table as a stream, a file at a time, without a copy. The path is
+def _stream(spark, d: str, name: str, files: int = 1):
+    """A supplied table as a stream, some files at a time, without a copy. The path is
     written as a pattern: a plain one has to be a folder, a table may be a file."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}.parque[t]")
-
-
-def _stream_in_order(spark, d: str, name: str, order, folder: str):
-    """A supplied table as a stream, a file at a time, in ``order`` whatever its files
-    hold: landed once in as many ranges as it has files. The source reads files by
-    their times, so these are set; a file system that does not keep them is an error."""
-    rows = spark.read.parquet(f"{d}/{name}.parquet")
-    rows.repartitionByRange(max(1, len(rows.inputFiles())), order).write.parquet(f"{folder}/in")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = lambda: sorted((s for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda s: (int(s.getPath().getName().split("-")[1]), s.getPath().getName()))
-    first = 0
-    for n, part in enumerate(parts()):
-        first = first or part.getModificationTime()
-        fs.setTimes(part.getPath(), first + 1000 * n, -1)
-    times = [s.getModificationTime() for s in parts()]
-    if any(a >= b for a, b in zip(times, times[1:])):
-        raise RuntimeError(f"{folder}: the file system does not keep the files' times")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{d}/{name}.parque[t]")
 
 
 def _ts(c="ts"):
@@ -72,22 +53,34 @@ passed AS (
 )
 SELECT result_key, CAST(epoch_us(ts) AS BIGINT) AS at FROM passed""")
 def q_stream_ttl(spark, d):
+    return _ttl_judged(spark, d, "60 days").where(~F.col("late")).select("result_key", F.unix_micros("ts").alias("at"))
+
+
+def _ttl_judged(spark, d, lateness: str, files: int = 4):
+    """All that the stream puts out. The table's times span 30 days and its files may hold any of them, so requests
+    may be 60 days late; a beat far ahead ends the wait for more."""
     folder = scratch(spark, "ttl")
     jobs.use_rocksdb(spark)
-    e = _stream_in_order(spark, d, "events", _ts(), folder).select(
-        F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("result_key"), _ts().alias("ts"),
-        ((3 + F.col("user_id") % 5) * 86_400).alias("ttl_seconds"),
-    )
-    jobs.drain(jobs.first_within_ttl(e), f"{folder}/out", f"{folder}/cp")
-    return spark.read.parquet(f"{folder}/out").select("result_key", F.unix_micros("ts").alias("at"))
+    land = lambda rows: spark.createDataFrame(rows, jobs.BEATS).coalesce(1).write.mode("append").parquet(f"{folder}/beats")
+    land([])
+    for beat in ([], [(None, dt.datetime(2200, 1, 1), None, True)]):
+        if beat:
+            land(beat)
+        e = _stream(spark, d, "events", files).select(
+            F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("result_key"), _ts().alias("ts"),
+            ((3 + F.col("user_id") % 5) * 86_400).alias("ttl_seconds"),
+        )
+        beats = spark.readStream.schema(jobs.BEATS).parquet(f"{folder}/beats")
+        jobs.drain(jobs.first_within_ttl(e, lateness, beats), f"{folder}/out", f"{folder}/cp")
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query("stream_daily_counts", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_daily(spark, d):
     folder = scratch(spark, "daily")
-    e = _stream_in_order(spark, d, "events", _ts(), folder).select("user_id", _ts().alias("ts"))
-    jobs.drain(jobs.daily_counts(e), f"{folder}/out", f"{folder}/cp", "update")
-    return jobs.newest_rows(spark, f"{folder}/out", ["user_id", "day"]).select("user_id", F.to_date("day").alias("day"), "n")
+    e = _stream(spark, d, "events", 4).select("user_id", _ts().alias("ts"))
+    jobs.drain_parts(e, jobs.count_parts, f"{folder}/out", f"{folder}/cp")
+    return jobs.summed_parts(spark, f"{folder}/out", ["user_id", "day"]).select("user_id", F.to_date("day").alias("day"), "n")
 
 
 @query("stream_conversation_counters", "SELECT conv_id AS conversation_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -111,12 +104,12 @@ def q_stream_transitions(spark, d):
     folder = scratch(spark, "transitions")
     jobs.use_rocksdb(spark)
     doc = F.col("doc_id")
-    points = disclosures(spark, d, _stream_in_order(spark, d, "documents", doc, folder)).select(
+    points = disclosures(spark, d, _stream(spark, d, "documents", 4)).select(
         F.floor(doc / 6).cast("string").alias("ticker"), F.lit("10-K").alias("form_type"), doc.cast("string").alias("accession_number"),
         doc.alias("seq"), signals(of_tier(find_hits(F.col("text")), 1, 2)).alias("signals"),
     )
     jobs.drain(jobs.signal_transitions(points), f"{folder}/out", f"{folder}/cp")
-    return spark.read.parquet(f"{folder}/out").select("seq", "change", "signal")
+    return jobs.standing(spark.read.parquet(f"{folder}/out")).select("seq", "change", "signal")
 
 
 EFFECT_SQL = """b AS (

@@ -7,7 +7,8 @@ around it, features of the whole file and the tags' transitions.
 
 The field learns from windows of tokens in a sample of at most about ``sample`` documents,
 marked with what the patterns find there; windows without a finding centre on tokens with
-digits, long ones and random ones. Copies without neighbouring words teach it shapes alone. All texts
+digits, long ones and random ones. Copies without their neighbouring words, and with those of
+other windows, teach it shapes. All texts
 are tagged in full where they stand, without a shuffle: the weights are a table of fixed size.
 
 Decoding is exact without walking every token. Where outside beats both other tags by more
@@ -330,6 +331,16 @@ def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary()), pa.array(out_labels, pa.binary())], ["features", "labels"])
 
 
+def with_other_surroundings(rows: np.ndarray, labels: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, and the marked ones twice more: with neighbours of nothing, and with those of any other window. So a
+    shape counts by itself, and among words that no finding had around it."""
+    alone = rows[marked].copy()
+    alone[:, :, -len(NEIGHBOURS):] = NONE
+    moved = rows[marked].copy()
+    moved[:, :, -len(NEIGHBOURS):] = rows[np.random.default_rng(1).integers(0, len(rows), len(moved))][:, :, -len(NEIGHBOURS):]
+    return np.concatenate([rows, alone, moved]), np.concatenate([labels, labels[marked], labels[marked]])
+
+
 def learned(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Field | None:
     """A field from at most about ``sample`` documents, chosen by their ids' hashes."""
     n = docs.count()
@@ -346,10 +357,7 @@ def learned(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Field
     marked = (labels > 0).any(1)
     if not marked.any():
         return None
-    shapes_only = rows[marked].copy()
-    for name in NEIGHBOURS:
-        shapes_only[(shapes_only >= AT[name]) & (shapes_only < AT[name] + _SIZES[name])] = NONE
-    return fit(np.concatenate([rows, shapes_only]), np.concatenate([labels, labels[marked]]))
+    return fit(*with_other_surroundings(rows, labels, marked))
 
 
 # ---- all texts ----------------------------------------------------------------------------

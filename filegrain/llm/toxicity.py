@@ -5,9 +5,14 @@ product of their factors): a pair such as an insult with a group mention can wei
 more than its two words do. Terms are the distinct words of the whole text in
 lower case and the beginnings of longer words, hashed into ``BUCKETS``.
 
-A null or empty text has no terms and gets the score of the bias. Learning uses at
-most about ``per_label`` rows of each label; every row is scored. Terms that fewer
-than ``LEAST_ROWS`` sampled rows hold, or that say nothing of the label, carry no weight.
+A null or empty text has no terms and gets the score of the bias. Long texts are read
+in pieces, whole. Learning uses at most about ``per_label`` rows of each label, and of a
+sampled row's pairs those of ``PAIR_TERMS`` of its terms; every row is scored, with all its
+terms. Terms carry weight if sampled rows show that they tell something of the label, by
+themselves or together with another one: what matters only in company is kept.
+A row that repeats is scored as often; of two labels of one id the toxic one counts. An empty
+table gives no rows; without labelled rows all scores are 0. A score of exactly one half is
+toxic. Other columns of the tables are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +33,11 @@ BUCKETS = 1 << 18
 FACTORS = 4
 #: Lengths of word beginnings that are terms too: insults take endings.
 STEMS = (4, 6)
-LEAST_ROWS = 3
-LEAST_Z = 3.0
+#: Rows that must hold a term, or a pair, and standard errors by which its share of toxic rows must differ.
+LEAST_ROWS, LEAST_Z = 3, 3.0
+PAIR_ROWS, PAIR_Z = 12, 6.0
+#: Terms of a sampled row whose pairs are counted, and the counters that sort out most pairs before they are counted exactly.
+PAIR_TERMS, PAIR_COUNTERS = 128, 1 << 22
 PIECE = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,14 +61,60 @@ def terms(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % BUCKETS)
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Which buckets may carry weight: those in enough sampled rows whose share of toxic
-    rows differs from the others' by more than ``LEAST_Z`` standard errors."""
+def _surprise(bad: np.ndarray, n: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """By how many standard errors the toxic rows among ``n`` differ from ``share``."""
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    return (bad - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+
+
+def _counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the sampled rows that hold it, and the toxic ones."""
     count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
-    n, bad = count(rows), count([r for r, v in zip(rows, y, strict=True) if v == 1])
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    z = (bad - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    return (n >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
+    return count(rows), count([r for r, v in zip(rows, y, strict=True) if v == 1])
+
+
+def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which buckets tell something of the label by themselves."""
+    n, bad = _counts(rows, y)
+    return (n >= LEAST_ROWS) & (np.abs(_surprise(bad, n, y.mean())) >= LEAST_Z)
+
+
+def telling_together(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Which buckets do so in a pair: one that differs from all rows, and from the rows of either of its two terms.
+
+    Pairs are counted twice: all of them in a fixed number of counters, several to a
+    counter, then exactly those whose counter stands out."""
+    n, bad = _counts(rows, y)
+    rng = np.random.default_rng(seed)
+    common = [r[n[r] >= PAIR_ROWS].astype(np.int64) for r in rows]
+    common = [np.sort(rng.choice(r, PAIR_TERMS, replace=False)) if len(r) > PAIR_TERMS else r for r in common]
+
+    def pairs() -> Iterator[tuple[float, np.ndarray]]:
+        for r, v in zip(common, y, strict=True):
+            i, j = np.triu_indices(len(r), 1)
+            yield v, r[i] * BUCKETS + r[j]
+
+    def counter(codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+    held, toxic = np.zeros(PAIR_COUNTERS, np.int32), np.zeros(PAIR_COUNTERS, np.int32)
+    for v, codes in pairs():  # a row's pairs are distinct, but several may share a counter
+        at, times = np.unique(counter(codes), return_counts=True)
+        held[at] += times.astype(np.int32)
+        if v == 1:
+            toxic[at] += times.astype(np.int32)
+    out = (held >= PAIR_ROWS) & (np.abs(_surprise(toxic, held, y.mean())) >= PAIR_Z / 2)
+    found = [(codes[out[counter(codes)]], v) for v, codes in pairs()]
+    codes, where = np.unique(np.concatenate([*(c for c, _ in found), np.zeros(0, np.int64)]), return_inverse=True)
+    label = np.concatenate([*(np.full(len(c), v) for c, v in found), np.zeros(0)])
+    both, worse = np.bincount(where, minlength=len(codes)), np.bincount(where, label, len(codes))
+    one, other = codes // BUCKETS, codes % BUCKETS
+    share = lambda t: bad[t] / np.maximum(n[t], 1)
+    least = np.min([np.abs(_surprise(worse, both, x)) for x in (np.full(len(codes), y.mean()), share(one), share(other))], axis=0)
+    kept = (both >= PAIR_ROWS) & (least >= PAIR_Z)
+    buckets = np.zeros(BUCKETS, bool)
+    buckets[one[kept]] = buckets[other[kept]] = True
+    return buckets
 
 
 @dataclass
@@ -84,11 +138,11 @@ class FactorizationMachine:
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.2, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
         """Logistic loss, adaptive gradient steps over shuffled batches, decay on every touched parameter."""
         rng = np.random.default_rng(seed)
-        held = telling(rows, y)
+        held = telling(rows, y) | telling_together(rows, y)
         rows = [r[held[r]] for r in rows]
         share = float(np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3))
         bias, linear = float(np.log(share / (1 - share))), np.zeros(BUCKETS)
-        factors = rng.normal(0, 0.02, (BUCKETS, FACTORS)) * held[:, None]
+        factors = rng.normal(0, 0.05, (BUCKETS, FACTORS)) * held[:, None]
         grown_l, grown_v, grown_b = np.full(BUCKETS, 1e-2), np.full((BUCKETS, FACTORS), 1e-2), 1e-2
         for _ in range(epochs):
             order = rng.permutation(len(rows))

@@ -2,22 +2,30 @@
 
 Markup is stripped into lines, one for each block-level element; lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts and reader comments are
-empty, unless the element holds all articles of the page or, without any, most of its text. Lengths are summed over windows of ``WINDOW`` lines that bear text; text of links has
-no length, unless it is a heading. Where the sums surge, a stretch of main text begins;
-where they dive to nothing, it ends; its lines are kept whole, short and linked ones
-too. A surge needs ``SURGE`` characters, or what the page's best stretch has.
+empty. Such an element is known by its tag, its role or any word of a class or id; one of the
+weaker words does not count for an element that holds the page's articles or, without
+any, most of its text. An article inside an element of the stronger kind, as a reader's
+comment, is no article of the page.
 
-A shortcut by tags remains: where a page marks its article, lines outside it are left
-out, and each line inside weighs ``SURGE`` more, so all of them are kept.
+Lengths are summed over windows of ``WINDOW`` lines that bear text. A line that is mostly
+links weighs nothing, unless it is a heading; a line inside an article weighs ``SURGE``
+more. Where the sums surge, a stretch of main text begins; where they dive to nothing, it
+ends; its lines are kept whole, short and linked ones too, so that a list of links falls out
+of an article and a linked line between texts stays. A surge needs ``SURGE``
+characters, or what the page's best stretch has; beside an article, what the
+article's best window has.
 
-A null or empty page has an empty text. Pages are judged one by one, whole, in one
-pass over their tags, so repeated rows give the same text.
+A null or empty page has an empty text. Very long pages are read whole. Pages are judged one
+by one, in one pass over their tags, so repeated rows give the same text; of stretches
+that are alike all are kept. An empty table gives no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -43,72 +51,90 @@ NOISE_WORDS = set(
     " adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe subscription signup login form search share"
     " sharing social breadcrumb breadcrumbs pagination pager related recommended popup modal overlay comment comments disqus replies respond".split()
 )
-#: Words that may stand beside a noise word in one class or id, as in site-header.
-BESIDE_WORDS = set("site page main top bottom left right primary secondary global box bar block list links area section container wrapper inner".split())
+#: Those that an element of the page's own text may bear as well; the others are what their names say, whatever they hold.
+WEAK_WORDS = set("header masthead footer sidebar aside widget notice notices banner promo promotion subscribe subscription signup login form search related recommended popup modal overlay".split())
+COMMENT_WORDS = set("comment comments disqus replies respond".split())
+#: Beside a noise word they tell of the page's state, as in has-sidebar.
+STATE_WORDS = set("has no not with without open closed enabled disabled on off free hidden visible".split())
 #: Elements that never are the page's text, whatever they hold; others are kept where they hold it.
 NEVER_TEXT = NOISE_TAGS - {"form", "header", "dialog"}
+WEAK_ROLES = set("banner form dialog alert alertdialog".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>"[^"<]*"|'[^'<]*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""")
 NAMED = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[^a-z0-9]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 
 
-def is_noise(name: str, attributes: str, in_article: bool) -> bool:
+NONE, WEAK, STRONG = range(3)
+
+
+def noise(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is noise by its tag and attributes, and if so, whether it may hold the page's text after all."""
     if name in NOISE_TAGS:
-        return True
+        return STRONG if name in NEVER_TEXT else WEAK
     if name in ("html", "body", "main") or not attributes.strip():
-        return False
+        return NONE
+    found = NONE
     for key, *values in NAMED.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "role":
-            if set(WORDS.split(value)) & NOISE_ROLES:
-                return True
-        elif key in ("class", "id"):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id"):
             for token in value.split():
-                words = set(WORDS.split(token)) - {""}
-                hit = words & NOISE_WORDS
-                if hit and words <= NOISE_WORDS | BESIDE_WORDS:
-                    if not (in_article and hit == {"header"}):  # as in article-header: its title
-                        return True
-        elif key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return True
-    return False
-
-
-def holding_text(page: str, tags: list[tuple[int, int, bool, str, str]]) -> set[int]:
-    """Starts of the elements that hold all articles of the page, or without any, most of its text."""
+                words = set(WORDS.split(HUMP.sub("-", token).lower()))
+                hit = words & (COMMENT_WORDS if name == "article" else NOISE_WORDS)
+                if hit and not words & STATE_WORDS and not (in_article and hit == {"header"}):  # as in article-header: its title
+                    found = max(found, WEAK if hit <= WEAK_WORDS else STRONG)
+        elif key == "role":
+            hit = set(WORDS.split(value.lower())) & NOISE_ROLES
+            found = max(found, NONE if not hit else WEAK if hit <= WEAK_ROLES else STRONG)
+        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and HIDDEN_STYLE.search(value.lower()):
+            return STRONG
+    return found
+
+
+def holding_text(page: str, tags: list[tuple[int, int, bool, str, str]]) -> tuple[set[int], set[int]]:
+    """Starts of the elements that hold all articles of the page, or without any, most of its text; starts of the articles."""
     open_: dict[str, list[int]] = {}
-    ends, articles, mass, at = [len(tags)] * len(tags), [0], [0], 0
-    for n, (start, end, closing, name, attributes) in enumerate(tags):
-        mass.append(mass[-1] + len(page[at:start].strip()) * (at <= start))
-        articles.append(articles[-1] + (not closing and name in ("article", "main") and not is_noise(name, attributes, False)))
-        at = end
+    ends = [len(tags)] * len(tags)
+    for n, (_, _, closing, name, _) in enumerate(tags):
         if not closing:
             open_.setdefault(name, []).append(n)
         elif open_.get(name):
             ends[open_[name].pop()] = n
+    counted, mass, own, at, strong = [0], [0], set(), 0, 0
+    for n, (start, end, closing, name, attributes) in enumerate(tags):
+        hidden = n < strong
+        mass.append(mass[-1] + (0 if hidden else len(page[at:start].strip()) * (at <= start)))
+        at = end
+        kind = NONE if closing or hidden or name in VOID else noise(name, attributes, False)
+        if kind == STRONG and ends[n] < len(tags):
+            strong = ends[n]
+        is_article = not closing and not hidden and kind == NONE and name in ("article", "main")
+        counted.append(counted[-1] + is_article)
+        if is_article:
+            own.add(start)
     mass.append(mass[-1] + len(page[at:].strip()))
     held = set()
     for n, tag in enumerate(tags):
         if tag[2] or tag[3] in NEVER_TEXT or tag[3] in VOID:
             continue
         end = ends[n]
-        if articles[-1]:
-            if end < len(tags) and articles[end] - articles[n] == articles[-1]:
+        if counted[-1]:
+            if end < len(tags) and counted[end] - counted[n] == counted[-1]:
                 held.add(tag[0])
         elif 2 * (mass[end + 1] - mass[n + 1]) > mass[-1]:
             held.add(tag[0])
-    return held
+    return held, own
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """((text, length of text outside links, inside an article) of each line, whether there is an article)."""
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """(text, its weight: none if it is mostly links, inside an article) of each line."""
     page = RAW.sub(" ", page)
     tags = [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5]).lower(), m[3] or m[6] or "") for m in TAG.finditer(page)]
-    held = holding_text(page, tags)
+    held, own = holding_text(page, tags)
     closings: dict[str, int] = {}
     for tag in tags:
         if tag[2]:
@@ -116,14 +142,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = article = links = headings = at = 0
-    seen = False
+    inner: list[bool] = []  # of each article that is open, whether it is one of the page's
     skip: tuple[str, bool] | None = None  # the element that hides what follows, whether it can end
     depth = 0
 
     def end_line() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
-        lines.append((text, max(0, len(text) - linked), article > 0))
+        lines.append((text, 0 if 5 * linked >= 3 * len(text) else len(text), article > 0))
         parts, linked = [], 0
 
     for start, end, closing, name, attributes in tags:
@@ -142,13 +168,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     end_line()
             elif not closing and name == inside:
                 depth += 1
-            elif not closes and not closing and name in ("article", "main") and not is_noise(name, attributes, False):
+            elif not closes and not closing and start in own:
                 skip = None  # never closed: it ends where the article begins
             if name in BLOCKS:
                 lines.append(("", 0, article > 0))
             if skip is not None or closing:
                 continue
-        if not closing and name not in VOID and start not in held and is_noise(name, attributes, article > 0):
+        kind = NONE if closing or name in VOID else noise(name, attributes, article > 0)
+        if kind == STRONG or kind == WEAK and start not in held:
             end_line()
             skip, depth = (name, closings.get(name, 0) > 0), 1
             continue
@@ -157,8 +184,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         elif name in SPACES:
             parts.append(" ")
         if name == "article" or name == "main":
-            article = max(0, article + (-1 if closing else 1))
-            seen = seen or not closing
+            if not closing:
+                inner.append(start in own)
+                article += inner[-1]
+            elif inner:
+                article -= inner.pop()
         elif name in HEADINGS:
             headings = 0 if closing else 1
         elif name == "a":
@@ -166,15 +196,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     if skip is None:
         parts.append(page[at:])
     end_line()
-    return lines, seen
+    return lines
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, article = lines_of(page)
-    lines = [(text, plain + (SURGE if inside else 0)) for text, plain, inside in lines if text and (inside or not article)]
-    lengths = [weight for _, weight in lines]
+    lines = [line for line in lines_of(page) if line[0]]
+    lengths = [weight + (SURGE if weight and inside else 0) for _, weight, inside in lines]
     sums = [sum(lengths[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(lengths) + WINDOW - 1)]
     stretches, at = [], 0
     for full, run in groupby(sums, key=lambda s: s > 0):
@@ -183,13 +212,23 @@ def main_text(page: str | None) -> str:
             end = min(at + len(run), len(lines))
             while not lengths[end - 1]:
                 end -= 1
-            stretches.append((max(run), at, end))
+            stretches += by_article(lines, lengths, at, end)
         at += len(run)
-    surge = min(SURGE, max((s[0] for s in stretches), default=0))
-    kept = (text for peak, start, dive in stretches if peak >= surge for text, _ in lines[start:dive])
+    inside = max((peak for peak, _, _, own in stretches if own), default=0)
+    surge = min(SURGE, max((peak for peak, *_ in stretches), default=0))
+    kept = (text for peak, start, dive, own in stretches if peak >= (surge if own or not inside else max(surge, inside)) for text, *_ in lines[start:dive])
     return "\n\n".join(kept)
 
 
+def by_article(lines: list[tuple[str, int, bool]], lengths: list[int], start: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(best window, start, end, inside an article) of the parts of a stretch inside and outside articles."""
+    at = start
+    for own, run in groupby(lines[start:end], key=lambda line: line[2]):
+        stop = at + len(list(run))
+        yield max(sum(lengths[max(at, i - WINDOW + 1) : i + 1]) for i in range(at, stop)), at, stop, own
+        at = stop
+
+
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each row."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}

@@ -40,10 +40,15 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 DIMENSIONS = 2048
 PIECE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """A character of the letter categories; the pattern alone takes fractions and numerals in circles as well."""
+    return any(c.isalpha() for m in LETTERS.finditer(text) for c in m[0])
+
+
 def family_of(language: str) -> str:
     return FAMILY_OF.get(language.lower(), language)
 
@@ -155,7 +160,7 @@ def learn(labelled: DataFrame, key: str, text: str, language: str, per_language:
     ).select("t", "l")
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = [letter_counts(t).tobytes() if LETTER.search(t) else None for t in batch["t"].to_pylist()]
+        vectors = [letter_counts(t).tobytes() if has_letter(t) else None for t in batch["t"].to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), batch["l"]], ["x", "l"])
 
     got = [(r.x, r.l) for r in map_arrow(rows, features, "x binary, l string").collect() if r.x is not None]
@@ -171,7 +176,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, key: str = "doc_id", text
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch[text].to_pylist()
-        known = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
         names, values = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known:
             got, p = model.predict(np.array([letter_counts(texts[i]) for i in known]))
@@ -199,7 +204,7 @@ def with_known_language(docs: DataFrame) -> DataFrame:
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch["text"].to_pylist()
-        known = [i for i, t in enumerate(texts) if model is not None and t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
         names = model.predict(np.array([letter_counts(texts[i]) for i in known]))[0] if known else []
         mask = np.zeros(len(texts), dtype=bool)
         mask[known] = [n != UNKNOWN for n in names]

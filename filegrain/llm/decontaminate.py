@@ -25,7 +25,7 @@ from filegrain.llm.common import ascii_lower, non_empty
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 100_000
 
 
 def words_of(text: Column) -> Column:

@@ -217,7 +217,7 @@ def usable(embedding: F.Column) -> F.Column:
 
 def links_of(nodes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """Distinct (a, b), a > b, of nodes (id, embedding) of one vector length."""
-    count = nodes.count()
+    count, kind = nodes.count(), nodes.schema["embedding"].dataType.simpleString()
     centres_wanted = min(MOST_CENTRES, max(1, -(-count // ROWS_PER_CENTRE)))
     share = min(1.0, centres_wanted * SAMPLED_PER_CENTRE / max(count, 1))
     drawn = nodes.where(unit_hash(F.col("id"), SEED) < share).orderBy("id").select("embedding").toArrow()
@@ -230,7 +230,7 @@ def links_of(nodes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         beside = nodes.where(others).orderBy("id").select("embedding").toArrow()
         needed = probes_needed(centres, unit_rows((beside if len(beside) else drawn)["embedding"]), least)
         probes = max(probes, int(np.quantile(needed, ENOUGH, method="higher")))
-    placed = written(map_arrow(nodes.select("id", "embedding"), partial(_places, centres, probes), "shard int, id long, member boolean, embedding array<float>"), "vectors-places")
+    placed = written(map_arrow(nodes.select("id", "embedding"), partial(_places, centres, probes), f"shard int, id long, member boolean, embedding {kind}"), "vectors-places")
     sizes = placed.groupBy("shard").agg(
         F.greatest(F.ceil(F.count_if("member") / SHARD_ROWS), F.lit(1)).cast("int").alias("blocks"),
         F.greatest(F.ceil(F.count(F.lit(1)) / QUERY_ROWS), F.lit(1)).cast("int").alias("sets"),
@@ -245,10 +245,16 @@ def links_of(nodes: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     return members.unionByName(queries).groupBy("shard", "block", "set").applyInArrow(lambda unit: _search(least, unit), "a long, b long").distinct()
 
 
+def components_kept(embeddings: DataFrame, vector: str) -> F.Column:
+    """The vectors as they are compared: single precision stays so, as doubles hold it exactly; all else is double."""
+    single = embeddings.schema[vector].dataType.simpleString() == "array<float>"
+    return F.col(vector).cast("array<float>" if single else "array<double>")
+
+
 def near_vectors(embeddings: DataFrame, least: float = LEAST_COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of each row."""
     ship_package()
-    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("embedding"))
+    rows = embeddings.select(F.col(key).cast("long").alias("id"), components_kept(embeddings, vector).alias("embedding"))
     rows = rows.withColumn("good", usable(F.col("embedding")) & F.col("id").isNotNull())
     nodes = written(
         rows.where("good").groupBy("embedding").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies")).withColumn("length", F.size("embedding")), "vectors-nodes"
@@ -286,7 +292,7 @@ def recall_audit(embeddings: DataFrame, least: float = LEAST_COSINE, every: int
 
     Queries and all rows are dealt into blocks; every block of queries meets every block of rows.
     """
-    rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("embedding"))
+    rows = embeddings.select(F.col(key).cast("long").alias("id"), components_kept(embeddings, vector).alias("embedding"))
     rows = rows.where(usable(F.col("embedding")) & F.col("id").isNotNull()).withColumn("length", F.size("embedding"))
     asked = rows.where(F.col("id") % every == 0)
     sets, blocks = max(1, -(-asked.count() // QUERY_ROWS)), max(1, -(-rows.count() // SHARD_ROWS))

@@ -30,6 +30,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from filegrain.llm.common import map_arrow
 
@@ -255,3 +256,34 @@ blocks AS (
 texts AS (SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text FROM blocks)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
 """
+
+
+#: Around a document's lines, by layout: what precedes the first line, a line's begin and end, what follows the last one.
+LAYOUTS = (
+    ("<body><div id='top-menu'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='post has-sidebar'>", "<p>", "</p>",
+     "</div><div id='comments'><article class='comment-body'><p>The first comment of a reader, who goes on and on about what the text says.</p></article></div></body>"),
+    ("<body><div class='navColumn'><p>All sections of the site</p></div><table>", "<tr><td>", "</td></tr>",
+     "</table><div class='google_ads'><div>Buy two and pay for one, today only</div></div><div class='cookieConsent'>We use cookies, and so do others</div></body>"),
+    ("<body><main><div><a href='/'>Home</a> | <a href='/n'>News</a> | <a href='/s'>Sport</a></div>", "<section><div>", "</div></section>",
+     "<ul><li><a href='/t'>Tweet</a><li><a href='/m'>Mail</a><li><a href='/p'>Print</a></ul></main><div class='comments-area'>Well said.</div></body>"),
+    ("<body><ul><li><a href='/a'>A</a><li><a href='/b'>B</a></ul><div><div class=ad-slot>Advert</div>", "<h2>", "</h2>",
+     "<div class='reader-comments'><div>Not so.</div></div></div><div><a href='/x'>Next</a></div><footer>Imprint</footer></body>"),
+)
+
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """(page_id, url, html): each document's lines in one of LAYOUTS, with character references."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    part = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in LAYOUTS]), (F.pmod("doc_id", F.lit(len(LAYOUTS))) + 1).cast("int"))
+    body = F.array_join(F.transform(lines, lambda x: F.concat(part(1), escaped(x), part(2))), "")
+    return docs.select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), F.concat(part(0), body, part(3)).alias("html"))
+
+
+LAYOUT_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS b
+  FROM documents),
+texts AS (SELECT doc_id, array_to_string(b, chr(10) || chr(10)) AS text FROM lines)
+SELECT doc_id AS page_id, '' AS url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""

@@ -23,6 +23,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+@query("url_templates", urls.sql(urls.LABELS))
+def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with labels that leave many pages of a template to the tree."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"), rules=urls.LABELS)
+
+
+@query("page_layouts", html_text.LAYOUT_SQL)
+def page_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of pages made of the documents in layouts that mark no article of their own."""
+    return html_text.extract_text(html_text.laid_out(table(spark, sf_dir, "documents")))
+
+
 @query("op7_html_text", html_text.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))

@@ -10,7 +10,9 @@ share of blocked pages among the labelled ones is high enough.
 Labels are what the rules decide; pages that no rule fits are judged by their
 template. A null url, or one without ``://``, has an empty host and path, fits no
 rule and is judged like any other path of the empty host. Repeated rows are judged
-one by one and count as often as they occur.
+one by one and count as often as they occur. Of two rules of one length that fit, the one
+that is larger as text holds. Very long paths are whole; segments beyond ``DEPTH`` count as
+one. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,19 +139,18 @@ def _sql_form(s: str) -> str:
     return "CASE " + " ".join(case(p, n) for p, n in FORMS) + f" ELSE {s} END"
 
 
-def _sql_fits() -> str:
-    return ", ".join(f"('{h}', '{p}', '{v}', {len(h + p)})" for h, p, v in RULES)
-
-
-SQL = f"""
-WITH rules(rule_host, rule_path, rule_verdict, size) AS (VALUES {_sql_fits()}),
+def sql(rules=RULES) -> str:
+    """The whole filter in SQL."""
+    fits = ", ".join(f"('{h}', '{p}', '{v}', {len(h + p)})" for h, p, v in rules)
+    return f"""
+WITH rules(rule_host, rule_path, rule_verdict, size) AS (VALUES {fits}),
 read AS (
   SELECT row_number() OVER () AS r, page_id,
          translate(coalesce(regexp_extract(url, '{URL}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '{URL}', 2), '') AS path
   FROM pages),
 hits AS (
-  SELECT r, max_by(rule_host || rule_path, size) AS rule, max_by(rule_verdict, size) AS hit
+  SELECT r, first(rule_host || rule_path ORDER BY size DESC, rule_host || rule_path DESC) AS rule, first(rule_verdict ORDER BY size DESC, rule_host || rule_path DESC) AS hit
   FROM read JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY r),
 split AS (
@@ -192,3 +193,13 @@ SELECT page_id, host, path, rule, coalesce(hit, CASE WHEN rejected THEN 'block'
        CASE WHEN hit IS NULL THEN merged END AS template
 FROM shaped LEFT JOIN placed USING (host, shape) LEFT JOIN verdicts USING (host, template)
 """
+
+
+SQL = sql()
+
+#: Labels for the supplied pages that cut across their templates: first digits of page numbers, so that part of a template's
+#: pages is known, by rules of one path, and the tree decides the others.
+LABELS = (
+    *(("com", f"/en/{d}", "block") for d in range(1, 8)), *(("net", f"/en/{d}", "allow") for d in range(1, 6)), ("net", "/en/6", "block"),
+    *(("org", f"/{lang}/{d}", "block" if d % 4 else "allow") for lang in ("en", "de") for d in range(1, 8)), ("com", "/fr/1", "block"), ("com", "/fr/2", "allow"),
+)

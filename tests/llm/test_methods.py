@@ -5,12 +5,13 @@ import re
 
 import brute
 import harness
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from filegrain.llm import decontaminate, html_text, mixing, neardup, urls, vectors
+from filegrain.llm import decontaminate, html_text, langid, mixing, neardup, toxicity, urls, vectors
 from filegrain.llm.registry import table
 
 WIDE = "/root/testdata/sf0.01"  # enough labelled rows to measure accuracy on those held out
@@ -244,3 +245,97 @@ def test_pipeline(spark, sf_dir, con, queries):
     assert {r.doc_id for r in got} == left & clean and len(got) == len(left & clean)
     assert all((r.text, r.lang, r.source, r.n_chars) == docs[r.doc_id][1:] for r in got)
     assert len({r.mix_position for r in got}) == len(got)
+
+
+def test_templates_decide_pages_of_the_supplied_table(spark, sf_dir):
+    pages = table(spark, "/root/testdata/sf0.1", "pages")  # 2500, so that hosts have several
+    got = urls.filter_urls(pages, rules=urls.LABELS).where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict: r["count"] for r in got}["block"] >= 100
+
+
+def test_of_two_rules_of_one_length_the_larger_holds(spark):
+    rules = (("a.com", "/x", "block"), ("com", "/xyz", "allow"), ("b.com", "/", "allow"))
+    rows = [(1, "http://a.com/xyz"), (2, "http://a.com/xa"), (3, "http://a.b.com/xyz")]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert got == {1: ("com/xyz", "allow"), 2: ("a.com/x", "block"), 3: ("com/xyz", "allow")}
+
+
+TEXT = "Some words that run on for a while, as text does, and then some more of them."
+
+
+@pytest.mark.parametrize("name", "ad-slot advert-1 google_ads comment-body comment-list comments-area reader-comments cookie-bar cookieConsent".split())
+def test_noise_by_any_word_of_a_name(name):
+    for holder in ("article", "div"):
+        page = f"<body><{holder}><p>{TEXT}</p><div class='{name}'>Noise words of some length</div><p>{TEXT}</p></{holder}><div id={name}><p>Noise {TEXT}</p></div></body>"
+        assert html_text.main_text(page) == f"{TEXT}\n\n{TEXT}"
+
+
+def test_articles_of_readers_are_no_articles():
+    for comment in ("First!", TEXT * 5):
+        page = f"<body><div class=post><p>{TEXT}</p><p>{TEXT}</p></div><div id=comments><article class=comment-body>{comment}</article></div></body>"
+        assert html_text.main_text(page) == f"{TEXT}\n\n{TEXT}"
+        assert html_text.main_text(f"<article><p>{TEXT}</p></article><section id=comments><article><p>{comment}</p></article></section>") == TEXT
+
+
+def test_lists_of_links_fall_out():
+    links = "".join(f"<li><a href={i}>Share {i}</a>" for i in range(4))
+    assert html_text.main_text(f"<article><p>{TEXT}</p><ul>{links}</ul><p>{TEXT}</p><ul>{links}</ul></article>") == f"{TEXT}\n\n{TEXT}"
+    assert html_text.main_text(f"<main><div><a href=1>Home</a> | <a href=2>News</a></div><h1>T</h1><p>{TEXT}</p></main>") == f"T\n\n{TEXT}"
+
+
+def test_text_beside_a_teaser():
+    kept = html_text.main_text(f"<body><div class=post>{f'<p>{TEXT}</p>' * 6}</div><article class=teaser><p>Read on</p></article></body>")
+    assert kept.split("\n\n").count(TEXT) == 6
+
+
+def planted_pairs(rng, n):
+    """Rows whose label says whether their two marks agree; neither mark tells anything by itself."""
+    rows, y = [], []
+    for _ in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array(sorted({int(x) for x in rng.integers(1000, 3000, 30)} | {1 if a else 2, 3 if b else 4}), np.int32))
+        y.append(float(a == b))
+    return rows, np.array(y)
+
+
+def test_pairs_are_learned_that_a_linear_model_cannot(monkeypatch):
+    rng = np.random.default_rng(4)
+    (rows, y), (others, wanted) = planted_pairs(rng, 3000), planted_pairs(rng, 1000)
+    machine = toxicity.FactorizationMachine.fit(rows, y, np.ones(len(y)))
+    right = lambda scores: ((scores >= 0.5) == (wanted == 1)).mean()
+    assert right(machine.scores(others)) > 0.95
+    linear = toxicity.FactorizationMachine(machine.bias, machine.linear, np.zeros_like(machine.factors))
+    assert right(linear.scores(others)) < 0.6
+    assert not toxicity.telling(rows, y)[1:5].any() and toxicity.telling_together(rows, y)[1:5].all()
+
+
+def test_scores_of_the_machine_by_all_pairs():
+    rng = np.random.default_rng(6)
+    machine = toxicity.FactorizationMachine(0.3, rng.normal(0, 1, toxicity.BUCKETS), rng.normal(0, 0.3, (toxicity.BUCKETS, toxicity.FACTORS)))
+    for text in ("", "One two two THREE", "über alles " * 3 + "long winded wordiness"):
+        at = toxicity.terms(text)
+        margin = 0.3 + sum(machine.linear[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        assert abs(machine.scores([at])[0] - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
+def test_signs_that_are_no_letters(spark):
+    texts = {1: "½ ²", 2: "③ Ⅷ", 3: "12 + 3", 4: "½ kilo of the best bread in the whole town", 5: "the best bread in the whole town"}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()] + [(10 + i, "ein Brot aus der ganzen Stadt", "de") for i in range(20)] + [(40 + i, texts[5], "en") for i in range(20)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_table(docs).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == got[5][0] == "en"
+    assert langid.has_letter("ªª") and not langid.has_letter("_1²Ⅷ")
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A cosine just below the threshold, which single precision takes for one above it."""
+    x, y = [1.0, 0.0], None
+    for n in range(1, 4000):
+        angle = np.arccos(0.9) + n * 1e-9
+        y = [float(np.cos(angle)), float(np.sin(angle))]
+        single = np.array(y, np.float32).astype(float)
+        if y[0] / np.hypot(*y) < 0.9 <= single[0] / np.hypot(*single):
+            break
+    rows = [(1, x), (2, y), (3, [2.0 * v for v in x])]
+    for kind, links in (("double", 1), ("float", 2)):
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+        assert got[1] == links

@@ -3,13 +3,17 @@ by Spark from ``customer`` and ``orders``, a bounded number of rows to a page.""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from filegrain.functions import fixed_values as fv
 from filegrain.functions.routing import normal_ticker, valid_ticker
 from filegrain.operators import facts as facts_ops
 from filegrain.operators.recency import newest
+from filegrain.session import shared_folder
 from filegrain.sources import landed, results
+from filegrain.sources.store import ResultStore
 
 from . import query, table
 from .corpus import letters, lit, sql_letters, strings
@@ -317,3 +321,32 @@ def q_json(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("note"))
     packed = results.as_json(e, ["user_id", "event_type", "value", "note"])
     return results.from_json(packed, "user_id bigint, event_type string, value double, note string")
+
+
+STORED_SQL = """
+SELECT k AS result_key, event_id AS result_id, value FROM (
+  SELECT *, 'U' || user_id || ':' || event_id % 3 AS k FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts DESC, event_id DESC) = 1)
+WHERE event_type <> 'error' AND ts + to_days(CAST(3 + user_id % 5 AS INTEGER)) > (SELECT max(ts) FROM events)"""
+
+
+@query("stored_results", STORED_SQL)
+def q_stored(spark, d):
+    """Results put, overwritten, deleted and expired over four batches that bring versions in no order, with a batch that is
+    tried again and two compactions in between."""
+    events = table(spark, d, "events")
+    store = ResultStore(spark, f"{shared_folder(spark)}/filegrain-store-{uuid.uuid4().hex}", "result_key string", "value double", buckets=8)
+    ts = F.to_timestamp(F.col("ts").cast("string"))
+    gone = F.col("event_type") == "error"
+    rows = events.select(
+        F.concat(F.lit("U"), F.col("user_id"), F.lit(":"), F.col("event_id") % 3).alias("result_key"), F.when(~gone, F.col("value").cast("double")).alias("value"),
+        ts.alias("written_at"), F.col("event_id").alias("result_id"),
+        F.when(~gone, ts + F.make_dt_interval(days=(3 + F.col("user_id") % 5).cast("int"))).alias("expires_at"), gone.alias("deleted"),
+        F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("part"),
+    )
+    now = F.lit(rows.agg(F.max("written_at")).first()[0])
+    for batch in (0, 1, 1, 2, 0, 3):
+        store.apply(rows.where(F.col("part") == batch).drop("part"), batch)
+        if batch in (1, 2):
+            store.compact(now, F.expr("interval 60 days"))
+    return store.read(now).select("result_key", "result_id", "value")

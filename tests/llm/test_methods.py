@@ -327,15 +327,17 @@ def test_signs_that_are_no_letters(spark):
 
 
 def test_doubles_are_compared_as_doubles(spark):
-    """A cosine just below the threshold, which single precision takes for one above it."""
+    """A cosine just above the threshold, which single precision takes for one below it."""
     x, y = [1.0, 0.0], None
-    for n in range(1, 4000):
-        angle = np.arccos(0.9) + n * 1e-9
+    for n in range(1, 40):
+        angle = np.arccos(0.9) - n * 1e-9
         y = [float(np.cos(angle)), float(np.sin(angle))]
         single = np.array(y, np.float32).astype(float)
-        if y[0] / np.hypot(*y) < 0.9 <= single[0] / np.hypot(*single):
+        if y[0] / np.hypot(*y) >= 0.9 > single[0] / np.hypot(*single):
             break
+    else:
+        raise AssertionError("no such vector")
     rows = [(1, x), (2, y), (3, [2.0 * v for v in x])]
-    for kind, links in (("double", 1), ("float", 2)):
+    for kind, links in (("double", 2), ("float", 1)):
         got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
         assert got[1] == links

@@ -16,6 +16,7 @@ from ..operators.sections import pointer
 from .compare import compare_texts, paired, usable_reason
 
 REPORT_FORMS = ("10-Q", "10-K")
+CLOSING = ("A summary worked out from the texts of both filings.", "It recommends nothing; what the filings say is what counts.")
 
 
 def executive_reports(
@@ -25,7 +26,7 @@ def executive_reports(
     """One row per series: the report text, the rating and leading signals, or
     the reason why no report can be written. ``report_date`` is given, so equal
     inputs give equal reports."""
-    pairs = paired(index.where(F.col("form_type").isin(*REPORT_FORMS)), bodies)
+    pairs = paired(index.where(F.col("form_type").isin(*REPORT_FORMS)), bodies, drop_unread=False)
     ok = lambda side, s: F.coalesce(F.col(f"{side}.{s}.extraction_success"), F.lit(False))
     usable = ok("newer", "risk_factors") | ok("newer", "mda")
     pairs = pairs.withColumn("_reason", F.coalesce(
@@ -153,9 +154,7 @@ def _report(report_date: Column, title: str) -> Column:
         F.format_string("  Risk chars:      %,d", "risk_chars"), F.format_string("  MD&A chars:      %,d", "mda_chars"),
         F.concat(F.lit("  Extraction:      "), F.col("risk_method")), F.lit(""),
         say.rule(64),
-        F.lit("This report is for informational purposes only and does not"),
-        F.lit("constitute investment, legal, or financial advice."),
-        F.lit("Always verify against the original filing."), say.rule(64, "="),
+        *map(F.lit, CLOSING), say.rule(64, "="),
     )
     return F.array_join(F.concat(
         header,

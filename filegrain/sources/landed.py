@@ -172,8 +172,8 @@ def form4_documents(index: DataFrame, docs: DataFrame) -> DataFrame:
 def land_bodies(bodies: DataFrame, table: str, buckets: int, path: str | None = None, key: str = "accession_number") -> DataFrame:
     """Bodies as a table bucketed by their key. What is ranked then goes to the
     buckets: no analysis moves ``html`` again. ``buckets`` so many that the bodies of
-    one fit a task; ``path`` in storage that all machines share."""
-    writer = bodies.write.bucketBy(buckets, key).mode("overwrite")
+    one fit a task; ``path`` in storage that all machines share. One file a bucket."""
+    writer = bodies.repartition(buckets, key).write.bucketBy(buckets, key).mode("overwrite")
     (writer.option("path", path) if path else writer).saveAsTable(table)
     return bodies.sparkSession.table(table)
 

@@ -9,11 +9,15 @@ section occurs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filegrain.functions import fixed_values as fv
 from filegrain.functions.text import WS, WS_CHARS, sentences, string_array
+from filegrain.session import shared_folder
+from filegrain.sources.landed import land_bodies
 
 from . import table
 
@@ -150,7 +154,29 @@ def longer(sents: Column) -> Column:
     return F.flatten(F.array(*[marked(F.lit(c)) for c in range(COPIES)]))
 
 
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def in_buckets(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """Bodies as a user's analyses find them: landed once, in buckets by accession number, and read by all of them.
+    The table is made by the first query of an application that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LANDED:
+        table_name = f"{name}_{uuid.uuid4().hex}"
+        land_bodies(make(spark, sf_dir), table_name, int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_folder(spark)}/{table_name}")
+        _LANDED[key] = table_name
+    return spark.table(_LANDED[key])
+
+
 def pair_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_buckets(spark, sf_dir, "pair_bodies", make_pair_bodies)
+
+
+def series_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_buckets(spark, sf_dir, "series_bodies", make_series_bodies)
+
+
+def make_pair_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of both filings of every document."""
     d = disclosures(spark, sf_dir)
     doc = F.col("doc_id")
@@ -175,7 +201,7 @@ def series_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def series_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def make_series_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     return disclosures(spark, sf_dir).select(
         accession(doc, 2).alias("accession_number"), filing_html(doc, doc % 5, F.col("sents")).alias("html")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filegrain.functions import fixed_values as fv
+from filegrain.functions import narrative as say
 from filegrain.functions.scoring import find_hits, of_tier, signals
 from filegrain.functions.text import strip, strip_markup
 from filegrain.operators import recency
@@ -13,14 +14,15 @@ from filegrain.operators.insider import form4_transactions, transaction_rows
 from filegrain.operators.nodes import heading, outline
 from filegrain.plans import categorize, compare, report, trends
 from filegrain.plans import filings as plans
-from filegrain.sources.landed import company_facts, with_body_status
+from filegrain.sources.landed import with_body_status
 
 from . import query, table
 from .corpus import (
     FORMS, SQL_DISCLOSURES, WS, accession, disclosures, letters, lit, pair_bodies, pair_index, series_bodies, series_index,
     sql_alignment, sql_compared, sql_letters, sql_lexicon, sql_longer, sql_materiality, sql_note, sql_sections, sql_sentences, sql_trim, strings,
 )
-from .landed import facts_texts
+from .landed import CONTEXT_SQL, _facts
+from .texts import QUICK_ROWS
 
 ACC2 = "lpad(CAST(doc_id * 10 + 2 AS VARCHAR), 18, '0')"
 SERIES_SQL = f"WITH {SQL_DISCLOSURES}, {sql_sections('disc', 'doc_id % 5', 'sents', ACC2)}"
@@ -376,6 +378,31 @@ def q_event_failures(spark, d):
     return out.select("ticker", "pipeline_success", "failure_reason")
 
 
+OWNERSHIP_KINDS = (*fv.OWNERSHIP_FORMS, "10-K")
+_OWNERSHIP_FORM = f"({strings(OWNERSHIP_KINDS)})[doc_id % {len(OWNERSHIP_KINDS)} + 1]"
+
+
+@query("ownership_failures", f"""WITH {SQL_DISCLOSURES},
+f AS (SELECT 'O' || {sql_letters('doc_id // 3')} AS ticker, {_OWNERSHIP_FORM} AS form, doc_id % 5 <> 0 AS readable FROM disc),
+found AS (SELECT ticker, count(*) AS n FROM f WHERE form <> '10-K' AND readable GROUP BY ticker),
+r AS (SELECT DISTINCT unnest([ticker, 'N' || ticker]) AS ticker FROM f)
+SELECT r.ticker, n IS NOT NULL AS pipeline_success, CAST(coalesce(n, 0) AS BIGINT) AS n_filings,
+  CASE WHEN n IS NULL THEN 'No 13D, 13G, or 13F-HR filings (including amendments) found for ' || r.ticker ||
+    '. This is common for smaller companies with no activist or institutional >5% holders currently on file with the SEC.' END AS failure_reason
+FROM r LEFT JOIN found USING (ticker)""")
+def q_ownership_failures(spark, d):
+    """Companies with filings of some forms, some of them unreadable, and companies that have none."""
+    doc = F.col("doc_id")
+    f = disclosures(spark, d).select(
+        F.concat(F.lit("O"), letters(F.floor(doc / 3))).alias("ticker"), doc.cast("string").alias("accession_number"), F.lit(None).cast("date").alias("filing_date"),
+        F.element_at(F.array(*map(F.lit, OWNERSHIP_KINDS)), (doc % len(OWNERSHIP_KINDS) + 1).cast("int")).alias("form_type"), doc.alias("index_pos"),
+        F.when(doc % 5 != 0, F.concat(F.lit("<p>Schedule filed by holder "), letters(doc), F.lit("</p>"))).alias("html"),
+    )
+    absent = f.select(F.concat(F.lit("N"), "ticker").alias("ticker"))
+    out = plans.ownership(f.drop("html"), f.select("accession_number", "html"), 6, _requests(f, absent))
+    return out.select("ticker", "pipeline_success", F.coalesce("filing_count", F.lit(0)).cast("long").alias("n_filings"), "failure_reason")
+
+
 # --- trends --------------------------------------------------------------------------------
 
 POINTS_SQL = f"""{SERIES_SQL}, {sql_lexicon()},
@@ -596,10 +623,137 @@ def q_categorize(spark, d):
     )
 
 
-@query("executive_report")
+def _sql_choose(key: str, words: dict, fill: str = "") -> str:
+    """CASE over one of the report's word lists; ``fill`` are the values for its blanks, as SQL."""
+    def text(t: str) -> str:
+        return f"format({lit(t.replace('%%', '%').replace('%s', '{}'))}{fill})" if fill else lit(t)
+
+    cases = " ".join(f"WHEN '{k}' THEN {text(v)}" for k, v in words.items() if k is not None)
+    return f"CASE {key} {cases} " + (f"ELSE {text(words[None])} " if None in words else "") + "END"
+
+
+def _sql_heading(title: str) -> str:
+    return f"{lit(title)}, repeat('─', 40)"
+
+
+def _sql_dated(days: int) -> str:
+    return f"strftime(DATE '2020-01-01' + CAST(doc_id % 300 + {days} AS INTEGER), '%Y-%m-%d')"
+
+
+def _sql_quoted(names: str, n: int) -> str:
+    return f"""array_to_string(list_transform({names}[1:{n}], lambda x: '"' || x || '"'), ', ')"""
+
+
+def _sql_percent(section: str) -> str:
+    return f"printf('%.0f', {section}_pct * 100)"
+
+
+def _sql_changed(section: str, label: str, missing: str) -> str:
+    word = _sql_choose(f"{section}_magnitude", say.MAGNITUDE_WORDS)
+    return f"CASE WHEN {section}_compared THEN {lit(label)} || {word} || ' (' || {_sql_percent(section)} || '% of sentences affected)' ELSE {lit(label + missing)} END"
+
+
+def _sql_score(section: str, label: str) -> str:
+    return f"{lit(label)} || {_sql_choose(f'{section}_rating', say.RATING_MARKS)} || ' ' || upper({section}_rating) || '  (score ' || printf('%.1f', {section}_total / 100.0) || ')'"
+
+
+def _sql_facts() -> str:
+    shown = (("Revenue", "revenue"), ("Net Income", "net_income"), ("Cash and Equivalents", "cash_and_equivalents"), ("Total Debt", "total_debt"), ("Current Ratio", "current_ratio"), ("Capex", "capex"))
+    value = lambda c: f"printf('%.2f', {c})" if c == "current_ratio" else f"format('{{:,.0f}}', {c})"
+    return ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{name}: ' || {value(c)} END" for name, c in shown)
+
+
+_RANK = "CASE {} " + " ".join(f"WHEN '{n}' THEN {r}" for n, r in fv.MATERIALITY_RANK.items()) + " END"
+_SIDE_COLUMNS = ", ".join(
+    f"{s}.compared AS {s}_compared, {s}.pct_changed AS {s}_pct, {s}.magnitude AS {s}_magnitude, {s}.rating AS {s}_rating, {s}.total AS {s}_total, "
+    f"{s}.new_list AS {s}_new, {s}.gone_list AS {s}_gone" for s in ("risk", "mda")
+)
+_OPENING = _sql_choose("overall", say.OPENINGS, ", ticker, CASE form_type WHEN '10-K' THEN 'annual' ELSE 'quarterly' END, newer")
+_RISK_CHANGE = _sql_choose("risk_magnitude", say.RISK_CHANGES, f", {_sql_percent('risk')}, older")
+_CONTEXT = "replace(substr(text, greatest(1, p - 60), p + length(signal) + 60 - greatest(1, p - 60)), chr(10), ' ')"
+
+REPORT_SQL = f"""{PAIR_LAYOUT.replace("WITH ", "WITH RECURSIVE ", 1)}, {sql_lexicon()}, {CONTEXT_SQL.removeprefix("WITH ")}, quick(i, category, kws) AS (VALUES {QUICK_ROWS}),
+two_sides AS (
+  SELECT n.doc_id, n.form_type, n.rm, n.risk_ok OR n.mda_ok AS good, length(n.risk_text) AS risk_chars, length(n.mda_text) AS mda_chars, n.accession_number AS accession,
+    CASE WHEN n.risk_ok THEN n.risk_text END AS nr, CASE WHEN n.mda_ok THEN n.mda_text END AS nm,
+    CASE WHEN o.risk_ok AND (n.risk_ok OR n.mda_ok) AND NOT (n.risk_ok AND length(n.risk_text) < {fv.REPORT_POINTER[0]} AND
+      len(list_filter({strings(fv.REPORT_POINTER[1])}, lambda p: contains(lower(n.risk_text), p))) > 0) THEN o.risk_text END AS old_r,
+    CASE WHEN o.mda_ok AND (n.risk_ok OR n.mda_ok) THEN o.mda_text END AS old_m
+  FROM sec n JOIN sec o ON o.doc_id = n.doc_id AND n.side = 2 AND o.side = 1 WHERE n.form_type <> '20-F'),
+halves AS (
+  SELECT doc_id, form_type, good, 'risk_factors' AS section, nr AS text, old_r AS older_text FROM two_sides
+  UNION ALL SELECT doc_id, form_type, good, 'mda', nm, old_m FROM two_sides),
+source AS (
+  SELECT *, doc_id || ':' || section AS k, CASE WHEN compared THEN {sql_sentences('older_text', normalise=True)} END AS o, CASE WHEN compared THEN {sql_sentences('text', normalise=True)} END AS n
+  FROM (SELECT *, coalesce(length(text), 0) > 0 AND coalesce(length(older_text), 0) > 0 AS compared FROM halves)),
+{sql_alignment('source')}, {sql_compared('source')},
+marked AS (
+  SELECT h.k, h.signal, h.tier, h.ord, h.is_new, row_number() OVER (PARTITION BY h.k, h.tier ORDER BY h.ord) AS r, '...' || {sql_trim(_CONTEXT)} || '...' AS context
+  FROM (SELECT m.*, s.text, strpos(lower(s.text), lower(m.signal)) AS p FROM amarked m JOIN source s ON s.k = m.k WHERE tier <= 2) h),
+bullets AS (
+  SELECT k, string_agg('  • ' || signal || CASE WHEN is_new THEN ' [NEW]' ELSE '' END || chr(10) || '    ' || substr(context, 1, 120), chr(10) ORDER BY ord) FILTER (tier = 1 AND r <= 6) AS b1,
+    string_agg('  • ' || signal || CASE WHEN is_new THEN ' [NEW]' ELSE '' END, chr(10) ORDER BY ord) FILTER (tier = 2 AND r <= 5) AS b2 FROM marked GROUP BY k),
+categories AS (
+  SELECT doc_id, string_agg('  ' || rpad(category, 30, ' ') || '  ' || c || ' signals', chr(10) ORDER BY -c, i) AS lines
+  FROM (SELECT doc_id, i, category, len(list_filter(kws, lambda w: contains(lower(text), w))) AS c FROM source, quick WHERE section = 'risk_factors') WHERE c > 0 GROUP BY doc_id),
+names AS (SELECT k, list(lower(signal)) AS ns FROM amarked WHERE tier <= 2 GROUP BY k),
+told AS (SELECT k, doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS pos FROM (
+  SELECT k, doc_id, list_filter({sql_sentences('text', openers='A-Z', min_chars=40)}, lambda z: length(z) <= 300) AS x FROM source WHERE section = 'mda' AND text IS NOT NULL)),
+points AS (
+  SELECT k, doc_id, s, pos, len(list_filter({strings(fv.MDA_KEYWORDS)}, lambda w: contains(lower(s), w))) + 2 * len(list_filter(coalesce(ns, []), lambda w: contains(lower(s), w))) AS score
+  FROM told LEFT JOIN names USING (k)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY k, substr(s, 1, 60) ORDER BY -score, pos) AS seen FROM points WHERE score > 0),
+best_told AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY -score, pos) AS rank FROM firsts WHERE seen = 1),
+highlights AS (SELECT doc_id, list(substr(s, 1, 200) ORDER BY rank) AS hs FROM best_told WHERE rank <= 5 GROUP BY doc_id),
+facts AS (SELECT cik, list_filter([{_sql_facts()}], lambda x: x IS NOT NULL) AS fs FROM ctx),
+rated AS (SELECT *, {sql_materiality('total')} AS rating FROM ascored),
+wide AS (
+  SELECT t.*, {_SIDE_COLUMNS},
+    CASE WHEN {_RANK.format('risk.rating')} >= {_RANK.format('mda.rating')} THEN risk.rating ELSE mda.rating END AS overall, b1, b2, c.lines AS category_lines,
+    CASE WHEN len(fs) > 0 THEN fs ELSE hs END AS shown, {_sql_dated(730).replace('doc_id', 't.doc_id')} AS newer, {_sql_dated(365).replace('doc_id', 't.doc_id')} AS older, 'D' || {sql_letters('t.doc_id')} AS ticker
+  FROM two_sides t JOIN rated risk ON risk.doc_id = t.doc_id AND risk.section = 'risk_factors' JOIN rated mda ON mda.doc_id = t.doc_id AND mda.section = 'mda'
+  LEFT JOIN bullets b ON b.k = risk.k LEFT JOIN categories c ON c.doc_id = t.doc_id LEFT JOIN highlights h ON h.doc_id = t.doc_id
+  LEFT JOIN facts f ON f.cik = lpad(CAST(t.doc_id AS VARCHAR), 10, '0')),
+named AS (
+  SELECT doc_id, section, unnest(new_list[1:5]) AS signal, generate_subscripts(new_list[1:5], 1) AS i, CASE section WHEN 'mda' THEN 1 ELSE 0 END AS g FROM rated
+  UNION ALL SELECT doc_id, section, unnest(t1[1:3]), generate_subscripts(t1[1:3], 1), CASE section WHEN 'mda' THEN 3 ELSE 2 END FROM rated),
+mentioned AS (
+  SELECT n.doc_id, n.section, n.signal, l.tier, l.weight, i + g * 100 AS place, row_number() OVER (PARTITION BY doc_id, n.signal ORDER BY i + g * 100) AS mention
+  FROM named n JOIN lex l ON l.signal = n.signal),
+foremost AS (
+  SELECT doc_id, string_agg(signal || ' [' || section || ']', '; ' ORDER BY r) AS top FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -tier, -weight, place) AS r FROM mentioned WHERE mention = 1) WHERE r <= 8 GROUP BY doc_id)
+SELECT ticker, form_type, good AS pipeline_success, CAST(newer AS DATE) AS filing_date,
+  CASE WHEN NOT good THEN 'Could not extract Risk Factors or MD&A from ' || ticker || '''s ' || form_type || ' filing (filed ' || newer ||
+    '). The filing may use an unsupported format (image-based PDF, heavily customized XBRL, or exhibit-only filing).' END AS failure_reason,
+  CASE WHEN good THEN overall END AS overall_materiality, CASE WHEN good THEN coalesce(top, '') ELSE '' END AS top_signals,
+  CASE WHEN good THEN array_to_string(list_filter([
+    repeat('=', 64), '  DISCLOSURE RISK — ANALYST REPORT', '  ' || ticker || '  |  ' || form_type || '  |  Filed ' || newer, '  Generated June 30, 2024', repeat('=', 64), '',
+    'OVERALL RISK RATING:  ' || {_sql_choose('overall', say.RATING_MARKS)} || ' ' || upper(overall), '', {_sql_heading('EXECUTIVE SUMMARY')},
+    {_OPENING} || ' ' || CASE WHEN risk_compared THEN {_RISK_CHANGE} ELSE 'Risk Factor comparison was not available (e.g., 10-Q incorporating 10-K by reference).' END || ' ' ||
+      concat_ws(' ', CASE WHEN len(risk_new) > 0 THEN 'Notably, new risk signals emerged, including ' || {_sql_quoted('risk_new', 3)} || '.' END,
+        CASE WHEN len(risk_gone) > 0 THEN 'Conversely, previously flagged risks such as ' || {_sql_quoted('risk_gone', 2)} || ' are no longer present.' END) || ' ' ||
+      CASE WHEN mda_compared THEN 'The Management''s Discussion and Analysis (MD&A) section saw ' || {_sql_choose('mda_magnitude', say.MAGNITUDE_WORDS)} || ' changes, with ' || {_sql_percent('mda')} || '% of sentences affected. '
+        ELSE 'MD&A comparison was not available. ' END || {_sql_choose('mda_rating', say.MDA_TONES)},
+    '', {_sql_heading('WHAT CHANGED VS PRIOR FILING')},
+    {_sql_changed('risk', 'Risk Factors:  ', 'comparison not available (10-Q incorporates 10-K by reference)')},
+    CASE WHEN risk_compared AND len(risk_new) > 0 THEN '  ⚠  New risk signals appeared: ' || array_to_string(risk_new[1:5], ', ') END,
+    CASE WHEN risk_compared AND len(risk_gone) > 0 THEN '  ✓  Risk signals removed: ' || array_to_string(risk_gone[1:3], ', ') END,
+    {_sql_changed('mda', 'MD&A:          ', 'comparison not available')}, '', {_sql_heading('TOP RISK SIGNALS')},
+    'Critical (Tier 1):' || chr(10) || b1 || chr(10), 'Elevated (Tier 2):' || chr(10) || b2 || chr(10),
+    CASE WHEN len(shown) > 0 THEN array_to_string([{_sql_heading('MD&A FINANCIAL HIGHLIGHTS')}, '  • ' || array_to_string(shown, chr(10) || '  • '), ''], chr(10)) END,
+    CASE WHEN category_lines IS NOT NULL THEN array_to_string([{_sql_heading('RISK CATEGORIES PRESENT')}, category_lines, ''], chr(10)) END,
+    {_sql_heading('SECTION SCORES')}, {_sql_score('risk', '  Risk Factors:  ')}, {_sql_score('mda', '  MD&A:          ')}, '', {_sql_heading('FILING DETAILS')},
+    '  Ticker:          ' || ticker, '  Form type:       ' || form_type, '  Filing date:     ' || newer, '  Prior filing:    ' || older, '  Accession:       ' || accession,
+    '  Risk chars:      ' || format('{{:,}}', risk_chars), '  MD&A chars:      ' || format('{{:,}}', mda_chars), '  Extraction:      ' || rm, '', repeat('─', 64),
+    {strings(report.CLOSING)[1:-1]}, repeat('=', 64)], lambda x: x IS NOT NULL), chr(10)) END AS report
+FROM wide LEFT JOIN foremost USING (doc_id)"""
+
+
+@query("executive_report", REPORT_SQL)
 def q_report(spark, d):
     return report.executive_reports(
-        pair_index(spark, d), pair_bodies(spark, d), company_facts(facts_texts(spark, d)), F.lit("2024-06-30").cast("date")
+        pair_index(spark, d), pair_bodies(spark, d), _facts(spark, d), F.lit("2024-06-30").cast("date")
     ).withColumn("top_signals", F.array_join("top_signals", "; "))
 
 

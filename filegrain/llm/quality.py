@@ -6,9 +6,14 @@ from the labelled rows; then, round by round, each labels the unlabelled rows it
 surest of for the other to learn from. At the end each view is calibrated on labelled
 rows that no round has trained on, and the calibrated views are combined.
 
-Learning uses at most about ``per_label`` labelled rows of each label and ``pool``
-unlabelled ones; every row is scored. A null or empty text, and null metadata, are
-values like others. Repeated rows are scored one by one.
+Learning uses at most about ``per_label`` labelled rows of each label. All unlabelled rows
+take part: each round is a pass over them that scores both views where the rows stand,
+and the ``EXCHANGED`` surest of all are handed over. Every row is scored at the end.
+
+A null or empty text, and null metadata, are values like others. Very long texts are read in
+pieces, whole. Repeated rows are scored one by one; of rows of one id that a round picks one is
+learned from. Ties in sureness go to the smaller id; of two labels of one id the lower one
+counts. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filegrain.llm.common import bounded_sample, held_out, map_arrow, unit_hash
+from filegrain.llm.common import bounded_sample, held_out, map_arrow, written
 
 TEXT_DIMENSIONS, PAGE_DIMENSIONS = 2048, 256
 PIECE = 1 << 20
@@ -31,6 +36,7 @@ PIECE = 1 << 20
 SHORT_GRAMS, REPETITION_BINS = 300, (0.05, 0.2, 0.5)
 ROUNDS, SURE, EXCHANGED = 5, 0.9, 400
 CALIBRATION_PART = 4  # one labelled row in four
+COSTS = {"text": 200.0, "page": 20.0}
 
 
 def repetition(text: str) -> tuple[float, float]:
@@ -120,39 +126,36 @@ class CoTrained:
         t, p = self.text.margin(text), self.page.margin(page)
         return logistic(self.mix[0] * t + self.mix[1] * p + self.mix[2]), logistic(t), logistic(p)
 
-    @classmethod
-    def fit(cls, text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray) -> CoTrained:
-        aside = np.arange(len(y)) % CALIBRATION_PART == 0
-        views = {"text": (text, pool_text, 200.0), "page": (page, pool_page, 20.0)}
-        given: dict[str, dict[int, int]] = {"text": {}, "page": {}}  # pseudo-labels from the other view
-        good = float(np.clip(y.mean(), 0.02, 0.98))
-        models: dict[str, Logistic] = {}
-
-        def train(view: str) -> Logistic:
-            x, pool, cost = views[view]
-            rows = list(given[view])
-            return Logistic.fit(
-                np.concatenate([x[~aside], pool[rows]]), np.concatenate([y[~aside], [given[view][r] for r in rows]]).astype(np.float32), cost
-            )
-
-        for _ in range(ROUNDS):
-            models = {view: train(view) for view in views}
-            for view, other in (("text", "page"), ("page", "text")):
-                x, pool, _ = views[view]
-                models[view].calibrate(x[aside], y[aside])
-                p = logistic(models[view].margin(pool))
-                for label, sure, quota in ((1, p, good), (0, 1 - p, 1 - good)):
-                    fresh = [r for r in np.argsort(-sure, kind="stable") if r not in given[other]][: max(1, int(EXCHANGED * quota))]
-                    given[other].update({int(r): label for r in fresh if sure[r] >= SURE})
-        models = {view: train(view) for view in views}
-        for view, (x, _, _) in views.items():
-            models[view].calibrate(x[aside], y[aside])
-        z = np.stack([models["text"].margin(text[aside]), models["page"].margin(page[aside]), np.ones(aside.sum())], 1)
+
+@dataclass
+class Lesson:
+    """What both views learn from: labelled rows, some of them set aside for calibration, and what the other view has told."""
+
+    views: dict[str, np.ndarray]
+    y: np.ndarray
+    told: dict[str, list[tuple[object, np.ndarray, int]]]  # id, features, label
+
+    @property
+    def aside(self) -> np.ndarray:
+        return np.arange(len(self.y)) % CALIBRATION_PART == 0
+
+    def models(self) -> dict[str, Logistic]:
+        out = {}
+        for view, x in self.views.items():
+            told = self.told[view]
+            rows = np.concatenate([x[~self.aside], np.array([t[1] for t in told], np.float32).reshape(-1, x.shape[1])])
+            out[view] = Logistic.fit(rows, np.concatenate([self.y[~self.aside], [t[2] for t in told]]).astype(np.float32), COSTS[view])
+            out[view].calibrate(x[self.aside], self.y[self.aside])
+        return out
+
+    def combined(self) -> CoTrained:
+        models, y = self.models(), self.y[self.aside]
+        z = np.stack([*(models[v].margin(self.views[v][self.aside]) for v in ("text", "page")), np.ones(len(y))], 1)
         mix = np.array([0.5, 0.5, 0.0])
         for _ in range(30):
             p = logistic(z @ mix)
-            mix = mix - np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(3), z.T @ (p - y[aside]) + (mix - [0.5, 0.5, 0.0])), -1, 1)
-        return cls(models["text"], models["page"], mix)
+            mix = mix - np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(3), z.T @ (p - y) + (mix - [0.5, 0.5, 0.0])), -1, 1)
+        return CoTrained(models["text"], models["page"], mix)
 
 
 COLUMNS = ("text", "lang", "source", "n_chars")
@@ -163,35 +166,64 @@ def _features(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]
     return [text_features(r[0]) for r in rows], [page_features(*r) for r in rows]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, pool: int = 4000) -> CoTrained | None:
-    """None unless both labels occur. Samples are drawn by id; a bounded broadcast of ids meets the documents."""
-    marks = (
-        labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y"))
-        .where(F.col("y").isin(0, 1) & ~held_out(F.col("k"))).groupBy("k").agg(F.min("y").alias("y"))
-    )
-    drawn = bounded_sample(marks, "y", "k", per_label)
-    ids = docs.select(F.col("doc_id").alias("k")).where(~held_out(F.col("k")))
-    share = min(1.0, pool / max(1, ids.count()))
-    unlabelled = ids.where(unit_hash(F.col("k"), 1) < share).join(labels.select(F.col("doc_id").alias("k")), "k", "left_anti")
-    chosen = drawn.unionByName(unlabelled.distinct().withColumn("y", F.lit(-1)))
-    rows = docs.select(F.col("doc_id").alias("k"), *COLUMNS).join(F.broadcast(chosen), "k")
+def _rows_of(docs: DataFrame, ids: DataFrame) -> list:
+    """(k, features of both views, y) of the rows of some ids, as bounded as these, in an order of their own."""
+    rows = docs.select(F.col("doc_id").alias("k"), *COLUMNS).join(F.broadcast(ids), "k")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, page = _features(batch)
         return pa.RecordBatch.from_arrays(
-            [batch["k"], pa.array([v.tobytes() for v in text], pa.binary()), pa.array([v.tobytes() for v in page], pa.binary()), batch["y"]], ["k", "t", "p", "y"]
+            [batch["k"], pa.array([v.tobytes() for v in text], pa.binary()), pa.array([v.tobytes() for v in page], pa.binary()), batch["y"]], ["k", "text", "page", "y"]
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = map_arrow(rows, run, f"k {kind}, t binary, p binary, y int").collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.k).encode()), r.k))  # the same model however the rows arrive
-    table = lambda column, keep: np.array([np.frombuffer(r[column], np.float32) for r in got if keep(r.y)])
-    y = np.array([r.y for r in got if r.y >= 0])
+    got = map_arrow(rows, run, f"k {kind}, text binary, page binary, y int").collect()
+    return sorted(got, key=lambda r: (zlib.crc32(str(r.k).encode()), r.k))  # the same model however the rows arrive
+
+
+def surest(docs: DataFrame, labels: DataFrame, lesson: Lesson) -> list[tuple[str, object, int]]:
+    """(view to be told, id, label): what each view is surest of among all unlabelled rows that are not held out."""
+    models = lesson.models()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, page = map(np.array, _features(batch))
+        sure = [logistic(models[v].margin(x)).astype(np.float64) if len(x) else np.zeros(0) for v, x in (("text", text), ("page", page))]
+        return pa.RecordBatch.from_arrays([batch["k"], *map(pa.array, sure)], ["k", "text", "page"])
+
+    rows = docs.select(F.col("doc_id").alias("k"), *COLUMNS).where(~held_out(F.col("k")))
+    known = labels.select(F.col("doc_id").alias("k"))
+    scored = written(map_arrow(rows, run, f"k {kind}, text double, page double").join(known, "k", "left_anti"), "quality-round")
+    good = float(np.clip(lesson.y.mean(), 0.02, 0.98))
+    out = []
+    for view, other in (("text", "page"), ("page", "text")):
+        told = docs.sparkSession.createDataFrame([(t[0],) for t in lesson.told[other]], f"k {kind}")
+        fresh = scored.join(F.broadcast(told), "k", "left_anti")
+        for label, chance, quota in ((1, F.col(view), good), (0, 1 - F.col(view), 1 - good)):
+            first = fresh.groupBy("k").agg(F.max(chance).alias("sure")).where(F.col("sure") >= SURE).orderBy(F.desc("sure"), "k")
+            out += [(other, r.k, label) for r in first.limit(max(1, int(EXCHANGED * quota))).collect()]
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> CoTrained | None:
+    """None unless both labels occur. Labelled rows are drawn by id; a bounded broadcast of ids meets the documents."""
+    marks = (
+        labels.select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("y"))
+        .where(F.col("y").isin(0, 1) & ~held_out(F.col("k"))).groupBy("k").agg(F.min("y").alias("y"))
+    )
+    drawn = _rows_of(docs, bounded_sample(marks, "y", "k", per_label))
+    y = np.array([r.y for r in drawn])
     if len(set(y[::CALIBRATION_PART])) < 2 or len(set(np.delete(y, np.s_[::CALIBRATION_PART]))) < 2:
         return None
-    views = [table(c, lambda v: v >= 0) for c in "tp"]
-    pools = [table(c, lambda v: v < 0).reshape(-1, v.shape[1]) for c, v in zip("tp", views, strict=True)]
-    return CoTrained.fit(*views, y, *pools)
+    lesson = Lesson({v: np.array([np.frombuffer(r[v], np.float32) for r in drawn]) for v in COSTS}, y, {v: [] for v in COSTS})
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    for _ in range(ROUNDS):
+        chosen = surest(docs, labels, lesson)
+        ids = docs.sparkSession.createDataFrame([(k, -1) for k in {k for _, k, _ in chosen}], f"k {kind}, y int")
+        found = {r.k: r for r in _rows_of(docs, ids)}
+        for view, k, label in chosen:
+            lesson.told[view].append((k, np.frombuffer(found[k][view], np.float32), label))
+    return lesson.combined()
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:

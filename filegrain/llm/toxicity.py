@@ -37,7 +37,7 @@ STEMS = (4, 6)
 LEAST_ROWS, LEAST_Z = 3, 3.0
 PAIR_ROWS, PAIR_Z = 12, 6.0
 #: Terms of a sampled row whose pairs are counted, and the counters that sort out most pairs before they are counted exactly.
-PAIR_TERMS, PAIR_COUNTERS = 128, 1 << 22
+PAIR_TERMS, PAIR_COUNTERS = 128, 1 << 21
 PIECE = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -95,7 +95,7 @@ def telling_together(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> np
             yield v, r[i] * BUCKETS + r[j]
 
     def counter(codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
 
     held, toxic = np.zeros(PAIR_COUNTERS, np.int32), np.zeros(PAIR_COUNTERS, np.int32)
     for v, codes in pairs():  # a row's pairs are distinct, but several may share a counter
@@ -103,7 +103,11 @@ def telling_together(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> np
         held[at] += times.astype(np.int32)
         if v == 1:
             toxic[at] += times.astype(np.int32)
-    out = (held >= PAIR_ROWS) & (np.abs(_surprise(toxic, held, y.mean())) >= PAIR_Z / 2)
+    out = np.zeros(PAIR_COUNTERS, bool)
+    for at in range(0, PAIR_COUNTERS, 1 << 17):  # the driver holds little beside the counters
+        some = slice(at, at + (1 << 17))
+        out[some] = (held[some] >= PAIR_ROWS) & (np.abs(_surprise(toxic[some], held[some], y.mean())) >= PAIR_Z / 2)
+    del held, toxic
     found = [(codes[out[counter(codes)]], v) for v, codes in pairs()]
     codes, where = np.unique(np.concatenate([*(c for c, _ in found), np.zeros(0, np.int64)]), return_inverse=True)
     label = np.concatenate([*(np.full(len(c), v) for c, v in found), np.zeros(0)])

@@ -183,7 +183,7 @@ def make_pair_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = F.array(
         F.struct(F.lit(1).alias("side"), F.col("older_sents").alias("s")), F.struct(F.lit(2).alias("side"), F.col("sents").alias("s")),
     )
-    rows = d.select("doc_id", F.inline(sides)).withColumn("s", F.when(doc % 10 == 1, longer(F.col("s"))).otherwise(F.col("s")))
+    rows = d.select("doc_id", F.inline(sides)).withColumn("s", F.when(doc % 6 != 0, longer(F.col("s"))).otherwise(F.col("s")))
     return rows.select(
         F.lpad((doc * 10 + F.col("side")).cast("string"), 18, "0").alias("accession_number"),
         filing_html(doc, (doc + F.col("side")) % 5, F.col("s")).alias("html"),
@@ -317,7 +317,7 @@ def sql_longer(sents: str) -> str:
     copies = ", ".join(
         f"list_transform({sents}, lambda x: substr(x, 1, length(x) - 1) || ' copy{'ABCDEFGHIJ'[c]}' || substr(x, length(x), 1))" for c in range(COPIES)
     )
-    return f"CASE WHEN doc_id % 10 = 1 THEN flatten([{copies}]) ELSE {sents} END"
+    return f"CASE WHEN doc_id % 6 <> 0 THEN flatten([{copies}]) ELSE {sents} END"
 
 
 def sql_lexicon() -> str:

@@ -261,3 +261,29 @@ def test_form4_with_comments_and_cdata(spark):
     )
     row = form4_transactions(spark.createDataFrame([(xml, None)], "xml string, rendered_html string")).first()
     assert row["insider_name"] == "Doe & Sons" and [(t["code"], t["shares"]) for t in row["transactions"]] == [("P", 1200.0)]
+
+
+@pytest.mark.parametrize("name", ["compare_filings", "trend_summary", "categorize_risks"])
+def test_registered_analyses_move_no_bodies(spark, sf_dir, name):
+    """With broadcasts off nothing above a scan of ``html`` exchanges or sorts it before the join that needs it."""
+    import __spark_entry__ as entry_point
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry_point.queries()[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+    scans = [at for at, line in enumerate(plan) if "Scan parquet" in line and "html" in line]
+    assert scans
+    for at in scans:
+        level, above = depth(plan[at]), []
+        for up in reversed(plan[:at]):
+            if depth(up) < level:
+                level = depth(up)
+                above.append(up)
+        between = above[: ["Join" in u for u in above].index(True)]
+        assert not any("Exchange" in u or "Sort" in u for u in between), "\n".join(plan)

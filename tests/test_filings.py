@@ -1,9 +1,11 @@
 import datetime as dt
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from filegrain.functions import fixed_values as fv
 from filegrain.functions.text import match_spans
 from filegrain.operators import recency
 from filegrain.operators import sections as S
@@ -287,3 +289,32 @@ def test_registered_analyses_move_no_bodies(spark, sf_dir, name):
                 above.append(up)
         between = above[: ["Join" in u for u in above].index(True)]
         assert not any("Exchange" in u or "Sort" in u for u in between), "\n".join(plan)
+
+
+def test_bare_tags_are_known_without_the_tolerant_search(monkeypatch):
+    """The library reads tags with attributes and scripts; results are those of its reading of every tag."""
+    from html.parser import HTMLParser
+
+    from filegrain.operators import nodes
+
+    page = "<p>One</p><b>two</b><script>a<p>b</script><h2>é ½</h2><td>x</p ><DIV id='a'>y</DIV></p><!-- <p> --><p" * 50
+    monkeypatch.setattr(nodes, "_BARE_TAG", re.compile("(?!)"), raising=False)
+    whole = _outline_of(page)
+    monkeypatch.undo()
+    calls = []
+    for name in ("parse_starttag", "parse_endtag"):
+        read = getattr(HTMLParser, name)
+        monkeypatch.setattr(HTMLParser, name, lambda self, i, read=read: calls.append(i) or read(self, i))
+    assert _outline_of(page) == whole
+    calls.clear()
+    assert len(_outline_of("<h2>Item 1</h2>" + "<p>A sentence.</p>" * 1000)["text"]) > 9000 and not calls
+
+
+def test_common_beginnings_of_patterns_are_looked_for_once():
+    for form in fv.SECTION_SPECS.values():
+        for patterns in [p for spec in form for p in (spec[S._STARTS], spec[S._ENDS])]:
+            joined, plain = S._either(patterns), re.compile("(?i)(?:" + "|".join(patterns) + ")")
+            assert joined.count(r"item\s+") == 1
+            text = " x ".join(f"{i}{gap}{n}{tail}" for i in ("Item", "item") for gap in (" ", "\n  ", "") for n in ("1A", "1b", "2", "3.d", "3 . D", "3", "4", "5", "6", "7", "7a", "8")
+                              for tail in ("", ". Risk  Factors", " - management", ". Discussion", " MD&A", ". Operating and financial", " quantitative", "x"))
+            assert [m.span() for m in re.finditer(joined, text)] == [m.span() for m in plain.finditer(text)] != []

@@ -161,11 +161,12 @@ def score_text(
     no_hits = F.array().cast(HITS)
     out = df.withColumn("_found", find_hits(F.col(text), lexicon))
     if changed:
+        # only what the text holds is looked for in its changed part
         in_change = let(
-            signals(find_hits(F.col(changed), lexicon)),
-            lambda names: F.transform(
+            F.lower(F.col(changed)),
+            lambda low: F.transform(
                 F.col("_found"),
-                lambda h: h.withField("in_change", F.array_contains(names, h["signal"])),
+                lambda h: h.withField("in_change", F.coalesce(F.contains(low, h["needle"]), F.lit(False))),
             ),
         )
     else:

@@ -55,7 +55,7 @@ def sentences(
     """
     if normalise:
         text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-        text = F.regexp_replace(text, r"[ \t]+", " ")
+        text = F.regexp_replace(text, r"\t[ \t]*| [ \t]+", " ")  # single blanks are what they are to be
     pieces = F.split(text, rf"(?<=[.!?]){WS}+(?=[{openers}])")
     kept = F.filter(F.transform(pieces, strip), lambda s: F.length(s) >= min_chars)
     return F.slice(kept, 1, max_sentences) if max_sentences else kept
@@ -213,9 +213,11 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def spans(t: Column) -> Column:
-        hits = F.transform(F.regexp_extract_all(t, regex, F.lit(0)), F.length)
         gaps = F.transform(F.split(t, regex), F.length)
-        return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), positions_of)
+        placed = lambda hits: let(F.struct(gaps.alias("gaps"), hits.alias("hits")), positions_of)
+        none = F.array().cast("array<struct<first:int,past:int>>")
+        # a text without a match is not read again
+        return let(F.transform(F.regexp_extract_all(t, regex, F.lit(0)), F.length), lambda hits: F.when(F.size(hits) == 0, none).otherwise(placed(hits)))
 
     def positions_of(v: Column) -> Column:
         sizes = F.zip_with(F.slice(v["gaps"], F.lit(1), F.size(v["hits"])), v["hits"], lambda gap, hit: gap + hit)

@@ -67,3 +67,10 @@ def test_let_computes_once_per_row(spark):
     # a nondeterministic value would differ if it were computed per element
     got = one(spark, T.let(F.rand(), lambda v: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: v)))
     assert len(set(got)) == 1
+
+
+def test_blank_runs_become_one_blank_and_single_blanks_are_not_written_again(spark):
+    text = "A first\tsentence  of \t text.\t\tA second \n\n\n\n sentence \tof text. "
+    assert one(spark, T.sentences(F.col("t"), normalise=True), t=text) == ["A first sentence of text.", "A second \n\n sentence of text."]
+    plan = spark.createDataFrame([("a",)], ["t"]).select(T.sentences(F.col("t"), normalise=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", [ \\t]+," not in plan

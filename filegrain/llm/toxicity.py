@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,8 @@ LEAST_ROWS, LEAST_Z = 3, 3.0
 PAIR_ROWS, PAIR_Z = 12, 6.0
 #: Terms of a sampled row whose pairs are counted, and the counters that sort out most pairs before they are counted exactly.
 PAIR_TERMS, PAIR_COUNTERS = 128, 1 << 21
+#: Kinds of pairs, and pairs that wait to be counted, that are held at once.
+PAIRS_AT_ONCE = 1 << 20
 PIECE = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,7 +71,12 @@ def _surprise(bad: np.ndarray, n: np.ndarray, share: np.ndarray | float) -> np.n
 
 def _counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the sampled rows that hold it, and the toxic ones."""
-    count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64), minlength=BUCKETS)
+    def count(some: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.int64)
+        for at in range(0, len(some), 256):
+            out += np.bincount(np.concatenate(some[at : at + 256]), minlength=BUCKETS)
+        return out
+
     return count(rows), count([r for r, v in zip(rows, y, strict=True) if v == 1])
 
 
@@ -79,27 +86,68 @@ def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return (n >= LEAST_ROWS) & (np.abs(_surprise(bad, n, y.mean())) >= LEAST_Z)
 
 
+def _counter(codes: np.ndarray) -> np.ndarray:
+    """The counter that a pair shares with others."""
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+
+
+def _tallied(marks: np.ndarray, times: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct marks and how often they came, with those that waited."""
+    fresh, n = np.unique(np.concatenate(waiting), return_counts=True)
+    marks, where = np.unique(np.concatenate([marks, fresh]), return_inverse=True)
+    return marks, np.bincount(where, np.concatenate([times, n]), len(marks)).astype(np.int64)
+
+
+def _exact_counts(pairs: Callable[[], Iterable[tuple[float, np.ndarray]]], out: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, rows, toxic rows) of all pairs whose counter is in ``out``, in parts. Where there are more kinds of pairs than
+    are held at once, half of the counters wait for another reading of the pairs."""
+    todo = [(0, len(out))]
+    while todo:
+        low, high = todo.pop()
+        if not out[low:high].any():
+            continue
+        marks, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting, n = [marks], 0
+        for v, codes in pairs():
+            at = _counter(codes)
+            waiting.append(codes[out[at] & (at >= low) & (at < high)] * 2 + int(v == 1))
+            n += len(waiting[-1])
+            if n < PAIRS_AT_ONCE:
+                continue
+            marks, times = _tallied(marks, times, waiting)
+            waiting, n = [marks[:0]], 0
+            while len(marks) > PAIRS_AT_ONCE and high - low > 1:
+                todo.append(((low + high) // 2, high))
+                high = (low + high) // 2
+                stay = _counter(marks >> 1) < high
+                marks, times = marks[stay], times[stay]
+        marks, times = _tallied(marks, times, waiting)
+        codes, where = np.unique(marks >> 1, return_inverse=True)
+        yield codes, np.bincount(where, times, len(codes)), np.bincount(where, times * (marks & 1), len(codes))
+
+
 def telling_together(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> np.ndarray:
     """Which buckets do so in a pair: one that differs from all rows, and from the rows of either of its two terms.
 
     Pairs are counted twice: all of them in a fixed number of counters, several to a
-    counter, then exactly those whose counter stands out."""
+    counter, then exactly those whose counter stands out, so many kinds at once as fit."""
     n, bad = _counts(rows, y)
     rng = np.random.default_rng(seed)
-    common = [r[n[r] >= PAIR_ROWS].astype(np.int64) for r in rows]
-    common = [np.sort(rng.choice(r, PAIR_TERMS, replace=False)) if len(r) > PAIR_TERMS else r for r in common]
+
+    def drawn(r: np.ndarray) -> np.ndarray:
+        r = r[n[r] >= PAIR_ROWS].astype(np.int64)
+        return np.sort(rng.choice(r, PAIR_TERMS, replace=False)) if len(r) > PAIR_TERMS else r
+
+    common = [drawn(r) for r in rows]
 
     def pairs() -> Iterator[tuple[float, np.ndarray]]:
         for r, v in zip(common, y, strict=True):
             i, j = np.triu_indices(len(r), 1)
             yield v, r[i] * BUCKETS + r[j]
 
-    def counter(codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-
     held, toxic = np.zeros(PAIR_COUNTERS, np.int32), np.zeros(PAIR_COUNTERS, np.int32)
     for v, codes in pairs():  # a row's pairs are distinct, but several may share a counter
-        at, times = np.unique(counter(codes), return_counts=True)
+        at, times = np.unique(_counter(codes), return_counts=True)
         held[at] += times.astype(np.int32)
         if v == 1:
             toxic[at] += times.astype(np.int32)
@@ -108,16 +156,13 @@ def telling_together(rows: list[np.ndarray], y: np.ndarray, seed: int = 3) -> np
         some = slice(at, at + (1 << 17))
         out[some] = (held[some] >= PAIR_ROWS) & (np.abs(_surprise(toxic[some], held[some], y.mean())) >= PAIR_Z / 2)
     del held, toxic
-    found = [(codes[out[counter(codes)]], v) for v, codes in pairs()]
-    codes, where = np.unique(np.concatenate([*(c for c, _ in found), np.zeros(0, np.int64)]), return_inverse=True)
-    label = np.concatenate([*(np.full(len(c), v) for c, v in found), np.zeros(0)])
-    both, worse = np.bincount(where, minlength=len(codes)), np.bincount(where, label, len(codes))
-    one, other = codes // BUCKETS, codes % BUCKETS
-    share = lambda t: bad[t] / np.maximum(n[t], 1)
-    least = np.min([np.abs(_surprise(worse, both, x)) for x in (np.full(len(codes), y.mean()), share(one), share(other))], axis=0)
-    kept = (both >= PAIR_ROWS) & (least >= PAIR_Z)
     buckets = np.zeros(BUCKETS, bool)
-    buckets[one[kept]] = buckets[other[kept]] = True
+    share = lambda t: bad[t] / np.maximum(n[t], 1)
+    for codes, both, worse in _exact_counts(pairs, out):
+        one, other = codes // BUCKETS, codes % BUCKETS
+        least = np.min([np.abs(_surprise(worse, both, x)) for x in (np.full(len(codes), y.mean()), share(one), share(other))], axis=0)
+        kept = (both >= PAIR_ROWS) & (least >= PAIR_Z)
+        buckets[one[kept]] = buckets[other[kept]] = True
     return buckets
 
 

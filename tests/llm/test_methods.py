@@ -341,3 +341,21 @@ def test_doubles_are_compared_as_doubles(spark):
     for kind, links in (("double", 2), ("float", 1)):
         got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
         assert got[1] == links
+
+
+def test_pairs_that_stand_out_are_counted_in_bounded_memory(monkeypatch):
+    """Toxic rows use other words than the rest, so nearly every pair stands out; four groups of words tell only together."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    rows, y = [], np.arange(1500) % 2.0
+    for v in y:
+        a, b = rng.integers(0, 2, 2)
+        b = a if v else 1 - a
+        rows.append(np.unique(np.r_[1 + a, 3 + b, 100 + 400 * int(v) + rng.integers(0, 400, 200)]).astype(np.int32))
+    tracemalloc.start()
+    whole = toxicity.telling_together(rows, y)
+    assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(toxicity, "PAIRS_AT_ONCE", 20_000)
+    assert whole[1:5].all() and (toxicity.telling_together(rows, y) == whole).all()

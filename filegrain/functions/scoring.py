@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import fixed_values as fv
 from .text import around, fixed, int_array, let, positions, string_array, strip
 
@@ -267,19 +270,34 @@ def tier_names(tier: Column) -> Column:
 
 
 GRAM = 4
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram(chars: Column, i: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(chars, i + k) for k in range(size)])
+def _runs(text: str, sizes: list[int]) -> np.ndarray:
+    """Distinct numbers of the text's runs of so many characters: equal runs have equal numbers."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = [np.zeros(0, np.uint64)]
+    for size in sizes:
+        if len(chars) >= size:
+            numbers = np.full(len(chars) - size + 1, size, np.uint64)
+            for k in range(size):
+                numbers = numbers * _MIX + chars[k : k + len(numbers)]
+            found.append(np.unique(numbers))
+    return np.concatenate(found).view(np.int64)
 
 
-def _grams(chars: Column, size: Column) -> Column:
-    """Distinct hashes of the runs of ``size`` characters. Characters are cut out once: substring by place walks the text each time."""
-    runs = lambda n: F.array_distinct(F.transform(chars, lambda _, i: _gram(chars, i, n)))
-    out = F.lit(None).cast("array<bigint>")
-    for n in range(1, GRAM + 1):
-        out = F.when(size == n, runs(n)).otherwise(out)
-    return out
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct numbers of the runs of each of the sizes, all runs of a text in one go."""
+    ship_package()
+
+    @F.arrow_udf("array<bigint>")
+    def runs(texts: pa.Array, sizes: pa.Array) -> pa.Array:
+        found = [_runs(t or "", s) for t, s in zip(texts.to_pylist(), sizes.to_pylist())]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int64).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+    # never copied by the optimizer: each text is cut once
+    return runs.asNondeterministic()(text, sizes)
 
 
 def lexicon_table_hits(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -291,11 +309,10 @@ def lexicon_table_hits(texts: DataFrame, lexicon: DataFrame, keys: Sequence[str]
     lengths that occur are taken from the texts. ``keys`` name a row.
     """
     entries = lexicon.where(F.length("signal") > 0).withColumn("_needle", F.lower("signal"))
-    entries = entries.withColumn("_gram", _gram(F.split("_needle", ""), F.lit(0), GRAM))
     entries = entries.withColumn("_size", F.least(F.length("_needle"), F.lit(GRAM)))
-    sizes = entries.select("_size").distinct()
+    entries = entries.withColumn("_gram", _grams(F.substring("_needle", F.lit(1), F.col("_size")), F.array("_size"))[0])
+    sizes = F.broadcast(entries.agg(F.array_sort(F.collect_set("_size")).alias("_sizes")))  # GRAM at most
     low = texts.select(*keys, F.lower(text).alias("_low"))
-    runs = low.join(F.broadcast(sizes), F.length("_low") >= F.col("_size"))  # GRAM rows at most
-    cut = runs.select(*keys, "_size", F.split("_low", "").alias("_chars"))
-    met = cut.select(*keys, "_size", F.explode(_grams(F.col("_chars"), F.col("_size"))).alias("_gram")).join(entries, ["_gram", "_size"])
+    met = low.crossJoin(sizes).select(*keys, _grams(F.col("_low"), F.col("_sizes")).alias("_runs"))
+    met = met.select(*keys, F.explode("_runs").alias("_gram")).join(entries.drop("_size"), "_gram")
     return met.join(low, list(keys)).where(F.contains("_low", F.col("_needle"))).select(*keys, "signal", "tier", "ord")

@@ -74,3 +74,17 @@ def test_blank_runs_become_one_blank_and_single_blanks_are_not_written_again(spa
     assert one(spark, T.sentences(F.col("t"), normalise=True), t=text) == ["A first sentence of text.", "A second \n\n sentence of text."]
     plan = spark.createDataFrame([("a",)], ["t"]).select(T.sentences(F.col("t"), normalise=True))._jdf.queryExecution().optimizedPlan().toString()
     assert ", [ \\t]+," not in plan
+
+
+def test_runs_of_characters_are_numbers_and_no_arrays_of_strings(spark):
+    from filegrain.functions import scoring
+
+    assert [len(scoring._runs("abcab", sizes)) for sizes in ([1], [2], [4], [5], [6], [1, 2, 4], [])] == [3, 3, 2, 1, 0, 8, 0]
+    assert scoring._runs("xéß𝒳", [2])[0] in scoring._runs("éß", [2]) or scoring._runs("éß", [2])[0] in scoring._runs("xéß𝒳", [2])
+    texts = spark.createDataFrame([(1, "A𝒳yz ÉSS"), (2, ""), (3, None), (4, "going concern"), (5, "a\n b")], "id int, text string")
+    entries = ["𝒳", "𝒳yz é", "a", "Going", "going concern now", "\n b", "", "ncer"]
+    lexicon = spark.createDataFrame([(s, 1, i) for i, s in enumerate(entries)], "signal string, tier int, ord int")
+    hits = scoring.lexicon_table_hits(texts, lexicon, ["id"])
+    assert sorted((r.id, r.ord) for r in hits.collect()) == [(1, 0), (1, 1), (1, 2), (4, 3), (4, 7), (5, 2), (5, 5)]
+    assert "split(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert scoring.lexicon_table_hits(texts, lexicon.limit(0), ["id"]).isEmpty()

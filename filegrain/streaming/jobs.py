@@ -42,9 +42,8 @@ class WithinTtl(StatefulProcessor):
         self._waiting = handle.getListState("waiting", "at bigint, ttl bigint")
         self._timer = handle.getValueState("timer", "at bigint")
 
-    def _wake(self, at: int | None) -> None:
-        """One timer for the key: at this microsecond the watermark is past it."""
-        known = self._timer.get()[0] if self._timer.exists() else None
+    def _wake(self, known: int | None, at: int | None) -> None:
+        """One timer for the key, ``known`` before: at this microsecond the watermark is past it."""
         wanted = None if at is None else at // 1000 + 1
         if known == wanted:
             return
@@ -56,22 +55,25 @@ class WithinTtl(StatefulProcessor):
             self._handle.registerTimer(wanted)
             self._timer.update((wanted,))
 
+    # each call to the state is a message to the JVM, each frame costs more than a judgement: none that can be spared
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         past = timerValues.getCurrentWatermarkInMs() * 1000
         arrived = [(int(at), int(ttl)) for frame in rows for at, ttl in zip(frame["at"], frame["ttl"])]
         kept = [x for x in arrived if x[0] >= past]
         if kept:
             self._waiting.appendList(kept)
-            first = min(kept)[0]
-            if not self._timer.exists() or first // 1000 + 1 < self._timer.get()[0]:
-                self._wake(first)
-        yield _judged(key, [], [at for at, _ in arrived if at < past])
+            first, timer = min(kept)[0], self._timer.get()
+            if timer is None or first // 1000 + 1 < timer[0]:
+                self._wake(timer and timer[0], first)
+        if len(kept) < len(arrived):
+            yield _judged(key, [], [at for at, _ in arrived if at < past])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         past = timerValues.getCurrentWatermarkInMs() * 1000
-        self._timer.clear()
-        waiting = sorted(self._waiting.get()) if self._waiting.exists() else []
-        expiry = self._held.get()[0] if self._held.exists() else None
+        waiting = sorted(self._waiting.get())
+        held = self._held.get()
+        expiry = held and held[0]
         passed = []
         for at, ttl in (x for x in waiting if x[0] < past):
             if expiry is None or at >= expiry:
@@ -79,16 +81,23 @@ class WithinTtl(StatefulProcessor):
                 passed.append(at)
         left = [x for x in waiting if x[0] >= past]
         if left:
-            self._waiting.put(left)
-        else:
+            if len(left) < len(waiting):
+                self._waiting.put(left)
+        elif waiting:
             self._waiting.clear()
         if expiry is not None and expiry >= past:
-            self._held.update((expiry,))
+            if held is None or held[0] != expiry:
+                self._held.update((expiry,))
         else:
             expiry = None
-            self._held.clear()
-        self._wake(left[0][0] if left else expiry)
-        yield _judged(key, passed, [])
+            if held is not None:
+                self._held.clear()
+        if left or expiry is not None:
+            self._wake(None, left[0][0] if left else expiry)
+        else:
+            self._timer.clear()
+        if passed:
+            yield _judged(key, passed, [])
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import harness
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
@@ -137,3 +138,50 @@ def test_tables_of_several_files_in_no_order(spark, con, sf_dir, tmp_path, name)
     for t in ("events", "documents"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(6).write.parquet(f"{tmp_path}/{t}.parquet")
     assert harness.compare(spark, con, lambda s, _: entry_point.queries()[name](s, str(tmp_path)), entry_point.oracle_sql()[name], sf_dir) is None
+
+
+def test_state_is_asked_no_more_than_needed(monkeypatch):
+    """Calls to the state of a key whose one request goes through: each is a message to the JVM."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def __getattr__(self, method):
+            def call(*a):
+                calls.append((self.name, method))
+                if method in ("update", "appendList", "put"):
+                    self.rows = (self.rows if method == "appendList" else []) + (list(a[0]) if method != "update" else [a[0]])
+                elif method == "clear":
+                    self.rows = []
+                elif method == "exists":
+                    return bool(self.rows)
+                elif method == "get":
+                    return iter(self.rows) if self.name == "waiting" else (self.rows[0] if self.rows else None)
+            return call
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State(name)
+
+        getListState = getValueState
+
+        def registerTimer(self, at):
+            calls.append(("timer", "register"))
+
+        deleteTimer = registerTimer
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    processor, times = jobs.WithinTtl(), Times()
+    processor.init(Handle())
+    assert list(processor.handleInputRows(("a",), iter([pd.DataFrame({"at": [5_000_000], "ttl": [1_000_000]})]), times)) == []
+    times.now = 9_000
+    (out,) = processor.handleExpiredTimer(("a",), times, None)
+    assert out["ts"].tolist() == [pd.Timestamp(5, unit="s")] and not out["late"].any()
+    assert len(calls) <= 9

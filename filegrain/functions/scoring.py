@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from . import fixed_values as fv
-from .text import around, fixed, int_array, let, positions, string_array, strip
+from .phrases import phrases_in
+from .text import around, fixed, int_array, let, string_array, strip
 
 
 HITS = (
@@ -55,7 +56,7 @@ class Lexicon:
             for table in (fv.SIGNAL_WEIGHT, self.base, self.in_change, self.fresh)
         )
         return F.transform(
-            positions(text, [p.lower() for p in phrases]),
+            phrases_in(text, [p.lower() for p in phrases]),
             lambda i: F.struct(
                 F.get(shown, i).alias("signal"), F.get(needles, i).alias("needle"), F.get(tier, i).alias("tier"),
                 F.get(weight, i).alias("weight"), i.alias("ord"), F.get(base, i).alias("base"),
@@ -73,7 +74,8 @@ RISK_LEXICON = Lexicon.of({1: fv.TIER1_SIGNALS, 2: fv.TIER2_SIGNALS, 3: fv.TIER3
 def find_hits(text: Column, lexicon: Lexicon = RISK_LEXICON) -> Column:
     """Lexicon entries contained in the text (substring, case ignored), in
     lexicon order. Empty for NULL or empty text."""
-    return F.coalesce(lexicon.found_in(text), F.array().cast(HITS))
+    # the text is named twice, so that the optimizer leaves what it is made by in a projection of its own
+    return F.when(F.length(text) > 0, lexicon.found_in(text)).otherwise(F.array().cast(HITS))
 
 
 def signals(hits: Column) -> Column:
@@ -162,7 +164,10 @@ def score_text(
     Added: hits, new_hits, removed_hits, hundredths, raw_score, materiality.
     """
     no_hits = F.array().cast(HITS)
-    out = df.withColumn("_found", find_hits(F.col(text), lexicon))
+    found = {"_found": find_hits(F.col(text), lexicon)}
+    if older:
+        found["_older"] = find_hits(F.col(older), lexicon)
+    out = df.withColumns(found)
     if changed:
         # only what the text holds is looked for in its changed part
         in_change = let(
@@ -176,7 +181,6 @@ def score_text(
         in_change = F.transform(F.col("_found"), lambda h: h.withField("in_change", F.lit(False)))
     out = out.withColumn("hits", in_change)
     if older:
-        out = out.withColumn("_older", find_hits(F.col(older), lexicon))
         comparable = (F.length(F.col(older)) > 0) & (F.length(F.col(text)) > 0)
         out = out.withColumn(
             "new_hits",

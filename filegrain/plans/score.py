@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.scoring import RISK_LEXICON, Lexicon, find_hits, materiality, of_tier, points, score_text, signals
 
+SECTIONS = (("risk_factors", "risk"), ("mda", "mda"))
+
 
 def score_sections(sections: DataFrame, text: str = "text", lexicon: Lexicon = RISK_LEXICON) -> DataFrame:
     """Sections with score, rating and capped hit lists per tier. The score uses
@@ -21,11 +23,11 @@ def score_sections(sections: DataFrame, text: str = "text", lexicon: Lexicon = R
 def filing_scores(filings: DataFrame, lexicon: Lexicon = RISK_LEXICON) -> DataFrame:
     """Filings with both sections' points and ratings and the set of all tier 1–2
     signals found. Only ``top_signals``, which is shown, is cut."""
-    out = filings
+    # both sections of a batch in one pass
+    out = filings.withColumns({f"_{short}": find_hits(F.col(f"{name}.text"), lexicon) for name, short in SECTIONS})
     listed: list[Column] = []
     top: list[Column] = []
-    for name, short in (("risk_factors", "risk"), ("mda", "mda")):
-        out = out.withColumn(f"_{short}", find_hits(F.col(f"{name}.text"), lexicon))
+    for name, short in SECTIONS:
         total = points(F.col(f"_{short}"), "base")
         out = (
             out.withColumn(f"{short}_raw_score", total / 100.0)

@@ -88,3 +88,35 @@ def test_runs_of_characters_are_numbers_and_no_arrays_of_strings(spark):
     assert sorted((r.id, r.ord) for r in hits.collect()) == [(1, 0), (1, 1), (1, 2), (4, 3), (4, 7), (5, 2), (5, 5)]
     assert "split(" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert scoring.lexicon_table_hits(texts, lexicon.limit(0), ["id"]).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_phrases_of_a_batch_are_those_that_plain_search_finds(seed, monkeypatch):
+    """Blocks of a few bytes, phrases of none to nine characters, nulls, slices of a batch."""
+    import random
+
+    import pyarrow as pa
+
+    from filegrain.functions import phrases
+
+    monkeypatch.setattr(phrases, "BLOCK", 7)
+    r = random.Random(seed)
+    word = lambda n: "".join(r.choice("ab é") for _ in range(r.randrange(n)))
+    for _ in range(50):
+        wanted, texts = [word(10) for _ in range(r.randrange(6))], [None if r.random() < 0.1 else word(40) for _ in range(r.randrange(7))]
+        cut = r.randrange(len(texts) + 1)
+        found = phrases.Phrases(wanted).found(pa.array(texts, pa.string()).slice(cut)).to_pylist()
+        assert found == [[i for i, p in enumerate(wanted) if t is not None and p in t] for t in texts[cut:]]
+
+
+def test_a_text_is_read_once_for_all_phrases(spark):
+    """No search for each phrase in the plan, and the text of a section is made once, not in the search's argument."""
+    from filegrain.functions.scoring import find_hits
+
+    df = spark.createDataFrame([("Going CONCERN, material weakness",), (None,), ("",)], ["t"]).repartition(2)
+    hits = df.select("t", find_hits(T.let(F.col("t"), lambda t: F.concat(t, F.lit("; Default")))).alias("h"))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" not in plan.lower() and plan.count("ArrowEvalPython") == 1
+    assert {r["t"]: [h["signal"] for h in r["h"]] for r in hits.collect()} == {
+        "Going CONCERN, material weakness": ["going concern", "material weakness", "default"], None: [], "": ["default"],
+    }

@@ -318,3 +318,22 @@ def test_common_beginnings_of_patterns_are_looked_for_once():
             text = " x ".join(f"{i}{gap}{n}{tail}" for i in ("Item", "item") for gap in (" ", "\n  ", "") for n in ("1A", "1b", "2", "3.d", "3 . D", "3", "4", "5", "6", "7", "7a", "8")
                               for tail in ("", ". Risk  Factors", " - management", ". Discussion", " MD&A", ". Operating and financial", " quantitative", "x"))
             assert [m.span() for m in re.finditer(joined, text)] == [m.span() for m in plain.finditer(text)] != []
+
+
+def test_paragraphs_without_markup_are_taken_in_one_go(monkeypatch):
+    """No call for their tags; what is found is what the library finds by reading every tag."""
+    import random
+
+    from filegrain.operators import nodes
+
+    bits = ["<p>one</p>", "<p> </p>\n", "<p>a &amp; b</p>", "<p>", "</p>", "<div id='x'>", "<div>", "</div>", "<b>", "</b>", "<h2>", "</h2>", "Item 7", "<td>",
+            "<script>", "</script>", "<br>", "&#65;", "<", "<a name='q'>", "</a>", "<li>", "<title>", "</title>", "<!--", "-->", "<p>é ½</p>"]
+    pages = ["".join(random.Random(seed).choices(bits, k=20)) for seed in range(2000)]
+    fast = [_outline_of(p) for p in pages]
+    with monkeypatch.context() as plain:
+        plain.setattr(nodes, "_BARE_TAG", re.compile("(?!)"))
+        assert [_outline_of(p) for p in pages] == fast
+    calls = []
+    read = nodes._Outline.handle_starttag
+    monkeypatch.setattr(nodes._Outline, "handle_starttag", lambda self, tag, attrs: calls.append(tag) or read(self, tag, attrs))
+    assert len(_outline_of("<h2>Item 1</h2>\n" + "<p>A sentence.</p>\n" * 1000)["text"]) > 9000 and calls == ["h2"]

@@ -80,9 +80,10 @@ def linked(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
     read = messages.select(F.col(conversation).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     parsed = _passages(read)
     own_text = F.trim(F.regexp_replace(F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["text"]), LINE), LINE, "\n"))
-    said = parsed.select("conv", "turn", F.explode("passages").alias("p")).where("conv is not null and turn is not null").select(
-        "conv", "turn", F.col("p.level").alias("level"), F.explode(F.transform(_sentences(F.col("p.text")), lambda s: F.xxhash64(s))).alias("sentence")
-    )
+    spoken = F.flatten(F.transform("passages", lambda p: F.transform(_sentences(p["text"]), lambda s: F.struct(p["level"].alias("level"), F.xxhash64(s).alias("sentence")))))
+    # outer rows: of a plain generator the optimizer makes a filter that takes every message apart once more, its lines once for each line
+    rows_said = parsed.where("conv is not null and turn is not null").select("conv", "turn", F.explode_outer(spoken).alias("s"))
+    said = written(rows_said.where("s is not null").select("conv", "turn", "s.level", "s.sentence"), "quotes-said")
     originals = said.where("level = 0").groupBy("conv", "sentence").agg(F.min("turn").alias("original"))
     quoted = said.where("level > 0").groupBy("conv", "turn", "sentence").agg(F.min("level").alias("level"))
     found = quoted.join(originals, ["conv", "sentence"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))

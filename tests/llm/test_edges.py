@@ -156,3 +156,23 @@ def test_pipeline_stages(spark, docs, labels, items, nothing, tmp_path):
             assert json.loads(after.schema.json())["fields"][0]["type"] == "long"
             table = spark.createDataFrame(after.collect(), after.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).count() == table.count()
+
+
+def test_messages_are_taken_apart_once(spark):
+    """Rows of sentences are made by an outer generator: no filter below it takes the messages apart once more."""
+    from filegrain.llm import quotes as q
+
+    kept = []
+    real = q.written
+    q.written = lambda df, name: kept.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name)
+    try:
+        rows = [(1, 1, "a", "One is said. Two is said."), (1, 2, "b", "> One is said.\n> Two is said.\n>> Zero.\nAgreed."), (None, 1, "a", "> x"), (1, None, "a", "y")]
+        got = q.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2)).collect()
+    finally:
+        q.written = real
+    said = [plan for name, plan in kept if name == "quotes-said"]
+    assert len(said) == 1 and said[0].count("Generate") == 1
+    assert not any("size(" in line for line in said[0].split("\n") if "Filter" in line)
+    assert {(r["conv_id"], r["turn"]): (r["n_quoted"], r["n_linked"], r["max_level"], r["parent_turn"]) for r in got if r["conv_id"] and r["turn"]} == {
+        (1, 1): (0, 0, 0, None), (1, 2): (3, 2, 2, 1),
+    }

@@ -53,13 +53,18 @@ def _either(patterns: Sequence[str]) -> str:
     return f"(?i){parts[0]}" if len(parts) == 1 else "(?i)(?:" + "|".join(parts) + ")"
 
 
-def plausible(text: Column, keywords: Sequence[str]) -> Column:
-    """Long enough and using at least two of the section's words."""
+def plausible(text: Column, keywords: Sequence[str], chars: Column | None = None) -> Column:
+    """Long enough and using at least two of the section's words: none is looked for once two are found.
+    ``chars``: the text's length, where it is known."""
+    words, later = string_array(keywords), len(keywords)
     used = let(
         F.lower(text),
-        lambda t: F.size(F.filter(string_array(keywords), lambda k: F.contains(t, k))),
+        lambda t: F.exists(
+            F.transform(words, lambda k, i: F.struct(k.alias("k"), i.alias("i"))),
+            lambda x: F.contains(t, x["k"]) & F.exists(F.slice(words, x["i"] + 2, F.lit(later)), lambda k: F.contains(t, k)),
+        ),
     )
-    return (F.length(text) >= fv.PLAUSIBLE_CHARS) & (used >= fv.PLAUSIBLE_KEYWORDS)
+    return ((F.length(text) if chars is None else chars) >= fv.PLAUSIBLE_CHARS) & used
 
 
 def toc_entry(plain: Column, mark: Column) -> Column:
@@ -79,11 +84,11 @@ def standalone_heading(mark: Column) -> Column:
     return tag.isin("h1", "h2", "h3", "h4") | bold_block | F.coalesce(whole_paragraph, F.lit(False))
 
 
-def pointer(text: Column, rule: tuple[int, Sequence[str]]) -> Column:
-    """A short text that only refers to another filing."""
+def pointer(text: Column, rule: tuple[int, Sequence[str]], chars: Column | None = None) -> Column:
+    """A short text that only refers to another filing. ``chars``: its length, where it is known."""
     limit, phrases = rule
     return F.coalesce(
-        (F.length(text) < limit)
+        ((F.length(text) if chars is None else chars) < limit)
         & let(F.lower(text), lambda t: F.exists(string_array(phrases), lambda p: F.contains(t, p))),
         F.lit(False),
     )
@@ -123,33 +128,37 @@ def _annotate(plain: Column, marks: Column, form: Column, section: int) -> Colum
     return let(match_spans(plain, starts), lambda spans: F.transform(marks, lambda m: one(m, spans)))
 
 
-def _bodies(text: Column, marks: Column, starts: Column) -> Column:
-    """Text from each start to the next ending heading (or the end)."""
+def _bodies(size: Column, marks: Column, starts: Column) -> Column:
+    """Where the text from each start to the next ending heading (or the end) begins and how long it is. Marks stand
+    where a run of text begins, and runs have no white space around them: what lies before a mark ends with one break."""
     return let(
         F.transform(F.filter(marks, lambda m: m["ends"]), lambda m: m["at"]),
         lambda stops: F.transform(
             starts,
             lambda s: let(
                 F.array_min(F.filter(stops, lambda e: e >= s["body_at"])),
-                lambda stop: strip(F.substring(
-                    text,
-                    s["body_at"] + 1,
-                    F.coalesce(stop, F.length(text)) - s["body_at"],
-                )),
+                lambda stop: F.struct(
+                    s["body_at"].alias("at"), F.greatest(F.coalesce(stop - 1, size) - s["body_at"], F.lit(0)).alias("chars"),
+                ),
             ),
         ),
     )
 
 
+def _cut(text: Column, place: Column) -> Column:
+    """The text of a place as struct of ``text`` and ``chars``: only a chosen one is copied."""
+    return let(place, lambda b: F.when(b.isNotNull(), F.struct(F.substring(text, b["at"] + 1, b["chars"]).alias("text"), b["chars"].alias("chars"))))
+
+
 def _first_long(bodies: Column) -> Column:
-    return F.get(F.filter(bodies, lambda b: F.length(b) >= fv.MIN_SECTION_CHARS), F.lit(0))
+    return F.get(F.filter(bodies, lambda b: b["chars"] >= fv.MIN_SECTION_CHARS), F.lit(0))
 
 
 def _first_long_or_longest(bodies: Column) -> Column:
     def pick(b: Column) -> Column:
         longest = F.array_max(F.transform(
-            F.filter(b, lambda x: F.length(x) > 0),
-            lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("x")),
+            F.filter(b, lambda x: x["chars"] > 0),
+            lambda x, i: F.struct(x["chars"].alias("n"), (-i).alias("i"), x.alias("x")),
         ))["x"]
         return F.coalesce(_first_long(b), longest)
 
@@ -186,15 +195,17 @@ def pattern_section(
     def find(v: Column) -> Column:
         def body(s: Column) -> Column:
             stop = F.array_min(F.filter(v["e"], lambda e: e >= s["past"]))
-            open_stop = F.length(v["t"]) if open_end_chars is None else s["first"] + open_end_chars
-            return strip(F.substring(v["t"], s["first"] + 1, F.coalesce(stop, open_stop) - s["first"]))
+            open_stop = v["n"] if open_end_chars is None else s["first"] + open_end_chars
+            return F.struct(s["first"].alias("at"), (F.coalesce(stop, open_stop) - s["first"]).alias("chars"))
 
-        long_enough = F.filter(F.transform(v["s"], body), lambda b: F.length(b) >= min_chars)
-        return F.get(long_enough, F.lit(0))
+        # what is too short with the white space around it is not copied
+        long = F.filter(F.transform(v["s"], body), lambda b: b["chars"] >= min_chars)
+        stripped = F.transform(long, lambda b: strip(F.substring(v["t"], b["at"] + 1, b["chars"])))
+        return F.get(F.filter(stripped, lambda b: F.length(b) >= min_chars), F.lit(0))
 
     return let(
         F.struct(
-            text.alias("t"),
+            text.alias("t"), F.length(text).alias("n"),
             match_spans(text, starts).alias("s"),
             F.transform(match_spans(text, ends), lambda m: m["first"]).alias("e"),
         ),
@@ -202,29 +213,30 @@ def pattern_section(
     )
 
 
-def _section(section: int, form: Column, text: Column, plain: Column, marks: Column) -> Column:
-    """The best body of one section with the method that found it."""
-    keywords = lambda body: _by_form(form, section, _KEYWORDS, lambda words: plausible(body, words))
+def _section(section: int, form: Column, text: Column, size: Column, plain: Column, marks: Column) -> Column:
+    """The best body of one section with its length and the method that found it."""
+    keywords = lambda b: _by_form(form, section, _KEYWORDS, lambda words: plausible(b["text"], words, b["chars"]))
 
     def located(m: Column) -> Column:
+        placed = lambda starts, choose=_first_long: _cut(text, choose(_bodies(size, m, starts)))
         bodies = {
-            "anchor_href": _first_long(_bodies(text, m, F.filter(m, lambda x: x["anchors"]))),
-            "heading_tag": _first_long(_bodies(text, m, _by_tag_order(m))),
-            "ixbrl_div": _first_long_or_longest(_bodies(text, m, F.filter(
+            "anchor_href": placed(F.filter(m, lambda x: x["anchors"])),
+            "heading_tag": placed(_by_tag_order(m)),
+            "ixbrl_div": placed(F.filter(
                 m,
                 lambda x: x["tag"].isin("div", "span", "p", "td") & x["bold"] & x["starts"] & ~x["toc"],
-            ))),
-            "toc_link": _first_long(_bodies(text, m, _toc_target(m))),
-            "pattern_match": pattern_section(
+            ), _first_long_or_longest),
+            "toc_link": placed(_toc_target(m)),
+            "pattern_match": let(pattern_section(
                 text,
                 _by_form(form, section, _STARTS, lambda p: F.lit(_either(p))),
                 _by_form(form, section, _ENDS, lambda p: F.lit(_either(p))),
                 _by_form(form, section, _LEAST),
-            ),
+            ), lambda b: F.struct(b.alias("text"), F.length(b).alias("chars"))),
         }
         return F.coalesce(
             *[_attempt(bodies[method], method, keywords) for method in _METHODS],
-            F.struct(text.alias("text"), F.lit("raw_fallback").alias("method")),
+            F.struct(text.alias("text"), size.alias("chars"), F.lit("raw_fallback").alias("method")),
         )
 
     return let(_annotate(plain, marks, form, section), located)
@@ -233,20 +245,20 @@ def _section(section: int, form: Column, text: Column, plain: Column, marks: Col
 def _attempt(body: Column, method: str, keywords) -> Column:
     return let(
         body,
-        lambda b: F.when(keywords(b), F.struct(b.alias("text"), F.lit(method).alias("method"))),
+        lambda b: F.when(keywords(b), F.struct(b["text"].alias("text"), b["chars"].alias("chars"), F.lit(method).alias("method"))),
     )
 
 
 def _result(i: int, form: Column, url: Column | None) -> Column:
     """What is known about one section of a filing, as a struct."""
     name = _spec("10-K", i)[0]
-    text, method = F.col(f"_s{i}.text"), F.col(f"_s{i}.method")
+    text, chars, method = F.col(f"_s{i}.text"), F.col(f"_s{i}.chars"), F.col(f"_s{i}.method")
     label = _by_form(form, i, _LABEL)
     display = _by_form(form, i, _DISPLAY)
     found = method != "raw_fallback"
     points_away = F.lit(False)
     if name == "risk_factors":
-        points_away = found & (form == "10-Q") & pointer(text, fv.EXTRACTION_POINTER)
+        points_away = found & (form == "10-Q") & pointer(text, fv.EXTRACTION_POINTER, chars)
     confidence = F.lit(None).cast("double")
     for strategy, value in fv.METHOD_CONFIDENCE.items():
         confidence = F.when(method == strategy, F.lit(value)).otherwise(confidence)
@@ -271,7 +283,7 @@ def _result(i: int, form: Column, url: Column | None) -> Column:
         method.alias("method"),
         (found & ~points_away).alias("extraction_success"),
         F.when(points_away, F.lit(0.0)).otherwise(confidence).alias("confidence_score"),
-        F.length(text).alias("char_count"),
+        chars.alias("char_count"),
         reason.alias("failure_reason"),
         gap.alias("coverage_gap_note"),
         reference.alias("source_reference"),
@@ -289,11 +301,12 @@ def extract(filings: DataFrame) -> DataFrame:
     return (
         filings.withColumn("_outline", outline(F.col("html")))
         .withColumn("_text", F.coalesce(F.col("_outline.text"), F.lit("")))
+        .withColumn("_size", F.coalesce(F.col("_outline.size"), F.lit(0)))
         .select(
             *keep,
             F.col("_outline").isNotNull().alias("readable"),
-            F.length("_text").alias("full_doc_char_count"),
-            *[_section(i, form, F.col("_text"), F.coalesce(F.col("_outline.plain"), F.lit("")), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
+            F.col("_size").alias("full_doc_char_count"),
+            *[_section(i, form, F.col("_text"), F.col("_size"), F.coalesce(F.col("_outline.plain"), F.lit("")), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
         )
         .select(
             *keep, "readable", "full_doc_char_count",

@@ -337,3 +337,36 @@ def test_paragraphs_without_markup_are_taken_in_one_go(monkeypatch):
     read = nodes._Outline.handle_starttag
     monkeypatch.setattr(nodes._Outline, "handle_starttag", lambda self, tag, attrs: calls.append(tag) or read(self, tag, attrs))
     assert len(_outline_of("<h2>Item 1</h2>\n" + "<p>A sentence.</p>\n" * 1000)["text"]) > 9000 and calls == ["h2"]
+
+
+def test_only_words_of_possible_headings_are_kept_plain():
+    """A mark has the words that it has in the whole plain text; the words of other runs do not come back."""
+    import random
+
+    bits = ["<p>one</p>", "<p>a &amp; b</p>", "<div id='x'>", "<div style='font-weight:bold'>", "</div>", "<b>", "</b>", "<h2>", "</h2>", "Item 7", "<h3/>", "<td>",
+            "<a href='#q'>", "<a name='q'>", "</a>", "ﬃ ½", "¨", "<li>", "<br>", "<strong>", "</strong>", "Item 1A. Risk"]
+    for seed in range(3000):
+        page = "".join(random.Random(seed).choices(bits, k=25))
+        whole, some = _outline_of(page), _outline_of(page, whole=False)
+        told = lambda out: [{k: v for k, v in m.items() if k not in ("plain_at", "plain_past")} | {"words": m["plain_at"] is not None and words(out, m)} for m in out["marks"]]
+        assert told(some) == told(whole) and some["text"] == whole["text"] and some["size"] == len(some["text"])
+        assert all(w in " ".join(words(whole, m) for m in whole["marks"] if m["plain_at"] is not None) for w in some["plain"].split())
+    assert _outline_of("<h2>Item 1</h2>" + "<p>A sentence.</p>" * 1000, whole=False)["plain"] == "item 1"
+
+
+def test_bodies_are_places_until_one_is_chosen(spark):
+    """No text is cut for the sections that are not taken; lengths are differences of places."""
+    html = f"<h2>Item 1A. Risk Factors</h2><p>{RISK}</p><h2>Item 1B. None</h2><h3>Item 1A. Risk Factors</h3><p> {RISK * 8}</p>\n<h2>Item 2. Properties</h2><p>é</p>"
+    df = spark.createDataFrame([(html,)], "html string").select(outline(F.col("html")).alias("o"))
+    marks = F.transform("o.marks", lambda m: F.struct(m["body_at"], m["at"], (m["tag"] == "h2").alias("ends")))
+    row = df.select(S._bodies(F.col("o.size"), marks, marks).alias("b"), "o.text").first()
+    cut = [row["text"][b["at"] : b["at"] + b["chars"]] for b in row["b"]]
+    assert cut == [RISK.strip(), "Item 1A. Risk Factors\n" + (RISK * 8).strip(), (RISK * 8).strip(), "é"]
+    assert row["b"][2]["chars"] == len((RISK * 8).strip())
+
+
+@pytest.mark.parametrize("text,good", [("risk " * 50, False), ("risk " * 50 + "could", True), ("could risk", False), (None, None)])
+def test_plausible_needs_two_words_and_length(spark, text, good):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(S.plausible(F.col("t"), ("risk", "zebra", "could"))).first()[0] == good
+    assert df.select(S.plausible(F.col("t"), ("zebra", "could", "risk"), F.length("t"))).first()[0] == good

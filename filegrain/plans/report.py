@@ -13,7 +13,7 @@ from ..operators.categories import highlight_sentences, quick_categories
 from ..operators.facts import fact_highlights, financial_context
 from ..operators.recency import SERIES
 from ..operators.sections import pointer
-from .compare import compare_texts, paired, usable_reason
+from .compare import by_section, compare_texts, paired, usable_reason
 
 REPORT_FORMS = ("10-Q", "10-K")
 CLOSING = ("A summary worked out from the texts of both filings.", "It recommends nothing; what the filings say is what counts.")
@@ -38,24 +38,20 @@ def executive_reports(
         )),
     ))
 
-    def texts(s: str) -> Column:
-        new = F.when(ok("newer", s) & F.col("_reason").isNull(), F.col(f"newer.{s}.text"))
-        old = F.when(ok("older", s) & F.col("_reason").isNull(), F.col(f"older.{s}.text"))
+    def texts(s: str) -> dict[str, Column]:
+        new = F.when(ok("newer", s) & F.col("_reason").isNull(), F.col(f"newer_{s}"))
+        old = F.when(ok("older", s) & F.col("_reason").isNull(), F.col(f"older_{s}"))
         if s == "risk_factors":
-            old = F.when(~pointer(F.col(f"newer.{s}.text"), fv.REPORT_POINTER), old)
-        return F.struct(
-            F.lit(s).alias("section_name"), new.alias("newer_text"), old.alias("older_text"),
-            new.alias("delta_newer"), old.alias("delta_older"),
-        )
+            old = F.when(~pointer(F.col(f"newer_{s}"), fv.REPORT_POINTER), old)
+        return {"newer_text": new, "older_text": old, "delta_newer": new, "delta_older": old}
 
-    rows = pairs.select(
+    rows = by_section(pairs, [
         *SERIES, "cik", "_reason",
         F.col("newer.filing_date").alias("newer_date"), F.col("older.filing_date").alias("older_date"),
         F.col("newer.accession_number").alias("newer_accession"),
         F.col("newer.risk_factors.method").alias("risk_method"),
         F.col("newer.risk_factors.char_count").alias("risk_chars"), F.col("newer.mda.char_count").alias("mda_chars"),
-        F.inline(F.array(texts("risk_factors"), texts("mda"))),
-    )
+    ], texts)
     scored = compare_texts(rows, keys=list(SERIES), lexicon=lexicon)
     t12 = F.concat(of_tier(F.col("hits"), 1), of_tier(F.col("hits"), 2))
     risk_row = F.col("section_name") == "risk_factors"

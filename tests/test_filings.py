@@ -370,3 +370,34 @@ def test_plausible_needs_two_words_and_length(spark, text, good):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(S.plausible(F.col("t"), ("risk", "zebra", "could"))).first()[0] == good
     assert df.select(S.plausible(F.col("t"), ("zebra", "could", "risk"), F.length("t"))).first()[0] == good
+
+
+@pytest.mark.parametrize("name", ["extraction_gate", "compare_gate", "compare_extraction"])
+def test_texts_nobody_asks_for_stay_behind(spark, sf_dir, name):
+    """What a gate says needs lengths and methods; the sections' texts are in no exchange."""
+    import __spark_entry__ as entry_point
+
+    plan = entry_point.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    paired = [line for line in plan.splitlines() if "Aggregate [" in line and "collect_list" in line]
+    assert len(paired) == 1 and paired[0].count("collect_list") == 1 and ".text" not in paired[0]
+
+
+def test_bodies_are_made_in_their_buckets(spark, tmp_path):
+    """Only what bodies are made of moves; they are written unsorted, one file a bucket, and so that repeats cost little."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    said = "a sentence of a filing that stands in it again and again, "
+    rows = spark.range(300).select(F.col("id").cast("string").alias("accession_number"))
+    grown = lambda df: df.select("accession_number", F.repeat(F.concat(F.lit(said), "accession_number"), 200).alias("html"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    try:
+        out = landed.land_bodies(rows, "grown_bodies", 4, f"{tmp_path}/bodies", finish=grown)
+        files = glob.glob(f"{tmp_path}/bodies/*.parquet")
+        meta = [pq.ParquetFile(f).metadata for f in files]
+        assert len(files) == 4 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+        assert {m.row_group(0).column(1).compression for m in meta} == {"ZSTD"}
+        assert out.where(F.length("html") == 200 * (len(said) + F.length("accession_number"))).count() == 300
+    finally:
+        spark.sql("DROP TABLE grown_bodies")

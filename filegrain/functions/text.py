@@ -31,6 +31,13 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
+def strip_if_needed(text: Column) -> Column:
+    """``strip`` of a long text: it is gone through only if there is white space at one of its ends."""
+    spaces = F.array(*map(F.lit, WS_CHARS))
+    edge = lambda t: F.exists(spaces, lambda c: F.startswith(t, c) | F.endswith(t, c))
+    return let(text, lambda t: F.when(edge(t), strip(t)).otherwise(t))
+
+
 def squeeze(text: Column) -> Column:
     """White-space runs to one blank, ends trimmed."""
     return strip(F.regexp_replace(text, f"{WS}+", " "))
@@ -64,9 +71,7 @@ def sentences(
 
     # the cut takes all white space between two pieces, so only the ends of the whole text have some left
     cut = rf"(?<=[.!?]){WS}+(?=[{openers}])"
-    edge = lambda t: F.contains(F.lit(WS_CHARS), F.substring(t, 1, 1)) | F.contains(F.lit(WS_CHARS), F.right(t, F.lit(1)))
-    whole = let(text, lambda t: F.when(edge(t), strip(t)).otherwise(t))
-    kept = F.filter(let(whole, pieces), lambda s: at_least(s, min_chars))
+    kept = F.filter(let(strip_if_needed(text), pieces), lambda s: at_least(s, min_chars))
     return F.slice(kept, 1, max_sentences) if max_sentences else kept
 
 

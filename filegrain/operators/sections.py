@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import let, match_spans, string_array, strip
+from ..functions.text import let, match_spans, string_array, strip_if_needed
 from .nodes import heading, outline
 
 _METHODS = ("anchor_href", "heading_tag", "ixbrl_div", "toc_link", "pattern_match")
@@ -118,7 +118,7 @@ def _annotate(plain: Column, marks: Column, form: Column, section: int) -> Colum
         )
         return F.struct(
             m["tag"].alias("tag"), m["bold"].alias("bold"), m["ids"].alias("ids"), m["href"].alias("href"),
-            m["at"].alias("at"), m["body_at"].alias("body_at"), toc_entry(plain, m).alias("toc"),
+            *[m[c].alias(c) for c in ("at", "body_at", "byte", "body_byte")], toc_entry(plain, m).alias("toc"),
             _by_form(form, section, _STARTS, lambda p: _holds(plain, m, spans, _either(p))).alias("starts"),
             _by_form(form, section, _LABEL, lambda label: compact_ids.rlike(_anchor_pattern(label))).alias("anchors"),
             (standalone_heading(m) & _by_form(form, section, _NEXT, next_items)).alias("ends"),
@@ -128,26 +128,31 @@ def _annotate(plain: Column, marks: Column, form: Column, section: int) -> Colum
     return let(match_spans(plain, starts), lambda spans: F.transform(marks, lambda m: one(m, spans)))
 
 
-def _bodies(size: Column, marks: Column, starts: Column) -> Column:
-    """Where the text from each start to the next ending heading (or the end) begins and how long it is. Marks stand
-    where a run of text begins, and runs have no white space around them: what lies before a mark ends with one break."""
+def _bodies(size: Column, count: Column, marks: Column, starts: Column) -> Column:
+    """Where the text from each start to the next ending heading (or the end) begins and how long it is, in characters and
+    in bytes; ``size`` and ``count`` are the whole text's. Marks stand where a run of text begins, and runs have no white
+    space around them: what lies before a mark ends with one break."""
+
+    def body(s: Column, stop: Column) -> Column:
+        length = lambda place, start, whole: F.greatest(F.coalesce(stop[place] - 1, whole) - s[start], F.lit(0))
+        return F.struct(
+            s["body_at"].alias("at"), length("at", "body_at", size).alias("chars"),
+            s["body_byte"].alias("byte"), length("byte", "body_byte", count).alias("bytes"),
+        )
+
     return let(
-        F.transform(F.filter(marks, lambda m: m["ends"]), lambda m: m["at"]),
+        F.transform(F.filter(marks, lambda m: m["ends"]), lambda m: F.struct(m["at"], m["byte"])),
         lambda stops: F.transform(
-            starts,
-            lambda s: let(
-                F.array_min(F.filter(stops, lambda e: e >= s["body_at"])),
-                lambda stop: F.struct(
-                    s["body_at"].alias("at"), F.greatest(F.coalesce(stop - 1, size) - s["body_at"], F.lit(0)).alias("chars"),
-                ),
-            ),
+            starts, lambda s: let(F.array_min(F.filter(stops, lambda e: e["at"] >= s["body_at"])), lambda stop: body(s, stop)),
         ),
     )
 
 
 def _cut(text: Column, place: Column) -> Column:
-    """The text of a place as struct of ``text`` and ``chars``: only a chosen one is copied."""
-    return let(place, lambda b: F.when(b.isNotNull(), F.struct(F.substring(text, b["at"] + 1, b["chars"]).alias("text"), b["chars"].alias("chars"))))
+    """The text of a place as struct of ``text`` and ``chars``: only a chosen one is copied, by its bytes, so that no
+    characters are counted."""
+    cut = lambda b: F.substring(text.cast("binary"), b["byte"] + 1, b["bytes"]).cast("string")
+    return let(place, lambda b: F.when(b.isNotNull(), F.struct(cut(b).alias("text"), b["chars"].alias("chars"))))
 
 
 def _first_long(bodies: Column) -> Column:
@@ -187,10 +192,11 @@ def _toc_target(marks: Column) -> Column:
 
 def pattern_section(
     text: Column, starts: str | Column, ends: str | Column, min_chars: int | Column, open_end_chars: int | None = None,
+    size: Column | None = None,
 ) -> Column:
     """Plain-text strategy: the first start whose span to the next end match is
     long enough. Without an end match the span runs to the end of the text, or
-    ``open_end_chars`` characters. Patterns may differ by row."""
+    ``open_end_chars`` characters. Patterns may differ by row. ``size``: the text's length, where it is known."""
 
     def find(v: Column) -> Column:
         def body(s: Column) -> Column:
@@ -200,12 +206,12 @@ def pattern_section(
 
         # what is too short with the white space around it is not copied
         long = F.filter(F.transform(v["s"], body), lambda b: b["chars"] >= min_chars)
-        stripped = F.transform(long, lambda b: strip(F.substring(v["t"], b["at"] + 1, b["chars"])))
+        stripped = F.transform(long, lambda b: strip_if_needed(F.substring(v["t"], b["at"] + 1, b["chars"])))
         return F.get(F.filter(stripped, lambda b: F.length(b) >= min_chars), F.lit(0))
 
     return let(
         F.struct(
-            text.alias("t"), F.length(text).alias("n"),
+            text.alias("t"), (F.length(text) if size is None else size).alias("n"),
             match_spans(text, starts).alias("s"),
             F.transform(match_spans(text, ends), lambda m: m["first"]).alias("e"),
         ),
@@ -213,12 +219,12 @@ def pattern_section(
     )
 
 
-def _section(section: int, form: Column, text: Column, size: Column, plain: Column, marks: Column) -> Column:
+def _section(section: int, form: Column, text: Column, size: Column, count: Column, plain: Column, marks: Column) -> Column:
     """The best body of one section with its length and the method that found it."""
     keywords = lambda b: _by_form(form, section, _KEYWORDS, lambda words: plausible(b["text"], words, b["chars"]))
 
     def located(m: Column) -> Column:
-        placed = lambda starts, choose=_first_long: _cut(text, choose(_bodies(size, m, starts)))
+        placed = lambda starts, choose=_first_long: _cut(text, choose(_bodies(size, count, m, starts)))
         bodies = {
             "anchor_href": placed(F.filter(m, lambda x: x["anchors"])),
             "heading_tag": placed(_by_tag_order(m)),
@@ -231,7 +237,7 @@ def _section(section: int, form: Column, text: Column, size: Column, plain: Colu
                 text,
                 _by_form(form, section, _STARTS, lambda p: F.lit(_either(p))),
                 _by_form(form, section, _ENDS, lambda p: F.lit(_either(p))),
-                _by_form(form, section, _LEAST),
+                _by_form(form, section, _LEAST), size=size,
             ), lambda b: F.struct(b.alias("text"), F.length(b).alias("chars"))),
         }
         return F.coalesce(
@@ -302,11 +308,12 @@ def extract(filings: DataFrame) -> DataFrame:
         filings.withColumn("_outline", outline(F.col("html")))
         .withColumn("_text", F.coalesce(F.col("_outline.text"), F.lit("")))
         .withColumn("_size", F.coalesce(F.col("_outline.size"), F.lit(0)))
+        .withColumn("_count", F.coalesce(F.col("_outline.bytes"), F.lit(0)))
         .select(
             *keep,
             F.col("_outline").isNotNull().alias("readable"),
             F.col("_size").alias("full_doc_char_count"),
-            *[_section(i, form, F.col("_text"), F.col("_size"), F.coalesce(F.col("_outline.plain"), F.lit("")), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
+            *[_section(i, form, F.col("_text"), F.col("_size"), F.col("_count"), F.coalesce(F.col("_outline.plain"), F.lit("")), F.col("_outline.marks")).alias(f"_s{i}") for i in (0, 1)],
         )
         .select(
             *keep, "readable", "full_doc_char_count",

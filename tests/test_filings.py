@@ -350,18 +350,22 @@ def test_only_words_of_possible_headings_are_kept_plain():
         whole, some = _outline_of(page), _outline_of(page, whole=False)
         told = lambda out: [{k: v for k, v in m.items() if k not in ("plain_at", "plain_past")} | {"words": m["plain_at"] is not None and words(out, m)} for m in out["marks"]]
         assert told(some) == told(whole) and some["text"] == whole["text"] and some["size"] == len(some["text"])
+        count = lambda n: len((some["text"] + "\n")[:n].encode())
+        assert some["bytes"] == len(some["text"].encode())
+        assert all(m["byte"] == count(m["at"]) and m["body_byte"] == count(m["body_at"]) for m in some["marks"])
         assert all(w in " ".join(words(whole, m) for m in whole["marks"] if m["plain_at"] is not None) for w in some["plain"].split())
     assert _outline_of("<h2>Item 1</h2>" + "<p>A sentence.</p>" * 1000, whole=False)["plain"] == "item 1"
 
 
 def test_bodies_are_places_until_one_is_chosen(spark):
     """No text is cut for the sections that are not taken; lengths are differences of places."""
-    html = f"<h2>Item 1A. Risk Factors</h2><p>{RISK}</p><h2>Item 1B. None</h2><h3>Item 1A. Risk Factors</h3><p> {RISK * 8}</p>\n<h2>Item 2. Properties</h2><p>é</p>"
+    html = f"<p>é½ ü</p><h2>Item 1A. Risk Factors</h2><p>{RISK}</p><h2>Item 1B. None</h2><h3>Item 1A. Risk Factors</h3><p> {RISK * 8}</p>\n<h2>Item 2. Properties</h2><p>é</p>"
     df = spark.createDataFrame([(html,)], "html string").select(outline(F.col("html")).alias("o"))
-    marks = F.transform("o.marks", lambda m: F.struct(m["body_at"], m["at"], (m["tag"] == "h2").alias("ends")))
-    row = df.select(S._bodies(F.col("o.size"), marks, marks).alias("b"), "o.text").first()
+    marks = F.transform("o.marks", lambda m: F.struct(m["body_at"], m["at"], m["body_byte"], m["byte"], (m["tag"] == "h2").alias("ends")))
+    places = S._bodies(F.col("o.size"), F.col("o.bytes"), marks, marks)
+    row = df.select(places.alias("b"), "o.text", F.transform(places, lambda b: S._cut(F.col("o.text"), b)["text"]).alias("cut")).first()
     cut = [row["text"][b["at"] : b["at"] + b["chars"]] for b in row["b"]]
-    assert cut == [RISK.strip(), "Item 1A. Risk Factors\n" + (RISK * 8).strip(), (RISK * 8).strip(), "é"]
+    assert cut == [RISK.strip(), "Item 1A. Risk Factors\n" + (RISK * 8).strip(), (RISK * 8).strip(), "é"] == row["cut"]
     assert row["b"][2]["chars"] == len((RISK * 8).strip())
 
 

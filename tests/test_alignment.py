@@ -153,3 +153,34 @@ def test_repeated_sentences_keep_the_rules(spark, seed):
     old, new = rng.choices(kinds, k=30), rng.choices([*kinds, *(k + " more" for k in kinds)], k=30)
     df = spark.createDataFrame([(old, new)], "o array<string>, n array<string>").withColumn("s", al.align(F.col("o"), F.col("n")))
     check(old, new, df.select(al.change_rows(F.col("s"), F.col("o"), F.col("n")).alias("c")).first()["c"])
+
+
+def test_shorter_ways_find_the_same(monkeypatch):
+    """Sequences whose common items keep their order, and few sentences, are settled without ranks and lists of words."""
+    import random
+
+    from filegrain.operators import alignment, blocks
+
+    rng = random.Random(3)
+    cases = []
+    for _ in range(1500):
+        words = [a + b + "o" for a in "klmn" for b in "aeiou"]
+        old = [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(rng.randint(0, 14))]
+        new = [" ".join(w for w in s.split() if rng.random() > 0.2) if rng.random() < 0.3 else s for s in old if rng.random() > 0.2]
+        new += rng.choices(old, k=rng.randint(0, 2)) if old and rng.random() < 0.3 else []
+        if rng.random() < 0.3:
+            rng.shuffle(new)
+        cases.append((old, new))
+    short = [alignment._steps(*c) for c in cases]
+    asked = sum(blocks._in_order(*c) is not None for c in cases)
+    with monkeypatch.context() as long:
+        long.setattr(blocks, "_in_order", lambda old, new: None)
+        long.setattr(alignment, "FEW", -1)
+        assert [alignment._steps(*c) for c in cases] == short
+    assert 300 < asked < 1500
+
+    def never(*_):
+        raise AssertionError("ranks of items that keep their order")
+
+    monkeypatch.setattr(blocks, "Ranks", never)
+    assert blocks.common_blocks(list("abcdxef"), list("abyycdef")) == [(0, 0, 2), (2, 4, 2), (5, 6, 2)]

@@ -402,7 +402,8 @@ def test_bodies_are_made_in_their_buckets(spark, tmp_path):
         meta = [pq.ParquetFile(f).metadata for f in files]
         assert len(files) == 4 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
         assert {m.row_group(0).column(1).compression for m in meta} == {"ZSTD"}
-        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+        for key in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            assert int(spark.conf.get(key)) <= 256
         assert out.where(F.length("html") == 200 * (len(said) + F.length("accession_number"))).count() == 300
     finally:
         spark.sql("DROP TABLE grown_bodies")
